@@ -1,0 +1,6 @@
+"""Registered queries of the log engine and their DuckDB counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
