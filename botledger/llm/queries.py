@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botledger.llm import mixing, quality, simhash, substring
-from botledger.llm.common import table
+from botledger.llm import bpe, mixing, quality, simhash, substring, token_store
+from botledger.llm.common import table, table_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.kept_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_store")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = table_path(spark, "token-store")
+    token_store.write(table(spark, sf_dir, "documents"), folder, bpe.vocabulary_path("word_bpe_49k.json"))
+    return token_store.digests(token_store.read(spark, folder))
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.json"))
