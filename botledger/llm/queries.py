@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botledger.llm import bpe, mixing, quality, simhash, substring, token_store
+from botledger.llm import bpe, language, licenses, mixing, quality, simhash, substring, token_store
 from botledger.llm.common import table, table_path
 
 QUERIES: dict = {}
@@ -70,3 +70,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.vocabulary_path("byte_bpe_50k.json"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
