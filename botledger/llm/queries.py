@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botledger.llm import bpe, language, licenses, mixing, quality, simhash, substring, token_store
+from botledger.llm import bpe, html_extract, language, licenses, mixing, quality, simhash, substring, token_store
 from botledger.llm.common import table, table_path
 
 QUERIES: dict = {}
@@ -80,3 +80,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
