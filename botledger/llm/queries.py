@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botledger.llm import bpe, html_extract, language, licenses, mixing, quality, simhash, substring, token_store
+from botledger.llm import bpe, embed_dedup, html_extract, language, licenses, mixing, quality, simhash, substring, token_store
 from botledger.llm.common import table, table_path
 
 QUERIES: dict = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_html_extract")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
