@@ -133,3 +133,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .agg(F.coalesce(F.sum(F.col("words") * F.col("drawn")), F.lit(0)).cast("long").alias("taken"))
         .drop("sidx", "part", "rn")
     )
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words fill it, rounded (0 to MAX_PASSES times)."""
+    cols = docs.columns
+    copies = (
+        mix(docs).withColumn("_copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
+        .groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"))
+        .agg(F.sum("_copies").cast("int").alias("_copies")).where("_copies > 0")
+    )
+    keyed = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
+    joined = keyed.join(copies, F.expr("_h = _t and doc_id <=> _d and source <=> _s"))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
