@@ -23,7 +23,9 @@ STEP = 1024
 #: Labelled documents (of each class) that set target multinomial and threshold, by least md5 of doc_id.
 LABELLED_LIMIT = 20_000
 #: Rejecting one trusted document costs as much as keeping this many bad ones.
-TRUSTED_COST = 50
+TRUSTED_COST = 200
+#: Added to the target's count of a bucket and to the count the raw corpus would lead one to expect.
+PRIOR = 8.0
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
@@ -93,21 +95,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         .groupBy("doc_id").agg(F.min("quality").alias("good"))
         .withColumn("_o", F.md5(F.col("doc_id").cast("string")))
     )
-    parts = [labelled.where(F.col("good") == g).orderBy("_o", "doc_id").limit(LABELLED_LIMIT).select("doc_id", "good") for g in (0, 1)]
-    chosen = [(r["doc_id"], r["good"]) for p in parts for r in p.collect()]
-    if not any(g == 1 for _, g in chosen):
+    parts = [labelled.where(F.col("good") == g).orderBy("_o", "doc_id").limit(LABELLED_LIMIT).select("doc_id", "good", "_o") for g in (0, 1)]
+    # three quarters of the trusted documents make the target; the rest, never seen by it, and the bad ones set the threshold
+    chosen = [(r["doc_id"], r["good"], int(r["good"] == 1 and int(r["_o"][-1], 16) % 4 != 3)) for p in parts for r in p.collect()]
+    if not any(t for _, _, t in chosen):
         return QualityModel((), 0.0)
-    known = F.broadcast(spark.createDataFrame(chosen, "doc_id long, good int"))
+    known = F.broadcast(spark.createDataFrame(chosen, "doc_id long, good int, in_target int"))
     toks = docs.select("doc_id", words(F.col("text").cast("string")).alias("w"))
-    grams = toks.join(known, "doc_id", "left").select(F.coalesce(F.col("good"), F.lit(0)).alias("good"), F.explode(F.expr(_grams())).alias("g"))
-    counts = grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target")).collect()
+    grams = toks.join(known, "doc_id", "left").select(F.coalesce(F.col("in_target"), F.lit(0)).alias("t"), F.explode(F.expr(_grams())).alias("g"))
     raw, target = [0] * BUCKETS, [0] * BUCKETS
-    for r in counts:
+    for r in grams.groupBy("g").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect():
         raw[r["g"]], target[r["g"]] = r["raw"], r["target"]
-    raw_n, target_n = sum(raw) + BUCKETS, sum(target) + BUCKETS
-    weights = tuple(round(STEP * (math.log((t + 1) / target_n) - math.log((r + 1) / raw_n))) for r, t in zip(raw, target))
+    share = sum(target) / max(1, sum(raw))
+    weights = tuple(round(STEP * math.log((t + PRIOR) / (r * share + PRIOR))) for r, t in zip(raw, target))
     cells = (
-        measures(docs.select("doc_id", "text").join(known, "doc_id"), QualityModel(weights, 0.0))
+        measures(docs.select("doc_id", "text").join(known.where("in_target = 0"), "doc_id"), QualityModel(weights, 0.0))
         .select("good", F.expr(f"if({BASE_FAILED}, null, floor(m.llr * 500))").alias("cell"))
         .groupBy("cell").agg(F.count_if(F.col("good") == 0).alias("bad"), F.count_if(F.col("good") == 1).alias("good")).collect()
     )
