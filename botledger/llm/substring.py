@@ -32,12 +32,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import stage_out
-
 WINDOW = 20
 ANCHOR = 6
 #: Bytes of text hashed at once in a Python worker (more only if one text is longer).
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Rows of an Arrow batch turned into Python objects at once.
+SLICE_ROWS = 500
 NULL_ID = -(1 << 63)
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -161,14 +161,14 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks whose earlier place, if any, is outside the batch (n > 0), and factors found within it (n < 0: minus the words)."""
     for b in batches:
-        texts = [(t or "").encode() for t in b.column("text").to_pylist()]
         docs = b.column("doc").to_numpy(zero_copy_only=False).astype("<i8")
-        tags = np.fromiter((zlib.crc32(t) for t in texts), dtype="<i8", count=len(texts))
-        found = []
-        for at, part in _chunks(texts):
-            anchor, block, text, start, n = blocks(*word_hashes(part))
-            found.append((anchor, block, text + at, start, n))
-        del texts
+        tags, found = np.empty(len(docs), "<i8"), []
+        for low in range(0, len(docs), SLICE_ROWS):
+            texts = [(t or "").encode() for t in b.column("text").slice(low, SLICE_ROWS).to_pylist()]
+            tags[low : low + len(texts)] = [zlib.crc32(t) for t in texts]
+            for at, part in _chunks(texts):
+                anchor, block, text, start, n = blocks(*word_hashes(part))
+                found.append((anchor, block, text + low + at, start, n))
         if not found:
             continue
         anchor, block, text, start, n = (np.concatenate(x) for x in zip(*found))
@@ -224,10 +224,16 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows[np.unique([tail, first[-1]])].copy()
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for low in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(low, SLICE_ROWS)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstd frames of their words, so that the joins move less."""
     press = zstandard.ZstdCompressor(level=1)
-    for b in batches:
+    for b in _sliced(batches):
         texts = [(t or "").encode() for t in b.column("text").to_pylist()]
         tags = pa.array([zlib.crc32(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc"), tags, pa.array([press.compress(t) for t in texts], pa.binary())], ["doc", "tag", "packed"])
@@ -236,7 +242,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the single windows of the blocks to check: key is the window, n is 1."""
     unpack = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in _sliced(batches):
         outs = []
         for doc, tag, packed, checks in zip(*(b.column(c).to_pylist() for c in ("doc", "tag", "packed", "checks"))):
             hashes, _ = word_hashes([unpack.decompress(packed)])
@@ -262,7 +268,8 @@ def _by_document(spans: DataFrame, name: str) -> DataFrame:
 def duplicate_spans(docs: DataFrame) -> DataFrame:
     """(doc, tag, spans): for each document (doc_id, or NULL_ID; crc32 of the text) the word spans to remove, as start and minus length."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-    found = stage_out(_sorted_by_place(rows.mapInArrow(_parse, _PLACE)).mapInArrow(_index, _PLACE), "rlz-found")
+    # used twice below: the plan shares the exchange of the parsed blocks, so only the short index pass runs again
+    found = _sorted_by_place(rows.mapInArrow(_parse, _PLACE)).mapInArrow(_index, _PLACE)
     checks = _by_document(found.where("n > 0"), "checks")
     packed = rows.mapInArrow(_pack, "doc long, tag long, packed binary")
     windows = packed.join(checks, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_boundaries, _PLACE)
@@ -272,7 +279,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for b in batches:
+    for b in _sliced(batches):
         out: list[tuple] = []
         for packed, spans in zip(b.column("packed").to_pylist(), b.column("spans").to_pylist()):
             parts = unpack.decompress(packed).split()
