@@ -2,26 +2,27 @@
 
 The frequent words of the corpus, each with the ids the vocabulary gives it, are compiled
 into an automaton that shares prefixes and suffixes; a word's number among all words, summed
-along its path, points to its ids. Workers memory-map it. A text is cut where no merge can
-reach across, distinct pieces are walked through the automaton together, and a piece that is
-not in it is merged exactly by the tokenizers library. Decoding gathers the bytes of the ids.
+along its path, points to its ids. Workers memory-map it. Texts are cut into pre-tokens, the
+distinct ones are walked through the automaton together, and those that are not in it are
+merged exactly, all at once. Decoding gathers the bytes of the ids.
 
-Edge cases: a null text counts as empty and has no ids; special-token strings in a text get
-their special id, as in the library; texts with white space beyond ASCII are given to the
-library whole; long texts are whole; a null doc_id and repeated rows pass through; columns
+Edge cases: a null text counts as empty and has no ids; texts with a special token's string
+or with signs beyond the common Latin, Greek and Cyrillic blocks are given to the tokenizers
+library whole, so special tokens get their id; long texts are whole; a null doc_id and repeated rows pass through; columns
 besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import mmap
 import os
-import re
 import tempfile
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,9 @@ LEXICON_WORDS = 32_768
 #: A batch reports words that it holds this often; any word this frequent in all batches is found.
 LEAST_IN_BATCH = 8
 #: Pieces a worker remembers before it starts afresh.
-CACHE_PIECES = 300_000
-#: Bytes of text encoded at once in a worker.
-CHUNK_BYTES = 4_000_000
-
-_PIECES = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
-#: White space that the library's patterns know and _PIECES doesn't.
-_WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
+CACHE_PIECES = 1_000_000
+#: Characters of text encoded at once in a worker.
+CHUNK_CHARS = 1_500_000
 
 
 # ---------------------------------------------------------------- lexicon
@@ -108,13 +105,14 @@ class Lexicon:
 
     def look(self, words: list[bytes]) -> np.ndarray:
         """Each word's number in the lexicon, or -1."""
-        n = len(words)
+        lens = np.fromiter(map(len, words), "<i8", len(words))
+        return self.look_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lens) - lens, lens)
+
+    def look_flat(self, raw: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        n = len(lens)
         out = np.full(n, -1, "<i8")
         if not n or not len(self.keys):
             return out
-        lens = np.fromiter(map(len, words), "<i8", n)
-        starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        raw = np.frombuffer(b"".join(words), np.uint8)
         live, state, number = np.arange(n), np.full(n, self.root), np.zeros(n, "<i8")
         depth = 0
         while len(live):
@@ -133,7 +131,7 @@ class Lexicon:
         return out
 
 
-# ---------------------------------------------------------------- pieces
+# ---------------------------------------------------------------- pre-tokens
 
 
 def load_tokenizer(path: str):
@@ -152,60 +150,293 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Encodes pieces of text, remembering ids; pieces are looked up in the lexicon first, then merged by the library."""
-
-    def __init__(self, tokenizer, lexicon: Lexicon | None = None):
-        self.tokenizer, self.lexicon = tokenizer, lexicon
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.offsets = np.empty(0, "<i8"), np.zeros(1, "<i8")
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        lens, parts = np.zeros(len(pieces), "<i8"), [np.empty(0, "<i8")] * len(pieces)
-        number = self.lexicon.look(pieces) if self.lexicon is not None else np.full(len(pieces), -1)
-        for i in np.flatnonzero(number >= 0).tolist():
-            k = number[i]
-            parts[i] = self.lexicon.ids[self.lexicon.offsets[k] : self.lexicon.offsets[k + 1]]
-        new = np.flatnonzero(number < 0).tolist()
-        for i, e in zip(new, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in new], add_special_tokens=False)):
-            parts[i] = np.array(e.ids, "<i8")
-        lens[:] = [len(p) for p in parts]
-        base = len(self.offsets) - 1
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(lens)))
-
-    def ids(self, pieces: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces in a row, and how many each text (counts pieces long) has."""
-        new = list(set(pieces).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > CACHE_PIECES and self.known:
-                self._reset()
-                new = list(set(pieces))
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, pieces), "<i8", len(pieces))
-        lens = self.offsets[at + 1] - self.offsets[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        take = np.arange(total) + np.repeat(self.offsets[at] - (ends - lens), lens)
-        edge = np.concatenate(([0], ends))[np.cumsum([0, *counts])]
-        return self.flat[take], np.diff(edge)
+LETTER, NUMBER, OTHER, SPACE, END, STRANGE = range(6)
+#: Stands between texts in a batch; no text with it is cut here.
+_BETWEEN = 0xFFFF
+#: Blocks of code points whose classes are the same in every Unicode version in use; the rest is left to the library.
+_KNOWN_BLOCKS = [(0, 0x250), (0x386, 0x387), (0x388, 0x3A3), (0x3A4, 0x400), (0x400, 0x483), (0x48A, 0x530), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20BE)]
+#: Among these: white space or control signs that patterns treat unlike, and letters whose lower case depends on more than themselves.
+_LEFT_OUT = [*range(0x1C, 0x20), 0x85, 0xA0, 0x130, 0x149, 0x1F0]
+
+
+@functools.lru_cache(1)
+def _classes() -> np.ndarray:
+    table = np.full(0x110000, STRANGE, np.uint8)
+    kinds = {"L": LETTER, "N": NUMBER}
+    for a, z in _KNOWN_BLOCKS:
+        for c in range(a, z):
+            if unicodedata.category(chr(c)) != "Cn":
+                table[c] = kinds.get(unicodedata.category(chr(c))[0], OTHER)
+    table[[*range(9, 14), 32]] = SPACE
+    table[_LEFT_OUT] = STRANGE
+    table[_BETWEEN] = END
+    return table
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(n: int, kept: list = []) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers of an odd number and of its inverse modulo 2^64, kept between calls."""
+    if not kept or len(kept[0]) < n:
+        size = max(n, 1 << 20)
+        up, down = np.full(size, _ODD), np.full(size, np.uint64(pow(int(_ODD), -1, 1 << 64)))
+        up[0] = down[0] = 1
+        kept[:] = [np.cumprod(up), np.cumprod(down)]
+    return kept[0], kept[1]
+
+
+def pre_tokens(codes: np.ndarray, word_ends: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the pre-tokens in texts of known code points, _BETWEEN after each text.
+
+    word_ends: the pattern that drops white space and takes digits one by one, else the
+    byte-level one that lets a word, number or sign run take one blank before it.
+    """
+    kind = _classes()[codes]
+    n = len(codes)
+    change = np.ones(n, bool)
+    change[1:] = kind[1:] != kind[:-1]
+    if word_ends:
+        change |= kind == NUMBER
+    quote = np.flatnonzero((codes == 39) & change)
+    if not word_ends:
+        quote = quote[(quote == 0) | (codes[np.maximum(quote - 1, 0)] != 32)]
+    if len(quote):
+        one = codes[np.minimum(quote + 1, n - 1)]
+        two = codes[np.minimum(quote + 2, n - 1)]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+        for at, size in ((quote[short], 2), (quote[long], 3)):
+            change[at + 1] = False
+            if size == 3:
+                change[at + 2] = False
+            stop = at + size
+            change[stop[kind[np.minimum(stop, n - 1)] == LETTER]] = True
+    if not word_ends:
+        starts = np.flatnonzero(change)
+        run = starts[kind[starts] == SPACE]
+        stops = np.append(starts[1:], n)
+        last = stops[kind[starts] == SPACE] - 1
+        then = kind[np.minimum(last + 1, n - 1)]
+        inner = then != END
+        change[last[inner]] = True
+        glue = last[inner & (codes[last] == 32)]
+        change[glue + 1] = False
+        del run
+    starts = np.flatnonzero(change)
+    stops = np.append(starts[1:], n)
+    own = kind[starts] != END
+    if word_ends:
+        own &= kind[starts] != SPACE
+    return starts[own], stops[own]
+
+
+# ---------------------------------------------------------------- merges
+
+
+class Merges:
+    """The vocabulary's merges, applied to many pre-tokens at once: the best pair of each, leftmost first, until none is left."""
+
+    def __init__(self, path: str):
+        model = json.load(open(path, encoding="utf-8"))["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"] or ""
+        self.word_ends = bool(suffix)
+        chars = _byte_chars()
+        self.first = np.array([vocab[c] for c in chars], "<i8")
+        self.last = np.array([vocab[c + suffix] for c in chars], "<i8")
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        left, right = (np.array([vocab[p[i]] for p in pairs], "<i8") for i in (0, 1))
+        key = left * (1 << 20) + right
+        made = np.array([vocab[a.removesuffix(suffix) + b if suffix else a + b] for a, b in pairs], "<i8")
+        slot = self._slot(key)
+        order = np.lexsort((np.arange(len(key)), slot))
+        self.key, self.rank, self.made = key[order], np.arange(len(key))[order], made[order]
+        self.begin = np.searchsorted(slot[order], np.arange((1 << 18) + 1))
+        self.deepest = int(np.diff(self.begin).max()) if len(key) else 0
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(46)).astype("<i8")
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Number of the merge of each pair, or -1."""
+        key = left * (1 << 20) + right
+        slot = self._slot(key)
+        at, stop = self.begin[slot], self.begin[slot + 1]
+        out = np.full(len(key), -1, "<i8")
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            here = at[open_]
+            hit = self.key[here] == key[open_]
+            out[open_[hit]] = here[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < stop[open_]]
+        return out
+
+    def apply(self, raw: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given as bytes in a row (all lens > 0), and how many each has."""
+        sym, word = self.first[raw], np.repeat(np.arange(len(lens)), lens)
+        ends = np.cumsum(lens) - 1
+        sym[ends] = self.last[raw[ends]]
+        far = np.int64(1 << 40)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        pair = np.full(len(sym), -1, "<i8")
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        pair[inner] = self.find(sym[inner], sym[inner + 1])
+        while len(sym):
+            rank = np.where(pair >= 0, self.rank[pair], far)
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.minimum.reduceat(rank, starts)
+            size = np.diff(np.append(starts, len(sym)))
+            over = np.repeat(least == far, size)
+            if over.any():
+                done.append((word[over], sym[over]))
+                keep = ~over
+                sym, word, pair, rank = sym[keep], word[keep], pair[keep], rank[keep]
+                if not len(sym):
+                    break
+                least, size = least[least < far], size[least < far]
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            at = at[np.concatenate(([True], word[at[1:]] != word[at[:-1]]))]
+            sym[at] = self.made[pair[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            moved = np.cumsum(keep) - 1
+            at = moved[at]
+            sym, word, pair = sym[keep], word[keep], pair[keep]
+            near = np.unique(np.concatenate((at, at[at > 0] - 1)))
+            pair[near] = -1
+            near = near[near < len(sym) - 1]
+            near = near[word[near] == word[near + 1]]
+            pair[near] = self.find(sym[near], sym[near + 1])
+        if not done:
+            return np.empty(0, "<i8"), np.zeros(len(lens), "<i8")
+        word, sym = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(word, kind="stable")
+        return sym[order], np.bincount(word, minlength=len(lens))
+
+
+def _byte_chars() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    back = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [back[b] for b in range(256)]
+
 
+# ---------------------------------------------------------------- texts
 
-def cut(text: str) -> list[bytes]:
-    """Pieces of a text that a byte-level BPE encodes one by one: cut before each ASCII white space that follows another character."""
-    if _WIDE_SPACE.search(text):
-        return [text.encode()]
-    return _PIECES.findall(text.encode())
 
+class TextEncoder:
+    """Encodes whole texts as the library does: distinct pre-tokens are remembered, found in the lexicon, or merged exactly.
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    Texts with a special token's string or with code points outside _KNOWN_BLOCKS go to the library itself.
+    """
+
+    def __init__(self, path: str, lexicon: Lexicon | None = None):
+        self.tokenizer, self.merges, self.lexicon = load_tokenizer(path), Merges(path), lexicon
+        self.special = [a["content"] for a in json.load(open(path, encoding="utf-8"))["added_tokens"]]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.size, self.flat = np.empty(0, "<u8"), np.empty(0, "<i8"), np.empty(0, "<i8"), np.empty(0, "<i4")
+
+    def _learn(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        if len(self.known) + len(hashes) > CACHE_PIECES:
+            self._forget()
+        for a in range(0, len(hashes), 100_000):
+            self._learn_some(hashes[a : a + 100_000], codes, starts[a : a + 100_000], stops[a : a + 100_000])
+
+    def _learn_some(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        lens = stops - starts
+        ends = np.cumsum(lens)
+        own = codes[np.arange(int(ends[-1])) + np.repeat(starts - (ends - lens), lens)]
+        text = own.astype("<u4").tobytes().decode("utf-32-le").encode()
+        wide = 1 + (own >= 0x80).astype("<i8") + (own >= 0x800) + (own >= 0x10000)
+        size = np.add.reduceat(wide, ends - lens)
+        stop = np.cumsum(size)
+        raw = np.frombuffer(text, np.uint8)
+        counts, ids = np.zeros(len(hashes), "<i8"), np.empty(0, "<i8")
+        rest = np.arange(len(hashes))
+        parts = []
+        if self.lexicon is not None:
+            number = self.lexicon.look_flat(raw, stop - size, size)
+            at = np.flatnonzero(number >= 0)
+            counts[at] = self.lexicon.offsets[number[at] + 1] - self.lexicon.offsets[number[at]]
+            parts.append((at, _take(self.lexicon.ids, self.lexicon.offsets[number[at]], counts[at])))
+            rest = np.flatnonzero(number < 0)
+        if len(rest):
+            merged, n = self.merges.apply(_take(raw, stop[rest] - size[rest], size[rest]), size[rest])
+            counts[rest] = n
+            parts.append((rest, merged))
+        ids = np.concatenate([i for _, i in parts])
+        owner = np.concatenate([np.repeat(at, counts[at]) for at, _ in parts])
+        ids = ids[np.argsort(owner, kind="stable")]
+        begin = len(self.flat) + np.cumsum(counts) - counts
+        self.flat = np.concatenate((self.flat, ids.astype("<i4")))
+        where = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = np.insert(self.known, where, hashes), np.insert(self.begin, where, begin), np.insert(self.size, where, counts)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        word_ends = self.merges.word_ends
+        parts = [t.lower() if word_ends else t for t in texts]
+        codes = np.frombuffer((chr(_BETWEEN).join(parts) + chr(_BETWEEN)).encode("utf-32-le", "surrogatepass"), "<u4").astype("<i8")
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(ends, np.flatnonzero(_classes()[codes] == STRANGE), side="right")] = True
+        for i, t in enumerate(texts):
+            odd[i] |= chr(_BETWEEN) in t or any(x in t for x in self.special) or (word_ends and "\u03a3" in t)  # a sigma's lower case depends on its place
+        if odd.any():
+            return self._with_library(texts, odd)
+        starts, stops = pre_tokens(codes, word_ends)
+        if not len(starts):
+            return np.empty(0, "<i8"), np.zeros(len(texts), "<i8")
+        up, down = _powers(len(codes) + 1)
+        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + 1).astype(np.uint64) * up[: len(codes)], dtype=np.uint64)))
+        h = (prefix[stops] - prefix[starts]) * down[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+        once, first, back = np.unique(h, return_index=True, return_inverse=True)
+        new = self._missing(once)
+        if new.any():
+            if len(self.known) + int(new.sum()) > CACHE_PIECES:
+                new[:] = True
+            self._learn(once[new], codes, starts[first[new]], stops[first[new]])
+        at = np.searchsorted(self.known, once)[back]
+        sizes = self.size[at]
+        ids = _take(self.flat, self.begin[at], sizes).astype("<i8")
+        edge = np.concatenate(([0], np.cumsum(sizes)))
+        cut = np.searchsorted(starts, ends)
+        return ids, np.diff(edge[cut], prepend=0)
+
+    def _missing(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.ones(len(hashes), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] != hashes
+
+    def _with_library(self, texts: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.flatnonzero(~odd).tolist()
+        ids, n = self.encode([texts[i] for i in plain]) if plain else (np.empty(0, "<i8"), np.empty(0, "<i8"))
+        parts: list[np.ndarray] = [np.empty(0, "<i8")] * len(texts)
+        for i, part in zip(plain, np.split(ids, np.cumsum(n)[:-1]) if plain else []):
+            parts[i] = part
+        for i in np.flatnonzero(odd).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<i8")
+        return np.concatenate(parts), np.array([len(p) for p in parts], "<i8")
+
+
+def _take(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of flat, one after another."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+
+
+def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > CHUNK_BYTES:
+        if i > start and size + len(t) > CHUNK_CHARS:
             yield start, i
             start, size = i, 0
         size += len(t)
@@ -219,9 +450,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all tokens of a byte-level vocabulary in a row, and where each id's begin."""
     model = json.load(open(path, encoding="utf-8"))
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    back = {c: b for b, c in enumerate(_byte_chars())}
     tokens = {i: t for t, i in model["model"]["vocab"].items()} | {a["id"]: a["content"] for a in model["added_tokens"]}
     raw = [bytes(back[c] for c in tokens.get(i, "")) for i in range(max(tokens) + 1)]
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
@@ -255,18 +484,15 @@ def fit_lexicon(docs: DataFrame, path: str) -> bytes:
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequent, "word binary, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
     words = [b" " + bytes(r["word"]) for r in top]
-    words = [w for w in words if cut(w.decode()) == [w]]
     encoded = load_tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-    return build_lexicon({w: e.ids for w, e in zip(words, encoded)})
+    # a pre-token is looked up, so words that are several can't be found and stay out
+    single = [_one_pre_token(w.decode()) for w in words]
+    return build_lexicon({w: e.ids for w, e, one in zip(words, encoded, single) if one})
 
 
-def encode_texts(texts: Iterable[str | None], encoder: PieceEncoder) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, ids in a row, ids per text) for chunks of the texts."""
-    whole = [t or "" for t in texts]
-    for a, z in _chunks(whole):
-        cuts = [cut(t) for t in whole[a:z]]
-        ids, n = encoder.ids([p for c in cuts for p in c], [len(c) for c in cuts])
-        yield a, ids, n
+def _one_pre_token(text: str) -> bool:
+    codes = np.frombuffer((text + chr(_BETWEEN)).encode("utf-32-le"), "<u4").astype("<i8")
+    return not (_classes()[codes] == STRANGE).any() and len(pre_tokens(codes, False)[0]) == 1
 
 
 def encode_and_decode(docs: DataFrame, path: str, lexicon: bytes | None = None) -> DataFrame:
@@ -284,10 +510,11 @@ def _coded(docs: DataFrame, path: str, lexicon: bytes | None, digest: bool) -> D
     blob = spark.sparkContext.broadcast(lexicon if lexicon is not None else fit_lexicon(docs, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = PieceEncoder(load_tokenizer(path), Lexicon(blob.value)), byte_table(path)
+        encoder, table = TextEncoder(path, Lexicon(blob.value)), byte_table(path)
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc_id")
-            for at, ids, n in encode_texts(texts, encoder):
+            texts, keys = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id")
+            for at, stop in chunks(texts):
+                ids, n = encoder.encode(texts[at:stop])
                 raw, ends = gather_bytes(ids, table)
                 stops = np.cumsum(n)
                 ends = np.concatenate(([0], ends))
