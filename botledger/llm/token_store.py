@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from botledger.llm.bpe import CHUNK_BYTES, PieceEncoder, load_tokenizer
+from botledger.llm.bpe import TextEncoder, chunks, load_tokenizer
 from botledger.llm.common import stage_out
 
 END_ID = 1
 #: Ids in a shard before the next begins.
 SHARD_IDS = 2_000_000
+#: Up to this many shards (2 MB of numbers) their places are broadcast to the readers; beyond, they are joined by shuffle.
+BROADCAST_SHARDS = 100_000
 #: Keys to a hash bucket, on average.
 BUCKET_KEYS = 3
 _SHARD = (
@@ -95,22 +97,15 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
 
 def _encode(path: str, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, kind = PieceEncoder(load_tokenizer(path)), f"<u{width}"
+        encoder, kind = TextEncoder(path), f"<u{width}"
         end = np.array([END_ID], kind).tobytes()
         for b in batches:
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                z, size = at, 0
-                while z < len(texts) and (z == at or size + len(texts[z]) <= CHUNK_BYTES):
-                    size += len(texts[z])
-                    z += 1
-                cuts = [t.split() for t in texts[at:z]]
-                ids, n = encoder.ids([p for c in cuts for p in c], [len(c) for c in cuts])
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for at, z in chunks(texts):
+                ids, n = encoder.encode(texts[at:z])
                 wire, stops = ids.astype(kind).tobytes(), np.cumsum(n).tolist()
                 payloads = [wire[width * (s - k) : width * s] + end for s, k in zip(stops, n.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, z - at), pa.array(payloads, pa.binary())], ["doc_id", "ids"])
-                at = z
 
     return run
 
@@ -196,7 +191,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     inner = sizes.withColumn("inner", F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
     base = inner.join(parts, "part").select("part", "seq", (F.col("inner") + F.col("before")).alias("base"))
-    return shards.join(base, ["part", "seq"]).mapInArrow(_read_rows, "doc_id long, start long, n_tokens long, ids binary")
+    side = F.broadcast(base) if sizes.count() <= BROADCAST_SHARDS else base
+    return shards.join(side, ["part", "seq"]).mapInArrow(_read_rows, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def get(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[int]]:
