@@ -1,6 +1,740 @@
-"""Registered queries of the log engine and their DuckDB counterparts."""
+"""Registered queries of the log engine and their DuckDB counterparts.
+
+The test tables hold no access logs, so both sides derive the same requests from ``events``:
+the query renders log lines from them and parses these back; the oracle works from the fields
+the lines were rendered from. Cases of scalar functions are rows with the result they must have.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import os
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from botledger.functions import text as t
+from botledger.functions import urls as u
+from botledger.operators import classify, lines, report, robots, sessions, sitefiles
+from botledger.sources import catalogue
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def literal(v: object) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).upper()
+    if isinstance(v, (int, float)):
+        return str(v)
+    return "'" + str(v).replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({names})"
+
+
+# ------------------------------------------------------------------ requests
+
+_AGENTS = [
+    (f"Mozilla/5.0 (compatible; {c[4].upper() if c[0] % 2 else c[4]}/1.{c[0]}; +https://bot.example/{c[0]})", c[1]) for c in catalogue.CRAWLERS if not c[7]
+] + [
+    ("Mozilla/5.0 (Macintosh; Intel Mac OS X 10_15_7) Safari/605.1.15", None),
+    ("curl/8.5.0", None),
+    ('Mozilla/5.0 "quoted" ClaudeBot/1.0', "anthropic-claudebot"),
+    ("Mozilla/5.0 (compatible; Applebot-Extended/0.3)", "apple-applebot"),
+    ("Mozilla/5.0 (compatible; Google-Extended)", None),
+    ("GPTBot and ChatGPT-User together", "openai-chatgpt-user"),
+    ("", None),
+]
+_REFERRERS = [
+    ("https://chatgpt.com/", "chatgpt"),
+    ("https://chat.openai.com/c/1?x=y", "chatgpt"),
+    ("https://www.perplexity.ai/search", "perplexity"),
+    ("https://user:pw@claude.ai:99999/chat", "claude"),
+    ("https://gemini.google.com./app", "gemini"),
+    ("https://notebooklm.google.com", "notebooklm"),
+    ("https://sub.copilot.microsoft.com/", "copilot"),
+    ("HTTPS://GROK.COM/", "grok"),
+    ("https://a.b.c.x.ai/q#f", "grok"),
+    ("https://www.google.com/search?q=claude.ai", None),
+    ("https://notclaude.ai/", None),
+    ("https://claude.ai.evil.example/", None),
+    ("https:chatgpt.com", None),
+    ("//chatgpt.com/", None),
+    ("chatgpt.com", None),
+    ("https://meta.ai", "meta-ai"),
+    ("https://duck.ai/x", "duck-ai"),
+    ("https://ai/", None),
+    ("https://you.com/", "you-com"),
+    ("", None),
+    ("", None),
+]
+
+#: Columns of a derived request, in SQL that both engines read. Broken lines come every 97 events.
+_REQ = f"""
+SELECT e.event_id, e.ts, date_trunc('second', e.ts) AS sec, e.user_id,
+  'log' || CAST(e.user_id % 4 AS STRING) AS file,
+  '/' || e.event_type || '/' || CAST(e.user_id % 50 AS STRING) AS path,
+  CASE e.event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '?k=' || CAST(e.event_id AS STRING) WHEN 2 THEN '#top' ELSE '?a=1#b' END AS tail,
+  CASE WHEN e.event_id % 7 = 3 THEN 'https://www.example.com:443' ELSE '' END AS origin,
+  CASE WHEN e.event_id % 11 = 5 THEN 0 WHEN e.event_id % 3 = 0 THEN 404 ELSE 200 END AS status,
+  a.ua, a.crawler, r.referrer, CASE WHEN a.crawler IS NULL THEN r.product END AS product, r.product AS any_product,
+  e.event_id % 97 = 13 AS broken
+FROM events_ e
+JOIN {values([(i, *x) for i, x in enumerate(_AGENTS)], 'i, ua, crawler').replace('AS v(', 'AS a(')} ON a.i = e.event_id % {len(_AGENTS)}
+JOIN {values([(i, *x) for i, x in enumerate(_REFERRERS)], 'i, referrer, product').replace('AS v(', 'AS r(')} ON r.i = (e.event_id * 7 + e.user_id) % {len(_REFERRERS)}
+"""
+
+
+def req_sql() -> str:
+    return _REQ.replace("events_", "events")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_REQ.replace("events_", "{events}"), events=table(spark, sf_dir, "events"))
+
+
+def _or_dash(c: str):
+    return F.when(F.col(c) == "", F.lit("-")).otherwise(F.col(c))
+
+
+def combined_lines(req: DataFrame) -> DataFrame:
+    """Combined lines: half the times with offset +0530, quotes escaped as Apache or nginx do."""
+    odd = F.col("event_id") % 2 == 1
+    clock = F.date_format(F.when(odd, F.col("sec") + F.make_dt_interval(mins=F.lit(330))).otherwise(F.col("sec")), "dd/MMM/yyyy:HH:mm:ss")
+    ua = F.replace(F.col("ua"), F.lit('"'), F.when(odd, F.lit('\\"')).otherwise(F.lit("\\x22")))
+    line = F.concat(
+        F.lit("203.0.113."), (F.col("user_id") % 256).cast("string"), F.lit(" - - ["), clock, F.when(odd, F.lit(" +0530")).otherwise(F.lit(" +0000")),
+        F.lit('] "GET '), "origin", "path", "tail", F.lit(' HTTP/1.1" '), F.when(F.col("status") == 0, F.lit("-")).otherwise(F.col("status").cast("string")),
+        F.lit(' 512 "'), _or_dash("referrer"), F.lit('" "'), F.when(F.col("ua") == "", F.lit("-")).otherwise(ua), F.lit('"'),
+    )
+    return req.select("file", F.col("event_id").alias("line_no"), F.when(F.col("broken"), F.concat(F.lit("broken "), F.col("event_id").cast("string"))).otherwise(line).alias("line"))
+
+
+def alb_lines(req: DataFrame) -> DataFrame:
+    ua = F.when(F.col("ua") == "", F.lit("-")).otherwise(F.replace(F.col("ua"), F.lit('"'), F.lit("'")))
+    stamp = F.concat(F.replace(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    line = F.concat(
+        F.lit("h2 "), stamp, F.lit(" app/web/1 203.0.113.9:5 10.0.0.1:80 0.0 0.1 0.0 "), F.when(F.col("status") == 0, F.lit("-")).otherwise(F.col("status").cast("string")),
+        F.lit(' 200 34 366 "GET https://www.example.com:443'), "path", "tail", F.lit(' HTTP/2.0" "'), ua, F.lit('" TLS13 x arn:1'),
+    )
+    return req.select("file", F.col("event_id").alias("line_no"), F.when(F.col("broken"), F.concat(F.lit("h2 not-a-time "), F.col("event_id").cast("string"))).otherwise(line).alias("line"))
+
+
+_CF_SHORT = "date time cs-uri-stem sc-status cs(Referer) cs(User-Agent)"
+
+
+def cloudfront_lines(req: DataFrame) -> DataFrame:
+    """log0 to log2 start with a short header and get a useless one among their lines; log3 has the standard columns and no header."""
+    quote = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit('"'), F.lit("%22")), F.lit("#"), F.lit("%23"))
+    day, clock = F.date_format("sec", "yyyy-MM-dd"), F.date_format("sec", "HH:mm:ss")
+    stem, status = F.concat("path", F.lit("/caf%C3%A9")), F.when(F.col("status") == 0, F.lit("-")).otherwise(F.col("status").cast("string"))
+    ref, ua = quote(_or_dash("referrer")), F.when(F.col("ua") == "", F.lit("-")).otherwise(quote(F.col("ua")))
+    short = F.concat_ws("\t", day, clock, stem, status, ref, ua)
+    full = F.concat_ws("\t", day, clock, F.lit("FRA1"), F.lit("1"), F.lit("1.2.3.4"), F.lit("GET"), F.lit("h"), stem, status, ref, ua, F.lit("-"))
+    line = F.when(F.col("broken"), F.concat(F.lit("2024-13-40\tx\t"), F.col("event_id").cast("string"))).when(F.col("file") == "log3", full).otherwise(short)
+    body = req.select("file", (F.col("event_id") + 10).alias("line_no"), line.alias("line"))
+    heads = req.sparkSession.createDataFrame(
+        [(f"log{k}", n, x) for k in range(3) for n, x in ((1, "#Version: 1.0"), (2, f"#Fields: {_CF_SHORT}"))], "file string, line_no long, line string"
+    )
+    bad = req.where("event_id = 9").select(F.explode(F.array(*[F.lit(f"log{k}") for k in range(3)])).alias("file"), F.lit(15).cast("long").alias("line_no"), F.lit("#Fields: date time").alias("line"))
+    return body.unionByName(heads).unionByName(bad)
+
+
+_PARSED = ["file", "line_no", "outcome", "ts_text", "path", "status", "ua", "referrer"]
+
+
+def _flat(parsed: DataFrame) -> DataFrame:
+    return parsed.withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).select(*_PARSED)
+
+
+def _truth(ts: str, path: str, ua: str, referrer: str, line_no: str = "event_id") -> str:
+    pick = lambda x: f"CASE WHEN NOT broken THEN {x} END"
+    return f"""SELECT file, {line_no} AS line_no, CASE WHEN broken THEN 'malformed' ELSE 'record' END AS outcome, {pick(f"strftime({ts}, '%Y-%m-%d %H:%M:%S.%f')")} AS ts_text,
+    {pick(path)} AS path, {pick('CAST(status AS INTEGER)')} AS status, {pick(ua)} AS ua, {pick(referrer)} AS referrer FROM ({req_sql()})"""
+
+
+@query("parse_combined", _truth("sec", "path", "ua", "referrer"))
+def parse_combined(spark, sf_dir):
+    return _flat(lines.parse_combined(combined_lines(requests(spark, sf_dir))))
+
+
+@query("parse_alb", _truth("ts", "path", "replace(ua, '\"', '''')", "''"))
+def parse_alb(spark, sf_dir):
+    return _flat(lines.parse_alb(alb_lines(requests(spark, sf_dir))))
+
+
+@query(
+    "parse_cloudfront",
+    _truth("sec", "path || '/café'", "ua", "referrer", "event_id + 10")
+    + """ UNION ALL SELECT 'log' || CAST(k AS VARCHAR), n, o, NULL, NULL, NULL, NULL, NULL
+    FROM (VALUES (0), (1), (2)) AS f(k), (VALUES (1, 'ignored'), (2, 'ignored'), (15, 'malformed')) AS h(n, o)""",
+)
+def parse_cloudfront(spark, sf_dir):
+    return _flat(lines.parse_cloudfront(cloudfront_lines(requests(spark, sf_dir))))
+
+
+@query(
+    "detect_format",
+    f"""SELECT event_id AS line_no, CASE WHEN broken THEN NULL WHEN event_id % 3 = 0 THEN 'combined' WHEN event_id % 3 = 1 THEN 'alb' ELSE 'cloudfront' END AS fmt
+    FROM ({req_sql()}) UNION ALL SELECT * FROM {values([(-1, 'cloudfront'), (-2, 'cloudfront'), (-3, None), (-4, 'combined'), (-5, None)], 'a, b')}""",
+)
+def detect_format(spark, sf_dir):
+    req = requests(spark, sf_dir)
+    which = F.col("line_no") % 3
+    rows = combined_lines(req).where(which == 0).unionByName(alb_lines(req).where(which == 1))
+    cf = cloudfront_lines(req.withColumn("file", F.lit("log3"))).where("file = 'log3'").withColumn("line_no", F.col("line_no") - 10).where(which == 2)
+    cf = cf.withColumn("line", F.when(F.startswith("line", F.lit("2024-13")), F.lit("?")).otherwise(F.col("line")))
+    odd = spark.createDataFrame(
+        [("x", -1, "#Version: 1.0"), ("x", -2, " \t#Fields: date"), ("x", -3, "﻿#Version: 1.0"), ("x", -4, '  h - - [x] "a" - 0 "b" "c" more'), ("x", -5, "")],
+        "file string, line_no long, line string",
+    )
+    return rows.unionByName(cf).unionByName(odd).select("line_no", lines.line_format(F.col("line")).alias("fmt"))
+
+
+# ------------------------------------------------------------------ scalar functions
+
+
+def cases(name: str, rows: list[tuple], f: Callable) -> None:
+    """A query over (input, expected) rows: case_id and the function's result as text."""
+    def run(spark: SparkSession, _: str) -> DataFrame:
+        df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_id long, input string")
+        return df.select("case_id", f(F.col("input")).cast("string").alias("result"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT CAST(case_id AS BIGINT) AS case_id, CAST(result AS VARCHAR) AS result FROM {values([(i, r[1]) for i, r in enumerate(rows)], 'case_id, result')}"
+
+
+cases(
+    "clf_time_utc",
+    [
+        ("28/Sep/2026:12:00:00 +0000", "2026-09-28T12:00:00+00:00"), ("28/Sep/2026:12:00:00 +0530", "2026-09-28T06:30:00+00:00"),
+        ("01/Jan/2027:00:30:00 +0100", "2026-12-31T23:30:00+00:00"), ("31/Feb/2026:12:00:00 +0000", None), ("29/Feb/2024:23:59:59 -0500", "2024-03-01T04:59:59+00:00"),
+        ("29/Feb/2023:00:00:00 +0000", None), ("28/Sep/2026:24:00:00 +0000", None), ("28/Sep/2026:12:00:60 +0000", None), ("28/Sep/2026:12:00:00 +2400", None),
+        ("28/Sep/2026:12:00:00 -2359", "2026-09-29T11:59:00+00:00"), ("28/sep/2026:12:00:00 +0000", None), ("28/Okt/2026:12:00:00 +0000", None), ("", None), ("28/Sep/2026:12:00:00", None),
+    ],
+    lambda c: t.utc_text(t.clf_time(c)),
+)
+cases(
+    "iso_time_utc",
+    [
+        ("2026-09-28T08:15:30.999999Z", "2026-09-28T08:15:30+00:00"), ("2026-09-28T08:15:30Z", "2026-09-28T08:15:30+00:00"), ("2026-09-28T08:15:30.1Z", "2026-09-28T08:15:30+00:00"),
+        ("2026-02-30T08:15:30Z", None), ("2026-09-28T08:15:60Z", None), ("2026-09-28 08:15:30Z", None), ("2026-09-28T08:15:30", None), ("0000-01-01T00:00:00Z", None), ("x", None),
+    ],
+    lambda c: t.utc_text(t.iso_time(c)),
+)
+cases(
+    "unescape",
+    [
+        ("plain", "plain"), ('Mozilla \\"quoted\\" x', 'Mozilla "quoted" x'), ("Mozilla \\x22hex\\x22", 'Mozilla "hex"'), ("caf\\xe9", "café"), ("\\x2", "x2"), ("a\\\\b", "a\\b"), ("end\\", "end\\"), ("\\xZZ", "xZZ"), ("", ""),
+    ],
+    t.unescape,
+)
+cases(
+    "percent_decode",
+    [
+        ("/caf%C3%A9", "/café"), ("a%20b+c", "a b+c"), ("%zz%4", "%zz%4"), ("%ff", "�"), ("%C3x", "�x"), ("100%", "100%"), ("%E2%82%AC", "€"), ("%e2%82", "�"), ("é%41", "éA"), ("", ""), ("%25%32%30", "%20"),
+    ],
+    t.percent_decode,
+)
+cases(
+    "url_host",
+    [
+        ("https://Example.com/a", "example.com"), ("https://u:p@h.example:8/x", "h.example"), ("https://a@b@c.example/", "c.example"), ("https:chatgpt.com", None), ("//h/x", None), ("h.example", None),
+        ("https://[::1]:80/x", "::1"), ("https://[::1/x", None), ("https:///x", None), ("https://h.ex\tample/", "h.example"), ("https://h.example?x", "h.example"), ("https://h\\@e.example/", "e.example"), ("1http://h/", None),
+    ],
+    u.url_host,
+)
+cases(
+    "normalize_host",
+    [("WWW.Example.COM.", "example.com"), ("www.www.x", "www.x"), (" x.example.. ", "x.example"), ("www", "www"), ("a" * 300 + "." * 3000, "a" * 300), ("", "")],
+    u.normalize_host,
+)
+cases(
+    "domain_input",
+    [
+        ("example.com", "https://example.com"), (" HTTP://Example.com:80/x ", "https://example.com"), ("https://example.com:8443/x?y", "https://example.com:8443"), ("example.com.", "https://example.com"),
+        ("", "empty"), ("  ", "empty"), ("ftp://example.com", "invalid"), ("127.0.0.1", "ip"), ("https://[::1]/", "ip"), ("localhost", "local"), ("intranet", "local"), ("a.local", "local"),
+        ("x.home.arpa", "local"), ("https://exa mple.com", "invalid"), ("https://example.com:99999", "invalid"), ("https://", "invalid"), ("user@example.com/path", "https://example.com"),
+    ],
+    lambda c: F.coalesce(u.domain_input(c)["origin"], u.domain_input(c)["reason"]),
+)
+cases("check_value", [("https://chatgpt.com/", "url"), ("GPTBot/1.0", "ua"), ("see https://x.example/", "ua"), (" https://x.example/a ", "url"), ("https://", "ua")], lambda c: F.when(u.is_url(c), "url").otherwise("ua"))
+cases(
+    "bare_host_hint",
+    [("chatgpt.com", "https://chatgpt.com/"), ("chatgpt.com/", "https://chatgpt.com/"), ("h.example:8080", "https://h.example:8080/"), ("-a.example", None), ("localhost", None), ("a b.example", None), ("a..b", None)],
+    u.bare_host_hint,
+)
+cases(
+    "check_param",
+    [("/en/?check=dev.to", "dev.to"), ("/?a=1&check=https%3A%2F%2FExample.com%3A8443%2Fx", "example.com:8443"), ("/?check=", None), ("/?x=check", None), ("/?check=localhost", None)],
+    u.check_param,
+)
+cases("count_lines", [("", 0), ("a", 1), ("a\n", 1), ("a\r\nb", 2), ("a\r\rb\n", 3), ("\n", 1), ("\n\n", 2)], sitefiles.count_lines)
+
+
+@query(
+    "normalize_path",
+    r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+    UNION ALL SELECT * FROM """
+    + values([(-1, "/pricing"), (-2, "/a"), (-3, "/"), (-4, "-"), (-5, "/"), (-6, "/x"), (-7, "ftp://h/x"), (-8, "/a%20b"), (-9, "*")], "a, b"),
+)
+def normalize_path(spark, sf_dir):
+    odd = spark.createDataFrame(
+        [(-1, "/pricing?utm=x"), (-2, "/a#b?c"), (-3, "https://www.example.com:443"), (-4, "http://[::1/x"), (-5, "?q"), (-6, "http://[::1]/x#y"), (-7, "ftp://h/x"), (-8, "/a%20b"), (-9, "*")],
+        "page_id long, url string",
+    )
+    return table(spark, sf_dir, "pages").select("page_id", "url").unionByName(odd).select("page_id", u.normalize_path(F.col("url")).alias("path"))
+
+
+# ------------------------------------------------------------------ classification
+
+
+@query("classify_ua", f"SELECT event_id, crawler AS id FROM ({req_sql()})")
+def classify_ua(spark, sf_dir):
+    return requests(spark, sf_dir).select("event_id", classify.crawler_id(F.col("ua")).alias("id"))
+
+
+@query("classify_referrer", f"SELECT event_id, any_product AS id FROM ({req_sql()})")
+def classify_referrer(spark, sf_dir):
+    return requests(spark, sf_dir).select("event_id", classify.referral_id(F.col("referrer")).alias("id"))
+
+
+@query("classify_own_host", f"SELECT event_id, CASE WHEN referrer NOT LIKE '%perplexity.ai/%' THEN any_product END AS id FROM ({req_sql()})")
+def classify_own_host(spark, sf_dir):
+    return requests(spark, sf_dir).select("event_id", classify.referral_id(F.col("referrer"), "WWW.Perplexity.ai.").alias("id"))
+
+
+_DIMS_C = values([c[1:7] for c in catalogue.CRAWLERS], "id, vendor, vendor_name, token, purpose, ai_specific").replace("AS v(", "AS c(")
+_DIMS_R = values([r[1:5] for r in catalogue.REFERRERS], "id, vendor, vendor_name, product").replace("AS v(", "AS p(")
+
+
+@query(
+    "classify_request",
+    f"""SELECT event_id, CASE WHEN q.crawler IS NOT NULL THEN 'crawler' WHEN q.product IS NOT NULL THEN 'referral' END AS kind, coalesce(q.crawler, q.product) AS id,
+    coalesce(c.vendor, p.vendor) AS vendor, c.token, p.product, c.purpose, CASE WHEN c.id IS NULL AND p.id IS NULL THEN NULL ELSE coalesce(c.ai_specific, TRUE) END AS ai_specific
+    FROM ({req_sql()}) q LEFT JOIN {_DIMS_C} ON c.id = q.crawler LEFT JOIN {_DIMS_R} ON p.id = q.product""",
+)
+def classify_request(spark, sf_dir):
+    tagged = classify.classify(requests(spark, sf_dir).drop("product"))
+    m = classify.match_struct(F.col("crawler_id"), F.col("referral_id"))
+    return tagged.withColumn("m", m).select("event_id", "m.kind", "m.id", "m.vendor", "m.token", "m.product", "m.purpose", "m.ai_specific")
+
+
+@query("log_line", f"""SELECT event_id, 'ai_traffic kind=' || CASE WHEN crawler IS NOT NULL THEN 'crawler' ELSE 'referral' END || ' id=' || coalesce(crawler, product) || ' path=' || path AS line
+    FROM ({req_sql()}) WHERE crawler IS NOT NULL OR product IS NOT NULL""")
+def log_line(spark, sf_dir):
+    from botledger.streaming import live
+
+    hits = live.tag(requests(spark, sf_dir).drop("product")).where("ai_traffic is not null")
+    return hits.select("event_id", classify.log_line(F.col("ai_traffic.kind"), F.col("ai_traffic.id"), F.col("path")).alias("line"))
+
+
+# ------------------------------------------------------------------ report
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.parse_combined(combined_lines(requests(spark, sf_dir)))
+
+
+def _tally(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return report.tally(lines.records(_parsed(spark, sf_dir)), **options)
+
+
+_GOOD = f"(SELECT * FROM ({req_sql()}) WHERE NOT broken)"
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+@query(
+    "report_summary",
+    f"""SELECT count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped,
+    count(*) FILTER (NOT broken AND c.ai_specific) AS ai_crawler_requests, count(*) FILTER (NOT broken AND product IS NOT NULL) AS ai_referral_visits
+    FROM ({req_sql()}) q LEFT JOIN {_DIMS_C} ON c.id = q.crawler""",
+)
+def report_summary(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return report.summary(parsed, report.tally(lines.records(parsed)))
+
+
+_CRAWLER_SQL = f"""SELECT c.id, c.vendor, c.vendor_name, c.token, c.purpose, c.ai_specific, count(*) AS requests, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen
+    FROM {_GOOD} q JOIN {_DIMS_C} ON c.id = q.crawler GROUP BY ALL"""
+
+
+@query("report_crawlers", _CRAWLER_SQL)
+def report_crawlers(spark, sf_dir):
+    return report.crawler_rows(_tally(spark, sf_dir))
+
+
+@query("search_engines", f"SELECT * FROM ({_CRAWLER_SQL}) WHERE NOT ai_specific")
+def search_engines(spark, sf_dir):
+    return report.crawler_rows(_tally(spark, sf_dir)).where("not ai_specific")
+
+
+@query(
+    "report_referrals",
+    f"""SELECT p.id, p.vendor, p.vendor_name, p.product, count(*) AS visits, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen
+    FROM {_GOOD} q JOIN {_DIMS_R} ON p.id = q.product GROUP BY ALL""",
+)
+def report_referrals(spark, sf_dir):
+    return report.referral_rows(_tally(spark, sf_dir))
+
+
+def _top_sql(col: str, top: int) -> str:
+    counts = f"SELECT {col} AS id, path, count(*) AS n FROM {_GOOD} WHERE {col} IS NOT NULL GROUP BY ALL"
+    return f"""SELECT id, CAST(rank AS INTEGER) AS rank, path, n FROM
+    (SELECT id, path, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, path) AS rank FROM ({counts})) WHERE rank <= {top}"""
+
+
+@query("report_crawler_top_pages", _top_sql("crawler", 10))
+def report_crawler_top_pages(spark, sf_dir):
+    return report.top_pages(_tally(spark, sf_dir), "crawler")
+
+
+@query("report_referral_top_pages", _top_sql("product", 3))
+def report_referral_top_pages(spark, sf_dir):
+    return report.top_pages(_tally(spark, sf_dir), "referral", 3)
+
+
+_LABELS = f"""(SELECT path, 'crawler' AS kind, c.token AS label, count(*) AS n FROM {_GOOD} q JOIN {_DIMS_C} ON c.id = q.crawler AND c.ai_specific GROUP BY ALL
+    UNION ALL SELECT path, 'referral', p.product, count(*) FROM {_GOOD} q JOIN {_DIMS_R} ON p.id = q.product GROUP BY ALL)"""
+_PAGES = f"""SELECT path, CAST(sum(n) FILTER (kind = 'crawler') AS BIGINT) AS crawler_requests, CAST(sum(n) FILTER (kind = 'referral') AS BIGINT) AS referral_visits,
+    string_agg(label || ' ' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, label) FILTER (kind = 'crawler') AS crawlers,
+    string_agg(label || ' ' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, label) FILTER (kind = 'referral') AS referrals
+    FROM {_LABELS} GROUP BY path"""
+
+
+@query("report_page_labels", f"SELECT path, kind, label, n FROM {_LABELS}")
+def report_page_labels(spark, sf_dir):
+    return report.page_tally(_tally(spark, sf_dir))
+
+
+@query(
+    "report_pages",
+    f"""SELECT path, coalesce(crawler_requests, 0) AS crawler_requests, coalesce(referral_visits, 0) AS referral_visits, coalesce(crawlers, '') AS crawlers, coalesce(referrals, '') AS referrals
+    FROM ({_PAGES}) ORDER BY coalesce(crawler_requests, 0) + coalesce(referral_visits, 0) DESC, path LIMIT 10""",
+)
+def report_pages(spark, sf_dir):
+    flat = lambda c: F.array_join(F.transform(c, lambda e: F.concat(e["name"], F.lit(" "), e["n"].cast("string"))), ",").alias(c)
+    return report.page_rows(_tally(spark, sf_dir)).select("path", "crawler_requests", "referral_visits", flat("crawlers"), flat("referrals"))
+
+
+_SINCE = datetime(2024, 1, 3, 12, tzinfo=timezone.utc)
+
+
+@query(
+    "report_since",
+    f"SELECT crawler AS id, count(*) AS requests FROM {_GOOD} WHERE crawler IS NOT NULL AND sec >= TIMESTAMP '2024-01-03 12:00:00' GROUP BY ALL",
+)
+def report_since(spark, sf_dir):
+    return report.crawler_rows(_tally(spark, sf_dir, since=_SINCE)).select("id", "requests")
+
+
+@query("file_stats", f"SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped FROM ({req_sql()}) GROUP BY file")
+def file_stats(spark, sf_dir):
+    return lines.file_stats(_parsed(spark, sf_dir))
+
+
+@query(
+    "mixed_formats",
+    f"""SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped, CASE file WHEN 'log0' THEN 'combined' WHEN 'log1' THEN 'alb' ELSE 'cloudfront' END AS fmt
+    FROM ({req_sql()}) WHERE file <> 'log2' GROUP BY file""",
+)
+def mixed_formats(spark, sf_dir):
+    """Files of three formats read as one: each file's format from its own first line."""
+    from botledger.sources.logfiles import with_format
+
+    req = requests(spark, sf_dir)
+    rows = combined_lines(req).where("file = 'log0'").unionByName(alb_lines(req).where("file = 'log1'")).unionByName(cloudfront_lines(req).where("file = 'log3'"))
+    tagged = with_format(rows)
+    return lines.file_stats(lines.parse_lines(tagged)).join(tagged.groupBy("file").agg(F.first("fmt").alias("fmt")), "file")
+
+
+@query(
+    "report_json",
+    f"""SELECT crawler AS id, count(*) AS requests, (SELECT string_agg(path || ' ' || CAST(n AS VARCHAR), ',' ORDER BY n DESC, path)
+      FROM (SELECT path, count(*) AS n FROM {_GOOD} WHERE crawler = q.crawler GROUP BY path ORDER BY n DESC, path LIMIT 2)) AS top_pages FROM {_GOOD} q WHERE crawler IS NOT NULL GROUP BY crawler""",
+)
+def report_json(spark, sf_dir):
+    """Crawler rows of the JSON report (its few rows pass through the driver, as the report does)."""
+    data = report.build_report(_parsed(spark, sf_dir), top=2).to_dict()
+    rows = [(r["id"], r["requests"], ",".join(f"{p['path']} {p['count']}" for p in r["top_pages"])) for r in data["crawlers"]]
+    return spark.createDataFrame(rows, "id string, requests long, top_pages string")
+
+
+@query(
+    "page_view",
+    f"""SELECT q.crawler AS id, count(*) AS requests, strftime(max(sec), '%Y-%m-%d %H:%M') AS seen, (SELECT string_agg(path, chr(10) ORDER BY n DESC, path)
+      FROM (SELECT path, count(*) AS n FROM {_GOOD} WHERE crawler = q.crawler GROUP BY path ORDER BY n DESC, path LIMIT 3)) AS pages
+      FROM {_GOOD} q JOIN {_DIMS_C} ON c.id = q.crawler AND c.ai_specific GROUP BY q.crawler""",
+)
+def page_view(spark, sf_dir):
+    from botledger.plans.engine import page_view as view
+
+    return view(report.build_report(_parsed(spark, sf_dir)))["crawlers"].select("id", "requests", "seen", "pages")
+
+
+@query(
+    "vendor_catalogue",
+    f"SELECT vendor, vendor_name, count(*) AS crawlers, string_agg(token, ',' ORDER BY o) AS tokens, count(*) FILTER (d) AS documented FROM "
+    f"{values([(c[0], c[2], c[3], c[4], c[8]) for c in catalogue.CRAWLERS], 'o, vendor, vendor_name, token, d')} GROUP BY vendor, vendor_name",
+)
+def vendor_catalogue(spark, sf_dir):
+    return catalogue.crawlers(spark).groupBy("vendor", "vendor_name").agg(
+        F.count(F.lit(1)).alias("crawlers"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), ",").alias("tokens"),
+        F.count_if(F.col("vendor_documented")).alias("documented"),
+    )
+
+
+# ------------------------------------------------------------------ robots
+
+_ROBOTS = [
+    ("empty", ""),
+    ("absent", None),
+    ("star_block", "User-agent: *\nDisallow: /"),
+    ("star_open", "# hi\r\nUser-agent: *\r\nDisallow:\r\n"),
+    ("home_only", "User-agent: *\nDisallow: /\nAllow: /$"),
+    ("named", "User-agent: GPTBot\nUser-agent: CCBot/2.0\nDisallow: /\n\nUser-agent: *\nDisallow: /private/ # secret\nAllow: /private/open\nSitemap: https://x/s.xml\n"),
+    ("two_groups", "Disallow: /lost\nuser-agent: claudebot\nDisallow: /a\nUser-agent: bingbot\nAllow: /\nUSER-AGENT: ClaudeBot\nDisallow: /b*\nAllow: /b\n"),
+    ("wild", "User-agent: *\nDisallow: /*.pdf$\nDisallow: /x*y\nAllow: /x*yes\nDisallow: *\nAllow: /"),
+    ("rescued", "User-agent: *\nDisallow: /docs\nAllow: /docs\nDisallow: /tmp$\nAllow: /tmp$\n"),
+]
+_ROBOTS_SQL = values(_ROBOTS, "doc, text").replace("AS v(", "AS d(")
+#: Lines, groups and rules in DuckDB. Texts have no odd white space, so trim() will do.
+_GROUPS_SQL = rf"""
+raw AS (SELECT doc, regexp_split_to_array(text, '\r\n|\r|\n') AS parts FROM {_ROBOTS_SQL} WHERE text IS NOT NULL),
+ln AS (SELECT doc, generate_subscripts(parts, 1) AS line, unnest(parts) AS raw FROM raw),
+kv AS (SELECT doc, line, trim(raw) AS text, lower(trim(split_part(split_part(raw, '#', 1), ':', 1))) AS key, trim(substr(split_part(raw, '#', 1), strpos(split_part(raw, '#', 1), ':') + 1)) AS value
+  FROM ln WHERE strpos(split_part(raw, '#', 1), ':') > 0),
+k3 AS (SELECT *, coalesce(lag(key) OVER (PARTITION BY doc ORDER BY line), 'allow') AS prev FROM kv WHERE key IN ('user-agent', 'allow', 'disallow')),
+gr AS (SELECT doc, CAST(sum(CASE WHEN key = 'user-agent' AND prev <> 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS INTEGER) AS grp, line, text, key, value,
+  CASE WHEN key = 'user-agent' THEN CASE WHEN value LIKE '*%' THEN '*' ELSE lower(regexp_extract(value, '^[A-Za-z_-]+')) END END AS product FROM k3),
+g AS (SELECT * FROM gr WHERE grp > 0)"""
+_LIKE = "{1} LIKE replace(replace(replace(CASE WHEN {0} LIKE '%$' THEN left({0}, length({0}) - 1) ELSE {0} END, '%', '\\%'), '_', '\\_'), '*', '%') || CASE WHEN {0} LIKE '%$' THEN '' ELSE '%' END ESCAPE '\\'"
+_VERDICT_SQL = f"""
+cr AS (SELECT * FROM {values([c[:8] for c in catalogue.CRAWLERS], 'ord, id, vendor, vendor_name, token, purpose, ai_specific, robots_only')}),
+use AS (SELECT d.doc, cr.*, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.doc = d.doc AND g.product = lower(token)) THEN 'token' WHEN EXISTS (SELECT 1 FROM g WHERE g.doc = d.doc AND g.product = '*') THEN 'star' ELSE 'none' END AS source
+  FROM {_ROBOTS_SQL}, cr),
+keyed AS (SELECT *, CASE source WHEN 'token' THEN lower(token) WHEN 'star' THEN '*' END AS product FROM use),
+sets AS (SELECT DISTINCT doc, product, grp FROM g WHERE product IS NOT NULL),
+rules AS (SELECT s.doc, s.product, g.line, g.text, g.key = 'allow' AS allow, g.value AS pat FROM sets s JOIN g ON g.doc = s.doc AND g.grp = s.grp WHERE g.key <> 'user-agent' AND g.value <> ''),
+root AS (SELECT doc, product, arg_max(struct_pack(allow := allow, line := line, text := text), struct_pack(a := length(pat), b := allow, c := -line)) AS r FROM rules WHERE {_LIKE.format('pat', "'/'")} GROUP BY doc, product),
+pr AS (SELECT doc, product, line, text, pat, unnest(CASE WHEN pat LIKE '%$' THEN [p] ELSE [p, p || CASE WHEN p LIKE '%/' THEN '' ELSE '/' END || '{robots.PROBE}'] END) AS path FROM
+  (SELECT *, CASE WHEN q LIKE '/%' THEN q ELSE '/' || q END AS p FROM (SELECT *, regexp_replace(replace(pat, '*', ''), '\\$$', '') AS q FROM rules WHERE NOT allow))),
+best AS (SELECT pr.*, (SELECT max(length(a.pat)) FROM rules a WHERE a.doc = pr.doc AND a.product = pr.product AND a.allow AND length(a.pat) >= length(pr.pat) AND {_LIKE.format('a.pat', 'pr.path')}) AS b FROM pr WHERE {_LIKE.format('pr.pat', 'pr.path')}),
+still AS (SELECT DISTINCT doc, product, line, text FROM best WHERE b IS NULL OR EXISTS (SELECT 1 FROM rules o WHERE o.doc = best.doc AND o.product = best.product AND NOT o.allow AND length(o.pat) > best.b AND {_LIKE.format('o.pat', 'best.path')})),
+judged AS (SELECT k.doc, k.ord, k.id, k.vendor, k.vendor_name, k.token, k.purpose, k.source, k.product, CASE WHEN NOT coalesce(r.r.allow, TRUE) THEN 'blocked' WHEN EXISTS (SELECT 1 FROM still s WHERE s.doc = k.doc AND s.product = k.product) THEN 'partial' ELSE 'allowed' END AS verdict, r.r AS root
+  FROM keyed k LEFT JOIN root r ON r.doc = k.doc AND r.product = k.product),
+ev AS (SELECT DISTINCT j.doc, j.ord, x.line, x.text FROM judged j, LATERAL (
+  SELECT g.line, g.text FROM g WHERE g.doc = j.doc AND g.product = j.product
+  UNION ALL SELECT s.line, s.text FROM still s WHERE s.doc = j.doc AND s.product = j.product AND j.verdict = 'partial'
+  UNION ALL SELECT j.root.line, j.root.text WHERE j.verdict <> 'partial' AND j.root IS NOT NULL) x)"""
+_ROBOTS_WITH = f"WITH {_GROUPS_SQL}, {_VERDICT_SQL}"
+
+
+def _robots(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_ROBOTS, "doc string, text string")
+
+
+@query("robots_groups", f"WITH {_GROUPS_SQL} SELECT doc, grp, CAST(line AS INTEGER) AS line, text, key, value, product FROM g")
+def robots_groups(spark, sf_dir):
+    return robots.parse(_robots(spark).where("text is not null"))
+
+
+_PATTERNS = ["/", "/fish", "/fish*", "/fish/", "/*.php", "/*.php$", "/fish*.php", "*", "$", "/$", "/a*b*c$", "/a%b_c", "*x", "/**y", ""]
+_TRIED = ["/", "/fish", "/fish.html", "/fish/salmon.html", "/Fish", "/index.php", "/folder/x.php?a", "/fishheads/c.php", "/abc", "/aXbYc", "/aXbYcZ", "/a%b_c", "/zzx", "/y", "", "fish"]
+
+
+@query(
+    "robots_pattern_match",
+    f"SELECT p AS pattern, s AS path, {_LIKE.format('p', 's')} AS matches FROM (SELECT unnest([{', '.join(map(literal, _PATTERNS))}]) AS p), (SELECT unnest([{', '.join(map(literal, _TRIED))}]) AS s)",
+)
+def robots_pattern_match(spark, sf_dir):
+    pairs = spark.createDataFrame([(p, s) for p in _PATTERNS for s in _TRIED], "pattern string, path string")
+    return pairs.select("pattern", "path", robots.pattern_matches(F.col("pattern"), F.col("path")).alias("matches"))
+
+
+@query(
+    "robots_decide",
+    f"""WITH {_GROUPS_SQL}, r AS (SELECT doc AS "case", line, key = 'allow' AS allow, value AS pat, path FROM g, (VALUES ('/'), ('/private/x'), ('/private/open/x'), ('/b'), ('/a.pdf'), ('/xyes')) AS t(path) WHERE key <> 'user-agent')
+    SELECT "case", path, coalesce(b.a, TRUE) AS allowed, CAST(b.l AS INTEGER) AS line FROM (SELECT "case", path, arg_max(struct_pack(a := allow, l := line), struct_pack(x := length(pat), y := allow, z := -line))
+      FILTER (pat <> '' AND {_LIKE.format('pat', 'path')}) AS b FROM r GROUP BY "case", path)""",
+)
+def robots_decide(spark, sf_dir):
+    rules = robots.parse(_robots(spark).where("text is not null")).where("key <> 'user-agent'")
+    paths = F.explode(F.array(*[F.lit(p) for p in ("/", "/private/x", "/private/open/x", "/b", "/a.pdf", "/xyes")]))
+    return robots.decide(rules.select(F.col("doc").alias("case"), "line", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"), paths.alias("path")))
+
+
+@query("robots_verdicts", f"{_ROBOTS_WITH} SELECT doc, CAST(ord AS INTEGER) AS ord, id, token, source, verdict FROM judged")
+def robots_verdicts(spark, sf_dir):
+    return robots.verdicts(_robots(spark)).select("doc", "ord", "id", "token", "source", "verdict")
+
+
+@query("robots_evidence", f"{_ROBOTS_WITH} SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(line AS INTEGER) AS line, text FROM ev")
+def robots_evidence(spark, sf_dir):
+    return robots.verdicts(_robots(spark)).select("doc", "ord", F.explode("lines").alias("e")).select("doc", "ord", "e.line", "e.text")
+
+
+@query(
+    "robots_counts",
+    f"""{_ROBOTS_WITH} SELECT doc, count(*) AS total, count(*) FILTER (verdict = 'allowed') AS allowed, count(*) FILTER (verdict = 'blocked') AS blocked,
+    count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (source = 'token') AS named FROM judged GROUP BY doc""",
+)
+def robots_counts(spark, sf_dir):
+    return robots.verdict_counts(robots.verdicts(_robots(spark)))
+
+
+_SUMMARY_SQL = "SELECT doc, vendor, vendor_name, purpose, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) ELSE 'mixed' END AS verdict, min(ord) AS ord FROM judged GROUP BY ALL"
+
+
+@query("robots_vendor_summary", f"{_ROBOTS_WITH} SELECT doc, vendor, vendor_name, purpose, verdict FROM ({_SUMMARY_SQL})")
+def robots_vendor_summary(spark, sf_dir):
+    return robots.vendor_summary(robots.verdicts(_robots(spark))).select("doc", "vendor", "vendor_name", F.explode("purposes").alias("purpose", "verdict"))
+
+
+@query(
+    "robots_purpose_groups",
+    f"""{_ROBOTS_WITH} SELECT j.doc, j.purpose, CAST(row_number() OVER (PARTITION BY j.doc, j.purpose ORDER BY CASE j.verdict WHEN 'blocked' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END, j.ord) AS INTEGER) AS rank,
+    j.token, j.verdict, (SELECT string_agg(text, '  ' ORDER BY line) FROM ev WHERE ev.doc = j.doc AND ev.ord = j.ord) AS evidence FROM judged j""",
+)
+def robots_purpose_groups(spark, sf_dir):
+    g = robots.purpose_groups(robots.verdicts(_robots(spark)))
+    return g.select("doc", "purpose", F.posexplode("rows").alias("at", "r")).select("doc", "purpose", (F.col("at") + 1).alias("rank"), "r.token", "r.verdict", "r.evidence")
+
+
+_NAMES = "coalesce(string_agg(vendor_name, ',' ORDER BY ord) FILTER (verdict IN ({})), '')"
+
+
+@query(
+    "robots_vendor_buckets",
+    f"""{_ROBOTS_WITH} SELECT *, CASE WHEN blocked = '' AND "some" = '' THEN 'all' WHEN allowed = '' AND "some" = '' THEN 'none' ELSE 'mixed' END AS kind FROM (
+    SELECT doc, purpose, {_NAMES.format("'blocked'")} AS blocked, {_NAMES.format("'partial', 'mixed'")} AS "some", {_NAMES.format("'allowed'")} AS allowed
+    FROM (SELECT doc, vendor, vendor_name, purpose, verdict, min(ord) OVER (PARTITION BY doc, vendor) AS ord FROM ({_SUMMARY_SQL})) GROUP BY doc, purpose)""",
+)
+def robots_vendor_buckets(spark, sf_dir):
+    b = robots.vendor_buckets(robots.verdicts(_robots(spark)))
+    return b.select("doc", "purpose", *[F.array_join(c, ",").alias(c) for c in ("blocked", "some", "allowed")], "kind")
+
+
+@query(
+    "robots_next_crawler",
+    f"""{_ROBOTS_WITH} SELECT d.doc, CASE WHEN d.text IS NULL THEN 'none' WHEN NOT EXISTS (SELECT 1 FROM g WHERE g.doc = d.doc AND g.product = '*') THEN 'open'
+    WHEN coalesce((SELECT arg_min(verdict, ord) FROM judged j WHERE j.doc = d.doc AND j.source = 'star'), 'blocked') = 'blocked' THEN 'closed' ELSE 'open' END AS outlook FROM {_ROBOTS_SQL}""",
+)
+def robots_next_crawler(spark, sf_dir):
+    docs = _robots(spark)
+    return robots.next_crawler(docs, robots.verdicts(docs))
+
+
+# ------------------------------------------------------------------ site files
+
+_LLMS = [
+    ("# Site\n> hello\n- [a](https://x/a): one\n- [b](https://x/b)", "Site", 2), ("no heading [x](y) [z]( q) [w]()", None, 1), ("# \n# Second\n[a]\n(b)", None, 0), ("## no\n#no\n# Yes  \n[[a](b)[c](d)", "Yes", 2),
+    ("[" * 3000 + "](x)", None, 1), ("", None, 0), ("[a](b c) [d](e)\r\n# T", "T", 1),
+]
+
+
+@query(
+    "llms_summary",
+    f"""SELECT doc_id, NULL AS title, CAST(len(regexp_extract_all(text, '\\[[^\\]\\n]*\\]\\([^)\\s]+\\)')) AS BIGINT) AS links FROM documents
+    UNION ALL SELECT * FROM {values([(-1 - i, a, b) for i, (_, a, b) in enumerate(_LLMS)], 'doc_id, title, links')}""",
+)
+def llms_summary(spark, sf_dir):
+    made = spark.createDataFrame([(-1 - i, x[0]) for i, x in enumerate(_LLMS)], "doc_id long, text string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(made)
+    return docs.select("doc_id", sitefiles.llms_title(F.col("text")).alias("title"), sitefiles.llms_links(F.col("text")).alias("links"))
+
+
+@query("document_lines", "SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS BIGINT) AS lines FROM documents")
+def document_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", sitefiles.count_lines(F.col("text")).alias("lines"))
+
+
+@query("html_sniff", r"SELECT 'page' AS kind, page_id AS id, regexp_matches(lower(left(html, 256)), '^\s*(<!doctype html|<html|<head|<body)') AS html FROM pages UNION ALL SELECT 'doc', doc_id, FALSE FROM documents "
+    "UNION ALL SELECT 'made', * FROM " + values([(0, True), (1, True), (2, False), (3, False)], "a, b"))
+def html_sniff(spark, sf_dir):
+    made = spark.createDataFrame([(0, "﻿ \n<!DOCTYPE HTML>"), (1, "<HeAd>"), (2, " " * 256 + "<html"), (3, "User-agent: *")], "id long, text string").select(F.lit("made").alias("kind"), "id", "text")
+    rows = table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("text"))
+    rows = rows.unionByName(table(spark, sf_dir, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), "text")).unionByName(made)
+    return rows.select("kind", "id", sitefiles.looks_like_html(F.col("text")).alias("html"))
+
+
+_FETCHED = [
+    (1, 200, "User-agent: *", "found", "ok", "found"), (2, 200, "<html>", "html", "none", "html"), (3, 404, "x", "missing", "none", "missing"), (4, 410, None, "missing", "none", "missing"),
+    (5, 403, "x", "missing", "none", "unavailable"), (6, 500, "x", "server-error", "warn", None), (7, None, None, "unreachable", "warn", None), (8, 302, "x", "unreachable", "warn", None), (9, 204, "", "found", "ok", "found"),
+]
+
+
+@query("status_outcome", f"SELECT CAST(a AS BIGINT) AS id, b AS outcome, c AS mark, d AS robots_line FROM {values([(r[0], *r[3:]) for r in _FETCHED], 'a, b, c, d')}")
+def status_outcome(spark, sf_dir):
+    df = spark.createDataFrame([r[:3] for r in _FETCHED], "id long, status int, text string").withColumn("outcome", sitefiles.file_outcome(F.col("status"), F.col("text")))
+    return df.select("id", "outcome", sitefiles.file_mark(F.col("outcome")).alias("mark"), sitefiles.robots_line_kind(F.col("outcome"), F.col("status")).alias("robots_line"))
+
+
+# ------------------------------------------------------------------ sessions
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = requests(spark, sf_dir).where("event_id % 3 <> 1")
+    nav = F.when(F.col("event_id") % 5 == 0, "reload").when(F.col("event_id") % 7 == 0, "back_forward").otherwise("navigate")
+    return req.select(F.col("user_id").cast("string").alias("session_id"), "ts", F.col("event_id").alias("seq"), "referrer", F.lit("www.meta.ai").alias("hostname"), nav.alias("nav_type"))
+
+
+_VIEWS = f"""(SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id AS seq, CASE WHEN any_product <> 'meta-ai' THEN any_product END AS own,
+    event_id % 5 <> 0 AND event_id % 7 <> 0 AS fresh FROM ({req_sql()}) WHERE event_id % 3 <> 1)"""
+_ATTRIBUTED = f"""SELECT session_id, seq, source, p.vendor, CASE WHEN source IS NOT NULL THEN own IS NOT NULL AND fresh END AS landing FROM
+    (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS source FROM {_VIEWS}) a LEFT JOIN {_DIMS_R} ON p.id = a.source"""
+
+
+@query("session_attribution", _ATTRIBUTED)
+def session_attribution(spark, sf_dir):
+    return sessions.attribute(views(spark, sf_dir)).select("session_id", "seq", "source", "vendor", "landing")
+
+
+@query("session_landings", f"SELECT source, count(*) AS landings, count(DISTINCT session_id) AS sessions FROM ({_ATTRIBUTED}) WHERE landing GROUP BY source")
+def session_landings(spark, sf_dir):
+    won = sessions.landings(sessions.attribute(views(spark, sf_dir)))
+    return won.groupBy("source").agg(F.count(F.lit(1)).alias("landings"), F.countDistinct("session_id").alias("sessions"))
+
+
+def _payload_sql(every: bool) -> str:
+    rank = "" if every else "QUALIFY row_number() OVER (PARTITION BY seq ORDER BY k) = 1"
+    tools = values([(i, *x) for i, x in enumerate(sessions.TOOLS)], "k, tool, event, prop")
+    return f"""SELECT seq, tool, CASE WHEN tool = 'fathom' THEN event || source ELSE event END AS event, prop AS property, CASE WHEN tool <> 'fathom' THEN source END AS value
+    FROM (SELECT *, seq % 3 = 0 AS a, seq % 4 = 0 AS b FROM ({_ATTRIBUTED}) WHERE landing) q, {tools}
+    WHERE CASE tool WHEN 'ga4' THEN a WHEN 'fathom' THEN TRUE WHEN 'matomo' THEN b WHEN 'gtm' THEN NOT a ELSE FALSE END {rank}"""
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = lambda k, name: F.when(F.col("seq") % k == 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    won = sessions.landings(sessions.attribute(views(spark, sf_dir)))
+    return won.withColumn("tools", F.concat(F.array(F.lit("gtm"), F.lit("unknown"), F.lit("fathom")), has(4, "matomo"), has(3, "ga4"))).select("seq", "source", "tools")
+
+
+@query("dispatch_payloads", _payload_sql(False))
+def dispatch_payloads(spark, sf_dir):
+    return sessions.payloads(_landed(spark, sf_dir)).select("seq", "tool", "event", "property", "value")
+
+
+@query("dispatch_payloads_all", _payload_sql(True))
+def dispatch_payloads_all(spark, sf_dir):
+    return sessions.payloads(_landed(spark, sf_dir), every=True).select("seq", "tool", "event", "property", "value")
