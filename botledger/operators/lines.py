@@ -17,8 +17,10 @@ from botledger.plans.settle import settle
 
 FORMATS = ("combined", "cloudfront", "alb")
 
-_S = f"[^{t.SPACE_CLASS}]+"
-_Q = r'"((?:[^"\\]|\\[^\n])*+)"'
+# Whole runs are taken possessively: a loop turns once per run, not once per sign, and nothing is tried again.
+_S = f"[^{t.SPACE_CLASS}]++"
+_S_ASCII = r"\S++"
+_Q = r'"((?:[^"\\]++|\\[^\n])*+)"'
 COMBINED = rf"^{_S} {_S} {_S} \[([^\]]+)\] {_Q} ([0-9]{{3}}|-) {_S} {_Q} {_Q}"
 ALB = rf'^[a-z0-9]+ ([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_S})(?: {_S}){{6}} ([0-9]{{3}}|-)(?: {_S}){{3}} "([^"]*+)" "([^"]*+)"'
 CLOUDFRONT_DATA = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\t[0-9]{2}:[0-9]{2}:[0-9]{2}\t"
@@ -49,7 +51,10 @@ def is_blank(line: Column) -> Column:
 
 def _fields(df: DataFrame, pattern: str, groups: int) -> DataFrame:
     """Adds _f: the pattern's groups, or null. The pattern runs once: lines hold no line break, so breaks part the groups."""
-    joined = F.regexp_replace("line", f"(?s){pattern}.*$", "\n".join(f"${k}" for k in range(1, groups + 1)))
+    out = "\n".join(f"${k}" for k in range(1, groups + 1))
+    # the full class of white space is a dozen tests per sign; where none of its rare members can occur, \S is the same
+    plain = (F.octet_length("line") == F.length("line")) & ~F.col("line").rlike(r"[\x1c-\x1f]")
+    joined = F.when(plain, F.regexp_replace("line", f"(?s){pattern.replace(_S, _S_ASCII)}.*$", out)).otherwise(F.regexp_replace("line", f"(?s){pattern}.*$", out))
     return df.withColumn("_f", F.split(joined, "\n", -1)).withColumn("_f", F.when(F.size("_f") == groups, F.col("_f")))
 
 
