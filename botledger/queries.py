@@ -504,6 +504,31 @@ def vendor_catalogue(spark, sf_dir):
     )
 
 
+@query("catalogue_counts", "SELECT CAST(28 AS BIGINT) AS crawlers, CAST(13 AS BIGINT) AS vendors, CAST(27 AS BIGINT) AS documented, CAST(12 AS BIGINT) AS chats")
+def catalogue_counts(spark, sf_dir):
+    return catalogue.counts(spark)
+
+
+_LISTED = [(r[1], h) for r in catalogue.REFERRERS for h in r[5]]
+
+
+@query("catalogue_hosts", f"SELECT a AS id, b AS host, CAST(length(b) - length(replace(b, '.', '')) + 1 AS INTEGER) AS labels FROM {values(_LISTED, 'a, b')}")
+def catalogue_hosts(spark, sf_dir):
+    rows = catalogue.referrers(spark).select("id", F.explode("hosts").alias("host"))
+    return rows.select("id", "host", F.size(F.split("host", "[.]")).alias("labels"))
+
+
+@query(
+    "log_totals",
+    f"""SELECT CAST(count(*) FILTER (c.ai_specific) AS BIGINT) AS ai_requests, count(DISTINCT crawler) FILTER (c.ai_specific) AS ai_crawlers, count(*) FILTER (product IS NOT NULL) AS ai_visits
+    FROM {_GOOD} q LEFT JOIN {_DIMS_C} ON c.id = q.crawler""",
+)
+def log_totals(spark, sf_dir):
+    t_ = _tally(spark, sf_dir)
+    ai = report.crawler_rows(t_).where("ai_specific").agg(F.sum("requests").alias("ai_requests"), F.count(F.lit(1)).alias("ai_crawlers"))
+    return ai.crossJoin(report.referral_rows(t_).agg(F.sum("visits").alias("ai_visits")))  # one row each
+
+
 # ------------------------------------------------------------------ robots
 
 _ROBOTS = [
@@ -690,6 +715,15 @@ def status_outcome(spark, sf_dir):
     return df.select("id", "outcome", sitefiles.file_mark(F.col("outcome")).alias("mark"), sitefiles.robots_line_kind(F.col("outcome"), F.col("status")).alias("robots_line"))
 
 
+_LLMS_LINES = [("found", "T", "found"), ("found", None, "found_untitled"), ("pasted", None, "pasted"), ("missing", None, "missing"), ("html", None, "missing"), ("server-error", None, "missing"), ("unreachable", None, "unreachable")]
+
+
+@query("llms_line", f"SELECT CAST(a AS BIGINT) AS id, b AS kind FROM {values([(i, r[2]) for i, r in enumerate(_LLMS_LINES)], 'a, b')}")
+def llms_line(spark, sf_dir):
+    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(_LLMS_LINES)], "id long, outcome string, title string")
+    return df.select("id", sitefiles.llms_line_kind(F.col("outcome"), F.col("title")).alias("kind"))
+
+
 # ------------------------------------------------------------------ sessions
 
 
