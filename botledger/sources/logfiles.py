@@ -10,8 +10,9 @@ Rows: file, line_no (from 1; null on the status row that ends each file), line,
 Plain files are split at line starts into ranges of ``splitBytes`` when ``split`` is true;
 line numbers then count from each range's byte offset upward (ordered, not dense), which is
 enough for everything but CloudFront's in-file headers, so it is off by default. ``head`` reads
-each file's first non-blank line alone. Files are
-opened where tasks run, so paths must be ones that every executor sees.
+each file's first non-blank line alone. Files are opened where tasks run, so plain paths must be
+ones that every executor sees; addresses with a scheme (a store that only Spark reads) go through
+Spark's binary file source, a file (up to 2 GB) to a row, with the same decoding.
 """
 
 from __future__ import annotations
@@ -128,6 +129,34 @@ class _Reader(DataSourceReader):
                 yield at + i + 1, piece
 
 
+def _from_store(head: bool):
+    """The source's rows from whole files as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                damaged: list[bool] = []
+                rows: list[tuple] = []
+                for k, line in enumerate(lines_of(io.BufferedReader(io.BytesIO(content.as_py())), damaged), 1):
+                    if head and (not line or line.isspace()):
+                        continue
+                    rows.append((path, k, line.rstrip("\n"), None))
+                    if head:
+                        break
+                    if len(rows) >= BATCH_LINES:
+                        yield _rows(rows)
+                        rows = []
+                if not head:
+                    rows.append((path, None, None, bool(damaged)))
+                if rows:
+                    yield _rows(rows)
+
+    return run
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
 class AccessLogSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -153,8 +182,11 @@ def expand(spec: str) -> list[str]:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], **options: object) -> DataFrame:
-    """The source's rows for one path or several (files, folders, patterns)."""
+    """The source's rows for one path or several (files, folders, patterns; local or in any store Spark reads)."""
     specs = [paths] if isinstance(paths, str) else list(paths)
+    if any("://" in s and not s.startswith("file://") for s in specs):
+        head = str(options.get("head", "false")).lower() == "true"
+        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(head), SCHEMA)
     for s in specs:
         expand(s)
     spark.dataSource.register(AccessLogSource)

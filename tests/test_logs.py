@@ -60,6 +60,16 @@ def test_ranges_read_each_line_once(engine, tmp_path):
     assert ordered == [r["line"] for r in engine.lines(path).where("line_no is not null").orderBy("line_no").collect()]
 
 
+def test_files_in_a_store(spark, engine, tmp_path):
+    """Addresses that only Spark opens give what local paths give."""
+    put(tmp_path, "a.log", LINE * 3 + b"broken\n")
+    put(tmp_path, "b.log", gzip.compress(LINE * 500)[:-30])
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.logs.link./in", f"file://{tmp_path}")
+    for name in ("a.log", "b.log"):
+        assert engine.file_stats(f"viewfs://logs/in/{name}").drop("file").first() == engine.file_stats(str(tmp_path / name)).drop("file").first()
+    assert engine.report("viewfs://logs/in/a.log").to_dict()["crawlers"][0]["requests"] == 3
+
+
 def test_unknown_format_names_the_line(engine, tmp_path):
     with pytest.raises(UnknownFormatError, match="what is this"):
         engine.parse(put(tmp_path, "u.log", b"\nwhat is this\n"))
