@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botledger.llm.common import lean
+
 #: Words in the lexicon: a bound on what is broadcast (about 2 MB), not on what is encoded.
 LEXICON_WORDS = 32_768
 #: A batch reports words that it holds this often; any word this frequent in all batches is found.
@@ -36,7 +38,7 @@ LEAST_IN_BATCH = 8
 #: Pieces a worker remembers before it starts afresh.
 CACHE_PIECES = 1_000_000
 #: Characters of text encoded at once in a worker.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 1_000_000
 
 
 # ---------------------------------------------------------------- lexicon
@@ -214,15 +216,10 @@ def pre_tokens(codes: np.ndarray, word_ends: bool) -> tuple[np.ndarray, np.ndarr
             change[stop[kind[np.minimum(stop, n - 1)] == LETTER]] = True
     if not word_ends:
         starts = np.flatnonzero(change)
-        run = starts[kind[starts] == SPACE]
-        stops = np.append(starts[1:], n)
-        last = stops[kind[starts] == SPACE] - 1
-        then = kind[np.minimum(last + 1, n - 1)]
-        inner = then != END
-        change[last[inner]] = True
-        glue = last[inner & (codes[last] == 32)]
-        change[glue + 1] = False
-        del run
+        last = np.append(starts[1:], n)[kind[starts] == SPACE] - 1  # the last sign of each run of white space
+        inner = kind[np.minimum(last + 1, n - 1)] != END
+        change[last[inner]] = True  # it stands apart from the run before it
+        change[last[inner & (codes[last] == 32)] + 1] = False  # and a blank joins what follows
     starts = np.flatnonzero(change)
     stops = np.append(starts[1:], n)
     own = kind[starts] != END
@@ -335,10 +332,15 @@ class TextEncoder:
     """
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
-        self.tokenizer, self.merges, self.lexicon = load_tokenizer(path), Merges(path), lexicon
+        self.path, self.merges, self.lexicon = path, Merges(path), lexicon
         self.special = [a["content"] for a in json.load(open(path, encoding="utf-8"))["added_tokens"]]
         self._forget()
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library, loaded for the first text that needs it."""
+        return load_tokenizer(self.path)
+
     def _forget(self) -> None:
         self.known, self.begin, self.size, self.flat = np.empty(0, "<u8"), np.empty(0, "<i8"), np.empty(0, "<i8"), np.empty(0, "<i4")
 
@@ -468,6 +470,7 @@ def gather_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple
 # ---------------------------------------------------------------- on Spark
 
 
+@lean
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen: Counter[bytes] = Counter()
@@ -509,6 +512,7 @@ def _coded(docs: DataFrame, path: str, lexicon: bytes | None, digest: bool) -> D
     spark = docs.sparkSession
     blob = spark.sparkContext.broadcast(lexicon if lexicon is not None else fit_lexicon(docs, path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = TextEncoder(path, Lexicon(blob.value)), byte_table(path)
         for b in batches:

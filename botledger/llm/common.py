@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
+import functools
+import gc
 import os
+import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +36,16 @@ def scratch_dir(spark: SparkSession) -> str:
     app = sc.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="botledger-")
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
     return "file://" + _LOCAL_SCRATCH[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables, once the results that read them have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -56,6 +70,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def lean(run):
+    """A batch function that hands its worker's free memory back to the system once it has run.
+
+    Workers stay for the next stage, so what one left unused in its heap would count beside what that stage needs.
+    """
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE_CLASS}]+", -1), "")
@@ -69,7 +99,6 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) ->
     a hub is a skewed join that adaptive execution splits. Rounds grow with log(size).
     Ends when a round leaves the edge set as it was; at the end every edge points to its root.
     """
-    spark = edges.sparkSession
     cur = stage_out(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{label}-cc"
     )

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from botledger.llm.common import lean
+
 SAMPLE_PER_LANG = 120
 #: Hashed feature rows, and the commonest words of a language that make its lexicon.
 FEATURES = 1 << 15
@@ -38,10 +40,16 @@ CACHE_WORDS = 400_000
 BATCH_WORDS = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile("[A-Za-z\u00c0-\u024f]")
 
 
 def split_words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters, lower case; none in a text without a letter (superscripts and fractions alone are not)."""
+    low = (text or "").lower()
+    words = _WORD.findall(low)
+    if words and not _LETTER.search(low) and not any(c.isalpha() for c in low):
+        return []
+    return words
 
 
 def _hash(*parts: np.ndarray | int) -> np.ndarray:
@@ -228,6 +236,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         known: dict[str, int] = {}

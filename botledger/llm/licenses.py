@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botledger.llm.common import lean
+
 MIN_MATCH = 3
 #: Share of a template's words that chained matches must cover for its label.
 COVER = 0.8
@@ -218,6 +220,7 @@ _SCHEMA = (
 )
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scanner = LicenceScanner()
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64())]))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import connected_components, stage_out
+from botledger.llm.common import connected_components, lean, stage_out
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -50,6 +50,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
+@lean
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = b.column("text")
@@ -94,6 +95,7 @@ def _forest(fps: np.ndarray, own: np.ndarray, out: list[tuple[np.ndarray, np.nda
                 todo.extend(near.tolist())
 
 
+@lean
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links from rows sorted by bucket; a bucket may run over any number of batches."""
     held_b, held_f = np.empty(0, "<i8"), np.empty(0, "<u8")

@@ -32,6 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from botledger.llm.common import lean
+
 WINDOW = 20
 ANCHOR = 6
 #: Bytes of text hashed at once in a Python worker (more only if one text is longer).
@@ -158,6 +160,7 @@ def _batch(*columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.astype("<i8", copy=False) if c.dtype != np.uint64 else c.view("<i8")) for c in columns], _NAMES)
 
 
+@lean
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks whose earlier place, if any, is outside the batch (n > 0), and factors found within it (n < 0: minus the words)."""
     for b in batches:
@@ -190,6 +193,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_mix(docs[who].view("<u8") + begin.astype("<u8")), np.zeros(len(who), "<i8"), docs[who], tags[who], begin, begin - end)
 
 
+@lean
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, block, doc, tag, start). Blocks that an earlier place holds become
     spans (n < 0); the earliest place of each version of an anchor that has several comes out
@@ -230,6 +234,7 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(low, SLICE_ROWS)
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as zstd frames of their words, so that the joins move less."""
     press = zstandard.ZstdCompressor(level=1)
@@ -239,6 +244,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc"), tags, pa.array([press.compress(t) for t in texts], pa.binary())], ["doc", "tag", "packed"])
 
 
+@lean
 def _boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of the single windows of the blocks to check: key is the window, n is 1."""
     unpack = zstandard.ZstdDecompressor()
@@ -277,6 +283,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     return _by_document(found.where("n < 0").unionByName(more).select("doc", "tag", "start", "n"), "spans")
 
 
+@lean
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for b in _sliced(batches):
