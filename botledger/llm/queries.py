@@ -64,7 +64,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = table_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), folder, bpe.vocabulary_path("word_bpe_49k.json"))
-    return token_store.digests(token_store.read(spark, folder))
+    return token_store.read(spark, folder, digest=True)
 
 
 @query("op8_bpe")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from botledger.llm.bpe import TextEncoder, chunks, load_tokenizer
-from botledger.llm.common import stage_out
+from botledger.llm.common import lean, stage_out
 
 END_ID = 1
 #: Ids in a shard before the next begins.
@@ -96,6 +96,7 @@ def _fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def _encode(path: str, width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, kind = TextEncoder(path), f"<u{width}"
         end = np.array([END_ID], kind).tobytes()
@@ -129,6 +130,7 @@ def _shard(part: int, seq: int, width: int, ids: list[bytes], keys: list) -> tup
 
 
 def _build(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ids, keys, size = TaskContext.get().partitionId(), 0, [], [], 0
         types = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 8
@@ -161,18 +163,23 @@ def write(docs: DataFrame, folder: str, path: str) -> None:
     ordered.mapInArrow(_build(width), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
-def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_rows(digest: bool):
     """Every document of each shard, found by its key through the index."""
-    for b in batches:
-        for s in b.to_pylist():
-            keys, nulls, turns = np.frombuffer(s["keys"], "<i8"), np.frombuffer(s["nulls"], "u1"), np.frombuffer(s["turns"], "<i8")
-            at, length = find(s, keys, nulls, turns)
-            ids = np.frombuffer(s["payload"], f"<u{s['width']}").astype("<u4").tobytes()
-            own = [ids[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64(), mask=nulls.astype(bool)), pa.array(at + s["base"]), pa.array(length), pa.array(own, pa.binary())],
-                ["doc_id", "start", "n_tokens", "ids"],
-            )
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.to_pylist():
+                keys, nulls, turns = np.frombuffer(s["keys"], "<i8"), np.frombuffer(s["nulls"], "u1"), np.frombuffer(s["turns"], "<i8")
+                at, length = find(s, keys, nulls, turns)
+                ids = np.frombuffer(s["payload"], f"<u{s['width']}").astype("<u4").tobytes()
+                own = (ids[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist()))
+                last = pa.array([zlib.crc32(x) for x in own], pa.int64()) if digest else pa.array(list(own), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64(), mask=nulls.astype(bool)), pa.array(at + s["base"]), pa.array(length), last],
+                    ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"],
+                )
+
+    return run
 
 
 def find(shard: dict, keys: np.ndarray, nulls: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +190,8 @@ def find(shard: dict, keys: np.ndarray, nulls: np.ndarray, turns: np.ndarray) ->
     return tuple(np.where(hit, np.frombuffer(shard[c], "<i8")[slot], -1) for c in ("offsets", "lengths"))
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (unsigned 32-bit) of every document, from the files."""
+def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (unsigned 32-bit; with digest their crc32 as ids_crc32) of every document, from the files."""
     shards = spark.read.schema(_SHARD).parquet(folder)
     sizes = shards.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
@@ -192,7 +199,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     inner = sizes.withColumn("inner", F.sum("n_ids").over(W.partitionBy("part").orderBy("seq")) - F.col("n_ids"))
     base = inner.join(parts, "part").select("part", "seq", (F.col("inner") + F.col("before")).alias("base"))
     side = F.broadcast(base) if sizes.count() <= BROADCAST_SHARDS else base
-    return shards.join(side, ["part", "seq"]).mapInArrow(_read_rows, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.join(side, ["part", "seq"]).mapInArrow(
+        _read_rows(digest), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary")
+    )
 
 
 def get(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[int]]:
@@ -206,13 +215,3 @@ def get(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[
             if at[0] >= 0 and k not in out:
                 out[k] = np.frombuffer(row["payload"], f"<u{row['width']}")[at[0] : at[0] + n[0]].tolist()
     return out
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crcs = [zlib.crc32(x.as_py()) for x in b.column("ids")]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-def digests(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
