@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import connected_components, stage_out
+from botledger.llm.common import connected_components, lean, stage_out
 
 THRESHOLD = 0.9
 #: Neighbours in a list, tables of codes for the first graph, rows of a first block.
@@ -52,6 +52,7 @@ def _unit(blobs: pa.Array | list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@lean
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """vec (its doubles as bytes) of each row, or null where the vector can't be compared."""
     for b in batches:
@@ -83,6 +84,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _codes(dims_bits: int, tables: int, first_table: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
@@ -104,13 +106,24 @@ def _codes(dims_bits: int, tables: int, first_table: int):
 _EDGE = "u long, v long, s double"
 
 
-def _edges(u: list[np.ndarray], v: list[np.ndarray], s: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, s)], ["u", "v", "s"])
+def _edges(u: list[np.ndarray], v: list[np.ndarray], s: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """The k best distinct entries of each node among those gathered: a node that many groups hold sends k rows a batch."""
+    u, v, s = (np.concatenate(x) for x in (u, v, s))
+    order = np.lexsort((-s, v, u))
+    u, v, s = u[order], v[order], s[order]
+    once = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    u, v, s = u[once], v[once], s[once]
+    order = np.lexsort((v, -s, u))
+    u, v, s = u[order], v[order], s[order]
+    first = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
+    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
+    return pa.RecordBatch.from_arrays([pa.array(x[rank < k]) for x in (u, v, s)], ["u", "v", "s"])
 
 
 def _block_neighbours(k: int):
     """The k nearest of each row among the rows of its cell."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, ss, n = [], [], [], 0
         for g in _groups(batches, "cell"):
@@ -127,35 +140,41 @@ def _block_neighbours(k: int):
                 ss.append(np.take_along_axis(sim, near, axis=1).ravel())
                 n += len(us[-1])
             if n > 50_000:
-                yield _edges(us, vs, ss)
+                yield _edges(us, vs, ss, k)
                 us, vs, ss, n = [], [], [], 0
         if us:
-            yield _edges(us, vs, ss)
+            yield _edges(us, vs, ss, k)
 
     return run
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_join(k: int):
     """Pairs among a node's surroundings that beat the worst entry of one of their lists."""
-    us, vs, ss, n = [], [], [], 0
-    for g in _groups(batches, "u"):
-        if g.num_rows < 2:
-            continue
-        ids, x, worst, fresh = g["v"].to_numpy(), _unit(g["vec"].to_pylist()), g["worst"].to_numpy(), g["fresh"].to_numpy(zero_copy_only=False)
-        sim = x @ x.T
-        a, b = np.nonzero((sim > worst[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]))
-        if len(a):
-            us.append(ids[a])
-            vs.append(ids[b])
-            ss.append(sim[a, b])
-            n += len(a)
-        if n > 50_000:
-            yield _edges(us, vs, ss)
-            us, vs, ss, n = [], [], [], 0
-    if us:
-        yield _edges(us, vs, ss)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, ss, n = [], [], [], 0
+        for g in _groups(batches, "u"):
+            if g.num_rows < 2:
+                continue
+            ids, x, worst, fresh = g["v"].to_numpy(), _unit(g["vec"].to_pylist()), g["worst"].to_numpy(), g["fresh"].to_numpy(zero_copy_only=False)
+            sim = x @ x.T
+            a, b = np.nonzero((sim > worst[:, None]) & (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]))
+            if len(a):
+                us.append(ids[a])
+                vs.append(ids[b])
+                ss.append(sim[a, b])
+                n += len(a)
+            if n > 50_000:
+                yield _edges(us, vs, ss, k)
+                us, vs, ss, n = [], [], [], 0
+        if us:
+            yield _edges(us, vs, ss, k)
+
+    return run
 
 
+@lean
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Copies linked to each node, within one pair of blocks of a component."""
     for g in _groups(batches, "cell"):
@@ -197,7 +216,7 @@ def neighbour_lists(nodes: DataFrame, n: int, k: int, tables: int) -> DataFrame:
         known = lists.select(F.col("u").alias("v"), F.when(F.size("nn") < k, F.lit(-2.0)).otherwise(F.element_at("nn", -1)["s"]).alias("worst"))
         side = vecs.withColumnRenamed("id", "v").join(known, "v")
         around = near.join(active, "u", "left_semi").join(side, "v").repartition("u").sortWithinPartitions("u", "v")
-        found = around.mapInArrow(_local_join, _EDGE)
+        found = around.mapInArrow(_local_join(k), _EDGE)
         old = lists.select("u", F.explode("nn").alias("e")).select("u", "e.v", "e.s")
         merged = _best(old.unionByName(found), k)
         before = lists.select("u", F.col("nn.v").alias("had"))
@@ -235,6 +254,7 @@ def _audit(nodes: DataFrame, result: DataFrame) -> float:
     vecs = [bytes(r["vec"]) for r in sample]
     shared = spark.sparkContext.broadcast((ids, vecs))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_vecs = shared.value
         q_len = np.array([len(v) for v in q_vecs])
