@@ -4,7 +4,9 @@ Equal vectors become one node. A first neighbour graph comes from blocks of rand
 codes; NN-descent then refines it: the vectors around each node (its neighbours and a sample of
 the nodes that list it) are compared with each other, and what beats a list's worst entry
 replaces it, until few entries change. Edges at or above the threshold, in double precision,
-are kept. Lists full of such edges are saturated: their nodes' components are then compared
+are kept. Lists full of such edges are saturated: what they had no room for may lie in another
+component, so components with a saturated list are compared with each other, in pairs of blocks
+whose centres and radii allow a link, and join where there is one. They are then compared
 whole, in pairs of blocks that return counts, so no list length bounds the links counted. A
 fixed sample of nodes is compared with all nodes; below MIN_RECALL the build is repeated with
 twice the list length and more codes.
@@ -39,6 +41,9 @@ ROUNDS = 5
 SETTLED = 0.002
 #: Rows of a block when whole components are compared.
 WHOLE_BLOCK = 512
+#: Code bits that part a component into blocks of near vectors, and centres of blocks compared at once.
+PART_BITS = 16
+CENTRES = 2048
 #: Nodes audited, and the recall of links below which the build is repeated.
 AUDIT = 256
 MIN_RECALL = 0.98
@@ -190,6 +195,48 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[one], ids[two]))), pa.array(out)], ["id", "links"])
 
 
+@lean
+def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centre of each block, and the largest angle between it and a row."""
+    for g in _groups(batches, "block"):
+        x = _unit(g["vec"].to_pylist())
+        mean = x.sum(axis=0)
+        size = np.sqrt(mean @ mean)
+        centre = mean / size if size > 1e-9 else x[0]
+        wide = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
+        yield pa.RecordBatch.from_arrays([g["block"][:1].combine_chunks(), g["root"][:1].combine_chunks(), pa.array([centre.tobytes()]), pa.array([wide])], ["block", "root", "centre", "wide"])
+
+
+@lean
+def _close_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of blocks of two components that can hold a link, by the triangle inequality of angles."""
+    for g in _groups(batches, "cell"):
+        block, root, side, wide, raw = g["block"].to_numpy(), g["root"].to_numpy(), g["side"].to_numpy(), g["wide"].to_numpy(), g["centre"].to_pylist()
+        lens = np.array([len(v) for v in raw])
+        for size in np.unique(lens).tolist():
+            one, two = np.flatnonzero((lens == size) & (side < 2)), np.flatnonzero((lens == size) & (side != 1))
+            if not len(one) or not len(two):
+                continue
+            angle = np.arccos(np.clip(_unit([raw[i] for i in one]) @ _unit([raw[i] for i in two]).T, -1, 1))
+            # 1e-6 covers the rounding of arccos near 1
+            hit = angle <= math.acos(THRESHOLD) + wide[one][:, None] + wide[two][None, :] + 1e-6
+            hit &= root[one][:, None] != root[two][None, :]
+            i, j = np.nonzero(hit)
+            a, b = block[one][i], block[two][j]
+            once = (side[one][i] == 1) | (a < b)
+            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
+
+
+@lean
+def _joined_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The roots of two blocks that hold a link."""
+    for g in _groups(batches, "cell"):
+        side, root, x = g["side"].to_numpy(), g["root"].to_numpy(), _unit(g["vec"].to_pylist())
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(one) and len(two) and (x[one] @ x[two].T >= THRESHOLD).any():
+            yield pa.RecordBatch.from_arrays([pa.array(root[one[:1]]), pa.array(root[two[:1]])], ["a", "b"])
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
     """(u, nn): the k best distinct entries of each node, nearest first."""
     once = edges.groupBy("u", "v").agg(F.max("s").alias("s"))
@@ -229,11 +276,45 @@ def neighbour_lists(nodes: DataFrame, n: int, k: int, tables: int) -> DataFrame:
     return lists.select("u", "nn")
 
 
-def _whole_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(id, links) for all nodes of the components in which a list is saturated."""
+def _saturated(roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """(id, root) of all nodes of the components in which a list is saturated."""
     full = lists.where((F.size("nn") >= k) & (F.element_at("nn", -1)["s"] >= THRESHOLD)).select(F.col("u").alias("node"))
     hot = full.join(roots, "node").select("root").distinct()
-    members = roots.join(hot, "root").select(F.col("node").alias("id"), "root")
+    return roots.join(hot, "root").select(F.col("node").alias("id"), "root")
+
+
+def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """roots with components that hold a saturated list joined wherever two of them hold a linked pair."""
+    members = _saturated(roots, lists, k).join(nodes.select("id", "vec"), "id")
+    bits = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select(
+        "root", F.least(F.lit(PART_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / F.lit(WHOLE_BLOCK))))).cast("int").alias("bits")
+    )
+    coded = members.select("id", "vec").mapInArrow(_codes(PART_BITS, 1, 0), "bucket long, id long")
+    placed = members.join(bits, "root").join(coded, "id").select("id", "root", "vec", F.expr("bucket & (shiftleft(1L, bits) - 1)").alias("code"))
+    placed = stage_out(placed, "nn-placed")
+    parts = placed.groupBy("root", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(WHOLE_BLOCK)).cast("long").alias("parts"))
+    placed = placed.join(parts, ["root", "code"]).select("id", "root", "vec", F.xxhash64("root", "code", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    balls = stage_out(placed.repartition("block").sortWithinPartitions("block").mapInArrow(_ball, "block long, root long, centre binary, wide double"), "nn-balls")
+    cells = -(-balls.count() // CENTRES)
+    if not cells:
+        return roots
+    dealt = balls.withColumn("mine", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    dealt = dealt.select(
+        "block", "root", "centre", "wide", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+    close = stage_out(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_close_balls, "a long, b long"), "nn-close")
+    both = close.select(F.xxhash64("a", "b").alias("cell"), F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("x"))
+    pairs = both.select("cell", "x.block", "x.side").join(placed.select("block", "root", "vec"), "block").repartition("cell").sortWithinPartitions("cell", "side")
+    linked = stage_out(pairs.mapInArrow(_joined_cells, "a long, b long").distinct(), "nn-joined")
+    if linked.isEmpty():
+        return roots
+    return stage_out(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "nn"), "nn-roots")
+
+
+def _whole_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """(id, links) for all nodes of the components in which a list is saturated."""
+    members = _saturated(roots, lists, k)
     sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(WHOLE_BLOCK)).cast("long").alias("parts"))
     placed = members.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
@@ -282,6 +363,7 @@ def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float]:
         near = lists.select("u", F.explode("nn").alias("e")).where(F.col("e.s") >= THRESHOLD).select("u", F.col("e.v").alias("v"))
         near = stage_out(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-links")
         roots = stage_out(connected_components(near.select(F.col("u").alias("a"), F.col("v").alias("b")), "nn"), "nn-roots")
+        roots = _join_components(nodes, roots, lists, k)
         listed = near.join(nodes.select(F.col("id").alias("v"), "copies"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("listed"))
         counted = _whole_components(nodes, roots, lists, k)
         result = stage_out(

@@ -465,6 +465,18 @@ def test_embedding_dense_groups(spark):
     assert (got <= truth).all() and got.sum() >= 0.98 * truth.sum()
 
 
+def test_embedding_groups_that_fill_each_others_lists(spark):
+    """Two groups larger than any list, nearer to themselves than to each other, all at or above the threshold; a third one apart."""
+    rng = np.random.default_rng(3)
+    centre = np.zeros((3, 16))
+    centre[0, 0], centre[1, :2], centre[2, 2] = 1, (0.93, np.sqrt(1 - 0.93**2)), 1
+    x = np.array([c + rng.normal(size=16) * 0.003 for c, n in zip(centre, (700, 60, 50)) for _ in range(n)], np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embed_dedup.near_duplicates(df).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == [759] * 760 + [49] * 50
+    assert [r["component_id"] for r in got] == [0] * 760 + [760] * 50 and [r["vec_id"] for r in got if r["kept"]] == [0, 760]
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
