@@ -8,10 +8,12 @@ are kept. Lists full of such edges are saturated: what they had no room for may
 component, so components with a saturated list are compared with each other, in pairs of blocks
 whose centres and radii allow a link, and join where there is one. They are then compared
 whole, in pairs of blocks that return counts, so no list length bounds the links counted. A
-fixed sample of nodes is compared with all nodes; below MIN_RECALL the build is repeated with
-twice the list length and more codes.
+sample of nodes is compared with all nodes, and grows until AUDIT of them have a link; where the
+recall of all their links, or its mean over those nodes, is below MIN_RECALL the build is repeated
+with twice the list length and more codes, and after BUILDS builds an error is raised. Tables of
+codes grow with the bits of a code, so larger inputs don't thin the first graph.
 
-The index covers every node. Bounded samples: AUDIT nodes for the recall audit.
+The index covers every node. Bounded samples: AUDIT_MOST nodes for the recall audit.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing (0 links, their own component, kept); vectors of different lengths do not link; a null
@@ -35,6 +37,8 @@ THRESHOLD = 0.9
 #: Neighbours in a list, tables of codes for the first graph, rows of a first block.
 LIST = 10
 TABLES = 3
+#: Chance, at least, that a pair at the threshold has an equal code in one of the tables.
+MEET = 0.5
 BLOCK = 192
 #: Rounds of descent at most, and the share of list entries below which it ends.
 ROUNDS = 5
@@ -44,8 +48,10 @@ WHOLE_BLOCK = 512
 #: Code bits that part a component into blocks of near vectors, and centres of blocks compared at once.
 PART_BITS = 16
 CENTRES = 2048
-#: Nodes audited, and the recall of links below which the build is repeated.
+#: Linked nodes that an audit looks for, nodes of its first sample and of its largest, and the recall of links below which the build is repeated.
 AUDIT = 256
+AUDIT_FIRST = 2048
+AUDIT_MOST = 32_768
 MIN_RECALL = 0.98
 BUILDS = 3
 
@@ -102,7 +108,7 @@ def _codes(dims_bits: int, tables: int, first_table: int):
                     if (size, r) not in planes:
                         planes[size, r] = np.random.default_rng([size, r, 3]).normal(size=(x.shape[1], dims_bits))
                     bits = (x @ planes[size, r] > 0) @ (1 << np.arange(dims_bits, dtype=np.int64))
-                    bucket = (np.int64(size // 8 % 100_003) * 64 + r) * (1 << 34) + bits
+                    bucket = (np.int64(size // 8 % 100_003) * 4096 + r) * (1 << 34) + bits
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[at])], ["bucket", "id"])
 
     return run
@@ -243,9 +249,19 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return once.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False), 1, k).alias("nn"))
 
 
+def tables_for(bits: int) -> int:
+    """Tables of codes with so many bits in which a pair at the threshold meets with a chance of MEET."""
+    same = (1 - math.acos(THRESHOLD) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(1 - MEET) / math.log(1 - same)))
+
+
+def code_bits(n: int) -> int:
+    return max(1, min(32, math.ceil(math.log2(max(2, n / 64)))))
+
+
 def neighbour_lists(nodes: DataFrame, n: int, k: int, tables: int) -> DataFrame:
     """(u, nn) for each node with a neighbour: the refined graph."""
-    bits = max(1, min(32, math.ceil(math.log2(max(2, n / 64)))))
+    bits = code_bits(n)
     vecs = nodes.select("id", "vec")
     coded = vecs.mapInArrow(_codes(bits, tables, 0), "bucket long, id long")
     big = coded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
@@ -325,40 +341,59 @@ def _whole_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: i
     return cells.mapInArrow(_count_cells, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, result: DataFrame) -> float:
-    """Links found over links there are, for AUDIT nodes compared with all nodes."""
+def _audit(nodes: DataFrame, result: DataFrame, n: int) -> float:
+    """The lower of: links found over links there are, and the mean of that share over nodes with a link.
+
+    Sampled nodes are compared with all; the sample grows until AUDIT of them have a link, or AUDIT_MOST or all are compared.
+    """
+    size = AUDIT_FIRST
+    while True:
+        truth = stage_out(_links_of(nodes, size), "nn-audit")
+        share = F.least("truth", F.coalesce("links", F.lit(0)))
+        row = truth.where("truth > 0").join(result, "id", "left").agg(
+            F.count(F.lit(1)).alias("m"), F.sum("truth").alias("t"), F.sum(share).alias("f"), F.avg(share / F.col("truth")).alias("mean")
+        ).first()
+        if row["m"] >= AUDIT or size >= min(n, AUDIT_MOST):
+            return min(row["f"] / row["t"], row["mean"]) if row["m"] else 1.0
+        size = min(4 * size, AUDIT_MOST)
+
+
+def _links_of(nodes: DataFrame, size: int) -> DataFrame:
+    """(id, truth): links of each of a sample of nodes, by comparison with all nodes."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "vec").collect()
-    if not sample:
-        return 1.0
-    ids = np.array([r["id"] for r in sample])
-    vecs = [bytes(r["vec"]) for r in sample]
-    shared = spark.sparkContext.broadcast((ids, vecs))
+    sample = nodes.orderBy(F.xxhash64("id"), "id").limit(size).select("id", "vec").collect()
+    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in sample], np.int64), [bytes(r["vec"]) for r in sample]))
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q_vecs = shared.value
         q_len = np.array([len(v) for v in q_vecs])
+        units = {w: _unit([q_vecs[i] for i in np.flatnonzero(q_len == w)]) for w in np.unique(q_len).tolist()}
+        total = np.zeros(len(q_ids), np.int64)
         for b in batches:
             own, vs, copies = b.column("id").to_numpy(), b.column("vec").to_pylist(), b.column("copies").to_numpy()
-            lens, total = np.array([len(v) for v in vs]), np.zeros(len(q_ids), np.int64)
-            for size in np.unique(lens).tolist():
-                at, q = np.flatnonzero(lens == size), np.flatnonzero(q_len == size)
-                if len(q):
-                    hit = _unit([q_vecs[i] for i in q]) @ _unit([vs[i] for i in at]).T >= THRESHOLD
-                    hit &= q_ids[q][:, None] != own[at][None, :]
-                    total[q] += hit @ copies[at]
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(total)], ["id", "truth"])
-
-    truth = nodes.select("id", "vec", "copies").mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    row = truth.join(result, "id", "left").agg(F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+            lens = np.array([len(v) for v in vs])
+            for w in np.unique(lens).tolist():
+                at, q = np.flatnonzero(lens == w), np.flatnonzero(q_len == w)
+                if not len(q):
+                    continue
+                x = _unit([vs[i] for i in at])
+                for j in range(0, len(q), 512):
+                    some = q[j : j + 512]
+                    hit = units[w][j : j + 512] @ x.T >= THRESHOLD
+                    hit &= q_ids[some][:, None] != own[at][None, :]
+                    total[some] += hit @ copies[at]
+        linked = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(q_ids[linked]), pa.array(total[linked])], ["id", "truth"])
+
+    return nodes.select("id", "vec", "copies").mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
 
 
 def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float]:
     """((id, links, root) of every node with a link, audited recall); links counts the rows of other nodes."""
-    n, k, tables = nodes.count(), LIST, TABLES
-    for build in range(BUILDS):
+    n, k = nodes.count(), LIST
+    tables = tables_for(code_bits(n))
+    for _ in range(BUILDS):
         lists = neighbour_lists(nodes, n, k, tables)
         near = lists.select("u", F.explode("nn").alias("e")).where(F.col("e.s") >= THRESHOLD).select("u", F.col("e.v").alias("v"))
         near = stage_out(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-links")
@@ -371,11 +406,11 @@ def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float]:
             .select("id", F.coalesce("links", "listed", F.lit(0)).cast("long").alias("links"), "root"),
             "nn-result",
         )
-        recall = _audit(nodes, result)
+        recall = _audit(nodes, result, n)
         if recall >= MIN_RECALL:
-            break
+            return result, recall
         k, tables = 2 * k, 2 * tables
-    return result, recall
+    raise RuntimeError(f"recall of links is {recall:.3f} after {BUILDS} builds, below {MIN_RECALL}")
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

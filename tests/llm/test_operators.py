@@ -477,6 +477,27 @@ def test_embedding_groups_that_fill_each_others_lists(spark):
     assert [r["component_id"] for r in got] == [0] * 760 + [760] * 50 and [r["vec_id"] for r in got if r["kept"]] == [0, 760]
 
 
+def test_embedding_first_codes_do_not_thin_with_size():
+    for n in (1_000, 51_000, 3_000_000, 10**9, 10**12):
+        bits = embed_dedup.code_bits(n)
+        same = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 1 - (1 - same) ** embed_dedup.tables_for(bits) >= 0.5
+
+
+def test_embedding_recall_audit(spark, monkeypatch):
+    """100 pairs beside a large group: an audit without the pairs' links is low by node, and a low recall raises an error."""
+    rng = np.random.default_rng(4)
+    pair = rng.normal(size=(100, 32))
+    x = np.concatenate((pair, pair + rng.normal(size=(100, 32)) * 0.01, rng.normal(size=32) + rng.normal(size=(1000, 32)) * 0.01))
+    nodes = spark.createDataFrame([(i, r.astype("<f8").tobytes(), 1) for i, r in enumerate(x)], "id long, vec binary, copies long")
+    missed = spark.createDataFrame([(i, 999) for i in range(200, 1200)], "id long, links long")
+    assert 0.8 < embed_dedup._audit(nodes, missed, 1200) < 0.9
+    monkeypatch.setattr(embed_dedup, "_audit", lambda *_: 0.85)
+    monkeypatch.setattr(embed_dedup, "BUILDS", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        embed_dedup.link_nodes(nodes)
+
+
 # ---------------------------------------------------------------- queries and pipeline
 
 
