@@ -454,15 +454,15 @@ def file_stats(spark, sf_dir):
 
 @query(
     "mixed_formats",
-    f"""SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped, CASE file WHEN 'log0' THEN 'combined' WHEN 'log1' THEN 'alb' ELSE 'cloudfront' END AS fmt
-    FROM ({req_sql()}) WHERE file <> 'log2' GROUP BY file""",
+    f"""SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped, CASE file WHEN 'log0' THEN 'combined' WHEN 'log3' THEN 'cloudfront' ELSE 'alb' END AS fmt
+    FROM ({req_sql()}) GROUP BY file""",
 )
 def mixed_formats(spark, sf_dir):
     """Files of three formats read as one: each file's format from its own first line."""
     from botledger.sources.logfiles import with_format
 
     req = requests(spark, sf_dir)
-    rows = combined_lines(req).where("file = 'log0'").unionByName(alb_lines(req).where("file = 'log1'")).unionByName(cloudfront_lines(req).where("file = 'log3'"))
+    rows = combined_lines(req).where("file = 'log0'").unionByName(alb_lines(req).where("file in ('log1', 'log2')")).unionByName(cloudfront_lines(req).where("file = 'log3'"))
     tagged = with_format(rows)
     return lines.file_stats(lines.parse_lines(tagged)).join(tagged.groupBy("file").agg(F.first("fmt").alias("fmt")), "file")
 
@@ -728,13 +728,13 @@ def llms_line(spark, sf_dir):
 
 
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    req = requests(spark, sf_dir).where("event_id % 3 <> 1")
+    req = requests(spark, sf_dir)
     nav = F.when(F.col("event_id") % 5 == 0, "reload").when(F.col("event_id") % 7 == 0, "back_forward").otherwise("navigate")
     return req.select(F.col("user_id").cast("string").alias("session_id"), "ts", F.col("event_id").alias("seq"), "referrer", F.lit("www.meta.ai").alias("hostname"), nav.alias("nav_type"))
 
 
 _VIEWS = f"""(SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id AS seq, CASE WHEN any_product <> 'meta-ai' THEN any_product END AS own,
-    event_id % 5 <> 0 AND event_id % 7 <> 0 AS fresh FROM ({req_sql()}) WHERE event_id % 3 <> 1)"""
+    event_id % 5 <> 0 AND event_id % 7 <> 0 AS fresh FROM ({req_sql()}))"""
 _ATTRIBUTED = f"""SELECT session_id, seq, source, p.vendor, CASE WHEN source IS NOT NULL THEN own IS NOT NULL AND fresh END AS landing FROM
     (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS source FROM {_VIEWS}) a LEFT JOIN {_DIMS_R} ON p.id = a.source"""
 
