@@ -33,8 +33,10 @@ from botledger.llm.common import lean
 
 #: Words in the lexicon: a bound on what is broadcast (about 2 MB), not on what is encoded.
 LEXICON_WORDS = 32_768
-#: A batch reports words that it holds this often; any word this frequent in all batches is found.
-LEAST_IN_BATCH = 8
+#: Bytes of the longest word that the lexicon may hold; longer ones are merged like any unseen word.
+LONGEST_WORD = 64
+#: Distinct words a task counts before it hands them on.
+COUNTED_AT_ONCE = 500_000
 #: Pieces a worker remembers before it starts afresh.
 CACHE_PIECES = 1_000_000
 #: Characters of text encoded at once in a worker.
@@ -328,7 +330,8 @@ def _byte_chars() -> list[str]:
 class TextEncoder:
     """Encodes whole texts as the library does: distinct pre-tokens are remembered, found in the lexicon, or merged exactly.
 
-    Texts with a special token's string or with code points outside _KNOWN_BLOCKS go to the library itself.
+    Pieces are found by hash and compared sign by sign, so equal hashes of unlike pieces can't give wrong ids.
+    Texts with such pieces, with a special token's string or with code points outside _KNOWN_BLOCKS go to the library itself.
     """
 
     def __init__(self, path: str, lexicon: Lexicon | None = None):
@@ -343,6 +346,8 @@ class TextEncoder:
 
     def _forget(self) -> None:
         self.known, self.begin, self.size, self.flat = np.empty(0, "<u8"), np.empty(0, "<i8"), np.empty(0, "<i8"), np.empty(0, "<i4")
+        # code points of the known pieces (all of _KNOWN_BLOCKS fit in 16 bits), to tell pieces of equal hash apart
+        self.spell_at, self.spell_n, self.spell = np.empty(0, "<i8"), np.empty(0, "<i8"), np.empty(0, "<u2")
 
     def _learn(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         if len(self.known) + len(hashes) > CACHE_PIECES:
@@ -379,6 +384,8 @@ class TextEncoder:
         self.flat = np.concatenate((self.flat, ids.astype("<i4")))
         where = np.searchsorted(self.known, hashes)
         self.known, self.begin, self.size = np.insert(self.known, where, hashes), np.insert(self.begin, where, begin), np.insert(self.size, where, counts)
+        self.spell_at, self.spell_n = np.insert(self.spell_at, where, len(self.spell) + ends - lens), np.insert(self.spell_n, where, lens)
+        self.spell = np.concatenate((self.spell, own.astype("<u2")))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
@@ -402,6 +409,16 @@ class TextEncoder:
         h ^= h >> np.uint64(27)
         once, first, back = np.unique(h, return_index=True, return_inverse=True)
         new = self._missing(once)
+        sure = _same(codes, starts, stops - starts, codes, starts[first[back]], (stops - starts)[first[back]])
+        if not new.all():
+            old = np.flatnonzero(~new)
+            at = np.searchsorted(self.known, once[old])
+            like = np.ones(len(once), bool)
+            like[old] = _same(codes, starts[first[old]], (stops - starts)[first[old]], self.spell, self.spell_at[at], self.spell_n[at])
+            sure &= like[back]
+        if not sure.all():  # unlike pieces of one hash: their texts go to the library
+            odd[np.searchsorted(ends, starts[~sure], side="right")] = True
+            return self._with_library(texts, odd)
         if new.any():
             if len(self.known) + int(new.sum()) > CACHE_PIECES:
                 new[:] = True
@@ -435,6 +452,16 @@ def _take(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
 
 
+def _same(a: np.ndarray, a_at: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+    """Which slices of a equal, sign by sign, the slices of b at the same position."""
+    out = a_n == b_n
+    n = np.where(out, a_n, 0)
+    unlike = _take(a, a_at, n) != _take(b, b_at, n)
+    if unlike.any():
+        out[np.repeat(np.arange(len(n)), n)[unlike]] = False
+    return out
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -471,21 +498,27 @@ def gather_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple
 
 
 @lean
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of every word that may enter the lexicon, counted per task as far as memory allows."""
+    seen: Counter[bytes] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        seen.clear()
+        return out
+
     for b in batches:
-        seen: Counter[bytes] = Counter()
         for t in b.column("text"):
             seen.update((t.as_py() or "").encode().split())
-        common = [(w, n) for w, n in seen.items() if n >= LEAST_IN_BATCH]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in common], pa.binary()), pa.array([n for _, n in common], pa.int64())], ["word", "n"]
-        )
+            if len(seen) > COUNTED_AT_ONCE:
+                yield flush()
+    yield flush()
 
 
 def fit_lexicon(docs: DataFrame, path: str) -> bytes:
     """Count words in every text and compile the most frequent, with a space before, into a lexicon."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequent, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "word binary, n long")
+    top = counted.where(F.octet_length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
     words = [b" " + bytes(r["word"]) for r in top]
     encoded = load_tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
     # a pre-token is looked up, so words that are several can't be found and stay out

@@ -342,6 +342,33 @@ def test_bpe_equals_the_library(name):
         assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
 
 
+def thue_morse(order, a="a", b="b"):
+    """The word of 2^order letters and its complement: every sum of letters times powers of an odd base takes the same value modulo 2^64 on both."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << order)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_tells_words_of_equal_hash_apart(name):
+    path = bpe.vocabulary_path(name)
+    tok, enc = bpe.load_tokenizer(path), bpe.TextEncoder(path)
+    pairs = [thue_morse(order) for order in (10, 11, 12, 13)]
+    batches = [[x for pair in pairs for x in pair], ["plain words", *[y for _, y in pairs]], [x + " and " + y for x, y in pairs]]
+    for fresh in (True, False):  # in one batch, and against what earlier batches left
+        for part in batches:
+            enc = bpe.TextEncoder(path) if fresh else enc
+            ids, n = enc.encode(part)
+            assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+
+
+def test_lexicon_counts_every_word(spark):
+    """A word is found however thinly it is spread over partitions."""
+    rows = [(i, "wonder " + f"only{i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(32)
+    lex = bpe.Lexicon(bpe.fit_lexicon(docs, bpe.vocabulary_path("byte_bpe_50k.json")))
+    assert (lex.look([b" wonder", b" unseen"]) >= 0).tolist() == [True, False]
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["", "a", "tap", "taps", "top", "tops", "stop", "stops"])}
     lex = bpe.Lexicon(bpe.build_lexicon(words))
