@@ -70,6 +70,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = "_" + name
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def lean(run):
     """A batch function that hands its worker's free memory back to the system once it has run.
 

@@ -54,6 +54,53 @@ def test_substring_dedup(spark, sf_dir, edge_docs, which):
     assert got == collections.Counter((d[0], *want[d]) for d in docs)
 
 
+def thue_morse(order, a="a", b="b"):
+    """The word of 2^order letters and its complement: every sum of letters times powers of an odd base takes the same value modulo 2^64 on both."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << order)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+def made_documents():
+    """Words and word sequences of structure, a phrase with hundreds of surroundings, shifted and nested copies."""
+    rng = np.random.default_rng(3)
+    word = lambda k: " ".join(f"r{x}" for x in rng.integers(0, 50_000, k))
+    x, y = thue_morse(10)
+    base = word(60).split()
+    docs = [(1, " ".join(base[:30] + [x] + base[30:])), (2, " ".join(base[:30] + [y] + base[30:]))]  # unlike in one word only
+    p, q = thue_morse(12, "u ", "v ")
+    docs += [(3, p), (4, q), (5, "z " * 300), (6, " ".join(base[10:45] * 3))]
+    phrase = word(21)
+    docs += [(10 + i, f"{word(25)} {phrase} {word(25)}") for i in range(400)]
+    docs += [(500 + i, word(5) + " " + " ".join(base[i : i + 19 + i % 4]) + " " + word(5)) for i in range(30)]
+    return docs + [(600, None), (None, " ".join(base)), (601, docs[0][1]), (602, docs[0][1] + " " + docs[0][1])]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_dedup_of_structured_texts(spark, parts):
+    docs = made_documents()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    want = removed_by_brute_force(docs)
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.kept_digests(frame).collect())
+    assert got == collections.Counter((d[0], *want[d]) for d in docs)
+
+
+def test_substring_factors_stand_where_they_say(spark):
+    """Each factor's words stand earlier at its reference, factors don't overlap, and a whole copy is few long ones."""
+    docs = made_documents()
+    words = {i: split(t) for i, t in docs}
+    null = substring.NULL_ID
+    rows = substring.parse(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    longest = 0
+    for r in rows:
+        own, end = words[None if r["doc"] == null else r["doc"]], 0
+        for f in r["factors"]:
+            ref = words[None if f["ref_doc"] == null else f["ref_doc"]]
+            a, n, b = f["start"], f["length"], f["ref_start"]
+            assert a >= end and own[a : a + n] == ref[b : b + n] and (f["ref_doc"], b) < (r["doc"], a)
+            end, longest = a + n, max(longest, n)
+    assert longest >= 61 and all(len(r["factors"]) <= 3 for r in rows if r["doc"] == 601)  # before, across and after the odd word
+
+
 def test_substring_removal_keeps_columns_and_clean_texts(spark, edge_docs, no_docs):
     out = substring.remove_repeats(edge_docs)
     assert out.columns == edge_docs.columns
@@ -342,12 +389,6 @@ def test_bpe_equals_the_library(name):
         assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
 
 
-def thue_morse(order, a="a", b="b"):
-    """The word of 2^order letters and its complement: every sum of letters times powers of an odd base takes the same value modulo 2^64 on both."""
-    bits = [bin(i).count("1") % 2 for i in range(1 << order)]
-    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
-
-
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_bpe_tells_words_of_equal_hash_apart(name):
     path = bpe.vocabulary_path(name)
