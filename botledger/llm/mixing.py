@@ -1,15 +1,20 @@
 """Mixing sources to target weights: a low-discrepancy schedule over equal-token blocks, in built-in functions.
 
-Each source's documents, in md5 order of doc_id, form a tape of words that is run at most
-twice and cut into blocks of BLOCK_WORDS. A golden-ratio sequence of points mapped through
-the cumulative target weights says which source each slot of the mix draws from; a slot's
-rank within its source is the block it takes. What the points leave a source short of its
-target follows in closing slots, what they give in excess is not used, so each source yields
-its target to the word.
+Each source's documents, in md5 order of doc_id, form a tape of words that is run twice and cut
+into blocks of BLOCK_WORDS. A golden-ratio sequence of points, one for each slot of the mix, is
+mapped through the cumulative targets of the sources: the source a point falls on gives the slot,
+and the slot's rank among that source's slots is the block it takes. What a source yields is what
+its points drew, within a few blocks of its target (the discrepancy of the sequence grows with the
+logarithm of the slots); blocks past the end of a tape don't exist, so nothing is taken more than
+MAX_PASSES times. The mix itself is the blocks in order of slots.
+
+Ranks and places on the tape are counts within a chunk or part plus prefix sums over chunks and
+parts in two levels, so no window sees all rows of a source.
 
 Edge cases: null and blank texts have size 0 and taken 0; null sources form one source, after
-all others; a null doc_id sorts like an empty string; repeated rows are separate documents;
-an empty table gives an empty result; columns besides doc_id, text and source are not read.
+all others; null doc_ids are ordered by their texts' hash; repeated rows are separate documents;
+an empty table gives an empty result; columns besides doc_id, text and source are not read by
+mix() and carried unchanged, whatever their names, by mix_documents().
 """
 
 from __future__ import annotations
@@ -18,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from botledger.llm.common import stage_out, words
+from botledger.llm.common import fresh_names, stage_out, words
 
 #: Words in a block.
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a multiple of the words there are.
@@ -30,19 +35,28 @@ SHARE = 1.5
 MAX_PASSES = 2
 #: Below this many sources their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
-#: Golden-ratio step on a ring of 2^31 points (odd, so every point comes once in a round).
-RING = 1 << 31
-STEP = 1_327_217_885
+#: The points stand on a ring of 2^40 places; the step is the golden ratio's share of it (odd, so every place comes once in a round).
+RING_BITS = 40
+STEP = 679_535_556_991
 #: Slots ranked together, and cells of the lookup from points to sources.
 CHUNK = 4096
 CELLS = 4096
+#: Chunks or parts whose counts are summed together.
+LEVEL = 256
+
+
+def point(slot: str) -> str:
+    """SQL of a slot's place on the ring: slot * STEP modulo its size, in halves that don't overflow."""
+    half = 1 << RING_BITS // 2
+    return f"pmod(({slot} % {half}) * {STEP}L + (({slot} div {half}) % {half}) * {STEP % half}L % {half} * {half}L, {1 << RING_BITS}L)"
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """(sidx, source, source_size, target, quota, slots, run_lo, run_hi) from (source, size).
+    """(sidx, source, source_size, target, quota, run_lo, run_hi) from (source, size).
 
     Targets are filled like water: the level at which the uncapped sources share what is
     left by weight. One row per source, so the single-task windows see sources, not documents.
+    run_lo and run_hi bound the source's stretch of the ring.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("sidx") % len(WEIGHTS) + 1).cast("int"))
@@ -58,62 +72,56 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
     per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     per = per.withColumn("target", F.least("cap", F.col("level") * F.col("weight"))).withColumn("quota", F.floor(F.col("target") + 0.5))
-    per = per.withColumn("slots", F.ceil(F.col("quota") / F.lit(BLOCK_WORDS)).cast("long"))
-    run = F.sum("slots").over(W.orderBy("sidx").rowsBetween(W.unboundedPreceding, 0))
-    per = per.withColumn("total_slots", F.sum("slots").over(W.orderBy("sidx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    ring = lambda c: F.floor(c * F.lit(float(RING)) / F.greatest("total_slots", F.lit(1))).cast("long")
-    return per.withColumn("run_hi", ring(run)).withColumn("run_lo", ring(run - F.col("slots"))).select(
-        "sidx", "source", "source_size", "target", "quota", "slots", "run_lo", "run_hi"
+    run = F.sum("quota").over(W.orderBy("sidx").rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum("quota").over(W.orderBy("sidx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ring = lambda c: F.floor(c * F.lit(float(1 << RING_BITS)) / F.greatest(total, F.lit(1))).cast("long")
+    return per.withColumn("run_hi", ring(run)).withColumn("run_lo", ring(run - F.col("quota"))).select(
+        "sidx", "source", "source_size", "target", "quota", "run_lo", "run_hi"
     )
 
 
+def _sums_before(counts: DataFrame, at: str, out: str) -> DataFrame:
+    """(sidx, at, out): the sum of n over smaller ``at`` of the same sidx, in two levels of windows."""
+    fine = counts.withColumn("level", F.expr(f"{at} div {LEVEL}"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    coarse = fine.groupBy("sidx", "level").agg(F.sum("n").alias("n"))
+    coarse = coarse.select("sidx", "level", earlier(W.partitionBy("sidx").orderBy("level")).alias("base"))
+    inner = fine.select("sidx", "level", at, earlier(W.partitionBy("sidx", "level").orderBy(at)).alias("inner"))
+    return inner.join(coarse, ["sidx", "level"]).select("sidx", at, (F.col("base") + F.col("inner")).alias(out))
+
+
 def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
-    """(slot, sidx, block): the order of the mix. Ranks come from counts by chunk, so no source is ranked in one task."""
-    spark = sources.sparkSession
-    slots = spark.range(n_slots).select(
-        F.col("id").alias("slot"), F.expr(f"pmod((id % {RING}) * {STEP}L, {RING}L)").alias("point")
-    ).withColumn("cell", F.expr(f"point div {RING // CELLS}"))
+    """(slot, sidx, block): the source each slot draws from, and the slot's rank among that source's slots."""
+    cell = 1 << RING_BITS
+    slots = sources.sparkSession.range(n_slots).select(F.col("id").alias("slot"), F.expr(point("id")).alias("point")).withColumn("cell", F.expr(f"point div {cell // CELLS}"))
     cells = sources.where("run_hi > run_lo").select(
-        "sidx", "run_lo", "run_hi", F.explode(F.expr(f"sequence(run_lo div {RING // CELLS}, (run_hi - 1) div {RING // CELLS})")).alias("cell")
+        "sidx", "run_lo", "run_hi", F.explode(F.expr(f"sequence(run_lo div {cell // CELLS}, (run_hi - 1) div {cell // CELLS})")).alias("cell")
     )
     drawn = slots.join(cells, "cell").where("point >= run_lo and point < run_hi").select("slot", "sidx", F.expr(f"slot div {CHUNK}").alias("chunk"))
-    counts = drawn.groupBy("sidx", "chunk").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn(
-        "before", F.coalesce(F.sum("n").over(W.partitionBy("sidx").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).select("sidx", "chunk", "before")
+    before = _sums_before(drawn.groupBy("sidx", "chunk").agg(F.count(F.lit(1)).alias("n")), "chunk", "before")
     ranked = drawn.withColumn("r", F.row_number().over(W.partitionBy("sidx", "chunk").orderBy("slot")) - 1).join(before, ["sidx", "chunk"])
-    ranked = ranked.select("slot", "sidx", (F.col("before") + F.col("r")).alias("block"))
-    kept = ranked.join(sources.select("sidx", "slots"), "sidx").where("block < slots").select("slot", "sidx", "block")
-    got = counts.groupBy("sidx").agg(F.sum("n").alias("got"))
-    short = (
-        sources.join(got, "sidx", "left").where("slots > coalesce(got, 0)")
-        .select("sidx", F.explode(F.expr("sequence(coalesce(got, 0), slots - 1)")).alias("block"))
-        .select((F.lit(n_slots) + F.col("block")).alias("slot"), "sidx", "block")
-    )
-    return kept.unionByName(short)
+    return ranked.select("slot", "sidx", (F.col("before") + F.col("r")).alias("block"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, source, text_hash, size, source_size, target, taken."""
+_ROW = ["sidx", "part", "rn", "doc_id", "source", "row_hash", "size", "source_size", "target"]
+
+
+def _drawn(docs: DataFrame, row_hash: str, block_words: int) -> DataFrame:
+    """_ROW of every row and, for each of its passes over the tape, (pass, slot, words): the first slot that draws from it, and the words drawn."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.xxhash64("text").alias("text_hash"),
+        F.expr(row_hash).alias("row_hash"),
         F.size(words(F.col("text").cast("string"))).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("ord"),
-    )
+    ).withColumn("ord", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("row_hash").cast("string")))))
     rows = stage_out(rows, "mix-rows")
     sources = stage_out(source_targets(rows), "mix-sources")
-    totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("slots").alias("slots")).first()
+    totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("quota").alias("words")).first()
     side = F.broadcast(sources) if totals["n"] <= BROADCAST_SOURCES else sources
     placed = rows.join(side.withColumnRenamed("source", "source_"), F.expr("source <=> source_")).drop("source_")
     placed = placed.withColumn("part", F.conv(F.substring("ord", 1, 4), 16, 10).cast("int"))
-    parts = placed.groupBy("sidx", "part").agg(F.sum("size").alias("n"))
-    parts = parts.select(
-        "sidx", "part",
-        F.coalesce(F.sum("n").over(W.partitionBy("sidx").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-    )
-    inside = W.partitionBy("sidx", "part").orderBy("ord", "size", "text_hash")
+    parts = _sums_before(placed.groupBy("sidx", "part").agg(F.sum("size").alias("n")), "part", "before")
+    inside = W.partitionBy("sidx", "part").orderBy("ord", "size", "row_hash")
     placed = (
         placed.withColumn("rn", F.row_number().over(inside))
         .withColumn("inner", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
@@ -121,28 +129,30 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         .withColumn("start", F.col("before") + F.col("inner"))
     )
     b = block_words
-    key = ["sidx", "part", "rn", "doc_id", "source", "text_hash", "size", "source_size", "target"]
-    passes = placed.select(*key, "start", "quota", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"))
-    spans = passes.withColumn("a", F.expr("start + pass * source_size")).withColumn("z", F.expr("least(a + size, quota)")).select(
-        *key, "a", "z", F.explode_outer(F.expr(f"if(z > a, sequence(a div {b}, (z - 1) div {b}), null)")).alias("block")
+    passes = placed.select(*_ROW, "start", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"))
+    spans = passes.withColumn("a", F.expr("start + pass * source_size")).select(
+        *_ROW, "pass", "a", F.explode_outer(F.expr(f"if(size > 0, sequence(a div {b}, (a + size - 1) div {b}), null)")).alias("block")
     )
-    pieces = spans.withColumn("words", F.expr(f"least(z, (block + 1) * {b}) - greatest(a, block * {b})"))
-    plan = schedule(sources, int(totals["slots"] or 0)).withColumn("drawn", F.lit(1))
+    pieces = spans.withColumn("words", F.expr(f"least(a + size, (block + 1) * {b}) - greatest(a, block * {b})"))
+    plan = schedule(sources, ((totals["words"] or 0) + b // 2) // b)
     return (
-        pieces.join(plan, ["sidx", "block"], "left").groupBy(*key)
-        .agg(F.coalesce(F.sum(F.col("words") * F.col("drawn")), F.lit(0)).cast("long").alias("taken"))
-        .drop("sidx", "part", "rn")
+        pieces.join(plan, ["sidx", "block"], "left").groupBy(*_ROW, "pass", "a")
+        .agg(F.min("slot").alias("slot"), F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("words"))
     )
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row as often as its taken words fill it, rounded (0 to MAX_PASSES times)."""
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
+    drawn = _drawn(docs, "xxhash64(text)", block_words)
+    return drawn.groupBy(*_ROW).agg(F.sum("words").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs in the order of the mix: a row comes once for each pass that draws at least half of its words, where its first drawn block stands."""
     cols = docs.columns
-    copies = (
-        mix(docs).withColumn("_copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0))
-        .groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_hash").alias("_t"))
-        .agg(F.sum("_copies").cast("int").alias("_copies")).where("_copies > 0")
-    )
-    keyed = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
-    joined = keyed.join(copies, F.expr("_h = _t and doc_id <=> _d and source <=> _s"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*cols)
+    key, number, slot, at = fresh_names(docs, "key", "number", "slot", "at")
+    whole = "xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")"  # rows alike in every column are one row with several copies
+    copies = _drawn(docs, whole, block_words).where("size > 0 and 2 * words >= size")
+    copies = copies.select(F.col("row_hash").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(number), F.col("slot").alias(slot), F.col("a").alias(at))
+    keyed = docs.withColumns({key: F.expr(whole), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))}).dropDuplicates([key, number])
+    return keyed.join(copies, [key, number]).orderBy(slot, at).select(*cols)

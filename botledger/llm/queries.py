@@ -35,11 +35,18 @@ s2 AS (SELECT *, 2 * n AS cap, 2 * n / w AS ratio FROM s1),
 s3 AS (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
 s4 AS (SELECT *, least(cap, w * (SELECT max(level) FROM s3 WHERE level <= ratio)) AS target FROM s3),
-t AS (SELECT d.*, CAST(s4.n AS BIGINT) AS source_size, s4.target, floor(s4.target + 0.5) AS quota,
+s5 AS (SELECT *, floor(target + 0.5) AS quota FROM s4),
+s6 AS (SELECT *, sum(quota) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(quota) OVER () AS total FROM s5),
+s7 AS (SELECT *, floor((run - quota) * 1099511627776.0::DOUBLE / total) AS lo, floor(run * 1099511627776.0::DOUBLE / total) AS hi FROM s6),
+points AS (SELECT k AS slot, CAST(k AS HUGEINT) * 679535556991 % 1099511627776 AS point
+  FROM range(CAST((SELECT coalesce(max(total), 0) + 16 FROM s6) AS BIGINT) // 32) AS r(k)),
+ranked AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM points JOIN s7 ON point >= lo AND point < hi),
+yield AS (SELECT source, max(block) + 1 AS blocks FROM ranked GROUP BY source),
+t AS (SELECT d.*, CAST(s7.n AS BIGINT) AS source_size, s7.target, coalesce(y.blocks, 0) * 32 AS drawn,
         sum(size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start
-      FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source)
+      FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source LEFT JOIN yield y ON d.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)) AS BIGINT) AS taken FROM t
+  CAST(greatest(0, least(size, drawn - start)) + greatest(0, least(size, drawn - source_size - start)) AS BIGINT) AS taken FROM t
 """
 
 
