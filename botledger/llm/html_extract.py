@@ -45,26 +45,31 @@ _SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr",
 _SCOPE = frozenset("ul ol table article section div main aside nav body html".split())
 
 
+_HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """Text of a leaf block: columns of its tag path (open elements with their class and id words), depth, characters in links."""
+
+    __slots__ = ("path", "depth", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: frozenset[int], depth: int, text: str, linked: int):
+        self.path, self.depth, self.text, self.linked = path, depth, text, linked
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Blocks of visible text in page order, each with the open elements as (tag, class and id words)."""
+    """Blocks of visible text in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, frozenset[int], bool]] = []  # tag, columns of the path so far, whether it is a link
     parts: list[str] = []
-    linked, at, page = 0, 0, page or ""
-    held: tuple | None = None
+    linked, links, at, page = 0, 0, 0, page or ""
+    held: tuple[frozenset[int], int] | None = None
 
     def close() -> None:
         nonlocal linked, held
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(held or (), text, linked))
+            out.append(Block(*(held or (frozenset(), 0)), text, linked))
         parts.clear()
         linked, held = 0, None
 
@@ -72,12 +77,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal linked, held
         if piece:
             if held is None and not piece.isspace():
-                held = tuple(stack)
+                held = (stack[-1][1] if stack else frozenset(), len(stack))
             parts.append(piece)
-            if any(t == "a" for t, _ in stack[-4:]):
+            if links:
                 linked += len(piece)
 
     def pop_to(index: int) -> None:
+        nonlocal links
+        links -= sum(link for _, _, link in stack[index:])
         del stack[index:]
 
     while at < len(page):
@@ -124,11 +131,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in _SCOPE:
                     break
-        if tag not in _VOID and not attributes.rstrip().endswith("/"):
+        if tag not in _VOID:  # a slash before the end of a tag means nothing in HTML, and may belong to an unquoted value
             marks = tuple(w for a in _MARK.finditer(attributes) for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower()))
-            stack.append((tag, marks))
-        elif tag not in _VOID and tag in _BLOCK:
-            stack.append((tag, ()))
+            link = tag == "a" and _HREF.search(attributes) is not None
+            links += link
+            stack.append((tag, (stack[-1][1] if stack else frozenset()) | _columns(tag, marks), link))
     close()
     return out
 
@@ -142,27 +149,27 @@ WIDTH = len(_TAGS) + 1 + MARKS + WORDS + RATIOS
 HIDDEN = 20
 
 
+@functools.lru_cache(1 << 14)
+def _columns(tag: str, marks: tuple[str, ...]) -> frozenset[int]:
+    return frozenset([_TAG_AT.get(tag, len(_TAGS)), *(len(_TAGS) + 1 + zlib.crc32(w.encode()) % MARKS for w in marks)])
+
+
 @functools.lru_cache(1 << 16)
-def _path_columns(path: tuple) -> tuple[int, ...]:
-    cols = set()
-    for tag, marks in path:
-        cols.add(_TAG_AT.get(tag, len(_TAGS)))
-        cols.update(len(_TAGS) + 1 + zlib.crc32(w.encode()) % MARKS for w in marks)
-    return tuple(sorted(cols))
+def _word_column(word: str) -> int:
+    return zlib.crc32(word.lower().encode()) % WORDS
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), WIDTH), np.float32)
     total, seen = sum(len(b.text) for b in page) or 1, 0
     for i, b in enumerate(page):
-        x[i, list(_path_columns(b.path))] = 1
+        x[i, list(b.path)] = 1
         words = b.text.split()
-        for w in words[:: max(1, len(words) // 64)]:
-            x[i, len(_TAGS) + 1 + MARKS + zlib.crc32(w.lower().encode()) % WORDS] += 1
+        x[i, len(_TAGS) + 1 + MARKS : -RATIOS] = np.bincount([_word_column(w) for w in words], minlength=WORDS)
         x[i, len(_TAGS) + 1 + MARKS : -RATIOS] /= max(1, np.sqrt((x[i, len(_TAGS) + 1 + MARKS : -RATIOS] ** 2).sum()))
         x[i, -RATIOS:] = (
             min(1, np.log1p(len(words)) / 6), min(1, b.linked / max(1, len(b.text))), seen / total,
-            float(b.text[-1] in ".!?"), i / len(page), min(1, len(b.path) / 12),
+            float(b.text[-1] in ".!?"), i / len(page), min(1, b.depth / 12),
         )
         seen += len(b.text)
     return x
@@ -188,7 +195,7 @@ class Labeller:
         self.w["out"] = rng.normal(0, 0.1, 2 * HIDDEN)
         self.w["bias"] = np.zeros(1)
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
+    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, learning: bool = False) -> tuple[np.ndarray, list]:
         n, steps, _ = x.shape
         h, c, tape = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), []
         out = np.zeros((n, steps, HIDDEN))
@@ -198,11 +205,12 @@ class Labeller:
             i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
             g = np.tanh(z[:, 3 * HIDDEN :])
             live = mask[:, t, None]
-            tape.append((t, h, c, i, f, o, g))
+            was = (h, c)
             c = live * (f * c + i * g) + (1 - live) * c
             h = live * (o * np.tanh(c)) + (1 - live) * h
             out[:, t] = h
-            tape[-1] += (c,)
+            if learning:
+                tape.append((t, *was, i, f, o, g, c))
         return out, tape
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -210,7 +218,7 @@ class Labeller:
         return both @ self.w["out"] + self.w["bias"]
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        runs = {s: self._run(s, x, mask) for s in "fb"}
+        runs = {s: self._run(s, x, mask, learning=True) for s in "fb"}
         both = np.concatenate([runs[s][0] for s in "fb"], axis=2)
         p = _sigmoid(both @ self.w["out"] + self.w["bias"])
         slope = (p - y) * mask / mask.sum()

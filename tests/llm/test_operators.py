@@ -155,6 +155,48 @@ def test_html_edge_cases(spark):
     assert html_extract.extract(df.where("false")).count() == 0
 
 
+def test_html_blocks_see_links_slashes_and_every_word():
+    linked = lambda page: [(b.text, b.linked) for b in html_extract.leaf_blocks(page)]
+    assert linked("<a href='x'><span><b><i><u>deep link</u></i></b></span></a>") == [("deep link", 9)]
+    assert linked("<a href=/docs/>unquoted</a> then <a name=here>no link</a>") == [("unquoted then no link", 8)]
+    assert linked('<p><a href="x"/>open<p>closed</p>')[0] == ("open", 4)
+    words = [f"w{i}" for i in range(5000)]
+    one, two = (html_extract.vectors(html_extract.leaf_blocks("<p>" + " ".join(x) + "</p>")) for x in (words, words[:1] + words[:1] + words[2:]))
+    assert (one != two).any()  # one word in 5,000 counts
+    nested = html_extract.leaf_blocks("<div class=a><b>" * 30_000 + "x" + "</div>y" * 30_000)
+    assert len(nested) == 30_001 and all(len(b.path) == 3 for b in nested[:-1])
+
+
+#: Pages of layouts that the generator doesn't make, and the main text as a reader would copy it.
+LAYOUTS = {
+    "blog": (
+        """<html><head><title>Bread</title><style>p{}</style></head><body><div id="page"><div id="masthead"><a href="/">The Baker</a><ul id="primary-menu"><li><a href="/a">Home</a><li><a href="/b">Recipes</a></ul></div>
+        <div id="content"><h1 class="entry-title">Slow bread</h1><div class="entry-content"><p>Flour, water and salt are all that a loaf needs. Time does the rest of the work.</p>
+        <p>Leave the dough overnight in a cool place &mdash; it rises slowly and keeps its taste.</p><ul><li>500 g flour</li><li>350 g water</li></ul></div></div>
+        <div id="secondary" class="widget-area sidebar"><h3>Recent posts</h3><ul><li><a href="/c">Rye</a></li><li><a href="/d">Spelt</a></li></ul></div>
+        <div id="comments" class="comments-area"><p>Great recipe, thanks!</p><p>Mine did not rise.</p></div><div id="footer">Copyright 2020 The Baker</div></div></body></html>""",
+        "Slow bread\nFlour, water and salt are all that a loaf needs. Time does the rest of the work.\nLeave the dough overnight in a cool place — it rises slowly and keeps its taste.\n500 g flour\n350 g water",
+    ),
+    "news": (
+        """<body><div class="cookie-banner">We use cookies to improve this site. <button>Accept</button></div><nav><a href="/">World</a> <a href="/s">Sport</a></nav><main><h1>River rises again</h1>
+        <p>The river reached its highest level in ten years on Monday, officials said.</p><div class="advertisement"><p>Buy our boats today!</p></div><p>Several roads near the old bridge were closed, and trains ran late.</p>
+        <h2>What comes next</h2><p>Rain is expected to ease by Thursday.</p></main><aside><h3>Most read</h3><a href="/1">Storm</a></aside><footer><p>Contact us</p></footer></body>""",
+        "River rises again\nThe river reached its highest level in ten years on Monday, officials said.\nSeveral roads near the old bridge were closed, and trains ran late.\nWhat comes next\nRain is expected to ease by Thursday.",
+    ),
+    "manual": (
+        """<div class="wrapper"><div class="header"><a href="/">Docs</a></div><div class="sidebar"><ul><li><a href="/i">Install</a></li><li><a href="/u">Use</a></li></ul></div><div class="main"><h1>Install</h1>
+        <p>Download the archive and unpack it where you like.</p><pre>tar xf tool.tar</pre><p>Then run the program once, so that it can write its settings.</p></div><div class="footer">Licence and privacy</div></div>""",
+        "Install\nDownload the archive and unpack it where you like.\ntar xf tool.tar\nThen run the program once, so that it can write its settings.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_html_layouts_without_an_article_element(name):
+    page, want = LAYOUTS[name]
+    assert html_extract.main_text([page], html_extract.trained()) == [want]
+
+
 # ---------------------------------------------------------------- 3 licences
 
 
