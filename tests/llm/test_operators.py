@@ -224,7 +224,7 @@ def test_license_matching_statistics():
     rng = np.random.default_rng(3)
     words = [w.decode() for w in scan.ids] + ["zzz"]
     spans = [t for _, t in scan.templates] + [p.encode().split() for p in licenses.BASE]
-    grams = {tuple(t[i:j]) for t in spans for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    grams = {tuple(t[i:j]) for t in spans for i in range(len(t)) for j in range(i + 1, min(len(t), i + 41) + 1)}
     for _ in range(60):
         text = []
         while len(text) < 40:
@@ -240,6 +240,26 @@ def test_license_matching_statistics():
         assert scan.scan(" ".join(text))[:5] == base_by_brute_force(" ".join(text))
     assert scan.scan("This is licensed under  CC BY-NC 4.0, thanks")[5] == "cc-by-nc"
     assert scan.scan("permission is hereby granted, free of charge, to any person reading this")[5] == ""
+    assert scan.scan("licensed under cc by something")[5] == "" == scan.scan("all rights are reserved")[5]
+
+
+def test_licence_texts_are_found_with_edits():
+    """Whole licence texts, rewrapped, among other words, with every 25th word changed or dropped, give their own label and span; every third word changed gives none."""
+    scan = licenses.LicenceScanner()
+    texts = [(label, t[0].split()) for label, t in licenses.TEMPLATES.items() if len(t[0].split()) > 20]
+    assert len(texts) == 11
+    for label, words in texts:
+        for name, edit in (("exact", lambda i, w: w), ("changed", lambda i, w: "changed" if i % 25 == 7 else w), ("dropped", lambda i, w: "" if i % 25 == 9 else w)):
+            own = [edit(i, w) for i, w in enumerate(words)]
+            body = "preface about nothing at all\n" + "\n".join(" ".join(own[i : i + 9]) for i in range(0, len(own), 9)) + "\nand more prose after it"
+            found = scan.scan(body)
+            assert label in found[5].split(",") and set(found[5].split(",")) - {label} <= {"gpl"}, (label, name, found[5])
+            spans = [x for x in found[7] if x[0] == label]
+            assert len(spans) == 1 and spans[0][1] <= 13 and spans[0][2] >= found[0] - 15
+        far = " ".join("other" if i % 3 == 0 else w for i, w in enumerate(words))
+        assert set(filter(None, scan.scan(far)[5].split(","))) <= {"gpl"}
+    both = " ".join(dict(texts)["bsd-2-clause"]) + " and then " + " ".join(dict(texts)["mit"])
+    assert scan.scan(both)[5] == "bsd-2-clause,mit"
 
 
 # ---------------------------------------------------------------- 4 token store
