@@ -103,11 +103,8 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     return ranked.select("slot", "sidx", (F.col("before") + F.col("r")).alias("block"))
 
 
-_ROW = ["sidx", "part", "rn", "doc_id", "source", "row_hash", "size", "source_size", "target"]
-
-
-def _drawn(docs: DataFrame, row_hash: str, block_words: int) -> DataFrame:
-    """_ROW of every row and, for each of its passes over the tape, (pass, slot, words): the first slot that draws from it, and the words drawn."""
+def _tape(docs: DataFrame, row_hash: str, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's place on its source's tape (start) and the words that source yields; and the schedule."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -117,42 +114,46 @@ def _drawn(docs: DataFrame, row_hash: str, block_words: int) -> DataFrame:
     rows = stage_out(rows, "mix-rows")
     sources = stage_out(source_targets(rows), "mix-sources")
     totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("quota").alias("words")).first()
-    side = F.broadcast(sources) if totals["n"] <= BROADCAST_SOURCES else sources
-    placed = rows.join(side.withColumnRenamed("source", "source_"), F.expr("source <=> source_")).drop("source_")
+    few = totals["n"] <= BROADCAST_SOURCES
+    plan = schedule(sources, ((totals["words"] or 0) + block_words // 2) // block_words)
+    drawn = plan.groupBy("sidx").agg((F.count(F.lit(1)) * block_words).alias("yield"))
+    side = sources.join(F.broadcast(drawn) if few else drawn, "sidx", "left").select(
+        "sidx", F.col("source").alias("source_"), "source_size", "target", F.coalesce("yield", F.lit(0)).alias("yield")
+    )
+    placed = rows.join(F.broadcast(side) if few else side, F.expr("source <=> source_")).drop("source_")
     placed = placed.withColumn("part", F.conv(F.substring("ord", 1, 4), 16, 10).cast("int"))
     parts = _sums_before(placed.groupBy("sidx", "part").agg(F.sum("size").alias("n")), "part", "before")
-    inside = W.partitionBy("sidx", "part").orderBy("ord", "size", "row_hash")
-    placed = (
-        placed.withColumn("rn", F.row_number().over(inside))
-        .withColumn("inner", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-        .join(parts, ["sidx", "part"])
-        .withColumn("start", F.col("before") + F.col("inner"))
-    )
-    b = block_words
-    passes = placed.select(*_ROW, "start", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"))
-    spans = passes.withColumn("a", F.expr("start + pass * source_size")).select(
-        *_ROW, "pass", "a", F.explode_outer(F.expr(f"if(size > 0, sequence(a div {b}, (a + size - 1) div {b}), null)")).alias("block")
-    )
-    pieces = spans.withColumn("words", F.expr(f"least(a + size, (block + 1) * {b}) - greatest(a, block * {b})"))
-    plan = schedule(sources, ((totals["words"] or 0) + b // 2) // b)
-    return (
-        pieces.join(plan, ["sidx", "block"], "left").groupBy(*_ROW, "pass", "a")
-        .agg(F.min("slot").alias("slot"), F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long").alias("words"))
-    )
+    inside = W.partitionBy("sidx", "part").orderBy("ord", "size", "row_hash").rowsBetween(W.unboundedPreceding, 0)
+    placed = placed.withColumn("inner", F.sum("size").over(inside) - F.col("size")).join(parts, ["sidx", "part"])
+    return placed.withColumn("start", F.col("before") + F.col("inner")), plan
+
+
+def _words_drawn(turn: int | str) -> str:
+    """SQL of the words of a row that a pass over the tape yields; blocks are drawn in tape order."""
+    return f"greatest(0, least(size, yield - (start + {turn} * source_size)))"
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken."""
-    drawn = _drawn(docs, "xxhash64(text)", block_words)
-    return drawn.groupBy(*_ROW).agg(F.sum("words").alias("taken")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, first_slot (the slot that takes the block it starts in)."""
+    tape, plan = _tape(docs, "xxhash64(text)", block_words)
+    rows = tape.select(
+        "sidx", F.expr(f"start div {block_words}").alias("block"), "doc_id", "source", "size", "source_size", "target",
+        F.expr(" + ".join(_words_drawn(k) for k in range(MAX_PASSES))).alias("taken"),
+    )
+    return rows.join(plan, ["sidx", "block"], "left").select(
+        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("slot")).alias("first_slot")
+    )
 
 
 def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs in the order of the mix: a row comes once for each pass that draws at least half of its words, where its first drawn block stands."""
+    """docs in the order of the mix: a row comes once for each pass that draws at least half of its words, where the block it starts in stands."""
     cols = docs.columns
     key, number, slot, at = fresh_names(docs, "key", "number", "slot", "at")
     whole = "xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")"  # rows alike in every column are one row with several copies
-    copies = _drawn(docs, whole, block_words).where("size > 0 and 2 * words >= size")
-    copies = copies.select(F.col("row_hash").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(number), F.col("slot").alias(slot), F.col("a").alias(at))
+    tape, plan = _tape(docs, whole, block_words)
+    passes = tape.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)))).where(f"size > 0 and 2 * {_words_drawn('pass')} >= size")
+    passes = passes.withColumn("at", F.expr("start + pass * source_size")).withColumn("block", F.expr(f"at div {block_words}"))
+    copies = passes.select("sidx", "block", F.col("row_hash").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(number), F.col("at").alias(at))
+    copies = copies.join(plan, ["sidx", "block"]).select(key, number, at, F.col("slot").alias(slot))
     keyed = docs.withColumns({key: F.expr(whole), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))}).dropDuplicates([key, number])
     return keyed.join(copies, [key, number]).orderBy(slot, at).select(*cols)
