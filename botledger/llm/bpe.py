@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import lean
+from botledger.llm.common import drop_table, lean, stage_out
 
 #: Words in the lexicon: a bound on what is broadcast (about 2 MB), not on what is encoded.
 LEXICON_WORDS = 32_768
@@ -518,7 +518,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_lexicon(docs: DataFrame, path: str) -> bytes:
     """Count words in every text and compile the most frequent, with a space before, into a lexicon."""
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "word binary, n long")
-    top = counted.where(F.octet_length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
+    counted = stage_out(counted.where(F.octet_length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # how many words have which frequency, in steps of an eighth of a power of two, says what the rarest of the lexicon holds
+    step = F.floor(F.log2("n") * 8)
+    least, left = 0, LEXICON_WORDS
+    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        least, left = r["step"], left - r["words"]
+        if left <= 0:
+            break
+    top = counted.where(step >= least).orderBy(F.desc("n"), "word").limit(LEXICON_WORDS).collect()
+    drop_table(counted)
     words = [b" " + bytes(r["word"]) for r in top]
     encoded = load_tokenizer(path).encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
     # a pre-token is looked up, so words that are several can't be found and stay out

@@ -28,6 +28,8 @@ from pyspark.sql import Window as W
 from botledger.llm.common import lean
 
 SAMPLE_PER_LANG = 120
+#: Digits of a document's md5 that name its bucket when the sample is drawn.
+BUCKET_DIGITS = 3
 #: Hashed feature rows, and the commonest words of a language that make its lexicon.
 FEATURES = 1 << 15
 LEXICON = 200
@@ -199,14 +201,28 @@ def train(samples: list[tuple[str, str]]) -> Crf:
     return model
 
 
-def fit(docs: DataFrame) -> Crf | None:
-    """A model from the labelled documents whose crc32(doc_id) is not 2 modulo 4."""
-    usable = docs.select(F.col("doc_id").cast("string").alias("d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = usable.where("lang is not null and text is not null and d is not null and crc32(d) % 4 <> 2")
+def sample(docs: DataFrame) -> DataFrame:
+    """(lang, text) of the SAMPLE_PER_LANG first labelled documents of each language in md5 order of doc_id whose crc32(doc_id) is not 2 modulo 4 (repeated rows among them come once).
+
+    Counts by language and hash bucket, combined before they move, say which buckets hold them; only
+    the keys in these are ranked, however many documents a language has, and the texts of those
+    chosen (no more than are collected to train on) are read at last.
+    """
+    rows = docs.select(F.col("doc_id").cast("string").alias("d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where("lang is not null and text is not null and d is not null and crc32(d) % 4 <> 2").withColumn("k", F.md5("d"))
+    rows = rows.withColumn("bucket", F.substring("k", 1, BUCKET_DIGITS))
+    counts = rows.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < SAMPLE_PER_LANG).groupBy("lang").agg(F.max("bucket").alias("last"))
+    close = rows.join(F.broadcast(last), "lang").where("bucket <= last").select("lang", "k", F.xxhash64("text").alias("h"), "text")
     rank = F.row_number().over(W.partitionBy("lang").orderBy("k", "h"))
-    keys = usable.select("lang", F.md5("d").alias("k"), F.xxhash64("text").alias("h"), "text").withColumn("r", rank)
-    rows = keys.where(F.col("r") <= SAMPLE_PER_LANG).orderBy("lang", "r").select("lang", "text").collect()
-    samples = [(r["lang"], r["text"]) for r in rows if split_words(r["text"])]
+    chosen = close.select("lang", "k", "h").distinct().withColumn("r", rank).where(F.col("r") <= SAMPLE_PER_LANG)
+    return close.join(F.broadcast(chosen), ["lang", "k", "h"]).dropDuplicates(["lang", "r"]).orderBy("lang", "r").select("lang", "text")
+
+
+def fit(docs: DataFrame) -> Crf | None:
+    """A model from the labelled documents of sample()."""
+    samples = [(r["lang"], r["text"]) for r in sample(docs).collect() if split_words(r["text"])]
     return train(samples) if samples else None
 
 

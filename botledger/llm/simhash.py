@@ -4,7 +4,9 @@ A fingerprint's 64 bits form two segments of 32. Fingerprints within 3 bits agre
 segment up to one bit, so each distinct fingerprint is stored under its two segments and
 looked up under each segment's Hamming ball of radius 1 (each pair from one side only).
 What meets in a bucket is verified on all 64 bits. A bucket yields a spanning forest of its
-links, never all its pairs, and exact copies share one entry throughout.
+links, never all its pairs, and exact copies share one entry throughout. A segment that more
+than SPLIT distinct fingerprints share, and the segments one bit from it, are split: there the
+other half's four bytes, of which one at least is equal in any two that link, form sub-buckets.
 
 Edge cases: a null, empty or blank text has fingerprint zero and links like any other; a
 null doc_id takes part but is never a component's least id (a component of null ids only has
@@ -21,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import connected_components, lean, stage_out
+from botledger.llm.common import connected_components, fresh_names, lean, stage_out
 
 MAX_BITS = 3
 SHINGLE = 3
+#: Distinct fingerprints with one segment beyond which its buckets are split.
+SPLIT = 4096
+#: Up to this many split buckets are broadcast; more are joined by shuffle.
+BROADCAST_SPLIT = 1_000_000
 SEED = 42
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -64,15 +70,35 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
-def _bucket_entries(fps: DataFrame) -> DataFrame:
-    """(bucket, fp): under its own segments, and under each segment with one further bit set."""
-    seg = {0: "shiftrightunsigned(fp, 32)", 1: "(fp & 4294967295L)"}
-    own = ", ".join(f"{s} + {k}L * 4294967296L" for k, s in seg.items())
-    ball = ", ".join(
-        f"transform(filter(sequence(0, 31), b -> (shiftrightunsigned({s}, b) & 1L) = 0L), b -> ({s} | shiftleft(1L, b)) + {k}L * 4294967296L)"
-        for k, s in seg.items()
+_SEGMENT = {0: "shiftrightunsigned(fp, 32)", 1: "(fp & 4294967295L)"}
+
+
+def _ball(segment: str, k: int) -> str:
+    """SQL of the buckets of a segment with one further bit set."""
+    return f"transform(filter(sequence(0, 31), b -> (shiftrightunsigned({segment}, b) & 1L) = 0L), b -> ({segment} | shiftleft(1L, b)) + {k}L * {_HALF}L)"
+
+
+_HALF = 1 << 32
+#: Bits of a bucket; a sub-bucket's number stands above them.
+_BUCKET_BITS = 33
+
+
+def _bucket_entries(fps: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(bucket, fp) of distinct fps: under its own segments, and under each segment with one further bit set."""
+    own = ", ".join(f"{s} + {k}L * {_HALF}L" for k, s in _SEGMENT.items())
+    balls = ", ".join(_ball(s, k) for k, s in _SEGMENT.items())
+    hot = fps.select(F.explode(F.expr(f"array({own})")).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split)
+    near = F.expr(f"concat(array(bucket), if(bucket < {_HALF}L, {_ball('bucket', 0)}, {_ball(f'(bucket - {_HALF}L)', 1)}))")
+    hot = stage_out(hot.select(F.explode(near).alias("bucket")).distinct(), "simhash-hot")
+    entries, n_hot = fps.select(F.explode(F.expr(f"concat(array({own}), {balls})")).alias("bucket"), "fp"), hot.count()
+    if not n_hot:
+        return entries
+    hot = hot.withColumn("hot", F.lit(True))
+    other = f"if(bucket < {_HALF}L, {_SEGMENT[1]}, {_SEGMENT[0]})"
+    sub = f"transform(sequence(0, 3), k -> bucket + shiftleft(1L + k * 256L + (shiftright({other}, k * 8) & 255L), {_BUCKET_BITS}))"
+    return entries.join(F.broadcast(hot) if n_hot <= BROADCAST_SPLIT else hot, "bucket", "left").select(
+        F.explode(F.expr(f"if(hot, {sub}, array(bucket))")).alias("bucket"), "fp"
     )
-    return fps.select(F.explode(F.expr(f"concat(array({own}), {ball})")).alias("bucket"), "fp")
 
 
 def _forest(fps: np.ndarray, own: np.ndarray, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
@@ -105,7 +131,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def settle(buckets: np.ndarray, fps: np.ndarray) -> None:
         if len(buckets) < 2:
             return
-        seg = np.where(buckets >> 32 == 0, (fps >> np.uint64(32)).astype("<i8"), (fps & np.uint64(0xFFFFFFFF)).astype("<i8"))
+        seg = np.where((buckets >> 32) & 1 == 0, (fps >> np.uint64(32)).astype("<i8"), (fps & np.uint64(0xFFFFFFFF)).astype("<i8"))
         own = seg == (buckets & 0xFFFFFFFF)
         starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1])))
         sizes = np.diff(np.append(starts, len(buckets)))
@@ -138,9 +164,9 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from flush()
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, split: int = SPLIT) -> DataFrame:
     """(a, b): enough links between distinct fingerprints to connect all that lie within MAX_BITS."""
-    entries = _bucket_entries(fps.select("fp").distinct())
+    entries = _bucket_entries(fps.select("fp").distinct(), split)
     return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links, "a long, b long")
 
 
@@ -165,7 +191,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: its least doc_id (null first, then least text hash)."""
     rows = stage_out(fingerprints(docs), "simhash-rows")
-    keep = components(rows).select("keep_id", "keep_hash").distinct()
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    kept = hashed.join(keep, F.expr("doc_id <=> keep_id and _th = keep_hash"), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).drop("_th")
+    h, keep_id, keep_hash = fresh_names(docs, "h", "keep_id", "keep_hash")
+    keep = components(rows).select(F.col("keep_id").alias(keep_id), F.col("keep_hash").alias(keep_hash)).distinct()
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(h) == F.col(keep_hash)), "left_semi")
+    return kept.dropDuplicates(["doc_id", h]).drop(h)

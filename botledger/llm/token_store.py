@@ -159,7 +159,8 @@ def write(docs: DataFrame, folder: str, path: str) -> None:
     width = 2 if load_tokenizer(path).get_vocab_size() <= 1 << 16 else 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = stage_out(rows.mapInArrow(_encode(path, width), "doc_id long, ids binary"), "tokens")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    # the start of the ids parts rows that share a doc_id, null above all
+    ordered = coded.repartitionByRange("doc_id", F.expr("substring(ids, 1, 64)")).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_build(width), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
@@ -204,14 +205,51 @@ def read(spark: SparkSession, folder: str, digest: bool = False) -> DataFrame:
     )
 
 
-def get(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of the given documents: shards are chosen by key range (pushed to the scan), offsets by the index."""
+_FOUND = "doc_id long, ids binary"
+
+
+def _locate(wanted: np.ndarray):
+    """The given keys (sorted) that a shard holds, each found at its own slot of the index."""
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in b.to_pylist():
+                low = -(1 << 63) if s["first_key"] is None else s["first_key"]
+                own = wanted[np.searchsorted(wanted, low) : np.searchsorted(wanted, s["last_key"], side="right")] if s["last_key"] is not None else wanted[:0]
+                none = np.zeros(len(own), "<i8")
+                at, n = find(s, own, none.astype("u1"), none)
+                width = s["width"]
+                ids = [s["payload"][width * a : width * (a + k)] if a >= 0 else None for a, k in zip(at.tolist(), n.tolist())]
+                found = pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in ids if x is not None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(own[at >= 0], pa.int64()), found], ["doc_id", "ids"])
+
+    return run
+
+
+def lookup(spark: SparkSession, folder: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids as little-endian unsigned 32-bit) of the given documents that the store has, in two jobs whatever their number.
+
+    The key ranges alone say which shards may hold a key; of these the payloads are read (the filter
+    on part and first_key goes to the scan), and each key is found by one step of the shard's index.
+    """
+    wanted = np.unique(np.array(doc_ids, "<i8"))
     shards = spark.read.schema(_SHARD).parquet(folder)
-    out: dict[int, list[int]] = {}
-    for k in doc_ids:
-        for s in shards.where((F.coalesce("first_key", F.lit(-(1 << 63))) <= k) & (F.col("last_key") >= k)).toLocalIterator():
-            row = s.asDict()
-            at, n = find(row, np.array([k], "<i8"), np.zeros(1, "u1"), np.zeros(1, "<i8"))
-            if at[0] >= 0 and k not in out:
-                out[k] = np.frombuffer(row["payload"], f"<u{row['width']}")[at[0] : at[0] + n[0]].tolist()
-    return out
+    if not len(wanted):
+        return shards.where("false").mapInArrow(_locate(wanted), _FOUND)
+
+    @lean
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high = (b.column(c).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) for c in ("first_key", "last_key"))
+            yield b.filter(pa.array(np.searchsorted(wanted, low) < np.searchsorted(wanted, high, side="right")))
+
+    hits = shards.select("part", "seq", "first_key", "last_key").mapInArrow(near, "part long, seq long, first_key long, last_key long").collect()
+    keys = sorted({r["first_key"] for r in hits if r["first_key"] is not None})
+    first = F.col("first_key").isNull() if any(r["first_key"] is None for r in hits) else F.lit(False)
+    held = shards.where(F.col("part").isin(sorted({r["part"] for r in hits})) & (first | F.col("first_key").isin(keys)))
+    return held.mapInArrow(_locate(wanted), _FOUND)
+
+
+def get(spark: SparkSession, folder: str, doc_ids: list[int]) -> dict[int, list[int]]:
+    """Ids of the given documents as lists; of rows that repeat a doc_id, the first."""
+    return {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in lookup(spark, folder, doc_ids).collect()}

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -286,6 +287,11 @@ def test_token_store(spark, sf_dir, edge_docs, no_docs):
         assert collections.Counter((r[0], *r[3]) for r in got) == want
         one = next(r for r in got if r[0] is not None)
         assert token_store.get(spark, folder, [one[0], 10**12]) == {one[0]: one[3]}
+        by_key = collections.defaultdict(list)
+        for i, _, _, ids in got:
+            by_key[i].append(ids)
+        found = token_store.get(spark, folder, [i for i in by_key if i is not None] + [-5, 10**12])
+        assert found.keys() == by_key.keys() - {None} and all(ids in by_key[i] for i, ids in found.items())
     folder = table_path(spark, "store")
     token_store.write(no_docs, folder, path)
     assert token_store.read(spark, folder).count() == 0
@@ -362,31 +368,39 @@ def test_mixing_takes_what_the_schedule_draws(spark, monkeypatch):
     assert taken() == was and order() != listed
 
 
+def mixed_by_brute_force(rows):
+    """doc_ids of (doc_id, source, size) in the order that a plain walk along the points gives, copies included."""
+    order = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, t, n in rows if t == s) for s in order}
+    weight, want, open_, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, set(order), 1.5 * sum(size.values())
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2.0 * size[s] < level * weight[s]}
+        want |= {s: 2.0 * size[s] if full else level * weight[s] for s in full or open_}
+        left -= sum(2.0 * size[s] for s in full)
+        open_ = open_ - full if full else set()
+    quota = [int(want[s] + 0.5) for s in order]
+    ring, total = 1 << mixing.RING_BITS, sum(quota)
+    edges = np.floor(np.cumsum([0] + quota).astype(float) * ring / total)
+    drawn = collections.defaultdict(list)
+    for k in range((total + mixing.BLOCK_WORDS // 2) // mixing.BLOCK_WORDS):
+        drawn[order[int(np.searchsorted(edges, k * mixing.STEP % ring, side="right")) - 1]].append(k)
+    out = []
+    for s in order:
+        at, b = 0, mixing.BLOCK_WORDS
+        for _ in range(2):
+            for _, k, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), n, i) for i, t, n in rows if t == s):
+                words = sum(min(at + k, x * b + b) - max(at, x * b) for x in range(at // b, (at + k - 1) // b + 1) if x < len(drawn[s])) if k else 0
+                if k and 2 * words >= k:
+                    out.append((drawn[s][at // b], at, i))
+                at += k
+    return [i for _, _, i in sorted(out)]
+
+
 def test_mixing_order_follows_the_slots(spark):
-    """The mixed documents are those, as often and in the order, that a plain walk along the points gives."""
     docs = mixed_docs(spark)
     rows = [(r["doc_id"], r["source"], len(split(r["text"]))) for r in docs.collect()]
-    size = collections.Counter()
-    for _, s, n in rows:
-        size[s] += n
-    src = {r["source"]: (r["run_lo"], r["run_hi"], r["quota"]) for r in mixing.source_targets(docs.withColumn("size", F.size(F.split("text", " ")).cast("long"))).collect()}
-    n = (sum(q for _, _, q in src.values()) + mixing.BLOCK_WORDS // 2) // mixing.BLOCK_WORDS
-    drawn = collections.defaultdict(list)
-    for k in range(n):
-        p = k * mixing.STEP % (1 << mixing.RING_BITS)
-        drawn[next(s for s, (lo, hi, _) in src.items() if lo <= p < hi)].append(k)
-    want = []
-    for s in src:
-        tape = sorted((hashlib.md5(str(i).encode()).hexdigest(), k, i) for i, t, k in rows if t == s)
-        at = 0
-        for turn in range(2):
-            for _, k, i in tape:
-                blocks = [at // 32 + j for j in range((at + k - 1) // 32 - at // 32 + 1)]
-                got = [(b, min(at + k, b * 32 + 32) - max(at, b * 32)) for b in blocks if b < len(drawn[s])]
-                if 2 * sum(x for _, x in got) >= k:
-                    want.append((drawn[s][got[0][0]], at, i))
-                at += k
-    assert [r["doc_id"] for r in mixing.mix_documents(docs).collect()] == [i for _, _, i in sorted(want)]
+    assert [r["doc_id"] for r in mixing.mix_documents(docs).collect()] == mixed_by_brute_force(rows)
 
 
 # ---------------------------------------------------------------- 6 quality
@@ -427,6 +441,65 @@ def test_quality_verdicts(spark, no_docs):
     assert quality.apply_quality(docs, labels.where("false")).where("kept = base_failed").count() == 0
 
 
+def grams_by_brute_force(text):
+    """Hash buckets of the words and word pairs of a text."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ws = split(text)
+    one = [xxhash.xxh64_intdigest(w, 42) for w in ws]
+    two = [xxhash.xxh64_intdigest(b, a) for a, b in zip(one, ws[1:])]
+    return [signed(h) % quality.BUCKETS for h in one + two]
+
+
+def quality_by_brute_force(docs, labels):
+    """{(doc_id, text): (llr or None, kept)} from plain counts over all documents."""
+    import math
+
+    order = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    good = {}
+    for i, q in labels:
+        if q in (0, 1) and i is not None:
+            good[i] = min(q, good.get(i, 1))
+    target = {i for i, q in good.items() if q == 1 and int(order(i)[-1], 16) % 4 != 3}
+    raw, own = collections.Counter(), collections.Counter()
+    for i, t in docs:
+        g = grams_by_brute_force(t)
+        raw.update(g)
+        if i in target:
+            own.update(g)
+    share = sum(own.values()) / sum(raw.values())
+    weight = {b: round(quality.STEP * math.log((own[b] + quality.PRIOR) / (n * share + quality.PRIOR))) for b, n in raw.items()}
+    out, held = {}, []
+    for i, t in docs:
+        g = grams_by_brute_force(t)
+        llr = sum(weight[b] for b in g) / len(g) / quality.STEP if g else None
+        failed = counts_by_brute_force(t)[-1]
+        out[i, t] = llr, failed
+        if i in good and i not in target and not failed:
+            held.append((math.floor(llr * 500), good[i]))
+    # the cut after the cell with the best gain; ties take the lowest, and the cut lies half way across empty cells
+    cells = sorted({c for c, _ in held})
+    gains = [sum((q == 0) - quality.TRUSTED_COST * (q == 1) for x, q in held if x <= c) for c in cells]
+    best = max(range(len(cells)), key=lambda k: gains[k], default=None)
+    if best is None:
+        cut = -1e9
+    elif gains[best] <= 0:
+        cut = (cells[0] - 1) / 500
+    else:
+        after = cells[best + 1] if best + 1 < len(cells) else cells[best] + 1
+        cut = (cells[best] + 1 + after) / 2 / 500
+    return {k: (llr, not failed and (llr is None or llr >= cut)) for k, (llr, failed) in out.items()}
+
+
+def test_quality_verdicts_by_brute_force(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    want = quality_by_brute_force(docs_of(docs), [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    rows = quality.apply_quality(docs, labels).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        llr, kept = want[r["doc_id"], r["text"]]
+        assert (r["llr"] is None) == (llr is None) and (llr is None or abs(r["llr"] - llr) < 1e-9) and r["kept"] == kept
+
+
 # ---------------------------------------------------------------- 7 SimHash
 
 
@@ -482,6 +555,49 @@ def test_simhash_links_all_near_pairs(spark, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def components_by_brute_force(fps):
+    """Index of the least member of each fingerprint's component."""
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3).tolist():
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash_splits_hot_segments(spark):
+    """Hundreds of fingerprints with one half in common, and others a bit beside them, give the same components split or not."""
+    rng = np.random.default_rng(4)
+    fps = {(0xABCDEF01 << 32) | int(x) for x in rng.integers(0, 1 << 32, 600)} | {(0xABCDEF03 << 32) | int(x) for x in rng.integers(0, 1 << 32, 40)}
+    fps |= {(int(x) << 32) | 0x12345678 for x in rng.integers(0, 1 << 32, 300)}
+    for f in rng.choice(np.array(sorted(fps), np.uint64), 200):
+        fps.add(int(f) ^ sum(1 << int(k) for k in rng.choice(64, int(rng.integers(1, 5)), replace=False)))
+    fps = np.array(sorted(fps), np.uint64)
+    rows = spark.createDataFrame([(int(v),) for v in fps.view(np.int64)], "fp long")
+    want = components_by_brute_force(fps)
+    at = {int(v): i for i, v in enumerate(fps.view(np.int64))}
+    for split_at in (simhash.SPLIT, 50):
+        found = simhash.links(rows, split_at).collect()
+        root = list(range(len(fps)))
+
+        def find(x):
+            return x if root[x] == x else find(root[x])
+
+        for r in found:
+            assert (int(r["a"]) ^ int(r["b"])).bit_count() <= 3 or ((int(r["a"]) ^ int(r["b"])) % (1 << 64)).bit_count() <= 3
+            a, b = sorted((find(at[r["a"]]), find(at[r["b"]])))
+            root[b] = a
+        assert [find(i) for i in range(len(fps))] == want
+    spread = simhash._bucket_entries(rows.distinct(), 50).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert spread < 60
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 400)] + [(5, 9), (9, 5)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -569,6 +685,17 @@ def test_language(spark, sf_dir, edge_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_is_the_first_of_each_language(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_PER_LANG", 9)
+    docs = table(spark, sf_dir, "documents")
+    got = [(r["lang"], r["text"]) for r in language.sample(docs).collect()]
+    twice = [(r["lang"], r["text"]) for r in language.sample(docs.unionByName(docs)).collect()]
+    assert len(set(twice)) == len(twice) and set(twice) <= set(got)
+    rows = {(r["lang"], hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["text"]) for r in docs.collect() if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    want = [(x, t) for lang in sorted({x for x, _, _ in rows}) for x, _, t in sorted(r for r in rows if r[0] == lang)[:9]]
+    assert got == want
+
+
 def test_language_marginals_by_brute_force():
     import itertools
 
@@ -695,7 +822,7 @@ def test_queries_and_oracles(spark, sf_dir):
         got, want = QUERIES[name](spark, sf_dir).toPandas(), con.execute(sql).fetchdf()
         cols = sorted(want.columns)
         assert sorted(got.columns) == cols
-        key = lambda f: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in f[cols].itertuples(index=False))
+        key = lambda f: sorted(tuple("" if pd.isna(v) else f"{float(v):.6f}" for v in r) for r in f[cols].itertuples(index=False))
         assert key(got) == key(want)
 
 
@@ -714,3 +841,50 @@ def test_pipeline(spark, sf_dir, edge_docs, tmp_path):
     out = cp.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < out.count() and {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in kept.collect()}
+
+
+def test_pipeline_stages_by_brute_force(spark, sf_dir):
+    """Each stage on what the one before it kept, against plain Python on the same rows."""
+    import corpus_pipeline as cp
+
+    docs = table(spark, sf_dir, "documents").where("length(text) < 20000 or text is null")
+    stage = dict(cp.STAGES)
+    step = lambda name, df: [r.asDict() for r in stage[name](spark, df, sf_dir).collect()]
+    frame = lambda rows: spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in rows], docs.schema)
+    judged = quality_by_brute_force(docs_of(docs), [(r["doc_id"], r["quality"]) for r in table(spark, sf_dir, "labels").collect()])
+    rows = step("quality", docs)
+    assert sorted(r["doc_id"] for r in rows) == sorted(i for (i, _), (_, kept) in judged.items() if kept)
+
+    before, rows = sorted(rows, key=lambda r: r["doc_id"]), step("near_duplicates", frame(rows))
+    root = components_by_brute_force(np.array([fingerprint_by_brute_force(r["text"]) for r in before], np.uint64))
+    assert sorted(r["doc_id"] for r in rows) == [before[i]["doc_id"] for i in sorted(set(root))]
+
+    before, rows = rows, step("substrings", frame(rows))
+    cut = removed_by_brute_force([(r["doc_id"], r["text"]) for r in before])
+    digest = {i: sha for (i, _), (_, _, sha) in cut.items()}
+    assert {r["doc_id"]: hashlib.sha256(b" ".join(split(r["text"]))).hexdigest() for r in rows} == digest and len(rows) == len(before)
+
+    before, rows = rows, step("mix", frame(rows))
+    assert [r["doc_id"] for r in rows] == mixed_by_brute_force([(r["doc_id"], r["source"], len(split(r["text"]))) for r in before])
+
+    tok = bpe.load_tokenizer(bpe.vocabulary_path("byte_bpe_50k.json"))
+    want = []
+    for r in rows:
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        text = tok.decode(ids, skip_special_tokens=False)
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(tuple(r.values()) for r in step("tokens", frame(rows))) == sorted(want)
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark):
+    """Input columns named like a stage's helpers come out as they went in."""
+    import corpus_pipeline as cp
+
+    names = ["_h", "_d", "_s", "_t", "_copies", "_copy", "_doc", "_tag", "_spans", "_th", "_key", "_slot", "_at", "_number", "keep_id", "factors", "llr", "m", "_w", "n", "sidx", "block"]
+    words = lambda i: " ".join(f"w{(i * 31 + k * 7) % 97}" for k in range(60))
+    rows = [(i, words(i % 5), f"s{i % 2}", *[f"{c}{i}" for c in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for name, f in cp.STAGES[1:4]:
+        out = f(spark, docs, "").collect()
+        assert out and out[0].__fields__ == docs.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out for c in names), name
