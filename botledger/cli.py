@@ -78,8 +78,9 @@ def main(argv: list[str] | None = None) -> int:
             raise ValueError("--top must be 1 or more")
         since = rep.parse_since(args.since) if args.since else None
         engine = Engine(_session())
-        data = engine.report(args.files, args.format, since, args.top, args.own_host).to_dict()
-        damaged = [r["file"] for r in engine.lines(args.files).where("line_no is null and truncated").select("file").collect()]
+        found = engine.report(args.files, args.format, since, args.top, args.own_host)
+        data, damaged = found.to_dict(), [r["file"] for r in found.files.where("damaged").orderBy("file").collect()]
+        found.release()
     except (UnknownFormatError, ValueError, OSError) as err:
         print(err, file=sys.stderr)
         return 2

@@ -1,12 +1,16 @@
 """From log lines to records: format detection and the three line grammars, as projections.
 
-Input of every parser: file, line_no, line. Output: these, outcome (``record``, ``malformed``,
-``ignored`` or ``blank``) and, for records, ts (TIMESTAMP_NTZ in UTC), path, status, ua, referrer.
-Quoted fields use possessive groups: a hostile line costs linear time and no stack.
+Input: file, line_no, line and, unless one format is forced, fmt (see line_format). Output: these,
+outcome (``record``, ``malformed``, ``ignored`` or ``blank``) and, for records, ts (TIMESTAMP_NTZ in
+UTC), path, status, ua, referrer. Lines of all formats are parsed in one projection, each by its
+own grammar. Quoted fields use possessive groups: a hostile line costs linear time and no stack.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,110 +49,127 @@ def line_format(line: Column) -> Column:
     )
 
 
+@functools.cache
+def _readers_patterns() -> tuple[re.Pattern, ...]:
+    """The grammars as patterns of Python's own, for readers that see a file's first line."""
+    return tuple(re.compile(re.sub(r"\\x\{([0-9a-f]{4})\}", r"\\u\1", p)) for p in (CLOUDFRONT_DATA, ALB, COMBINED))
+
+
+def format_of(line: str) -> str | None:
+    """What line_format() says, of one line in Python."""
+    s = line.strip()
+    cloudfront, alb, combined = _readers_patterns()
+    if s.startswith(("#Version:", "#Fields:")) or cloudfront.match(s):
+        return "cloudfront"
+    return "alb" if alb.match(s) else "combined" if combined.match(s) else None
+
+
+def header_spots(line: str) -> list[int] | None:
+    """Where a ``#Fields:`` header puts the columns that a CloudFront record needs; null for one that lacks any."""
+    at = {name: k for k, name in enumerate(line[8:].split())}
+    return [at[n] for n in CLOUDFRONT_NEEDED] if all(n in at for n in CLOUDFRONT_NEEDED) else None
+
+
 def is_blank(line: Column) -> Column:
     return t.strip(line) == ""
 
 
-def _fields(df: DataFrame, pattern: str, groups: int) -> DataFrame:
-    """Adds _f: the pattern's groups, or null. The pattern runs once: lines hold no line break, so breaks part the groups."""
+def _groups(pattern: str, groups: int) -> Column:
+    """The pattern's groups in one text, parted by line breaks, which lines don't hold; the line itself if it doesn't match. The pattern runs once."""
     out = "\n".join(f"${k}" for k in range(1, groups + 1))
     # the full class of white space is a dozen tests per sign; where none of its rare members can occur, \S is the same
     plain = (F.octet_length("line") == F.length("line")) & ~F.col("line").rlike(r"[\x1c-\x1f]")
-    joined = F.when(plain, F.regexp_replace("line", f"(?s){pattern.replace(_S, _S_ASCII)}.*$", out)).otherwise(F.regexp_replace("line", f"(?s){pattern}.*$", out))
-    return df.withColumn("_f", F.split(joined, "\n", -1)).withColumn("_f", F.when(F.size("_f") == groups, F.col("_f")))
-
-
-def _finish(df: DataFrame, ts: Column, fields: dict[str, Column], ignored: Column | None = None) -> DataFrame:
-    """Outcome and fields; what several fields are read from is a column by now, so nothing is worked out twice."""
-    outcome = F.when(is_blank(F.col("line")), "blank")
-    if ignored is not None:
-        outcome = outcome.when(ignored, "ignored")
-    df = df.withColumn("ts", ts)
-    df = df.withColumn("outcome", outcome.when(F.col("ts").isNotNull(), "record").otherwise("malformed"))
-    record = F.col("outcome") == "record"
-    out = {"outcome": F.col("outcome"), "ts": F.when(record, F.col("ts"))} | {k: F.when(record, c) for k, c in fields.items()}
-    return settle(df, ["file", "line_no", "line"], out)
+    return F.when(plain, F.regexp_replace("line", f"(?s){pattern.replace(_S, _S_ASCII)}.*$", out)).otherwise(F.regexp_replace("line", f"(?s){pattern}.*$", out))
 
 
-def parse_combined(lines: DataFrame) -> DataFrame:
-    f = lambda k: F.get("_f", F.lit(k))
-    parts = _fields(lines, COMBINED, 5).withColumns(
-        {"_time": f(0), "_target": F.get(F.split(t.unescape(f(1)), " ", 3), F.lit(1)), "_status": f(2), "_ref": t.unescape(f(3)), "_ua": t.unescape(f(4))}
-    )
-    return _finish(
-        parts,
-        t.clf_time(F.col("_time")),
-        {
-            "path": F.coalesce(u.normalize_path(F.col("_target")), F.lit("-")),
-            "status": t.status_code(F.col("_status")),
-            "ua": t.dash_to_empty(F.col("_ua")),
-            "referrer": t.dash_to_empty(F.col("_ref")),
-        },
-    )
+def _header_names() -> Column:
+    return F.array_remove(F.split(F.substring("line", 9, 1 << 30), f"[{t.SPACE_CLASS}]+"), "")
 
 
-def parse_alb(lines: DataFrame) -> DataFrame:
-    f = lambda k: F.get("_f", F.lit(k))
-    parts = _fields(lines, ALB, 4).withColumns({"_time": f(0), "_target": F.get(F.split(f(2), " ", 3), F.lit(1)), "_status": f(1), "_ua": f(3)})
-    return _finish(
-        parts,
-        t.iso_time(F.col("_time")),
-        {
-            "path": F.coalesce(u.normalize_path(F.col("_target")), F.lit("-")),
-            "status": t.status_code(F.col("_status")),
-            "ua": t.dash_to_empty(F.col("_ua")),
-            "referrer": F.lit(""),
-        },
-    )
+def _good_header() -> Column:
+    return F.startswith("line", F.lit("#Fields:")) & F.forall(F.array(*[F.array_contains(_header_names(), F.lit(n)) for n in CLOUDFRONT_NEEDED]), lambda x: x)
 
 
-def parse_cloudfront(lines: DataFrame) -> DataFrame:
-    """Column positions come from the last good ``#Fields:`` header above a line in its file; a bad header is malformed and changes nothing.
+def with_spots(lines: DataFrame) -> DataFrame:
+    """CloudFront lines plus ``spots``: column positions of the last good ``#Fields:`` header above each line in its file.
 
-    One window per file carries the positions; the header test itself is a projection.
+    One window per file carries them, for lines that no reader has seen in order; the ``accesslog`` source emits them itself.
     """
-    header = F.startswith("line", F.lit("#Fields:"))
-    names = F.array_remove(F.split(F.substring("line", 9, 1 << 30), f"[{t.SPACE_CLASS}]+"), "")
+    names = _header_names()
     spots = F.array(*[F.size(names) - F.array_position(F.reverse(names), F.lit(n)).cast("int") for n in CLOUDFRONT_NEEDED])
-    has_all = F.forall(F.array(*[F.array_contains(names, F.lit(n)) for n in CLOUDFRONT_NEEDED]), lambda x: x)
-    marked = lines.withColumn("_good", header & has_all).withColumn("_spots", F.when(F.col("_good"), spots))
     above = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    return lines.withColumn("_own", F.when(_good_header(), spots)).withColumn("spots", F.last("_own", ignorenulls=True).over(above)).drop("_own")
+
+
+def _parse(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """Outcome and fields of lines with ``fmt`` and ``spots``; what several fields are read from is a column first, so nothing is worked out twice."""
+    combined, alb, cloudfront = (F.col("fmt") == f for f in FORMATS[:1] + FORMATS[2:] + FORMATS[1:2])
+    header, comment = F.startswith("line", F.lit("#Fields:")), F.startswith("line", F.lit("#"))
     standard = F.array(*[F.lit(CLOUDFRONT_FIELDS.index(n)) for n in CLOUDFRONT_NEEDED])
-    placed = marked.withColumn("_at", F.coalesce(F.last("_spots", ignorenulls=True).over(above), standard)).withColumn("_cols", F.split("line", "\t", -1))
-    comment = F.startswith("line", F.lit("#"))
-    col = lambda k: F.get("_cols", F.get("_at", F.lit(k)))
-    names_of = ["_date", "_clock", "_stem", "_status", "_ref", "_ua"]
-    read = placed.withColumns({n: F.when(~comment, col(k)) for k, n in enumerate(names_of)})
-    found = F.lit(True)
-    for n in names_of:
-        found = found & F.col(n).isNotNull()
-    read = read.withColumn("_time", F.when(found, F.concat("_date", F.lit("T"), "_clock", F.lit("+00:00")))).withColumns(
-        {"_path": u.normalize_path(F.col("_stem")), "_agent": t.percent_decode(F.col("_ua")), "_from": t.percent_decode(F.col("_ref"))}
-    )
-    return _finish(
-        read,
-        t.iso_time(F.col("_time")),
+    f = lambda k: F.get("_f", F.lit(k))
+    df = lines.withColumns(
         {
-            "path": t.percent_decode(F.col("_path")),
-            "status": t.status_code(F.col("_status")),
-            "ua": t.dash_to_empty(F.col("_agent")),
-            "referrer": t.dash_to_empty(F.col("_from")),
-        },
-        ignored=comment & (~header | F.col("_good")),
+            "_f": F.split(F.when(combined, _groups(COMBINED, 5)).when(alb, _groups(ALB, 4)), "\n", -1),
+            "_cols": F.when(cloudfront & ~comment, F.split("line", "\t", -1)),
+            "_at": F.when(cloudfront, F.coalesce("spots", standard)),
+        }
     )
+    df = df.withColumn("_f", F.when(F.size("_f") == F.when(combined, 5).otherwise(4), F.col("_f")))
+    # the six needed columns, or null if any is missing
+    six = F.transform(F.array(*[F.get("_at", F.lit(k)) for k in range(6)]), lambda k: F.get("_cols", k))
+    df = df.withColumn("_f", F.when(~cloudfront, F.col("_f")).when(F.col("_cols").isNotNull(), six))
+    df = df.withColumn("_f", F.when(~cloudfront | F.forall("_f", lambda x: x.isNotNull()), F.col("_f")))
+    df = df.withColumns(
+        {
+            "_time": F.when(cloudfront, F.concat(f(0), F.lit("T"), f(1), F.lit("+00:00"))).otherwise(f(0)),
+            "_target": F.when(cloudfront, f(2)).otherwise(F.get(F.split(F.when(combined, t.unescape(f(1))).otherwise(f(2)), " ", 3), F.lit(1))),
+            "_status": F.when(cloudfront, f(3)).when(combined, f(2)).otherwise(f(1)),
+            "_ref": F.when(cloudfront, t.percent_decode(f(4))).when(combined, t.unescape(f(3))).otherwise(""),
+            "_ua": F.when(cloudfront, t.percent_decode(f(5))).when(combined, t.unescape(f(4))).otherwise(f(3)),
+        }
+    ).withColumns({"ts": F.when(combined, t.clf_time(F.col("_time"))).otherwise(t.iso_time(F.col("_time"))), "_path": u.normalize_path(F.col("_target"))})
+    ignored = cloudfront & comment & (~header | _good_header())
+    outcome = F.when(is_blank(F.col("line")), "blank").when(ignored, "ignored").when(F.col("ts").isNotNull(), "record").otherwise("malformed")
+    df = df.withColumn("outcome", outcome)
+    fields = {
+        "path": F.when(cloudfront, t.percent_decode(F.col("_path"))).otherwise(F.coalesce("_path", F.lit("-"))),
+        "status": t.status_code(F.col("_status")),
+        "ua": t.dash_to_empty(F.col("_ua")),
+        "referrer": t.dash_to_empty(F.col("_ref")),
+    }
+    record = F.col("outcome") == "record"
+    return settle(df, keep, {"outcome": F.col("outcome"), "ts": F.when(record, F.col("ts"))} | {k: F.when(record, c) for k, c in fields.items()})
 
 
-_PARSERS = {"combined": parse_combined, "cloudfront": parse_cloudfront, "alb": parse_alb}
+_KEPT = ["file", "line_no", "line"]
 
 
-def parse_lines(lines: DataFrame, fmt: str | None = None) -> DataFrame:
-    """Records of lines whose format is forced, or known for each in a column ``fmt`` (null: every line malformed)."""
+def parse_lines(lines: DataFrame, fmt: str | None = None, keep: list[str] = _KEPT) -> DataFrame:
+    """Records of lines whose format is forced, or known for each in a column ``fmt`` (null: every line malformed), with the columns to keep."""
     if fmt is not None:
         if fmt not in FORMATS:
             raise ValueError(f"format must be one of {', '.join(FORMATS)}")
-        return _PARSERS[fmt](lines)
-    parts = [_PARSERS[f](lines.where(F.col("fmt") == f)) for f in FORMATS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        lines = lines.withColumn("fmt", F.lit(fmt))
+    if "spots" in lines.columns:
+        return _parse(lines, keep)
+    plain = lambda df: df.withColumn("spots", F.lit(None).cast("array<int>"))
+    if fmt is not None:
+        return _parse(with_spots(lines) if fmt == "cloudfront" else plain(lines), keep)
+    cloudfront = F.coalesce(F.col("fmt") == "cloudfront", F.lit(False))
+    return _parse(plain(lines.where(~cloudfront)).unionByName(with_spots(lines.where(cloudfront))), keep)
+
+
+def parse_combined(lines: DataFrame) -> DataFrame:
+    return parse_lines(lines, "combined")
+
+
+def parse_alb(lines: DataFrame) -> DataFrame:
+    return parse_lines(lines, "alb")
+
+
+def parse_cloudfront(lines: DataFrame) -> DataFrame:
+    """Column positions come from the last good ``#Fields:`` header above a line in its file; a bad header is malformed and changes nothing."""
+    return parse_lines(lines, "cloudfront")
 
 
 def detect_by_file(lines: DataFrame) -> DataFrame:

@@ -46,6 +46,27 @@ def tally(records: DataFrame, since: datetime | None = None, own_host: str | Non
     ).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
 
 
+def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
+    """(kind, id, path, note, n, last_seen): everything a report needs from parsed lines, in one pass and one shuffle.
+
+    kind is ``crawler`` or ``referral`` for what tally() counts; ``lines`` for all other lines, by outcome (id) and
+    file (path); ``file`` for the status rows of the reader (line_no null), id ``whole`` or ``damaged``, with the first
+    line of a file of unknown format as note.
+    """
+    tagged = classify(parsed, own_host)
+    status = F.col("line_no").isNull()
+    hit = ~status & (F.col("crawler_id").isNotNull() | F.col("referral_id").isNotNull())
+    if since is not None:
+        hit = hit & (F.col("ts") >= F.lit(since.astimezone(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
+    hit = F.coalesce(hit, F.lit(False))
+    return tagged.groupBy(
+        F.when(status, "file").when(~hit, "lines").when(F.col("crawler_id").isNotNull(), "crawler").otherwise("referral").alias("kind"),
+        F.when(status, F.when(F.col("truncated"), "damaged").otherwise("whole")).when(~hit, F.col("outcome")).otherwise(F.coalesce("crawler_id", "referral_id")).alias("id"),
+        F.when(hit, F.col("path")).otherwise(F.col("file")).alias("path"),
+        F.when(status & F.col("fmt").isNull(), F.left("line", F.lit(300))).alias("note"),
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+
+
 def _by_id(t: DataFrame, kind: str, count: str) -> DataFrame:
     return t.where(F.col("kind") == kind).groupBy("id").agg(
         F.sum("n").cast("long").alias(count), F.count(F.lit(1)).alias("unique_pages"), F.max("last_seen").alias("last_seen")
@@ -96,21 +117,29 @@ def page_rows(t: DataFrame, top: int = DEFAULT_TOP) -> DataFrame:
     return grouped.orderBy(F.desc(F.col("crawler_requests") + F.col("referral_visits")), "path").limit(top)
 
 
-def summary(parsed: DataFrame, t: DataFrame) -> DataFrame:
-    """One row: records and skipped of all parsed lines (before any cut by time), AI crawler requests, AI referral visits."""
-    counts = parsed.agg(F.count_if(F.col("outcome") == "record").alias("records"), F.count_if(F.col("outcome") == "malformed").alias("skipped"))
+def summary(t: DataFrame) -> DataFrame:
+    """One row from tally_lines(): records and skipped of all lines (before any cut by time), AI crawler requests, AI referral visits."""
     general = [c[1] for c in catalogue.CRAWLERS if not c[6]]
-    sums = t.agg(
-        F.coalesce(F.sum(F.when((F.col("kind") == "crawler") & ~F.col("id").isin(*general), F.col("n"))), F.lit(0)).alias("ai_crawler_requests"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "referral", F.col("n"))), F.lit(0)).alias("ai_referral_visits"),
+    hit = F.col("kind").isin("crawler", "referral")
+    total = lambda cond, name: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long").alias(name)
+    return t.agg(
+        total(hit | ((F.col("kind") == "lines") & (F.col("id") == "record")), "records"),
+        total((F.col("kind") == "lines") & (F.col("id") == "malformed"), "skipped"),
+        total((F.col("kind") == "crawler") & ~F.col("id").isin(*general), "ai_crawler_requests"),
+        total(F.col("kind") == "referral", "ai_referral_visits"),
     )
-    return counts.crossJoin(sums)  # one row each
 
 
 @dataclass(frozen=True)
 class Report:
-    """The report's frames, still to be computed; to_dict() brings the few rows they have to the driver."""
+    """The report's frames, all derived from one tally (kept by the executors until release(), and worked out again where one is lost).
+
+    files says for each file that was read whether it is damaged, and the first line of one whose format is unknown.
+    to_dict() brings the few rows that the report itself has to the driver.
+    """
 
+    tally: DataFrame
+    files: DataFrame
     summary: DataFrame
     crawlers: DataFrame
     referrals: DataFrame
@@ -118,6 +147,9 @@ class Report:
     crawler_pages: DataFrame
     referral_pages: DataFrame
 
+    def release(self) -> None:
+        self.tally.unpersist()
+
     def to_dict(self) -> dict:
         def tops(df: DataFrame) -> dict[str, list]:
             out: dict[str, list] = {}
@@ -142,12 +174,17 @@ class Report:
         }
 
 
-def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DEFAULT_TOP, own_host: str | None = None) -> Report:
-    from botledger.operators.lines import records
-
+def report_of(t: DataFrame, top: int = DEFAULT_TOP) -> Report:
+    """The frames of a report from tally_lines()."""
     if top < 1:
         raise ValueError("top must be 1 or more")
-    t = tally(records(parsed), since, own_host)
-    return Report(
-        summary(parsed, t), crawler_rows(t), referral_rows(t), page_rows(t, top), top_pages(t, "crawler", top), top_pages(t, "referral", top)
-    )
+    files = t.where("kind = 'file'").select(F.col("path").alias("file"), (F.col("id") == "damaged").alias("damaged"), F.col("note").alias("first"))
+    return Report(t, files, summary(t), crawler_rows(t), referral_rows(t), page_rows(t, top), top_pages(t, "crawler", top), top_pages(t, "referral", top))
+
+
+def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DEFAULT_TOP, own_host: str | None = None) -> Report:
+    """The report of parsed lines, read once however many of its frames are used."""
+    for name, kind in (("truncated", "boolean"), ("fmt", "string")):
+        if name not in parsed.columns:
+            parsed = parsed.withColumn(name, F.lit(None).cast(kind))
+    return report_of(tally_lines(parsed, since, own_host).persist(), top)

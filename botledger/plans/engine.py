@@ -22,29 +22,40 @@ class Engine:
         return logfiles.read_lines(self.spark, paths, **options)
 
     def parse(self, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:
-        """Parsed lines (file, line_no, line, outcome, ts, path, status, ua, referrer) of files in any mix of formats."""
-        rows = self.lines(paths, **options).where("line_no is not null").select("file", "line_no", "line")
-        return lines.parse_lines(logfiles.with_format(rows, fmt, self._heads(paths)))
-
-    def _heads(self, paths: str | list[str]) -> DataFrame:
-        return self.lines(paths, head=True).select("file", "line_no", "line")
+        """Parsed lines (file, line_no, line, outcome, ts, path, status, ua, referrer) of files in any mix of formats; a file of unknown format is an error."""
+        if fmt is None:
+            heads = self.lines(paths, head=True)
+            logfiles.check_formats(heads.where("fmt is null").select("file", F.col("line").alias("first")))
+        return lines.parse_lines(self.lines(paths, fmt=fmt, **options).where("line_no is not null"))
 
     def parse_text(self, text: str, fmt: str | None = None) -> DataFrame:
         return lines.parse_lines(logfiles.with_format(logfiles.lines_from_text(self.spark, text), fmt))
 
     def file_stats(self, paths: str | list[str], fmt: str | None = None) -> DataFrame:
-        """(file, fmt, lines, records, skipped, truncated) of each file."""
-        rows = self.lines(paths)
-        tagged = logfiles.with_format(rows.where("line_no is not null").select("file", "line_no", "line"), fmt, self._heads(paths))
-        stats = lines.file_stats(lines.parse_lines(tagged)).join(tagged.groupBy("file").agg(F.first("fmt").alias("fmt")), "file")
-        whole = logfiles.truncated_files(rows).join(stats, "file", "left")
-        return whole.select("file", "fmt", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "records", "skipped")], "truncated")
+        """(file, fmt, lines, records, skipped, truncated) of each file, in one pass."""
+        parsed = lines.parse_lines(self.lines(paths, fmt=fmt), keep=["file", "line_no", "truncated", "fmt"])
+        count = lambda cond: F.count_if(F.col("line_no").isNotNull() & cond)
+        return parsed.groupBy("file").agg(
+            F.max("fmt").alias("fmt"), count(F.lit(True)).alias("lines"), count(F.col("outcome") == "record").alias("records"),
+            count(F.col("outcome") == "malformed").alias("skipped"), F.max("truncated").alias("truncated"),
+        )
 
     # reports
     def report(
-        self, paths: str | list[str], fmt: str | None = None, since: datetime | str | None = None, top: int = report.DEFAULT_TOP, own_host: str | None = None
+        self, paths: str | list[str], fmt: str | None = None, since: datetime | str | None = None, top: int = report.DEFAULT_TOP, own_host: str | None = None, **options: object
     ) -> report.Report:
-        return report.build_report(self.parse(paths, fmt), _since(since), top, own_host)
+        """The report of files in any mix of formats, each read once, long plain ones in ranges; a file of unknown format is an error."""
+        since = _since(since)
+        if top < 1:
+            raise ValueError("top must be 1 or more")
+        rows = self.lines(paths, fmt=fmt, **{"split": True} | options)
+        rep = report.build_report(lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"]), since, top, own_host)
+        try:
+            logfiles.check_formats(rep.files.where("first is not null"))
+        except BaseException:
+            rep.release()
+            raise
+        return rep
 
     def report_text(self, text: str, fmt: str | None = None, **options: object) -> report.Report:
         return report.build_report(self.parse_text(text, fmt), **options)

@@ -370,8 +370,7 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
     FROM ({req_sql()}) q LEFT JOIN {_DIMS_C} ON c.id = q.crawler""",
 )
 def report_summary(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
-    return report.summary(parsed, report.tally(lines.records(parsed)))
+    return report.build_report(_parsed(spark, sf_dir)).summary
 
 
 _CRAWLER_SQL = f"""SELECT c.id, c.vendor, c.vendor_name, c.token, c.purpose, c.ai_specific, count(*) AS requests, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen

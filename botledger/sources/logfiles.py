@@ -5,14 +5,21 @@ fails on padding after gzip data and has no mark for a damaged file. Here gzip i
 first two bytes and read over all members; a damaged file yields its complete lines and a
 ``truncated`` mark on its status row; invalid UTF-8 becomes U+FFFD; lines end at CRLF, CR or LF.
 
-Rows: file, line_no (from 1; null on the status row that ends each file), line, truncated.
-
-Plain files are split at line starts into ranges of ``splitBytes`` when ``split`` is true;
-line numbers then count from each range's byte offset upward (ordered, not dense), which is
-enough for everything but CloudFront's in-file headers, so it is off by default. ``head`` reads
-each file's first non-blank line alone. Files are opened where tasks run, so plain paths must be
-ones that every executor sees; addresses with a scheme (a store that only Spark reads) go through
-Spark's binary file source, a file (up to 2 GB) to a row, with the same decoding.
+Rows: file, line_no (from 1; null on the status row that ends each file), line, truncated, fmt,
+spots. The reader sees a file's first line, so it says the format of each line (``fmt``, null if
+the line fits none; the status row of such a file holds its first line), and it sees CloudFront's
+headers in order, so it says where the needed columns are (``spots``): nothing has to be
+joined or windowed to parse the rows, in batch or as a stream.
+
+Plain files are split at line starts into ranges when ``split`` is true; line numbers then count
+from each range's byte offset upward (ordered, not dense). CloudFront files, whose headers hold
+for the lines below them, and files that end lines at CR alone stay whole. ``head`` reads each
+file's first non-blank line alone. As a stream (``spark.readStream``) the source reads each file
+once, in order of modification time and path; files must come in whole (moved, not grown).
+
+Files are opened where tasks run, so plain paths must be ones that every executor sees. Addresses
+with a scheme go through pyarrow's file systems where these know it (ranges and any size), else
+through Spark's binary file source, a file (up to 2 GB, Spark's limit of a value) to a row.
 """
 
 from __future__ import annotations
@@ -20,20 +27,29 @@ from __future__ import annotations
 import glob
 import gzip
 import io
+import json
 import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from botledger.operators import lines as grammar
 
-SCHEMA = "file string, line_no bigint, line string, truncated boolean"
-_ARROW = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("truncated", pa.bool_())])
+SCHEMA = "file string, line_no bigint, line string, truncated boolean, fmt string, spots array<int>"
+_ARROW = pa.schema(
+    [("file", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("truncated", pa.bool_()), ("fmt", pa.string()), ("spots", pa.list_(pa.int32()))]
+)
 BATCH_LINES = 20_000
+#: Bytes of a range read at once, and those of a file looked at to plan its ranges.
+CHUNK = 1 << 20
+HEAD = 1 << 16
+#: Ranges are as long as gives every core a few, within these bounds.
+LEAST_RANGE, MOST_RANGE = 4 << 20, 128 << 20
 
 
 class UnknownFormatError(ValueError):
@@ -59,102 +75,175 @@ def lines_of(raw: io.BufferedIOBase, damaged: list[bool]) -> Iterator[str]:
             yield held
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, stop: int | None):
+def _first_line(lines: Iterator[str]) -> str | None:
+    return next((line.rstrip("\n") for line in lines if line and not line.isspace()), None)
+
+
+class _Sheet:
+    """Rows of one file on their way to Arrow: says the format once a line shows it, and keeps the spots of the last good header."""
+
+    def __init__(self, file: str, fmt: str | None, first: str | None = None):
+        self.file, self.fmt, self.first, self.forced = file, fmt, first, fmt is not None
+        self.spots: list[int] | None = None
+        self.lines: list[str] = []
+        self.runs: list[tuple[int, list[int] | None]] = []  # (rows from here on, spots)
+
+    def add(self, line: str) -> None:
+        if self.first is None and line and not line.isspace():
+            self.first = line
+            self.fmt = self.fmt if self.forced else grammar.format_of(line)
+        if self.fmt == "cloudfront" and line.startswith("#Fields:") and (spots := grammar.header_spots(line)):
+            self.spots = spots
+            self.runs.append((len(self.lines), spots))
+        self.lines.append(line)
+
+    def batch(self, numbers: np.ndarray) -> pa.RecordBatch:
+        n = len(self.lines)
+        if self.fmt == "cloudfront" and (self.runs or self.spots):
+            before = self.runs[0][0] if self.runs else n
+            cuts = [before] + [z - a for (a, _), z in zip(self.runs, [r[0] for r in self.runs[1:]] + [n])]
+            values = [self._old] + [s for _, s in self.runs]
+            parts = [np.tile(np.array(v, "<i4"), k) for k, v in zip(cuts, values) if v]
+            sizes = np.repeat([len(v or ()) for v in values], cuts)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<i4")
+            spots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, "<i4")), mask=pa.array(sizes == 0))
+        else:
+            spots = pa.nulls(n, pa.list_(pa.int32()))
+        out = pa.RecordBatch.from_arrays(
+            [pa.repeat(self.file, n), pa.array(numbers, pa.int64()), pa.array(self.lines, pa.string()), pa.nulls(n, pa.bool_()), _same(self.fmt, n), spots], schema=_ARROW
+        )
+        self.lines, self.runs = [], []
+        self._old = self.spots
+        return out
+
+    _old: list[int] | None = None
+
+    def status(self, damaged: bool) -> pa.RecordBatch:
+        unknown = self.first if self.fmt is None else None
+        return pa.RecordBatch.from_pylist([{"file": self.file, "line": unknown, "truncated": damaged, "fmt": self.fmt}], schema=_ARROW)
+
+
+def _same(value: str | None, n: int) -> pa.Array:
+    return pa.nulls(n, pa.string()) if value is None else pa.repeat(value, n)
+
+
+def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool) -> Iterator[pa.RecordBatch]:
+    """All rows of a file from its first byte on, or the row of its first line."""
+    damaged: list[bool] = []
+    sheet, at = _Sheet(file, fmt), 1
+    source = lines_of(raw, damaged)
+    if head:
+        for k, line in enumerate(source, 1):
+            if line and not line.isspace():
+                sheet.add(line.rstrip("\n"))
+                yield sheet.batch(np.array([k]))
+                return
+        return
+    for line in source:
+        sheet.add(line.rstrip("\n"))
+        if len(sheet.lines) >= BATCH_LINES:
+            n = len(sheet.lines)
+            yield sheet.batch(np.arange(at, at + n))
+            at += n
+    if sheet.lines:
+        yield sheet.batch(np.arange(at, at + len(sheet.lines)))
+    yield sheet.status(bool(damaged))
+
+
+def _range(file: str, f: io.BufferedReader, start: int, stop: int, fmt: str | None) -> Iterator[pa.RecordBatch]:
+    """Lines that start in the range, numbered by byte offset; a range's first line may have begun before it."""
+    with _open(file) as own:
+        first = _first_line(lines_of(own, []))
+    sheet = _Sheet(file, fmt or (grammar.format_of(first) if first is not None else None), first)
+    f.seek(max(0, start - 1))
+    at = start
+    if start:
+        at = start - 1 + len(f.readline())  # the rest of a line that an earlier range has, or the break before this one
+    while at < stop:
+        data = f.read(min(CHUNK, stop - at))
+        data += f.readline() if not data.endswith(b"\n") else b""
+        if not data:
+            break
+        text = data.decode("utf-8", "replace")
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        sheet.lines = text.split("\n")
+        if not sheet.lines[-1]:
+            sheet.lines.pop()
+        if sheet.lines:
+            yield sheet.batch(at + 1 + np.arange(len(sheet.lines)))
+        at += len(data)
+    if start == 0:
+        yield sheet.status(False)
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, start: int = 0, stop: int | None = None):
         self.path, self.start, self.stop = path, start, stop
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.split = str(options.get("split", "false")).lower() == "true"
+        flag = lambda name: str(options.get(name, "false")).lower() == "true"
+        self.split, self.head = flag("split"), flag("head")
         self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
-        self.head = str(options.get("head", "false")).lower() == "true"
-        self.paths = [p for spec in options["paths"].split("\n") for p in expand(spec)]
+        self.fmt = options.get("fmt") or None
+        self.paths = [p for p in options["paths"].split("\n") if p]
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
         for p in self.paths:
-            size = os.path.getsize(p)
-            with open(p, "rb") as f:
-                plain = f.read(2) != b"\x1f\x8b"
-            if self.split and plain and size > self.split_bytes:
-                out += [_Range(p, a, min(size, a + self.split_bytes)) for a in range(0, size, self.split_bytes)]
+            size = _size(p) if self.split and not self.head else 0
+            if size > self.split_bytes and self._by_lines(p):
+                out += [_Part(p, a, min(size, a + self.split_bytes)) for a in range(0, size, self.split_bytes)]
             else:
-                out.append(_Range(p, 0, None))
-        return out or [_Range("", 0, 0)]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
+                out.append(_Part(p))
+        return out or [_Part("")]
+
+    def _by_lines(self, path: str) -> bool:
+        """Whether a line can be read without those before it."""
+        with _open(path) as f:
+            head = f.read(HEAD)
+        if head[:2] == b"\x1f\x8b" or (b"\r" in head and b"\n" not in head):
+            return False
+        fmt = self.fmt or grammar.format_of(_first_line(io.StringIO(head.decode("utf-8", "replace"), newline=None)) or "")
+        return fmt in ("combined", "alb")
+
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        damaged: list[bool] = []
-        batch: list[tuple[int, str]] = []
-
-        def emit() -> pa.RecordBatch:
-            n = len(batch)
-            cols = [[part.path] * n, [k for k, _ in batch], [x.rstrip("\n") for _, x in batch], [None] * n]
-            batch.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
-
-        with open(part.path, "rb") as f:
-            source = self._whole(f, damaged) if part.stop is None else self._range(f, part)
-            for item in source:
-                if self.head:
-                    if item[1].isspace() or not item[1]:
-                        continue
-                    batch.append(item)
-                    break
-                batch.append(item)
-                if len(batch) >= BATCH_LINES:
-                    yield emit()
-        if batch:
-            yield emit()
-        if part.start == 0 and not self.head:
-            yield pa.RecordBatch.from_pylist([{"file": part.path, "line_no": None, "line": None, "truncated": bool(damaged)}], schema=_ARROW)
-
-    @staticmethod
-    def _whole(f: io.BufferedReader, damaged: list[bool]) -> Iterator[tuple[int, str]]:
-        yield from enumerate(lines_of(f, damaged), 1)
-
-    @staticmethod
-    def _range(f: io.BufferedReader, part: _Range) -> Iterator[tuple[int, str]]:
-        """Lines that start in the range, numbered by byte offset; a range's first line may have begun before it."""
-        f.seek(max(0, part.start - 1))
-        if part.start:
-            f.readline()  # the rest of a line that an earlier range has, or the break before this one
-        while (at := f.tell()) < part.stop:
-            line = f.readline()
-            if not line:
-                break
-            for i, piece in enumerate(io.StringIO(line.decode("utf-8", "replace"), newline=None)):
-                yield at + i + 1, piece
-
-
-def _from_store(head: bool):
-    """The source's rows from whole files as bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                damaged: list[bool] = []
-                rows: list[tuple] = []
-                for k, line in enumerate(lines_of(io.BufferedReader(io.BytesIO(content.as_py())), damaged), 1):
-                    if head and (not line or line.isspace()):
-                        continue
-                    rows.append((path, k, line.rstrip("\n"), None))
-                    if head:
-                        break
-                    if len(rows) >= BATCH_LINES:
-                        yield _rows(rows)
-                        rows = []
-                if not head:
-                    rows.append((path, None, None, bool(damaged)))
-                if rows:
-                    yield _rows(rows)
+        with _open(part.path) as f:
+            yield from _whole(part.path, f, self.fmt, self.head) if part.stop is None else _range(part.path, f, part.start, part.stop, self.fmt)
 
-    return run
 
+class _Stream(DataSourceStreamReader):
+    """Files of a folder, each once; the offset is the last one's modification time and path."""
+
+    def __init__(self, options: dict):
+        self.specs, self.fmt = [p for p in options["paths"].split("\n") if p], options.get("fmt") or None
+
+    def _files(self) -> list[tuple[int, str]]:
+        found = {p for s in self.specs for p in expand(s, missing=True)}
+        return sorted((os.stat(p).st_mtime_ns, p) for p in found)
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+    def initialOffset(self) -> dict:
+        return {"time": 0, "path": ""}
+
+    def latestOffset(self) -> dict:
+        files = self._files()
+        return dict(zip(("time", "path"), files[-1])) if files else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        low, high = (start["time"], start["path"]), (end["time"], end["path"])
+        return [_Part(p) for t, p in self._files() if low < (t, p) <= high] or [_Part("")]
+
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        if part.path:
+            with _open(part.path) as f:
+                yield from _whole(part.path, f, self.fmt, False)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class AccessLogSource(DataSource):
@@ -168,34 +257,93 @@ class AccessLogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options)
+
+
+def _remote(path: str):
+    """(file system, path in it) of an address that pyarrow reads, else null."""
+    from pyarrow import fs
+
+    try:
+        return fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
+        return None
+
 
-def expand(spec: str) -> list[str]:
-    """Files that a path, a folder or a pattern names, in order; an unreadable path is an error."""
+def _open(path: str) -> io.BufferedReader:
+    if "://" not in path:
+        return open(path, "rb")
+    store, name = _remote(path)
+    return io.BufferedReader(store.open_input_file(name))
+
+
+def _size(path: str) -> int:
+    if "://" not in path:
+        return os.path.getsize(path)
+    store, name = _remote(path)
+    return store.get_file_info(name).size
+
+
+def expand(spec: str, missing: bool = False) -> list[str]:
+    """Files that a path, a folder or a pattern names, in order; an unreadable path is an error unless it may be missing."""
     path = spec.removeprefix("file://")
+    if "://" in path:
+        from pyarrow import fs
+
+        store, name = _remote(path)
+        info, scheme = store.get_file_info(name), path[: path.index("://") + 3]
+        if info.type == fs.FileType.Directory:
+            return sorted(scheme + f.path for f in store.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File)
+        if info.type == fs.FileType.NotFound and not missing:
+            raise FileNotFoundError(f"not a file: {spec}")
+        return [path]
     if os.path.isdir(path):
         return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p))
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
-    missing = [p for p in found if not os.path.isfile(p)]
-    if missing or not found:
-        raise FileNotFoundError(f"not a file: {(missing or [spec])[0]}")
+    absent = [p for p in found if not os.path.isfile(p)]
+    if missing:
+        return [p for p in found if p not in absent]
+    if absent or not found:
+        raise FileNotFoundError(f"not a file: {(absent or [spec])[0]}")
     return found
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], **options: object) -> DataFrame:
+def _from_store(head: bool, fmt: str | None):
+    """The source's rows from whole files as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                yield from _whole(path, io.BufferedReader(io.BytesIO(content.as_py())), fmt, head)
+
+    return run
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:
     """The source's rows for one path or several (files, folders, patterns; local or in any store Spark reads)."""
+    if fmt is not None and fmt not in grammar.FORMATS:
+        raise ValueError(f"format must be one of {', '.join(grammar.FORMATS)}")
     specs = [paths] if isinstance(paths, str) else list(paths)
-    if any("://" in s and not s.startswith("file://") for s in specs):
+    if any("://" in s and not s.startswith("file://") and (_remote(s) is None or glob.has_magic(s)) for s in specs):
         head = str(options.get("head", "false")).lower() == "true"
-        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(head), SCHEMA)
-    for s in specs:
-        expand(s)
+        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(head, fmt), SCHEMA)
+    files = [p for s in specs for p in expand(s)]
     spark.dataSource.register(AccessLogSource)
-    reader = spark.read.format("accesslog").option("paths", "\n".join(specs))
+    if str(options.get("split", "false")).lower() == "true" and not {"splitBytes", "splitbytes"} & set(options):
+        total = sum(_size(p) for p in files)
+        options["splitBytes"] = max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
+    reader = spark.read.format("accesslog").option("paths", "\n".join(files)).option("fmt", fmt or "")
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
 
 
+def stream_lines(spark: SparkSession, folder: str, fmt: str | None = None) -> DataFrame:
+    """The source's rows of the files that come into a folder (or match a pattern), as a stream."""
+    spark.dataSource.register(AccessLogSource)
+    return spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").load()
+
+
 def lines_from_text(spark: SparkSession, text: str, file: str = "pasted") -> DataFrame:
     """Rows of a pasted log."""
     df = spark.createDataFrame([(file, text)], "file string, text string")
@@ -204,21 +352,19 @@ def lines_from_text(spark: SparkSession, text: str, file: str = "pasted") -> Dat
     return rows.where((F.col("line") != "") | (F.col("at") < last)).select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
-def with_format(lines: DataFrame, fmt: str | None = None, heads: DataFrame | None = None) -> DataFrame:
-    """lines plus ``fmt``: forced, or found per file and joined back; a file of unknown format is an error that names its first line.
+def check_formats(unknown: DataFrame) -> None:
+    """An error that names the first of unknown(file, first), if there is any row."""
+    row = unknown.select("file", F.left("first", F.lit(300)).alias("first")).orderBy("file").first()
+    if row is not None:
+        raise UnknownFormatError(f"{row['file']}: no known log format; its first line is: {row['first']}")
+
 
-    ``heads`` (the source read with ``head``) has each file's first line alone, so that finding formats doesn't read the files twice.
-    """
+def with_format(lines: DataFrame, fmt: str | None = None) -> DataFrame:
+    """lines(file, line_no, line) plus ``fmt``: forced, or found per file and joined back; a file of unknown format is an error that names its first line."""
     if fmt is not None:
         if fmt not in grammar.FORMATS:
             raise ValueError(f"format must be one of {', '.join(grammar.FORMATS)}")
         return lines.withColumn("fmt", F.lit(fmt))
-    per_file = grammar.detect_by_file(lines if heads is None else heads)
-    unknown = per_file.where("fmt is null").select("file", F.left("first", F.lit(300)).alias("first")).orderBy("file").first()
-    if unknown is not None:
-        raise UnknownFormatError(f"{unknown['file']}: no known log format; its first line is: {unknown['first']}")
+    per_file = grammar.detect_by_file(lines)
+    check_formats(per_file.where("fmt is null"))
     return lines.join(per_file.select("file", "fmt"), "file", "left")
-
-
-def truncated_files(rows: DataFrame) -> DataFrame:
-    return rows.where("line_no is null").select("file", "truncated")

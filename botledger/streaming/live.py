@@ -1,8 +1,10 @@
 """Streams: tagging requests, a running report, sessions with state, and callbacks.
 
-The running report keeps one state row per (kind, id, path) - the batch tally - so distinct
-pages stay exact without a distinct aggregate, which streams don't have; each micro-batch hands
-the changed tally rows to a merge, and report frames are derived from the merged table.
+The running report keeps one state row per group of the batch tally - pages by crawler or product,
+other lines by outcome and file - so distinct pages, records and skipped lines stay exact without a
+distinct aggregate, which streams don't have. Each micro-batch writes the groups it changed (update
+mode) beside the checkpoint; the report is derived from the latest row of each group, and every
+COMPACT batches these are written together.
 """
 
 from __future__ import annotations
@@ -11,23 +13,41 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from botledger.operators import lines, report, sessions
 from botledger.operators.classify import classify, log_line, match_struct
+from botledger.sources import logfiles
 
 _log = logging.getLogger(__name__)
+#: Batches whose changes are kept apart before they are written together.
+COMPACT = 16
+
+
+def parsed_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Parsed lines of a stream: of the ``accesslog`` source in any format (it knows CloudFront's headers), or of plain lines (column value) in a line-by-line one."""
+    if "spots" in rows.columns:
+        return lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"])
+    if fmt not in ("combined", "alb"):
+        raise ValueError("CloudFront lines depend on headers above them and other formats must be named; read such files through the accesslog source")
+    rows = rows.select(
+        F.lit("stream").alias("file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("line"), F.lit(False).alias("truncated"), F.lit(fmt).alias("fmt"),
+        F.lit(None).cast("array<int>").alias("spots"),
+    )
+    return lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"])
+
 
+def parse_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
+    """Records of a stream (see parsed_stream)."""
+    return lines.records(parsed_stream(rows, fmt))
 
-def parse_stream(text_lines: DataFrame, fmt: str) -> DataFrame:
-    """Records of a stream of lines (column value) in one line-by-line format."""
-    if fmt == "cloudfront":
-        raise ValueError("CloudFront lines depend on headers above them; read such files in batch")
-    rows = text_lines.select(F.lit("stream").alias("file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("line"))
-    return lines.records(lines.parse_lines(rows, fmt))
+
+def log_stream(spark: SparkSession, folder: str, fmt: str | None = None) -> DataFrame:
+    """Parsed lines of the log files that come into a folder: gzip by magic bytes, kept BOM, any format, as in batch."""
+    return parsed_stream(logfiles.stream_lines(spark, folder, fmt))
 
 
 def tag(requests: DataFrame, own_host: str | None = None) -> DataFrame:
@@ -42,25 +62,52 @@ def header_value(headers: Column, name: str) -> Column:
     return F.coalesce(F.decode(F.get(hits, F.size(hits) - 1)["value"], "ISO-8859-1"), F.lit(""))
 
 
-def running_tally(records: DataFrame, own_host: str | None = None) -> DataFrame:
-    return report.tally(records, own_host=own_host)
+def latest_tally(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
+    """The tally as the batches up to one (all by default) left it: of each group the row of its last change."""
+    rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    if upto is not None:
+        rows = rows.where(F.col("batch") <= upto)
+    values, group = ["n", "last_seen"], ["kind", "id", "path", "note"]
+    last = rows.groupBy(*group).agg(F.max(F.struct("batch", *values)).alias("v"))
+    return last.select(*group, *[F.col(f"v.{c}").alias(c) for c in values])
+
 
+def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None):
+    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far.
 
-def start_report(records: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None):
-    """A query that, after each micro-batch, hands over the report of everything so far."""
-    def emit(t: DataFrame, _: int) -> None:
-        t.persist()
+    Batch numbers name what is written, so a batch that is run again after a failure replaces its own output.
+    """
+    folder = f"{checkpoint.rstrip('/')}/tally"
+
+    def emit(changed: DataFrame, number: int) -> None:
+        spark = changed.sparkSession
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        t = latest_tally(spark, folder, number).persist()
         try:
-            empty = t.sparkSession.createDataFrame([], "outcome string")
-            on_batch(
-                report.Report(
-                    report.summary(empty, t), report.crawler_rows(t), report.referral_rows(t), report.page_rows(t), report.top_pages(t, "crawler"), report.top_pages(t, "referral")
-                )
-            )
+            on_batch(report.report_of(t))
+            if number % COMPACT == COMPACT - 1:
+                _compact(t, folder, number)
         finally:
             t.unpersist()
 
-    return running_tally(records, own_host).writeStream.outputMode("complete").foreachBatch(emit).option("checkpointLocation", checkpoint).start()
+    tally = report.tally_lines(parsed, own_host=own_host)
+    return tally.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint).start()
+
+
+def _compact(t: DataFrame, folder: str, number: int) -> None:
+    """Write the whole tally as of a batch, then drop the changes it holds; the batch's own are replaced last, as a stop in between loses nothing."""
+    spark = t.sparkSession
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    whole = f"{folder}/.whole-{number}"
+    t.write.mode("overwrite").parquet(whole)
+    files = path(folder).getFileSystem(conf)
+    own = path(f"{folder}/batch={number}")
+    files.delete(own, True)
+    files.rename(path(whole), own)
+    for s in files.listStatus(path(folder)):
+        name = s.getPath().getName()
+        if name.startswith("batch=") and int(name.removeprefix("batch=")) < number:
+            files.delete(s.getPath(), True)
 
 
 def on_match(requests: DataFrame, callback: Callable[[dict], None], checkpoint: str, own_host: str | None = None):
@@ -106,15 +153,14 @@ class _Attribution(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         seen = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         source = self._last.get()[0] if self._last.exists() else None
-        out = []
-        for r in seen.itertuples(index=False):
-            own = r.own if isinstance(r.own, str) else None
-            source = own or source
-            landing = None if source is None else own is not None and r.nav_type not in sessions.REVISITS
-            out.append((key[0], r.ts, r.seq, source, landing))
+        carried = seen["own"].astype(object).where(seen["own"].notna(), None).ffill()
         if source is not None:
-            self._last.update((source,))
-        yield pd.DataFrame(out, columns=["session_id", "ts", "seq", "source", "landing"])
+            carried = carried.fillna(source)
+        landing = (seen["own"].notna() & ~seen["nav_type"].isin(sessions.REVISITS)).astype(object).where(carried.notna(), None)
+        if len(carried) and pd.notna(carried.iloc[-1]):
+            self._last.update((carried.iloc[-1],))
+        carried = carried.where(carried.notna(), None)
+        yield pd.DataFrame({"session_id": key[0], "ts": seen["ts"], "seq": seen["seq"], "source": carried, "landing": landing})
 
     def close(self) -> None:
         pass

@@ -96,6 +96,33 @@ def test_report_of_mixed_files(engine, tmp_path):
     assert engine.report(paths, since="2026-03-03T09:30:00Z").to_dict()["crawlers"][0]["requests"] == 1
 
 
+def test_report_reads_each_file_once(engine, tmp_path):
+    """All frames of a report come from one scan, parsed without moving a line; long plain files are read in ranges."""
+    big = put(tmp_path, "big.log", b"".join(LINE.replace(b"/a", b"/%d" % (i % 50)) for i in range(3000)) + b"broken\n")
+    rep = engine.report([big, put(tmp_path, "g.log", gzip.compress(LINE * 10)[:-12])], splitBytes=20_000)
+    initial = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert initial(rep.tally).count("BatchScan") == 1 == initial(rep.tally).count("Exchange") and "SortAggregate" not in initial(rep.tally)
+    for frame in (rep.summary, rep.crawlers, rep.referrals, rep.pages, rep.crawler_pages, rep.referral_pages, rep.files):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "InMemoryTableScan" in text and initial(frame).count("BatchScan") == 1
+    assert engine.lines(big, split=True, splitBytes=20_000).rdd.getNumPartitions() > 10
+    data = rep.to_dict()
+    assert data["summary"]["records"] >= 3000 and data["summary"]["skipped"] == 1 and data["crawlers"][0]["unique_pages"] >= 50
+    assert [r["damaged"] for r in rep.files.orderBy("file").collect()] == [False, True]
+    rep.release()
+
+
+def test_ranges_agree_with_whole_files(engine, tmp_path):
+    """CRLF, invalid bytes and a missing last line end give the same report in ranges; CloudFront and CR files stay whole."""
+    rows = b"".join(LINE.replace(b"/a", b"/%d" % (i % 9)).replace(b"\n", [b"\n", b"\r\n"][i % 2]).replace(b"GPTBot", [b"GPTBot", b"\xe2\x82"][i % 5 == 0]) for i in range(500))
+    path = put(tmp_path, "m.log", rows + LINE[:-1])
+    cr = put(tmp_path, "cr.log", LINE.replace(b"\n", b"\r") * 400)
+    for p in (path, cr):
+        whole, parts = (engine.report(p, split=s, splitBytes=1000).to_dict() for s in (False, True))
+        assert whole == parts and whole["summary"]["skipped"] == 0
+    assert engine.lines(cr, split=True, splitBytes=1000).rdd.getNumPartitions() == 1
+
+
 def test_empty_log(engine, tmp_path):
     data = engine.report(put(tmp_path, "e.log", b"\n")).to_dict()
     assert data["summary"]["records"] == 0 and data["crawlers"] == data["referrals"] == data["pages"] == []

@@ -8,19 +8,45 @@ from botledger.streaming import live
 LINE = '198.51.100.7 - - [03/Mar/2026:10:00:0{n} +0000] "GET /p{n} HTTP/1.1" 200 5 "{ref}" "{ua}"'
 
 
-def test_running_report(spark, tmp_path):
+def test_running_report(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "1.log").write_text("\n".join(LINE.format(n=n % 3, ref="-", ua="GPTBot") for n in range(6)) + "\nbroken\n")
     (folder / "2.log").write_text(LINE.format(n=5, ref="https://claude.ai/", ua="Mozilla") + "\n")
+    (folder / "3.log").write_text(LINE.format(n=1, ref="-", ua="GPTBot") + "\n" + LINE.format(n=7, ref="-", ua="x") + "\nno\n")
     seen = []
-    stream = live.parse_stream(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(folder)), "combined")
-    q = live.start_report(stream, lambda rep: seen.append((rep.crawlers.collect(), rep.referrals.collect())), str(tmp_path / "cp"))
+    stream = live.parsed_stream(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(folder)), "combined")
+    q = live.start_report(stream, lambda rep: seen.append((rep.crawlers.collect(), rep.referrals.collect(), rep.summary.first().asDict())), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    crawlers, referrals = seen[-1]
-    assert [(r["id"], r["requests"], r["unique_pages"]) for r in crawlers] == [("openai-gptbot", 6, 3)]
+    crawlers, referrals, summary = seen[-1]
+    assert len(seen) == 3
+    assert [(r["id"], r["requests"], r["unique_pages"]) for r in crawlers] == [("openai-gptbot", 7, 3)]
     assert [(r["id"], r["visits"]) for r in referrals] == [("claude", 1)]
+    assert summary == {"records": 9, "skipped": 2, "ai_crawler_requests": 7, "ai_referral_visits": 1}
+    assert seen[0][2]["records"] < 9
+
+
+def test_stream_of_log_files(spark, tmp_path):
+    """Files of all formats come in one after another, gzip without a name for it among them; the running report is the batch report."""
+    import gzip
+
+    from botledger.plans.engine import Engine
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    fields = "#Version: 1.0\n#Fields: date time cs-uri-stem sc-status cs(Referer) cs(User-Agent)\n"
+    cloudfront = fields + "2026-03-03\t09:00:00\t/caf%C3%A9\t200\thttps://claude.ai/\tMozilla%20x\n#Fields: sc-status date time cs-uri-stem cs(User-Agent) cs(Referer)\n404\t2026-03-03\t09:00:01\t/b\tGPTBot\t-\n"
+    alb = 'h2 2026-03-03T09:30:00.999999Z app/x 1.2.3.4:5 10.0.0.1:80 0 0 0 200 200 1 2 "GET https://h.example:443/a HTTP/2.0" "gptbot" x y\n'
+    seen = []
+    q = live.start_report(live.log_stream(spark, str(folder)), lambda rep: seen.append(rep.to_dict()), str(tmp_path / "cp"))
+    for name, data in (("c", gzip.compress(cloudfront.encode())), ("a", alb.encode()), ("n", (LINE.format(n=1, ref="-", ua="ClaudeBot") + "\nbroken\n").encode())):
+        (folder / name).write_bytes(data)
+        q.processAllAvailable()
+    q.stop()
+    assert seen[-1] == Engine(spark).report(str(folder)).to_dict()
+    assert seen[-1]["summary"] == {"records": 4, "skipped": 1, "ai_crawler_requests": 3, "ai_referral_visits": 1}
 
 
 def test_tags_and_callbacks(spark, tmp_path):
