@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from botledger.functions.text import let, strip, web_trim
+from botledger.functions.text import let, percent_decode, strip, web_trim
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
@@ -58,11 +62,16 @@ _LOCAL = [".localhost", ".local", ".internal", ".home.arpa"]
 def domain_input(c: Column) -> Column:
     """What a domain checker makes of typed text: struct(ok, host, origin, reason).
 
-    ASCII hosts are read natively; other hosts are invalid here (see idna_host for these).
+    ASCII hosts are read natively; other hosts are invalid here (see site_input for these).
     """
     return let(web_trim(c), _typed_site)
 
 
+def site_input(c: Column) -> Column:
+    """domain_input() of text whose host may have letters beyond ASCII."""
+    return domain_input(ascii_site(c))
+
+
 def _typed_site(s: Column) -> Column:
     full = F.when(s.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), s).otherwise(F.concat(F.lit("https://"), s))
     net = F.substring_index(F.regexp_extract(full, r"(?s)^[^:]*://([^/?#\\]*)", 1), "@", -1)
@@ -72,7 +81,7 @@ def _typed_site(s: Column) -> Column:
 def _site_parts(p: Column) -> Column:
     bracket = F.startswith(p["net"], F.lit("["))
     port = F.when(bracket, F.regexp_extract(p["net"], r"\]:(.*)$", 1)).otherwise(F.regexp_extract(p["net"], r":(.*)$", 1))
-    host = F.lower(F.when(bracket, F.regexp_extract(p["net"], r"^(\[[^\]]*\])", 1)).otherwise(F.substring_index(p["net"], ":", 1)))
+    host = F.lower(F.when(bracket, F.regexp_extract(p["net"], r"^(\[[^\]]*\])", 1)).otherwise(percent_decode(F.substring_index(p["net"], ":", 1))))
     return let(F.struct(p["s"].alias("s"), p["scheme"].alias("scheme"), port.alias("port"), F.regexp_replace(host, r"\.$", "").alias("host")), _judge_site)
 
 
@@ -83,11 +92,13 @@ def _judge_site(p: Column) -> Column:
         ~scheme.isin("http", "https") | (host == "") | ((port != "") & (~port.rlike("^[0-9]{1,5}$") | (number > 65535)))
         | (~bracket & host.rlike(r"[^a-z0-9._~!$&'()*+,;=\-]"))
     )
+    address = ~bracket & host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$")
+    bad = bad | (address & ~_is_ipv4(host))
     local = (host == "localhost") | ~F.contains(host, F.lit("."))
     for suffix in _LOCAL:
         local = local | F.endswith(host, F.lit(suffix))
     reason = (
-        F.when(p["s"] == "", "empty").when(bad, "invalid").when(bracket | host.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(local, "local")
+        F.when(p["s"] == "", "empty").when(bad, "invalid").when(bracket | address, "ip").when(local, "local")
     )
     default = ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443))
     tail = F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string")))
@@ -97,18 +108,46 @@ def _judge_site(p: Column) -> Column:
     )
 
 
-def idna_host(c: Column) -> Column:
-    """Punycode of a host with letters beyond ASCII (the one function here that needs Python, in Arrow batches)."""
-    import pandas as pd
+def _is_ipv4(host: Column) -> Column:
+    """Whether a host of numbers is an IPv4 address as browsers read it: one to four parts, decimal, octal or hexadecimal, the last as wide as is left."""
+    def number(x: Column) -> Column:
+        hexa, octal = F.regexp_extract(x, "^0x0*([0-9a-f]{0,12})$", 1), F.regexp_extract(x, "^0+([0-7]{0,14})$", 1)
+        digits = lambda d, base: F.conv(F.when(d == "", F.lit("0")).otherwise(d), base, 10).cast("long")
+        return F.when(x.rlike("^0x0*[0-9a-f]{0,12}$"), digits(hexa, 16)).when(x.rlike("^0+[0-7]{0,14}$"), digits(octal, 8)).when(x.rlike("^[1-9][0-9]{0,11}$"), x.try_cast("long"))
+
+    def fits(n: Column) -> Column:
+        size = F.size(n)
+        small = F.forall(F.slice(n, 1, F.greatest(size - 1, F.lit(0))), lambda x: x < 256)
+        known = F.forall(n, lambda x: x.isNotNull())
+        return F.coalesce((size <= 4) & known & small & (F.element_at(n, -1) < F.pow(F.lit(256.0), 5 - size)), F.lit(False))
+
+    return let(F.transform(F.split(host, r"\."), number), fits)
+
+
+_SITE = r"(?s)^(\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#\\]*@)?)([^/?#\\:@]*)(.*)$"
+
+
+def _ascii_host(host: str) -> str | None:
+    """A host's labels as browsers ask for them: folded, normalised and in Punycode; null for signs that no host may hold."""
+    kept = "\u00df\u03c2\u200c\u200d"
+    folded = unicodedata.normalize("NFKC", "".join(c if c in kept else c.casefold() for c in unicodedata.normalize("NFC", host)))
+    labels = re.split("[.\u3002]", folded)
+    if any(unicodedata.category(c)[0] in "CZ" and c not in kept for c in "".join(labels)):
+        return None
+    return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
+
 
-    def encode(hosts: pd.Series) -> pd.Series:
-        def one(h: str | None) -> str | None:
-            try:
-                return None if h is None else h.encode("idna").decode()
-            except UnicodeError:
-                return None
+def ascii_site(c: Column) -> Column:
+    """Typed text with its host in Punycode (the one function here that needs Python, in Arrow batches); text with an impossible host stays as it is."""
+    def encode(texts: pd.Series) -> pd.Series:
+        def one(text: str) -> str:
+            if text.isascii():
+                return text
+            start, host, rest = re.match(_SITE, text).groups()
+            made = _ascii_host(host.rstrip()) if not host.isascii() else host
+            return text if made is None else start + made + rest
 
-        return hosts.map(one, na_action=None)
+        return texts.map(one, na_action="ignore")
 
     return F.pandas_udf(encode, "string")(c)
 

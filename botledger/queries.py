@@ -7,10 +7,17 @@ the lines were rendered from. Cases of scalar functions are rows with the result
 
 from __future__ import annotations
 
+import functools
+import gzip
+import hashlib
 import os
+import tempfile
+import uuid
+import zlib
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,9 +281,14 @@ cases(
         ("example.com", "https://example.com"), (" HTTP://Example.com:80/x ", "https://example.com"), ("https://example.com:8443/x?y", "https://example.com:8443"), ("example.com.", "https://example.com"),
         ("", "empty"), ("  ", "empty"), ("ftp://example.com", "invalid"), ("127.0.0.1", "ip"), ("https://[::1]/", "ip"), ("localhost", "local"), ("intranet", "local"), ("a.local", "local"),
         ("x.home.arpa", "local"), ("https://exa mple.com", "invalid"), ("https://example.com:99999", "invalid"), ("https://", "invalid"), ("user@example.com/path", "https://example.com"),
+        ("münchen.example", "https://xn--mnchen-3ya.example"), (" https://user@STRAßE.example:8443/xü ", "https://xn--strae-oqa.example:8443"), ("日本。example", "https://xn--wgv71a.example"),
+        ("ｅxample.com", "https://example.com"), ("abü.example", "invalid"), ("example.com/ü", "https://example.com"), ("%65xample.com", "https://example.com"),
+        ("127.1", "ip"), ("0x7f.0.0.1", "ip"), ("2130706433", "ip"), ("0300.0250.1", "ip"), ("10.0.0.1.", "ip"), ("256.1.1.1", "invalid"), ("1.2.3.4.5", "invalid"), ("1.2.3.09", "invalid"), ("example.7", "invalid"),
+        ("1.2.3.4.example", "https://1.2.3.4.example"),
     ],
-    lambda c: F.coalesce(u.domain_input(c)["origin"], u.domain_input(c)["reason"]),
+    lambda c: F.transform(F.array(u.site_input(c)), lambda s: F.coalesce(s["origin"], s["reason"]))[0],
 )
+cases("check_link", [("localhost", "/en/?check=localhost"), ("https://a.example:8/x?y=1&z", "/en/?check=https%3A%2F%2Fa.example%3A8%2Fx%3Fy%3D1%26z"), ("bü.example", "/en/?check=b%C3%BC.example")], lambda c: u.check_link(F.lit("/en/"), c))
 cases("check_value", [("https://chatgpt.com/", "url"), ("GPTBot/1.0", "ua"), ("see https://x.example/", "ua"), (" https://x.example/a ", "url"), ("https://", "ua")], lambda c: F.when(u.is_url(c), "url").otherwise("ua"))
 cases(
     "bare_host_hint",
@@ -446,6 +458,129 @@ def report_since(spark, sf_dir):
     return report.crawler_rows(_tally(spark, sf_dir, since=_SINCE)).select("id", "requests")
 
 
+def _files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of log files, one for each log of the rendered requests, written by the tasks that render them; it stays for the session.
+
+    log0: combined, CRLF ends, a blank line first; log1: ALB, gzip in two members, padded with zeros; log2: CloudFront, gzip without a name
+    for it, that breaks off behind its last whole line; log3: combined again, CR ends, an invalid byte in each line's first field.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        folder = shared_folder(spark)
+        req = requests(spark, sf_dir)
+        rows = combined_lines(req).where("file in ('log0', 'log3')").unionByName(alb_lines(req).where("file = 'log1'")).unionByName(cloudfront_lines(req).where("file = 'log2'"))
+
+        def write(name, part):
+            body = part.sort_values("line_no")["line"].tolist()
+            text = "".join(x + "\n" for x in body)
+            if name[0] == "log0":
+                data = b" \r\n" + text.replace("\n", "\r\n").encode()
+            elif name[0] == "log1":
+                cut = text.index("\n", len(text) // 2) + 1
+                data = gzip.compress(text[:cut].encode()) + gzip.compress(text[cut:].encode()) + bytes(100)
+            elif name[0] == "log2":
+                tail = "".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(4000))  # an unfinished line that the cut goes through
+                press = zlib.compressobj(9, zlib.DEFLATED, 31)
+                data = press.compress(text.encode()) + press.flush(zlib.Z_FULL_FLUSH)
+                data += (press.compress(tail.encode()) + press.flush())[:-20_000]
+            else:
+                data = text.replace("\n", "\r").encode().replace(b"203.0.113.", b"\xff.")
+            with open(os.path.join(folder, name[0]), "wb") as f:
+                f.write(data)
+            return pd.DataFrame({"file": [name[0]], "size": [len(data)]})
+
+        if rows.groupBy("file").applyInPandas(write, "file string, size long").count() != 4:
+            raise RuntimeError("not all logs were written")
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see: in spark.checkpoint.dir, or a temporary one in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return tempfile.mkdtemp(prefix="botledger-")
+    path = os.path.join(shared.removeprefix("file://"), f"botledger-logs-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
+
+
+@query(
+    "read_files",
+    f"""SELECT file, CASE file WHEN 'log1' THEN 'alb' WHEN 'log2' THEN 'cloudfront' ELSE 'combined' END AS fmt, count(*) + CASE file WHEN 'log0' THEN 1 WHEN 'log2' THEN 3 ELSE 0 END AS lines,
+    count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) + CASE file WHEN 'log2' THEN 1 ELSE 0 END AS skipped, file = 'log2' AS truncated FROM ({req_sql()}) GROUP BY file""",
+)
+def read_files(spark, sf_dir):
+    """Files as the reader finds them: line ends, blank lines, gzip members, padding, damage, formats."""
+    from botledger.plans.engine import Engine
+
+    return Engine(spark).file_stats(_files(spark, sf_dir)).withColumn("file", F.substring_index("file", "/", -1))
+
+
+@query(
+    "read_records",
+    f"""SELECT file, strftime(CASE WHEN file = 'log1' THEN ts ELSE sec END, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, CASE file WHEN 'log2' THEN path || '/café' ELSE path END AS path,
+    CAST(status AS INTEGER) AS status, CASE file WHEN 'log1' THEN replace(ua, '"', '''') ELSE ua END AS ua, CASE file WHEN 'log1' THEN '' ELSE referrer END AS referrer FROM {_GOOD}""",
+)
+def read_records(spark, sf_dir):
+    """Records of the files, long plain ones read in ranges."""
+    from botledger.plans.engine import Engine
+
+    found = lines.records(Engine(spark).parse(_files(spark, sf_dir), split=True, splitBytes=100_000))
+    return found.select(F.substring_index("file", "/", -1).alias("file"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"), "path", "status", "ua", "referrer")
+
+
+_READ = f"""(SELECT CASE file WHEN 'log2' THEN path || '/café' ELSE path END AS path, crawler, CASE WHEN crawler IS NULL AND file <> 'log1' THEN any_product END AS product,
+    date_trunc('second', ts) AS sec FROM {_GOOD})"""
+
+
+@query(
+    "read_report",
+    f"""SELECT 'crawler' AS kind, crawler AS id, count(*) AS n, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen FROM {_READ} WHERE crawler IS NOT NULL GROUP BY crawler
+    UNION ALL SELECT 'referral', product, count(*), count(DISTINCT path), {_ISO.format('max(sec)')} FROM {_READ} WHERE product IS NOT NULL GROUP BY product
+    UNION ALL SELECT 'records', 'all', count(*) FILTER (NOT broken), 0, '' FROM ({req_sql()}) UNION ALL SELECT 'skipped', 'all', count(*) FILTER (broken) + 1, 0, '' FROM ({req_sql()})
+    UNION ALL SELECT 'damaged', 'log2', 1, 0, ''""",
+)
+def read_report(spark, sf_dir):
+    """The report over files of all formats, from the one pass that reads them."""
+    from botledger.plans.engine import Engine
+
+    rep = Engine(spark).report(_files(spark, sf_dir))
+    row = lambda df, kind, key, n, pages=F.lit(0), seen=F.lit(""): df.select(
+        F.lit(kind).alias("kind"), key.alias("id"), n.cast("long").alias("n"), pages.cast("long").alias("unique_pages"), seen.alias("last_seen")
+    )
+    parts = [
+        row(rep.crawlers, "crawler", F.col("id"), F.col("requests"), F.col("unique_pages"), F.col("last_seen")),
+        row(rep.referrals, "referral", F.col("id"), F.col("visits"), F.col("unique_pages"), F.col("last_seen")),
+        row(rep.summary, "records", F.lit("all"), F.col("records")),
+        row(rep.summary, "skipped", F.lit("all"), F.col("skipped")),
+        row(rep.files.where("damaged"), "damaged", F.substring_index("file", "/", -1), F.lit(1)),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_PASTED = [
+    '198.51.100.1 - - [03/Mar/2026:10:00:00 +0000] "GET /p1?x HTTP/1.1" 200 5 "-" "GPTBot/1.1"', "", "broken",
+    '198.51.100.1 - - [03/Mar/2026:10:00:01 +0000] "GET /p2 HTTP/1.1" 404 5 "https://claude.ai/" "Mozilla"',
+]
+
+
+@query(
+    "pasted_text",
+    "SELECT CAST(a AS BIGINT) AS line_no, b AS outcome, c AS path, CAST(d AS INTEGER) AS status FROM "
+    + values([(1, "record", "/p1", 200), (2, "blank", None, None), (3, "malformed", None, None), (4, "record", "/p2", 404)], "a, b, c, d"),
+)
+def pasted_text(spark, sf_dir):
+    from botledger.plans.engine import Engine
+
+    return Engine(spark).parse_text("\r".join(_PASTED[:2]) + "\r\n" + "\n".join(_PASTED[2:])).select("line_no", "outcome", "path", "status")
+
+
 @query("file_stats", f"SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped FROM ({req_sql()}) GROUP BY file")
 def file_stats(spark, sf_dir):
     return lines.file_stats(_parsed(spark, sf_dir))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA_VERSION = 1
@@ -79,16 +82,18 @@ _SOURCES = {"perplexity": _CUSTOM_SOURCES, "copilot": _CUSTOM_SOURCES, "grok": _
 
 PURPOSES = ("training", "user_fetch", "search_index")
 
-#: ord, id, vendor, vendor_name, token, purpose, ai_specific, robots_only, vendor_documented, docs_url
+MATCHES = ("user_agent", "robots_only")
+
+#: ord, id, vendor, vendor_name, token, purpose, ai_specific, robots_only, vendor_documented, docs_url, added
 CRAWLERS = [
-    (i, f"{vendor}-{token.lower()}", vendor, name, token, purpose, mark != "general", mark == "robots_only", mark != "undocumented", _DOCS.get(token, _DOCS.get(vendor)))
+    (i, f"{vendor}-{token.lower()}", vendor, name, token, purpose, mark != "general", mark == "robots_only", mark != "undocumented", _DOCS.get(token, _DOCS.get(vendor)), UPDATED)
     for i, (vendor, name, token, purpose, mark) in enumerate(_CRAWLERS)
 ]
-#: ord, id, vendor, vendor_name, product, hosts, source_url
-REFERRERS = [(i, *row, _SOURCES.get(row[0], _ASSISTANTS)) for i, row in enumerate(_REFERRERS)]
+#: ord, id, vendor, vendor_name, product, hosts, source_url, added
+REFERRERS = [(i, *row, _SOURCES.get(row[0], _ASSISTANTS), UPDATED) for i, row in enumerate(_REFERRERS)]
 
-CRAWLER_SCHEMA = "ord int, id string, vendor string, vendor_name string, token string, purpose string, ai_specific boolean, robots_only boolean, vendor_documented boolean, docs_url string"
-REFERRER_SCHEMA = "ord int, id string, vendor string, vendor_name string, product string, hosts array<string>, source_url string"
+CRAWLER_SCHEMA = "ord int, id string, vendor string, vendor_name string, token string, purpose string, ai_specific boolean, robots_only boolean, vendor_documented boolean, docs_url string, added string"
+REFERRER_SCHEMA = "ord int, id string, vendor string, vendor_name string, product string, hosts array<string>, source_url string, added string"
 
 
 def crawlers(spark: SparkSession) -> DataFrame:
@@ -120,6 +125,46 @@ def hosts() -> dict[str, str]:
     return {h.lower().rstrip(".").removeprefix("www."): r[1] for r in REFERRERS for h in r[5]}
 
 
+def load(path: str) -> tuple[list[tuple], list[tuple]]:
+    """Rows like CRAWLERS and REFERRERS from a catalogue file (JSON); a ValueError says what is wrong with it."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    if data.get("schema_version") != SCHEMA_VERSION:
+        raise ValueError(f"{path}: schema version {data.get('schema_version')!r} is not {SCHEMA_VERSION}")
+    try:
+        wrong = [f"crawler {c['id']!r}: unknown match {c['match']!r}" for c in data["crawlers"] if c["match"] not in MATCHES]
+        fields = ("id", "vendor", "vendor_name", "token", "purpose", "ai_specific")
+        crawler_rows = [
+            (i, *(c[k] for k in fields), c["match"] == "robots_only", c.get("vendor_documented", True), c["docs_url"], c["added"]) for i, c in enumerate(data["crawlers"])
+        ]
+        referrer_rows = [(i, *(r[k] for k in ("id", "vendor", "vendor_name", "product", "hosts", "source_url", "added"))) for i, r in enumerate(data["referrers"])]
+    except KeyError as err:
+        raise ValueError(f"{path}: an entry has no {err}") from None
+    if wrong := wrong + problems(crawler_rows, referrer_rows):
+        raise ValueError(f"{path}: " + "; ".join(wrong))
+    return crawler_rows, referrer_rows
+
+
+def install(path: str) -> None:
+    """Use a catalogue file in place of the built-in catalogue, in this process, for all that is planned from here on."""
+    crawler_rows, referrer_rows = load(path)
+    CRAWLERS[:], REFERRERS[:] = crawler_rows, referrer_rows
+
+
+def dump() -> dict:
+    """The catalogue in use, as load() reads it from a file."""
+    return {
+        "schema_version": SCHEMA_VERSION,
+        "updated": max((r[-1] for r in CRAWLERS + REFERRERS), default=UPDATED),
+        "crawlers": [
+            dict(zip(("id", "vendor", "vendor_name", "token", "purpose", "ai_specific"), c[1:7]))
+            | {"match": MATCHES[c[7]], "docs_url": c[9], "added": c[10]} | ({} if c[8] else {"vendor_documented": False})
+            for c in CRAWLERS
+        ],
+        "referrers": [dict(zip(("id", "vendor", "vendor_name", "product", "hosts", "source_url", "added"), r[1:])) for r in REFERRERS],
+    }
+
+
 def problems(crawler_rows: list[tuple] = CRAWLERS, referrer_rows: list[tuple] = REFERRERS) -> list[str]:
     """What is wrong with a catalogue: empty fields, unknown purposes, ids or hosts that occur twice."""
     out = []
@@ -128,6 +173,8 @@ def problems(crawler_rows: list[tuple] = CRAWLERS, referrer_rows: list[tuple] =
         out += [f"{kind} id {x!r} occurs twice" for x in sorted({x for x in ids if ids.count(x) > 1})]
         out += [f"{kind} {r[1]!r} has an empty field" for r in rows if not all(x not in ("", None, []) for x in r[1:6])]
     out += [f"crawler {r[1]!r}: unknown purpose {r[5]!r}" for r in crawler_rows if r[5] not in PURPOSES]
-    listed = [h for r in referrer_rows for h in r[5]]
+    out += [f"crawler {r[1]!r}: ai_specific is neither true nor false" for r in crawler_rows if not isinstance(r[6], bool)]
+    out += [f"{r[1]!r}: added is not a date: {r[-1]!r}" for r in [*crawler_rows, *referrer_rows] if not re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", str(r[-1]))]
+    listed = [h.lower().rstrip(".").removeprefix("www.") for r in referrer_rows for h in r[5]]
     out += [f"host {h!r} is listed twice" for h in sorted({h for h in listed if listed.count(h) > 1})]
     return out

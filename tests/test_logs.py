@@ -154,6 +154,29 @@ def test_catalogue_is_sound():
     assert catalogue.problems(twice) == [f"crawler id {catalogue.CRAWLERS[0][1]!r} occurs twice"]
 
 
+def test_catalogue_file(spark, tmp_path, engine):
+    path = tmp_path / "signals.json"
+    data = catalogue.dump()
+    path.write_text(json.dumps(data))
+    assert catalogue.load(str(path)) == (catalogue.CRAWLERS, catalogue.REFERRERS)
+    for change, says in (
+        ({"schema_version": 2}, "schema version"), ({"crawlers": [data["crawlers"][0] | {"match": "guess"}]}, "unknown match"), ({"crawlers": [data["crawlers"][0] | {"ai_specific": "yes"}]}, "ai_specific"),
+        ({"crawlers": [{k: v for k, v in data["crawlers"][0].items() if k != "token"}]}, "no 'token'"), ({"referrers": data["referrers"][:1] * 2}, "occurs twice"),
+        ({"crawlers": [data["crawlers"][0] | {"added": "soon"}]}, "not a date"),
+    ):
+        path.write_text(json.dumps(data | change))
+        with pytest.raises(ValueError, match=says):
+            catalogue.load(str(path))
+    was = list(catalogue.CRAWLERS), list(catalogue.REFERRERS)
+    path.write_text(json.dumps(data | {"crawlers": [data["crawlers"][0] | {"id": "x-own", "token": "OwnBot", "added": "2027-01-02"}]}))
+    try:
+        catalogue.install(str(path))
+        assert engine.check("an ownbot/1").first()["match"]["id"] == "x-own" and engine.check("GPTBot").first()["match"] is None
+        assert [(r["token"], r["added"]) for r in engine.crawlers().collect()] == [("OwnBot", "2027-01-02")]
+    finally:
+        catalogue.CRAWLERS[:], catalogue.REFERRERS[:] = was
+
+
 def test_check(engine):
     row = engine.check("Mozilla/5.0 claudebot").first()
     assert row["match"]["id"] == "anthropic-claudebot" and row["match"]["kind"] == "crawler"
