@@ -19,31 +19,62 @@ from pyspark.sql import functions as F
 #: White space that separates words in every contract of this package (Java and RE2 syntax alike).
 SPACE_CLASS = r"\x20\x09-\x0D"
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode.
+    """A folder of this application that driver and executors share: under spark.checkpoint.dir, or a temporary one in local mode.
 
-    On a cluster the setting is required: a machine-local folder would lose data.
+    On a cluster the setting is required: a machine-local folder would lose data. The folder goes when the driver ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/botledger"
     sc = spark.sparkContext
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = sc.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="botledger-")
-        atexit.register(shutil.rmtree, _LOCAL_SCRATCH[app], ignore_errors=True)
-    return "file://" + _LOCAL_SCRATCH[app]
+    if app not in _SCRATCH:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            _SCRATCH[app] = f"{shared.rstrip('/')}/botledger/{app}"
+            path, files = _hadoop(spark, _SCRATCH[app])
+            files.mkdirs(path)
+            files.deleteOnExit(path)
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        else:
+            folder = tempfile.mkdtemp(prefix="botledger-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _SCRATCH[app] = "file://" + folder
+    return _SCRATCH[app]
+
+
+def _hadoop(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables, once the results that read them have been used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables now, once the results that read them have been used."""
+    path, files = _hadoop(spark, scratch_dir(spark))
+    files.delete(path, True)
+
+
+#: Paths staged in the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope():
+    """Tables staged inside are dropped at its end, but for those handed to the function it yields; their readers must be done by then."""
+    paths: list[str] = []
+    kept: set[str] = set()
+    _SCOPES.append(paths)
+    try:
+        yield lambda df: kept.update(_bare(f.rsplit("/", 1)[0]) for f in df.inputFiles())
+    finally:
+        _SCOPES.pop()
+        spark = SparkSession.getActiveSession()
+        for p in paths:
+            if _bare(p) not in kept and spark is not None:
+                path, files = _hadoop(spark, p)
+                files.delete(path, True)
 
 
 def table_path(spark: SparkSession, label: str) -> str:
@@ -54,6 +85,8 @@ def stage_out(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends, a lost executor costs nothing."""
     path = table_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,9 +94,14 @@ def drop_table(df: DataFrame) -> None:
     """Delete a stage_out() table whose rows nothing reads any more."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        if scratch_dir(spark).split("://")[-1] in name:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if _bare(scratch_dir(spark)) in _bare(name):
+            path, files = _hadoop(spark, name)
+            files.delete(path, True)
+
+
+def _bare(name: str) -> str:
+    """A path without scheme and leading slashes."""
+    return name.split(":", 1)[-1].lstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,12 +6,15 @@ the nodes that list it) are compared with each other, and what beats a list's wo
 replaces it, until few entries change. Edges at or above the threshold, in double precision,
 are kept. Lists full of such edges are saturated: what they had no room for may lie in another
 component, so components with a saturated list are compared with each other, in pairs of blocks
-whose centres and radii allow a link, and join where there is one. They are then compared
-whole, in pairs of blocks that return counts, so no list length bounds the links counted. A
-sample of nodes is compared with all nodes, and grows until AUDIT of them have a link; where the
-recall of all their links, or its mean over those nodes, is below MIN_RECALL the build is repeated
-with twice the list length and more codes, and after BUILDS builds an error is raised. Tables of
-codes grow with the bits of a code, so larger inputs don't thin the first graph.
+whose centres and radii allow a link, and join where there is one. Their links are then counted
+whole, by pairs of blocks: of pairs so close that all rows link the copies are added unseen, pairs
+too far apart are passed over, the rest is compared row by row, so no list length bounds the links
+counted. A sample of nodes is compared with all nodes, and grows until AUDIT of them have a link;
+where the recall of all their links, or its mean over those nodes, is below MIN_RECALL the build is
+repeated with twice the list length and more codes; after BUILDS builds a recall below LEAST_RECALL
+is an error. Where links are so rare that the largest sample shows too few to say, builds are
+repeated until one finds no more than the last. Links and recall of each build go to the log.
+Tables of codes grow with the bits of a code, so larger inputs don't thin the first graph.
 
 The index covers every node. Bounded samples: AUDIT_MOST nodes for the recall audit.
 
@@ -23,6 +26,7 @@ count one by one; an empty table gives an empty result; other columns are not re
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from botledger.llm.common import connected_components, lean, stage_out
+from botledger.llm.common import connected_components, drop_table, lean, scratch_scope, stage_out
 
 THRESHOLD = 0.9
 #: Neighbours in a list, tables of codes for the first graph, rows of a first block.
@@ -54,6 +58,11 @@ AUDIT_FIRST = 2048
 AUDIT_MOST = 32_768
 MIN_RECALL = 0.98
 BUILDS = 3
+#: Linked nodes below which an audit says nothing, and the recall that is an error after the last build.
+AUDIT_LEAST = 32
+LEAST_RECALL = 0.9
+
+_log = logging.getLogger(__name__)
 
 
 def _unit(blobs: pa.Array | list) -> np.ndarray:
@@ -203,14 +212,17 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @lean
 def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Centre of each block, and the largest angle between it and a row."""
+    """Centre of each block, the largest angle between it and a row, and the copies in it."""
     for g in _groups(batches, "block"):
         x = _unit(g["vec"].to_pylist())
         mean = x.sum(axis=0)
         size = np.sqrt(mean @ mean)
         centre = mean / size if size > 1e-9 else x[0]
         wide = float(np.arccos(np.clip((x @ centre).min(), -1, 1)))
-        yield pa.RecordBatch.from_arrays([g["block"][:1].combine_chunks(), g["root"][:1].combine_chunks(), pa.array([centre.tobytes()]), pa.array([wide])], ["block", "root", "centre", "wide"])
+        copies = pa.array([int(g["copies"].to_numpy().sum())])
+        yield pa.RecordBatch.from_arrays(
+            [g["block"][:1].combine_chunks(), g["root"][:1].combine_chunks(), pa.array([centre.tobytes()]), pa.array([wide]), copies], ["block", "root", "centre", "wide", "copies"]
+        )
 
 
 @lean
@@ -233,6 +245,34 @@ def _close_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
 
 
+@lean
+def _sure_balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the blocks of a component: for each, the copies in blocks of which all rows link with all of its own (own: 1 if its own do
+    with each other), and the pairs (block, other) that may link in part and have to be compared."""
+    for g in _groups(batches, "cell"):
+        block, side, wide, copies, raw = g["block"].to_numpy(), g["side"].to_numpy(), g["wide"].to_numpy(), g["copies"].to_numpy(), g["centre"].to_pylist()
+        x = _unit(raw)
+        one, two = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        if not len(one) or not len(two):
+            continue
+        angle = np.arccos(np.clip(x[one] @ x[two].T, -1, 1))
+        same = block[one][:, None] == block[two][None, :]
+        angle[same] = 0
+        reach, limit = wide[one][:, None] + wide[two][None, :], math.acos(THRESHOLD)
+        # 1e-6 covers the rounding of arccos near 1
+        sure, maybe = angle + reach <= limit - 1e-6, angle - reach <= limit + 1e-6
+        whole = [(block[one], sure @ copies[two], (sure & same).any(axis=1))]
+        if (side == 1).any():
+            whole.append((block[two], copies[one] @ sure, np.zeros(len(two), bool)))
+        for ids, n, own in whole:
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(own.astype("<i8")), pa.nulls(len(ids), pa.int64())], ["block", "sure", "own", "other"])
+        i, j = np.nonzero(maybe & ~sure)
+        a, b = block[one][i], block[two][j]
+        once = (side[one][i] == 1) | (a <= b)
+        none = pa.array(np.zeros(int(once.sum()), "<i8"))
+        yield pa.RecordBatch.from_arrays([pa.array(a[once]), none, none, pa.array(b[once])], ["block", "sure", "own", "other"])
+
+
 @lean
 def _joined_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The roots of two blocks that hold a link."""
@@ -299,18 +339,23 @@ def _saturated(roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return roots.join(hot, "root").select(F.col("node").alias("id"), "root")
 
 
-def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """roots with components that hold a saturated list joined wherever two of them hold a linked pair."""
-    members = _saturated(roots, lists, k).join(nodes.select("id", "vec"), "id")
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members(id, root, vec, copies) dealt to blocks of near vectors of one component, and the ball of each block."""
     bits = members.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select(
         "root", F.least(F.lit(PART_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("m") / F.lit(WHOLE_BLOCK))))).cast("int").alias("bits")
     )
     coded = members.select("id", "vec").mapInArrow(_codes(PART_BITS, 1, 0), "bucket long, id long")
-    placed = members.join(bits, "root").join(coded, "id").select("id", "root", "vec", F.expr("bucket & (shiftleft(1L, bits) - 1)").alias("code"))
+    placed = members.join(bits, "root").join(coded, "id").select("id", "root", "vec", "copies", F.expr("bucket & (shiftleft(1L, bits) - 1)").alias("code"))
     placed = stage_out(placed, "nn-placed")
     parts = placed.groupBy("root", "code").agg(F.ceil(F.count(F.lit(1)) / F.lit(WHOLE_BLOCK)).cast("long").alias("parts"))
-    placed = placed.join(parts, ["root", "code"]).select("id", "root", "vec", F.xxhash64("root", "code", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
-    balls = stage_out(placed.repartition("block").sortWithinPartitions("block").mapInArrow(_ball, "block long, root long, centre binary, wide double"), "nn-balls")
+    placed = placed.join(parts, ["root", "code"]).select("id", "root", "vec", "copies", F.xxhash64("root", "code", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    balls = placed.repartition("block").sortWithinPartitions("block").mapInArrow(_ball, "block long, root long, centre binary, wide double, copies long")
+    return placed, stage_out(balls, "nn-balls")
+
+
+def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """roots with components that hold a saturated list joined wherever two of them hold a linked pair."""
+    placed, balls = _blocks(_saturated(roots, lists, k).join(nodes.select("id", "vec", "copies"), "id"))
     cells = -(-balls.count() // CENTRES)
     if not cells:
         return roots
@@ -329,20 +374,33 @@ def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: in
 
 
 def _whole_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(id, links) for all nodes of the components in which a list is saturated."""
-    members = _saturated(roots, lists, k)
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(WHOLE_BLOCK)).cast("long").alias("parts"))
-    placed = members.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
-        "id", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
+    """(id, links) for all nodes of the components in which a list is saturated.
+
+    Blocks so close that all their rows link add their copies unseen, blocks too far apart nothing;
+    only the pairs of blocks in between are compared row by row.
+    """
+    placed, balls = _blocks(_saturated(roots, lists, k).join(nodes.select("id", "vec", "copies"), "id"))
+    chunks = balls.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(CENTRES)).cast("long").alias("chunks"))
+    dealt = balls.join(chunks, "root").withColumn("mine", F.pmod(F.xxhash64("block"), F.col("chunks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
+        "block", "centre", "wide", "copies", F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    cells = spread.join(nodes.select("id", "vec", "copies"), "id").repartition("cell").sortWithinPartitions("cell", "side", "id")
-    return cells.mapInArrow(_count_cells, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    told = stage_out(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_sure_balls, "block long, sure long, own long, other long"), "nn-told")
+    sure = told.where("other is null").groupBy("block").agg(F.sum("sure").alias("sure"), F.max("own").alias("own"))
+    unseen = placed.join(sure, "block").select("id", (F.col("sure") - F.col("own") * F.col("copies")).alias("links"))
+    pairs = told.where("other is not null").select(F.xxhash64("block", "other").alias("cell"), F.col("block").alias("a"), F.col("other").alias("b"))
+    alone = F.col("a") == F.col("b")
+    sides = F.when(alone, F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("b").alias("block"), F.lit(2).alias("side")))
+    )
+    cells = pairs.select("cell", F.explode(sides).alias("x")).select("cell", "x.block", "x.side").join(placed.select("block", "id", "vec", "copies"), "block")
+    compared = cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_count_cells, "id long, links long")
+    return unseen.unionByName(compared).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, result: DataFrame, n: int) -> float:
-    """The lower of: links found over links there are, and the mean of that share over nodes with a link.
+def _audit(nodes: DataFrame, result: DataFrame, n: int) -> float | None:
+    """The lower of: links found over links there are, and the mean of that share over nodes with a link; None if too few have one to say.
 
     Sampled nodes are compared with all; the sample grows until AUDIT of them have a link, or AUDIT_MOST or all are compared.
     """
@@ -353,8 +411,11 @@ def _audit(nodes: DataFrame, result: DataFrame, n: int) -> float:
         row = truth.where("truth > 0").join(result, "id", "left").agg(
             F.count(F.lit(1)).alias("m"), F.sum("truth").alias("t"), F.sum(share).alias("f"), F.avg(share / F.col("truth")).alias("mean")
         ).first()
-        if row["m"] >= AUDIT or size >= min(n, AUDIT_MOST):
+        drop_table(truth)
+        if row["m"] >= AUDIT or size >= n:  # enough, or all nodes were compared with all
             return min(row["f"] / row["t"], row["mean"]) if row["m"] else 1.0
+        if size >= AUDIT_MOST:
+            return min(row["f"] / row["t"], row["mean"]) if row["m"] >= AUDIT_LEAST else None
         size = min(4 * size, AUDIT_MOST)
 
 
@@ -389,11 +450,30 @@ def _links_of(nodes: DataFrame, size: int) -> DataFrame:
     return nodes.select("id", "vec", "copies").mapInArrow(run, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
 
 
-def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float]:
-    """((id, links, root) of every node with a link, audited recall); links counts the rows of other nodes."""
+def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float | None]:
+    """((id, links, root) of every node with a link, audited recall); links counts the rows of other nodes.
+
+    Where links are too rare for an audit, a build counts as whole once another one with twice the codes and list finds no more.
+    """
     n, k = nodes.count(), LIST
     tables = tables_for(code_bits(n))
+    found = None
     for _ in range(BUILDS):
+        result, recall = _build(nodes, n, k, tables)
+        links = result.agg(F.sum("links")).first()[0] or 0
+        _log.info("links %d, audited recall %s, lists of %d, %d tables of codes", links, recall, k, tables)
+        if (recall is None and found is not None and links <= found) or (recall is not None and recall >= MIN_RECALL):
+            return result, recall
+        found = links
+        k, tables = 2 * k, 2 * tables
+    if recall is not None and recall >= LEAST_RECALL:
+        return result, recall
+    raise RuntimeError(f"recall of links is {recall if recall is None else round(recall, 3)} after {BUILDS} builds, below {LEAST_RECALL} or still rising")
+
+
+def _build(nodes: DataFrame, n: int, k: int, tables: int) -> tuple[DataFrame, float | None]:
+    """Links of one build, and their audited recall; tables on the way are dropped."""
+    with scratch_scope() as keep:
         lists = neighbour_lists(nodes, n, k, tables)
         near = lists.select("u", F.explode("nn").alias("e")).where(F.col("e.s") >= THRESHOLD).select("u", F.col("e.v").alias("v"))
         near = stage_out(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-links")
@@ -406,11 +486,8 @@ def link_nodes(nodes: DataFrame) -> tuple[DataFrame, float]:
             .select("id", F.coalesce("links", "listed", F.lit(0)).cast("long").alias("links"), "root"),
             "nn-result",
         )
-        recall = _audit(nodes, result, n)
-        if recall >= MIN_RECALL:
-            return result, recall
-        k, tables = 2 * k, 2 * tables
-    raise RuntimeError(f"recall of links is {recall:.3f} after {BUILDS} builds, below {MIN_RECALL}")
+        keep(result)
+        return result, _audit(nodes, result, n)
 
 
 def near_duplicates(rows: DataFrame) -> DataFrame:

@@ -790,6 +790,43 @@ def test_embedding_groups_that_fill_each_others_lists(spark):
     assert [r["component_id"] for r in got] == [0] * 760 + [760] * 50 and [r["vec_id"] for r in got if r["kept"]] == [0, 760]
 
 
+def test_embedding_table_by_brute_force(spark, sf_dir):
+    """All four columns on the given table."""
+    frame = table(spark, sf_dir, "embeddings")
+    rows = [(r["vec_id"], None if r["embedding"] is None else list(r["embedding"])) for r in frame.collect()]
+    got = collections.Counter(tuple(r) for r in QUERIES["op10_embedding_near_dedup"](spark, sf_dir).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == links_by_brute_force(rows)
+
+
+def test_embedding_rare_links(spark, monkeypatch):
+    """Few pairs among thousands of scattered vectors, too rare for the audit: builds go on until one finds no more, and find all."""
+    monkeypatch.setattr(embed_dedup, "AUDIT_FIRST", 64)
+    monkeypatch.setattr(embed_dedup, "AUDIT_MOST", 64)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 24))
+    x = np.concatenate((x, x[:6] + rng.normal(size=(6, 24)) * 0.3)).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    truth = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.array([r["n_links"] for r in embed_dedup.near_duplicates(df).orderBy("vec_id").collect()])
+    assert truth.sum() >= 8 and (got == truth).all()
+
+
+def test_embedding_blocks_that_link_in_part(spark, monkeypatch):
+    """A long component in small blocks: near blocks are added unseen, far ones passed over, the rest compared, and all counts are exact."""
+    monkeypatch.setattr(embed_dedup, "WHOLE_BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "CENTRES", 8)
+    rng = np.random.default_rng(6)
+    turn = np.linspace(0, 2.5, 700)
+    x = np.stack([np.cos(turn), np.sin(turn), *(rng.normal(size=(6, 700)) * 0.01)], axis=1)
+    x = np.concatenate((x, x[:100])).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    truth = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embed_dedup.near_duplicates(df).orderBy("vec_id").collect()
+    assert [r["n_links"] for r in got] == truth.tolist() and {r["component_id"] for r in got} == {0}
+
+
 def test_embedding_first_codes_do_not_thin_with_size():
     for n in (1_000, 51_000, 3_000_000, 10**9, 10**12):
         bits = embed_dedup.code_bits(n)
