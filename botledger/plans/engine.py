@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from botledger.operators import classify, lines, report, robots, sessions, sitefiles
+from botledger.plans.watch import watched
 from botledger.sources import catalogue, logfiles
 
 
@@ -57,6 +58,10 @@ class Engine:
             raise
         return rep
 
+    def watch(self, action, progress=None, abort=None):
+        """action() with a callback for tasks done and planned, and an event that stops it: ``engine.watch(lambda: engine.report(paths).to_dict(), print)``."""
+        return watched(self.spark, action, progress, abort)
+
     def report_text(self, text: str, fmt: str | None = None, **options: object) -> report.Report:
         return report.build_report(self.parse_text(text, fmt), **options)
 

@@ -675,6 +675,7 @@ _ROBOTS = [
     ("two_groups", "Disallow: /lost\nuser-agent: claudebot\nDisallow: /a\nUser-agent: bingbot\nAllow: /\nUSER-AGENT: ClaudeBot\nDisallow: /b*\nAllow: /b\n"),
     ("wild", "User-agent: *\nDisallow: /*.pdf$\nDisallow: /x*y\nAllow: /x*yes\nDisallow: *\nAllow: /"),
     ("rescued", "User-agent: *\nDisallow: /docs\nAllow: /docs\nDisallow: /tmp$\nAllow: /tmp$\n"),
+    ("crowded", "".join(f"User-agent: GPTBot\nDisallow: /part{i}\n\n" for i in range(14)) + "User-agent: *\nDisallow: /one\n"),
 ]
 _ROBOTS_SQL = values(_ROBOTS, "doc, text").replace("AS v(", "AS d(")
 #: Lines, groups and rules in DuckDB. Texts have no odd white space, so trim() will do.
@@ -703,8 +704,8 @@ still AS (SELECT DISTINCT doc, product, line, text FROM best WHERE b IS NULL OR
 judged AS (SELECT k.doc, k.ord, k.id, k.vendor, k.vendor_name, k.token, k.purpose, k.source, k.product, CASE WHEN NOT coalesce(r.r.allow, TRUE) THEN 'blocked' WHEN EXISTS (SELECT 1 FROM still s WHERE s.doc = k.doc AND s.product = k.product) THEN 'partial' ELSE 'allowed' END AS verdict, r.r AS root
   FROM keyed k LEFT JOIN root r ON r.doc = k.doc AND r.product = k.product),
 ev AS (SELECT DISTINCT j.doc, j.ord, x.line, x.text FROM judged j, LATERAL (
-  SELECT g.line, g.text FROM g WHERE g.doc = j.doc AND g.product = j.product
-  UNION ALL SELECT s.line, s.text FROM still s WHERE s.doc = j.doc AND s.product = j.product AND j.verdict = 'partial'
+  SELECT g.line, g.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM g) g WHERE g.doc = j.doc AND g.product = j.product AND k <= {robots.MAX_EVIDENCE}
+  UNION ALL SELECT s.line, s.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM still) s WHERE s.doc = j.doc AND s.product = j.product AND j.verdict = 'partial' AND k <= {robots.MAX_EVIDENCE}
   UNION ALL SELECT j.root.line, j.root.text WHERE j.verdict <> 'partial' AND j.root IS NOT NULL) x)"""
 _ROBOTS_WITH = f"WITH {_GROUPS_SQL}, {_VERDICT_SQL}"
 

@@ -148,6 +148,25 @@ def test_hostile_lines_cost_little(spark, engine):
     assert time.time() - began < 20
 
 
+def test_progress_and_abort(spark, engine, tmp_path):
+    import threading
+
+    from botledger.plans.watch import Aborted
+
+    path, seen = put(tmp_path, "p.log", LINE * 2000), []
+    data = engine.watch(lambda: engine.report(path, splitBytes=10_000).to_dict(), lambda done, planned: seen.append((done, planned)))
+    assert data["summary"]["records"] == 2000 and seen[-1][0] == seen[-1][1] > 0 and all(d <= n for d, n in seen)
+    stop = threading.Event()
+    slow = lambda: spark.range(8, numPartitions=8).mapInPandas(lambda it: (__import__("time").sleep(60) or x for x in it), "id long").count()
+    threading.Timer(2, stop.set).start()
+    began = time.time()
+    with pytest.raises(Aborted):
+        engine.watch(slow, abort=stop)
+    assert time.time() - began < 40
+    with pytest.raises(ZeroDivisionError):
+        engine.watch(lambda: 1 // 0)
+
+
 def test_catalogue_is_sound():
     assert catalogue.problems() == []
     twice = [*catalogue.CRAWLERS, catalogue.CRAWLERS[0]]
