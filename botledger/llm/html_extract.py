@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import html
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -160,18 +161,19 @@ def _word_column(word: str) -> int:
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    x = np.zeros((len(page), WIDTH), np.float32)
-    total, seen = sum(len(b.text) for b in page) or 1, 0
-    for i, b in enumerate(page):
-        x[i, list(b.path)] = 1
-        words = b.text.split()
-        x[i, len(_TAGS) + 1 + MARKS : -RATIOS] = np.bincount([_word_column(w) for w in words], minlength=WORDS)
-        x[i, len(_TAGS) + 1 + MARKS : -RATIOS] /= max(1, np.sqrt((x[i, len(_TAGS) + 1 + MARKS : -RATIOS] ** 2).sum()))
-        x[i, -RATIOS:] = (
-            min(1, np.log1p(len(words)) / 6), min(1, b.linked / max(1, len(b.text))), seen / total,
-            float(b.text[-1] in ".!?"), i / len(page), min(1, b.depth / 12),
-        )
-        seen += len(b.text)
+    n, base = len(page), len(_TAGS) + 1 + MARKS
+    x, rows = np.zeros((n, WIDTH), np.float32), np.arange(n)
+    x[np.repeat(rows, [len(b.path) for b in page]), list(itertools.chain.from_iterable(b.path for b in page))] = 1
+    words = [b.text.split() for b in page]
+    sizes, chars = np.array([len(w) for w in words]), np.array([len(b.text) for b in page])
+    columns = np.fromiter(map(_word_column, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+    hashed = np.bincount(np.repeat(rows, sizes) * WORDS + columns, minlength=n * WORDS).reshape(n, WORDS).astype(np.float32)
+    x[:, base:-RATIOS] = hashed / np.maximum(1, np.sqrt((hashed**2).sum(axis=1)))[:, None]
+    ratios = (
+        np.minimum(1, np.log1p(sizes) / 6), np.minimum(1, np.array([b.linked for b in page]) / np.maximum(1, chars)), (np.cumsum(chars) - chars) / max(1, int(chars.sum())),
+        np.array([b.text[-1] in ".!?" for b in page]), rows / max(1, n), np.minimum(1, np.array([b.depth for b in page]) / 12),
+    )
+    x[:, -RATIOS:] = np.stack(ratios, axis=1)
     return x
 
 

@@ -342,6 +342,13 @@ def test_mixing_schedule_is_even(spark):
         assert np.abs(run - np.arange(1, n + 1) * k / total).max() <= 3
 
 
+def test_mixing_runs_without_python_workers(spark):
+    docs = mixed_docs(spark)
+    for frame in (mixing.mix(docs), mixing.mix_documents(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_mixing_point_does_not_overflow(spark):
     ids = [0, 1, 12345, (1 << 20) - 1, 1 << 20, (1 << 40) + 7, (1 << 45) + 99]
     got = spark.createDataFrame([(i,) for i in ids], "id long").selectExpr(mixing.point("id")).collect()
