@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, path: str) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = stage_out(rows.mapInArrow(_encode(path, width), "doc_id long, ids binary"), "tokens")
     # the start of the ids parts rows that share a doc_id, null above all
-    ordered = coded.repartitionByRange("doc_id", F.expr("substring(ids, 1, 64)")).sortWithinPartitions("doc_id", "ids")
+    ordered = coded.repartitionByRange("doc_id", F.expr("substring(ids, 1, 16)")).sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(_build(width), _SHARD).write.option("compression", "zstd").parquet(folder)
 
 
