@@ -7,9 +7,11 @@ per id are a rank filter, which the planner applies before the shuffle as well a
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -151,26 +153,25 @@ class Report:
         self.tally.unpersist()
 
     def to_dict(self) -> dict:
-        def tops(df: DataFrame) -> dict[str, list]:
-            out: dict[str, list] = {}
-            for r in df.orderBy("id", "rank").collect():
-                out.setdefault(r["id"], []).append({"path": r["path"], "count": r["n"]})
-            return out
-
-        by_crawler, by_product = tops(self.crawler_pages), tops(self.referral_pages)
-        pages = [
-            {
-                "path": p["path"], "crawler_requests": p["crawler_requests"], "referral_visits": p["referral_visits"],
-                "crawlers": [{"token": e["name"], "count": e["n"]} for e in p["crawlers"]],
-                "referrals": [{"product": e["name"], "count": e["n"]} for e in p["referrals"]],
-            }
-            for p in self.pages.collect()
-        ]
+        frames = [self.summary, self.crawlers, self.referrals, self.pages, self.crawler_pages.orderBy("id", "rank"), self.referral_pages.orderBy("id", "rank")]
+        with ThreadPoolExecutor(len(frames)) as pool:  # small jobs on one kept tally: side by side
+            summary, crawlers, referrals, pages, *tops = [f.result() for f in [pool.submit(inheritable_thread_target(self.tally.sparkSession)(df.collect)) for df in frames]]
+        by_id: list[dict[str, list]] = [{}, {}]
+        for rows, own in zip(tops, by_id):
+            for r in rows:
+                own.setdefault(r["id"], []).append({"path": r["path"], "count": r["n"]})
         return {
-            "summary": self.summary.first().asDict(),
-            "crawlers": [r.asDict() | {"top_pages": by_crawler.get(r["id"], [])} for r in self.crawlers.collect()],
-            "referrals": [r.asDict() | {"top_pages": by_product.get(r["id"], [])} for r in self.referrals.collect()],
-            "pages": pages,
+            "summary": summary[0].asDict(),
+            "crawlers": [r.asDict() | {"top_pages": by_id[0].get(r["id"], [])} for r in crawlers],
+            "referrals": [r.asDict() | {"top_pages": by_id[1].get(r["id"], [])} for r in referrals],
+            "pages": [
+                {
+                    "path": p["path"], "crawler_requests": p["crawler_requests"], "referral_visits": p["referral_visits"],
+                    "crawlers": [{"token": e["name"], "count": e["n"]} for e in p["crawlers"]],
+                    "referrals": [{"product": e["name"], "count": e["n"]} for e in p["referrals"]],
+                }
+                for p in pages
+            ],
         }
 
 
