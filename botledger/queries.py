@@ -7,10 +7,12 @@ the lines were rendered from. Cases of scalar functions are rows with the result
 
 from __future__ import annotations
 
+import atexit
 import functools
 import gzip
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from botledger.functions import text as t
 from botledger.functions import urls as u
 from botledger.operators import classify, lines, report, robots, sessions, sitefiles
-from botledger.sources import catalogue
+from botledger.sources import catalogue, logfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -485,7 +487,7 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
                 data += (press.compress(tail.encode()) + press.flush())[:-20_000]
             else:
                 data = text.replace("\n", "\r").encode().replace(b"203.0.113.", b"\xff.")
-            with open(os.path.join(folder, name[0]), "wb") as f:
+            with logfiles.create(f"{folder}/{name[0]}") as f:
                 f.write(data)
             return pd.DataFrame({"file": [name[0]], "size": [len(data)]})
 
@@ -504,9 +506,12 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix="botledger-")
-    path = os.path.join(shared.removeprefix("file://"), f"botledger-logs-{uuid.uuid4().hex}")
-    os.makedirs(path)
+        folder = tempfile.mkdtemp(prefix="botledger-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        return folder
+    path = f"{shared.removeprefix('file://').rstrip('/')}/botledger-logs-{uuid.uuid4().hex}"
+    if "://" not in path:
+        os.makedirs(path)
     return path
 
 

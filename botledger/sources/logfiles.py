@@ -278,6 +278,14 @@ def _open(path: str) -> io.BufferedReader:
     return io.BufferedReader(store.open_input_file(name))
 
 
+def create(path: str):
+    """A new file to write bytes to, where _open() reads."""
+    if "://" not in path:
+        return open(path, "wb")
+    store, name = _remote(path)
+    return store.open_output_stream(name)
+
+
 def _size(path: str) -> int:
     if "://" not in path:
         return os.path.getsize(path)

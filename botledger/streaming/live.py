@@ -9,6 +9,7 @@ COMPACT batches these are written together.
 
 from __future__ import annotations
 
+import functools
 import logging
 from collections.abc import Callable, Iterator
 
@@ -62,52 +63,55 @@ def header_value(headers: Column, name: str) -> Column:
     return F.coalesce(F.decode(F.get(hits, F.size(hits) - 1)["value"], "ISO-8859-1"), F.lit(""))
 
 
+def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """Numbers of the complete tables ``kind=number`` in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(path(folder))] if files.exists(path(folder)) else []
+    return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{kind}=") and files.exists(path(p, "_SUCCESS")))
+
+
 def latest_tally(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
     """The tally as the batches up to one (all by default) left it: of each group the row of its last change."""
-    rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
-    if upto is not None:
-        rows = rows.where(F.col("batch") <= upto)
+    within = lambda kind: [k for k in _numbers(spark, folder, kind) if upto is None or k <= upto]
+    whole = max(within("whole"), default=-1)
+    parts = [spark.read.parquet(f"{folder}/whole={whole}").withColumn("batch", F.lit(whole))] if whole >= 0 else []
+    newer = [f"{folder}/batch={k}" for k in within("batch") if k > whole]
+    if newer:
+        parts.append(spark.read.option("basePath", folder).parquet(*newer))
     values, group = ["n", "last_seen"], ["kind", "id", "path", "note"]
+    rows = functools.reduce(DataFrame.unionByName, [p.select("batch", *group, *values) for p in parts])
     last = rows.groupBy(*group).agg(F.max(F.struct("batch", *values)).alias("v"))
     return last.select(*group, *[F.col(f"v.{c}").alias(c) for c in values])
 
 
-def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None):
-    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far.
+def _fold(changed: DataFrame, number: int, folder: str, on_batch: Callable[[report.Report], None]) -> None:
+    """Keep what a batch changed and hand over the report; every COMPACT batches write the whole tally and drop the changes it holds.
 
-    Batch numbers name what is written, so a batch that is run again after a failure replaces its own output.
+    All is named by the batch: one that runs again after a failure writes the same rows in the same place, and what
+    a whole tally of that number holds already is not read from there.
     """
-    folder = f"{checkpoint.rstrip('/')}/tally"
+    spark = changed.sparkSession
+    changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+    t = latest_tally(spark, folder, number).persist()
+    try:
+        on_batch(report.report_of(t))
+        if number % COMPACT == COMPACT - 1 and number not in _numbers(spark, folder, "whole"):
+            t.write.mode("overwrite").parquet(f"{folder}/whole={number}")
+    finally:
+        t.unpersist()
+    kept = max((k for k in _numbers(spark, folder, "whole") if k < number), default=-1)  # not this batch's own: it may have to run again
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [f"batch={k}" for k in _numbers(spark, folder, "batch") if k <= kept] + [f"whole={k}" for k in _numbers(spark, folder, "whole") if k < kept]:
+        files.delete(path(f"{folder}/{name}"), True)
 
-    def emit(changed: DataFrame, number: int) -> None:
-        spark = changed.sparkSession
-        changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        t = latest_tally(spark, folder, number).persist()
-        try:
-            on_batch(report.report_of(t))
-            if number % COMPACT == COMPACT - 1:
-                _compact(t, folder, number)
-        finally:
-            t.unpersist()
 
+def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None):
+    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far."""
+    folder = f"{checkpoint.rstrip('/')}/tally"
     tally = report.tally_lines(parsed, own_host=own_host)
-    return tally.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", checkpoint).start()
-
-
-def _compact(t: DataFrame, folder: str, number: int) -> None:
-    """Write the whole tally as of a batch, then drop the changes it holds; the batch's own are replaced last, as a stop in between loses nothing."""
-    spark = t.sparkSession
-    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    whole = f"{folder}/.whole-{number}"
-    t.write.mode("overwrite").parquet(whole)
-    files = path(folder).getFileSystem(conf)
-    own = path(f"{folder}/batch={number}")
-    files.delete(own, True)
-    files.rename(path(whole), own)
-    for s in files.listStatus(path(folder)):
-        name = s.getPath().getName()
-        if name.startswith("batch=") and int(name.removeprefix("batch=")) < number:
-            files.delete(s.getPath(), True)
+    return tally.writeStream.outputMode("update").foreachBatch(lambda changed, number: _fold(changed, number, folder, on_batch)).option("checkpointLocation", checkpoint).start()
 
 
 def on_match(requests: DataFrame, callback: Callable[[dict], None], checkpoint: str, own_host: str | None = None):

@@ -49,6 +49,21 @@ def test_stream_of_log_files(spark, tmp_path):
     assert seen[-1]["summary"] == {"records": 4, "skipped": 1, "ai_crawler_requests": 3, "ai_referral_visits": 1}
 
 
+def test_running_report_survives_batches_that_run_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT", 2)
+    batches = [[("a", 1), ("b", 1)], [("a", 3)], [("c", 1)], [("b", 2), ("d", 1)], [("a", 4)]]
+    frame = lambda rows: spark.createDataFrame([("crawler", "openai-gptbot", p, None, n, None) for p, n in rows], "kind string, id string, path string, note string, n long, last_seen timestamp_ntz")
+    folder, seen = str(tmp_path / "tally"), []
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # as after a failure before the batch was committed
+            live._fold(frame(rows), number, folder, lambda rep: seen.append({r["path"]: r["n"] for r in rep.tally.collect()}))
+    want = {}
+    for k, rows in enumerate(batches):
+        want |= dict(rows)
+        assert seen[2 * k] == seen[2 * k + 1] == want
+    assert live._numbers(spark, folder, "whole") == [3] and live._numbers(spark, folder, "batch") == [4]
+
+
 def test_tags_and_callbacks(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
