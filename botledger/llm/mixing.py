@@ -1,7 +1,7 @@
 """Mixing sources to target weights: a low-discrepancy schedule over equal-token blocks, in built-in functions.
 
 Each source's documents, in md5 order of doc_id, form a tape of words that is run twice and cut
-into blocks of BLOCK_WORDS. A golden-ratio sequence of points, one for each slot of the mix, is
+into equal blocks (BLOCK_WORDS). A golden-ratio sequence of points, one for each slot of the mix, is
 mapped through the cumulative targets of the sources: the source a point falls on gives the slot,
 and the slot's rank among that source's slots is the block it takes. What a source yields is what
 its points drew, within a few blocks of its target (the discrepancy of the sequence grows with the
@@ -25,8 +25,9 @@ from pyspark.sql import Window as W
 
 from botledger.llm.common import fresh_names, stage_out, words
 
-#: Words in a block.
+#: Words in a block, and slots that a mix has at least: where its words are too few for these, blocks are shorter, so that small sources come near their targets too.
 BLOCK_WORDS = 32
+LEAST_SLOTS = 8192
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: Words of the mix as a multiple of the words there are.
@@ -103,8 +104,8 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
     return ranked.select("slot", "sidx", (F.col("before") + F.col("r")).alias("block"))
 
 
-def _tape(docs: DataFrame, row_hash: str, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Each row's place on its source's tape (start) and the words that source yields; and the schedule."""
+def _tape(docs: DataFrame, row_hash: str, block_words: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """Each row's place on its source's tape (start) and the words that source yields; the schedule; and the words in a block."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
@@ -115,7 +116,9 @@ def _tape(docs: DataFrame, row_hash: str, block_words: int) -> tuple[DataFrame,
     sources = stage_out(source_targets(rows), "mix-sources")
     totals = sources.agg(F.count(F.lit(1)).alias("n"), F.sum("quota").alias("words")).first()
     few = totals["n"] <= BROADCAST_SOURCES
-    plan = schedule(sources, ((totals["words"] or 0) + block_words // 2) // block_words)
+    total = totals["words"] or 0
+    block_words = block_words or max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
+    plan = schedule(sources, (total + block_words // 2) // block_words)
     drawn = plan.groupBy("sidx").agg((F.count(F.lit(1)) * block_words).alias("yield"))
     side = sources.join(F.broadcast(drawn) if few else drawn, "sidx", "left").select(
         "sidx", F.col("source").alias("source_"), "source_size", "target", F.coalesce("yield", F.lit(0)).alias("yield")
@@ -125,7 +128,7 @@ def _tape(docs: DataFrame, row_hash: str, block_words: int) -> tuple[DataFrame,
     parts = _sums_before(placed.groupBy("sidx", "part").agg(F.sum("size").alias("n")), "part", "before")
     inside = W.partitionBy("sidx", "part").orderBy("ord", "size", "row_hash").rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("inner", F.sum("size").over(inside) - F.col("size")).join(parts, ["sidx", "part"])
-    return placed.withColumn("start", F.col("before") + F.col("inner")), plan
+    return placed.withColumn("start", F.col("before") + F.col("inner")), plan, block_words
 
 
 def _words_drawn(turn: int | str) -> str:
@@ -133,9 +136,9 @@ def _words_drawn(turn: int | str) -> str:
     return f"greatest(0, least(size, yield - (start + {turn} * source_size)))"
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(docs: DataFrame, block_words: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, first_slot (the slot that takes the block it starts in)."""
-    tape, plan = _tape(docs, "xxhash64(text)", block_words)
+    tape, plan, block_words = _tape(docs, "xxhash64(text)", block_words)
     rows = tape.select(
         "sidx", F.expr(f"start div {block_words}").alias("block"), "doc_id", "source", "size", "source_size", "target",
         F.expr(" + ".join(_words_drawn(k) for k in range(MAX_PASSES))).alias("taken"),
@@ -145,12 +148,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_documents(docs: DataFrame, block_words: int | None = None) -> DataFrame:
     """docs in the order of the mix: a row comes once for each pass that draws at least half of its words, where the block it starts in stands."""
     cols = docs.columns
     key, number, slot, at = fresh_names(docs, "key", "number", "slot", "at")
     whole = "xxhash64(" + ", ".join(f"`{c}`" for c in cols) + ")"  # rows alike in every column are one row with several copies
-    tape, plan = _tape(docs, whole, block_words)
+    tape, plan, block_words = _tape(docs, whole, block_words)
     passes = tape.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)))).where(f"size > 0 and 2 * {_words_drawn('pass')} >= size")
     passes = passes.withColumn("at", F.expr("start + pass * source_size")).withColumn("block", F.expr(f"at div {block_words}"))
     copies = passes.select("sidx", "block", F.col("row_hash").alias(key), F.coalesce("doc_id", F.lit(-1)).alias(number), F.col("at").alias(at))

@@ -38,17 +38,18 @@ s4 AS (SELECT *, least(cap, w * (SELECT max(level) FROM s3 WHERE level <= ratio)
 s5 AS (SELECT *, floor(target + 0.5) AS quota FROM s4),
 s6 AS (SELECT *, sum(quota) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(quota) OVER () AS total FROM s5),
 s7 AS (SELECT *, floor((run - quota) * 1099511627776.0::DOUBLE / total) AS lo, floor(run * 1099511627776.0::DOUBLE / total) AS hi FROM s6),
+blk AS (SELECT greatest(1, least(32, CAST(coalesce(max(total), 0) AS BIGINT) // 8192)) AS b FROM s6),
 points AS (SELECT k AS slot, CAST(k AS HUGEINT) * 679535556991 % 1099511627776 AS point
-  FROM range(CAST((SELECT coalesce(max(total), 0) + 16 FROM s6) AS BIGINT) // 32) AS r(k)),
+  FROM range((CAST((SELECT coalesce(max(total), 0) FROM s6) AS BIGINT) + (SELECT b // 2 FROM blk)) // (SELECT b FROM blk)) AS r(k)),
 ranked AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block FROM points JOIN s7 ON point >= lo AND point < hi),
 yield AS (SELECT source, max(block) + 1 AS blocks FROM ranked GROUP BY source),
-t AS (SELECT d.*, CAST(s7.n AS BIGINT) AS source_size, s7.target, coalesce(y.blocks, 0) * 32 AS drawn,
+t AS (SELECT d.*, CAST(s7.n AS BIGINT) AS source_size, s7.target, coalesce(y.blocks, 0) * (SELECT b FROM blk) AS drawn,
         sum(size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start
       FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source LEFT JOIN yield y ON d.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(greatest(0, least(size, drawn - start)) + greatest(0, least(size, drawn - source_size - start)) AS BIGINT) AS taken,
   CASE WHEN size > 0 AND drawn > start THEN r.slot END AS first_slot
-FROM t LEFT JOIN ranked r ON t.source IS NOT DISTINCT FROM r.source AND r.block = t.start // 32
+FROM t LEFT JOIN ranked r ON t.source IS NOT DISTINCT FROM r.source AND r.block = t.start // (SELECT b FROM blk)
 """
 
 

@@ -321,7 +321,7 @@ def test_mixing(spark, sf_dir, edge_docs, no_docs):
             open_ = open_ - full if full else set()
         for s in order:
             assert by[s][0]["target"] == pytest.approx(want[s])
-            assert abs(sum(r["taken"] for r in by[s]) - want[s]) <= 3 * mixing.BLOCK_WORDS
+            assert abs(sum(r["taken"] for r in by[s]) - want[s]) <= 3 * max(1, min(mixing.BLOCK_WORDS, int(sum(want.values())) // mixing.LEAST_SLOTS))
     assert mixing.mix(no_docs).count() == 0 == mixing.mix_documents(no_docs).count()
     assert mixing.mix_documents(edge_docs).columns == edge_docs.columns
 
@@ -342,6 +342,13 @@ def test_mixing_schedule_is_even(spark):
         assert np.abs(run - np.arange(1, n + 1) * k / total).max() <= 3
 
 
+def test_mixing_of_few_words_comes_near_its_targets(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g", f"s{i % 4}") for i in range(20)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).collect()
+    for s, target in {(r["doc_id"] % 4, r["target"]) for r in rows}:
+        assert abs(sum(r["taken"] for r in rows if r["doc_id"] % 4 == s) - target) <= 2
+
+
 def test_mixing_runs_without_python_workers(spark):
     docs = mixed_docs(spark)
     for frame in (mixing.mix(docs), mixing.mix_documents(docs)):
@@ -388,13 +395,14 @@ def mixed_by_brute_force(rows):
         open_ = open_ - full if full else set()
     quota = [int(want[s] + 0.5) for s in order]
     ring, total = 1 << mixing.RING_BITS, sum(quota)
+    b = max(1, min(mixing.BLOCK_WORDS, total // mixing.LEAST_SLOTS))
     edges = np.floor(np.cumsum([0] + quota).astype(float) * ring / total)
     drawn = collections.defaultdict(list)
-    for k in range((total + mixing.BLOCK_WORDS // 2) // mixing.BLOCK_WORDS):
+    for k in range((total + b // 2) // b):
         drawn[order[int(np.searchsorted(edges, k * mixing.STEP % ring, side="right")) - 1]].append(k)
     out = []
     for s in order:
-        at, b = 0, mixing.BLOCK_WORDS
+        at = 0
         for _ in range(2):
             for _, k, i in sorted((hashlib.md5(str(i).encode()).hexdigest(), n, i) for i, t, n in rows if t == s):
                 words = sum(min(at + k, x * b + b) - max(at, x * b) for x in range(at // b, (at + k - 1) // b + 1) if x < len(drawn[s])) if k else 0
