@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from botledger.llm.common import words
 
@@ -95,7 +96,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         .groupBy("doc_id").agg(F.min("quality").alias("good"))
         .withColumn("_o", F.md5(F.col("doc_id").cast("string")))
     )
-    parts = [labelled.where(F.col("good") == g).orderBy("_o", "doc_id").limit(LABELLED_LIMIT).select("doc_id", "good", "_o") for g in (0, 1)]
+    # counts by hash bucket say which buckets hold the first of each class, so only these are ordered, however many labels there are
+    labelled = labelled.withColumn("_b", F.substring("_o", 1, 3))
+    counts = labelled.groupBy("good", "_b").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("good").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = counts.withColumn("before", before).where(F.col("before") < LABELLED_LIMIT).groupBy("good").agg(F.max("_b").alias("_last"))
+    near = labelled.join(F.broadcast(last), "good").where("_b <= _last")  # one row for each class
+    parts = [near.where(F.col("good") == g).orderBy("_o", "doc_id").limit(LABELLED_LIMIT).select("doc_id", "good", "_o") for g in (0, 1)]
     # three quarters of the trusted documents make the target; the rest, never seen by it, and the bad ones set the threshold
     chosen = [(r["doc_id"], r["good"], int(r["good"] == 1 and int(r["_o"][-1], 16) % 4 != 3)) for p in parts for r in p.collect()]
     if not any(t for _, _, t in chosen):

@@ -465,7 +465,7 @@ def grams_by_brute_force(text):
     return [signed(h) % quality.BUCKETS for h in one + two]
 
 
-def quality_by_brute_force(docs, labels):
+def quality_by_brute_force(docs, labels, limit=None):
     """{(doc_id, text): (llr or None, kept)} from plain counts over all documents."""
     import math
 
@@ -474,6 +474,7 @@ def quality_by_brute_force(docs, labels):
     for i, q in labels:
         if q in (0, 1) and i is not None:
             good[i] = min(q, good.get(i, 1))
+    good = {i: q for c in (0, 1) for i, q in sorted(((i, q) for i, q in good.items() if q == c), key=lambda x: (order(x[0]), x[0]))[:limit]}
     target = {i for i, q in good.items() if q == 1 and int(order(i)[-1], 16) % 4 != 3}
     raw, own = collections.Counter(), collections.Counter()
     for i, t in docs:
@@ -505,9 +506,11 @@ def quality_by_brute_force(docs, labels):
     return {k: (llr, not failed and (llr is None or llr >= cut)) for k, (llr, failed) in out.items()}
 
 
-def test_quality_verdicts_by_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("limit", [quality.LABELLED_LIMIT, 12])
+def test_quality_verdicts_by_brute_force(spark, sf_dir, monkeypatch, limit):
+    monkeypatch.setattr(quality, "LABELLED_LIMIT", limit)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    want = quality_by_brute_force(docs_of(docs), [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    want = quality_by_brute_force(docs_of(docs), [(r["doc_id"], r["quality"]) for r in labels.collect()], limit)
     rows = quality.apply_quality(docs, labels).collect()
     assert len(rows) == docs.count()
     for r in rows:
