@@ -137,14 +137,14 @@ def _words_drawn(turn: int | str) -> str:
 
 
 def mix(docs: DataFrame, block_words: int | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, first_slot (the slot that takes the block it starts in)."""
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, first_slot (the slot that takes the block it starts in, or -1)."""
     tape, plan, block_words = _tape(docs, "xxhash64(text)", block_words)
     rows = tape.select(
         "sidx", F.expr(f"start div {block_words}").alias("block"), "doc_id", "source", "size", "source_size", "target",
         F.expr(" + ".join(_words_drawn(k) for k in range(MAX_PASSES))).alias("taken"),
     )
     return rows.join(plan, ["sidx", "block"], "left").select(
-        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("slot")).alias("first_slot")
+        "doc_id", "source", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, F.col("slot")).otherwise(-1).cast("long").alias("first_slot")
     )
 
 

@@ -48,7 +48,7 @@ t AS (SELECT d.*, CAST(s7.n AS BIGINT) AS source_size, s7.target, coalesce(y.blo
       FROM d JOIN s7 ON d.source IS NOT DISTINCT FROM s7.source LEFT JOIN yield y ON d.source IS NOT DISTINCT FROM y.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(greatest(0, least(size, drawn - start)) + greatest(0, least(size, drawn - source_size - start)) AS BIGINT) AS taken,
-  CASE WHEN size > 0 AND drawn > start THEN r.slot END AS first_slot
+  CAST(CASE WHEN size > 0 AND drawn > start THEN r.slot ELSE -1 END AS BIGINT) AS first_slot
 FROM t LEFT JOIN ranked r ON t.source IS NOT DISTINCT FROM r.source AND r.block = t.start // (SELECT b FROM blk)
 """
 
