@@ -159,6 +159,12 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, keep: list[str] = _KEP
     return _parse(plain(lines.where(~cloudfront)).unionByName(with_spots(lines.where(cloudfront))), keep)
 
 
+def parse_source(rows: DataFrame, fmt: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Parsed rows of the ``accesslog`` source, status rows included, with truncated and note: the first line of a file of unknown format, on its status row."""
+    note = F.when(F.col("line_no").isNull() & F.col("fmt").isNull(), F.left("line", F.lit(300)))
+    return parse_lines(rows.withColumn("note", note), fmt, keep=["file", "line_no", "truncated", "note", *keep])
+
+
 def parse_combined(lines: DataFrame) -> DataFrame:
     return parse_lines(lines, "combined")
 

@@ -55,7 +55,7 @@ def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str
     file (path); ``file`` for the status rows of the reader (line_no null), id ``whole`` or ``damaged``, with the first
     line of a file of unknown format as note.
     """
-    tagged = classify(parsed, own_host)
+    tagged = classify(parsed.select("file", "line_no", "truncated", "note", "outcome", "ts", "path", "ua", "referrer"), own_host)
     status = F.col("line_no").isNull()
     hit = ~status & (F.col("crawler_id").isNotNull() | F.col("referral_id").isNotNull())
     if since is not None:
@@ -65,7 +65,7 @@ def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str
         F.when(status, "file").when(~hit, "lines").when(F.col("crawler_id").isNotNull(), "crawler").otherwise("referral").alias("kind"),
         F.when(status, F.when(F.col("truncated"), "damaged").otherwise("whole")).when(~hit, F.col("outcome")).otherwise(F.coalesce("crawler_id", "referral_id")).alias("id"),
         F.when(hit, F.col("path")).otherwise(F.col("file")).alias("path"),
-        F.when(status & F.col("fmt").isNull(), F.left("line", F.lit(300))).alias("note"),
+        "note",
     ).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
 
 
@@ -185,7 +185,7 @@ def report_of(t: DataFrame, top: int = DEFAULT_TOP) -> Report:
 
 def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DEFAULT_TOP, own_host: str | None = None) -> Report:
     """The report of parsed lines, read once however many of its frames are used."""
-    for name, kind in (("truncated", "boolean"), ("fmt", "string")):
+    for name, kind in (("truncated", "boolean"), ("note", "string")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
     return report_of(tally_lines(parsed, since, own_host).persist(), top)

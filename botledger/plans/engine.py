@@ -50,7 +50,7 @@ class Engine:
         if top < 1:
             raise ValueError("top must be 1 or more")
         rows = self.lines(paths, fmt=fmt, **{"split": True} | options)
-        rep = report.build_report(lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"]), since, top, own_host)
+        rep = report.build_report(lines.parse_source(rows, fmt), since, top, own_host)
         try:
             logfiles.check_formats(rep.files.where("first is not null"))
         except BaseException:

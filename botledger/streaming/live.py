@@ -31,14 +31,14 @@ COMPACT = 16
 def parsed_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
     """Parsed lines of a stream: of the ``accesslog`` source in any format (it knows CloudFront's headers), or of plain lines (column value) in a line-by-line one."""
     if "spots" in rows.columns:
-        return lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"])
+        return lines.parse_source(rows, keep=("line",))
     if fmt not in ("combined", "alb"):
         raise ValueError("CloudFront lines depend on headers above them and other formats must be named; read such files through the accesslog source")
     rows = rows.select(
         F.lit("stream").alias("file"), F.lit(0).cast("long").alias("line_no"), F.col("value").alias("line"), F.lit(False).alias("truncated"), F.lit(fmt).alias("fmt"),
         F.lit(None).cast("array<int>").alias("spots"),
     )
-    return lines.parse_lines(rows, keep=["file", "line_no", "line", "truncated", "fmt"])
+    return lines.parse_source(rows, keep=("line",))
 
 
 def parse_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
