@@ -353,12 +353,9 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, stage_out(balls, "nn-balls")
 
 
-def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """roots with components that hold a saturated list joined wherever two of them hold a linked pair."""
-    placed, balls = _blocks(_saturated(roots, lists, k).join(nodes.select("id", "vec", "copies"), "id"))
+def _join_components(roots: DataFrame, placed: DataFrame, balls: DataFrame) -> DataFrame:
+    """roots with the components in blocks joined wherever two of them hold a linked pair."""
     cells = -(-balls.count() // CENTRES)
-    if not cells:
-        return roots
     dealt = balls.withColumn("mine", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     dealt = dealt.select(
         "block", "root", "centre", "wide", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
@@ -373,13 +370,12 @@ def _join_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: in
     return stage_out(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked), "nn"), "nn-roots")
 
 
-def _whole_components(nodes: DataFrame, roots: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(id, links) for all nodes of the components in which a list is saturated.
+def _whole_components(placed: DataFrame, balls: DataFrame) -> DataFrame:
+    """(id, links) for all nodes of the components in blocks.
 
     Blocks so close that all their rows link add their copies unseen, blocks too far apart nothing;
     only the pairs of blocks in between are compared row by row.
     """
-    placed, balls = _blocks(_saturated(roots, lists, k).join(nodes.select("id", "vec", "copies"), "id"))
     chunks = balls.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(CENTRES)).cast("long").alias("chunks"))
     dealt = balls.join(chunks, "root").withColumn("mine", F.pmod(F.xxhash64("block"), F.col("chunks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
@@ -478,9 +474,14 @@ def _build(nodes: DataFrame, n: int, k: int, tables: int) -> tuple[DataFrame, fl
         near = lists.select("u", F.explode("nn").alias("e")).where(F.col("e.s") >= THRESHOLD).select("u", F.col("e.v").alias("v"))
         near = stage_out(near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "nn-links")
         roots = stage_out(connected_components(near.select(F.col("u").alias("a"), F.col("v").alias("b")), "nn"), "nn-roots")
-        roots = _join_components(nodes, roots, lists, k)
         listed = near.join(nodes.select(F.col("id").alias("v"), "copies"), "v").groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("listed"))
-        counted = _whole_components(nodes, roots, lists, k)
+        members = stage_out(_saturated(roots, lists, k), "nn-members")
+        counted = members.select("id", F.lit(None).cast("long").alias("links"))
+        if not members.isEmpty():
+            placed, balls = _blocks(members.join(nodes.select("id", "vec", "copies"), "id"))
+            roots = _join_components(roots, placed, balls)
+            # the blocks stay as they are where components join, under the new root
+            counted = _whole_components(placed, balls.join(roots.select(F.col("node").alias("root"), F.col("root").alias("now")), "root").drop("root").withColumnRenamed("now", "root"))
         result = stage_out(
             roots.select(F.col("node").alias("id"), "root").join(listed, "id", "left").join(counted, "id", "left")
             .select("id", F.coalesce("links", "listed", F.lit(0)).cast("long").alias("links"), "root"),
