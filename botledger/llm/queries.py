@@ -1,11 +1,11 @@
-"""Registered queries op1 to op10 and their DuckDB counterparts where SQL can express them."""
+"""Registered queries op1 to op13 and their DuckDB counterparts where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from botledger.llm import bpe, embed_dedup, html_extract, language, licenses, mixing, quality, simhash, substring, token_store
+from botledger.llm import bpe, embed_dedup, hard_negatives, html_extract, language, licenses, line_dedup, mixing, quality, simhash, substring, token_store, tree_lloyd
 from botledger.llm.common import table, table_path
 
 QUERIES: dict = {}
@@ -100,3 +100,63 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor({} * CAST(x AS DOUBLE)) AS BIGINT))"
+_USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+ORACLE["op11_hard_negatives"] = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_WHOLE.format(256)} AS v, len(embedding) AS n
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_USABLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.n = b.n WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor, other AS positive, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5),
+w AS (SELECT p.anchor, positive, ps, other, score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INTEGER) AS rank, other AS negative_id, CAST(ps AS BIGINT) AS positive_score, CAST(score AS BIGINT) AS negative_score FROM w WHERE rank <= 10
+"""
+
+
+@query("op12_centroid_clustering")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_lloyd.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds() -> str:
+    """Three rounds of Lloyd and the last assignment, from the start c0."""
+    near = """a{k} AS MATERIALIZED (SELECT vec_id, v, c AS cluster, dist FROM (SELECT e.vec_id, e.v, e.r, c{k}.c,
+        list_sum(list_transform(list_zip(e.v, c{k}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist FROM e, c{k}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1)"""
+    move = """s{k} AS (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{k}) GROUP BY cluster, pos),
+      m{k} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS v FROM s{k} GROUP BY cluster),
+      c{j} AS MATERIALIZED (SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} ON m{k}.cluster = c{k}.c)"""
+    return ",\n".join([x for k in range(3) for x in (near.format(k=k), move.format(k=k, j=k + 1))] + [near.format(k=3)])
+
+
+ORACLE["op12_centroid_clustering"] = f"""
+WITH e AS MATERIALIZED (SELECT vec_id, {_WHOLE.format(64)} AS v, row_number() OVER () AS r FROM embeddings WHERE len(embedding) = 64 AND {_USABLE}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT v, sha256('1:' || CAST(vec_id AS VARCHAR)) AS h FROM e ORDER BY h, v LIMIT 16)),
+{_rounds()}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.c = a3.cluster
+"""
+
+
+@query("op13_line_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, r, line, pos, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, r, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d)),
+k AS (SELECT key, max(doc_id) AS top FROM l WHERE length(key) >= 40 GROUP BY key
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5),
+m AS (SELECT l.*, k.key IS NOT NULL AND l.doc_id IS DISTINCT FROM k.top AS gone FROM l LEFT JOIN k ON k.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id
+"""
