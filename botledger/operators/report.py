@@ -184,8 +184,13 @@ def report_of(t: DataFrame, top: int = DEFAULT_TOP) -> Report:
 
 
 def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DEFAULT_TOP, own_host: str | None = None) -> Report:
-    """The report of parsed lines, read once however many of its frames are used."""
+    """The report of parsed lines, read once however many of its frames are used; its owner releases it."""
+    return report_of(whole_tally(parsed, since, own_host).persist(), top)
+
+
+def whole_tally(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
+    """tally_lines() of parsed lines of any source, with or without damage marks and notes."""
     for name, kind in (("truncated", "boolean"), ("note", "string")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
-    return report_of(tally_lines(parsed, since, own_host).persist(), top)
+    return tally_lines(parsed, since, own_host)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from botledger.functions import text as t
 from botledger.functions import urls as u
 from botledger.operators import classify, lines, report, robots, sessions, sitefiles
-from botledger.sources import catalogue, logfiles
+from botledger.sources import catalogue, logfiles, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,8 +151,8 @@ def alb_lines(req: DataFrame) -> DataFrame:
 _CF_SHORT = "date time cs-uri-stem sc-status cs(Referer) cs(User-Agent)"
 
 
-def cloudfront_lines(req: DataFrame) -> DataFrame:
-    """log0 to log2 start with a short header and get a useless one among their lines; log3 has the standard columns and no header."""
+def cloudfront_rows(req: DataFrame) -> DataFrame:
+    """Data lines: log3 has the standard columns, the others those of the short header."""
     quote = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20")), F.lit('"'), F.lit("%22")), F.lit("#"), F.lit("%23"))
     day, clock = F.date_format("sec", "yyyy-MM-dd"), F.date_format("sec", "HH:mm:ss")
     stem, status = F.concat("path", F.lit("/caf%C3%A9")), F.when(F.col("status") == 0, F.lit("-")).otherwise(F.col("status").cast("string"))
@@ -160,7 +160,12 @@ def cloudfront_lines(req: DataFrame) -> DataFrame:
     short = F.concat_ws("\t", day, clock, stem, status, ref, ua)
     full = F.concat_ws("\t", day, clock, F.lit("FRA1"), F.lit("1"), F.lit("1.2.3.4"), F.lit("GET"), F.lit("h"), stem, status, ref, ua, F.lit("-"))
     line = F.when(F.col("broken"), F.concat(F.lit("2024-13-40\tx\t"), F.col("event_id").cast("string"))).when(F.col("file") == "log3", full).otherwise(short)
-    body = req.select("file", (F.col("event_id") + 10).alias("line_no"), line.alias("line"))
+    return req.select("file", (F.col("event_id") + 10).alias("line_no"), line.alias("line"))
+
+
+def cloudfront_lines(req: DataFrame) -> DataFrame:
+    """log0 to log2 start with a short header and get a useless one among their lines; log3 has the standard columns and no header."""
+    body = cloudfront_rows(req)
     heads = req.sparkSession.createDataFrame(
         [(f"log{k}", n, x) for k in range(3) for n, x in ((1, "#Version: 1.0"), (2, f"#Fields: {_CF_SHORT}"))], "file string, line_no long, line string"
     )
@@ -384,7 +389,7 @@ _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
     FROM ({req_sql()}) q LEFT JOIN {_DIMS_C} ON c.id = q.crawler""",
 )
 def report_summary(spark, sf_dir):
-    return report.build_report(_parsed(spark, sf_dir)).summary
+    return report.summary(report.whole_tally(_parsed(spark, sf_dir)))
 
 
 _CRAWLER_SQL = f"""SELECT c.id, c.vendor, c.vendor_name, c.token, c.purpose, c.ai_specific, count(*) AS requests, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen
@@ -460,8 +465,12 @@ def report_since(spark, sf_dir):
     return report.crawler_rows(_tally(spark, sf_dir, since=_SINCE)).select("id", "requests")
 
 
+#: Events whose requests share log files, one for each of the four logs.
+_EVENTS_A_FILE = 50_000
+
+
 def _files(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of log files, one for each log of the rendered requests, written by the tasks that render them; it stays for the session.
+    """A folder of log files, written by the tasks that render them, for each log a new file every _EVENTS_A_FILE events; it stays for the session.
 
     log0: combined, CRLF ends, a blank line first; log1: ALB, gzip in two members, padded with zeros; log2: CloudFront, gzip without a name
     for it, that breaks off behind its last whole line; log3: combined again, CR ends, an invalid byte in each line's first field.
@@ -470,7 +479,8 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
     if key not in _WRITTEN:
         folder = shared_folder(spark)
         req = requests(spark, sf_dir)
-        rows = combined_lines(req).where("file in ('log0', 'log3')").unionByName(alb_lines(req).where("file = 'log1'")).unionByName(cloudfront_lines(req).where("file = 'log2'"))
+        rows = combined_lines(req).where("file in ('log0', 'log3')").unionByName(alb_lines(req).where("file = 'log1'"))
+        rows = rows.unionByName(cloudfront_rows(req).where("file = 'log2'").withColumn("line_no", F.col("line_no") - 10)).withColumn("nth", F.floor(F.col("line_no") / _EVENTS_A_FILE))
 
         def write(name, part):
             body = part.sort_values("line_no")["line"].tolist()
@@ -481,22 +491,26 @@ def _files(spark: SparkSession, sf_dir: str) -> str:
                 cut = text.index("\n", len(text) // 2) + 1
                 data = gzip.compress(text[:cut].encode()) + gzip.compress(text[cut:].encode()) + bytes(100)
             elif name[0] == "log2":
+                text = f"#Version: 1.0\n#Fields: {_CF_SHORT}\n" + text.replace("\n", "\n#Fields: date time\n", 1)
                 tail = "".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(4000))  # an unfinished line that the cut goes through
                 press = zlib.compressobj(9, zlib.DEFLATED, 31)
                 data = press.compress(text.encode()) + press.flush(zlib.Z_FULL_FLUSH)
                 data += (press.compress(tail.encode()) + press.flush())[:-20_000]
             else:
                 data = text.replace("\n", "\r").encode().replace(b"203.0.113.", b"\xff.")
-            with logfiles.create(f"{folder}/{name[0]}") as f:
+            with stores.create(f"{folder}/{name[0]}-{name[1]}") as f:
                 f.write(data)
             return pd.DataFrame({"file": [name[0]], "size": [len(data)]})
 
-        if rows.groupBy("file").applyInPandas(write, "file string, size long").count() != 4:
-            raise RuntimeError("not all logs were written")
+        rows.groupBy("file", "nth").applyInPandas(write, "file string, size long").write.format("noop").mode("overwrite").save()
         _WRITTEN[key] = folder
     return _WRITTEN[key]
 
 
+#: The files' names in DuckDB.
+_FILE = f"file || '-' || CAST(event_id // {_EVENTS_A_FILE} AS VARCHAR)"
+
+
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -517,8 +531,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 @query(
     "read_files",
-    f"""SELECT file, CASE file WHEN 'log1' THEN 'alb' WHEN 'log2' THEN 'cloudfront' ELSE 'combined' END AS fmt, count(*) + CASE file WHEN 'log0' THEN 1 WHEN 'log2' THEN 3 ELSE 0 END AS lines,
-    count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) + CASE file WHEN 'log2' THEN 1 ELSE 0 END AS skipped, file = 'log2' AS truncated FROM ({req_sql()}) GROUP BY file""",
+    f"""SELECT {_FILE} AS file, CASE file WHEN 'log1' THEN 'alb' WHEN 'log2' THEN 'cloudfront' ELSE 'combined' END AS fmt, count(*) + CASE file WHEN 'log0' THEN 1 WHEN 'log2' THEN 3 ELSE 0 END AS lines,
+    count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) + CASE file WHEN 'log2' THEN 1 ELSE 0 END AS skipped, file = 'log2' AS truncated FROM ({req_sql()}) GROUP BY file, event_id // {_EVENTS_A_FILE}""",
 )
 def read_files(spark, sf_dir):
     """Files as the reader finds them: line ends, blank lines, gzip members, padding, damage, formats."""
@@ -529,7 +543,7 @@ def read_files(spark, sf_dir):
 
 @query(
     "read_records",
-    f"""SELECT file, strftime(CASE WHEN file = 'log1' THEN ts ELSE sec END, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, CASE file WHEN 'log2' THEN path || '/café' ELSE path END AS path,
+    f"""SELECT {_FILE} AS file, strftime(CASE WHEN file = 'log1' THEN ts ELSE sec END, '%Y-%m-%d %H:%M:%S.%f') AS ts_text, CASE file WHEN 'log2' THEN path || '/café' ELSE path END AS path,
     CAST(status AS INTEGER) AS status, CASE file WHEN 'log1' THEN replace(ua, '"', '''') ELSE ua END AS ua, CASE file WHEN 'log1' THEN '' ELSE referrer END AS referrer FROM {_GOOD}""",
 )
 def read_records(spark, sf_dir):
@@ -544,18 +558,26 @@ _READ = f"""(SELECT CASE file WHEN 'log2' THEN path || '/café' ELSE path END AS
     date_trunc('second', ts) AS sec FROM {_GOOD})"""
 
 
+#: The files that break off; each has a useless header.
+_CUT = f"(SELECT DISTINCT {_FILE} AS file FROM ({req_sql()}) WHERE file = 'log2')"
+
+
 @query(
     "read_report",
     f"""SELECT 'crawler' AS kind, crawler AS id, count(*) AS n, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen FROM {_READ} WHERE crawler IS NOT NULL GROUP BY crawler
     UNION ALL SELECT 'referral', product, count(*), count(DISTINCT path), {_ISO.format('max(sec)')} FROM {_READ} WHERE product IS NOT NULL GROUP BY product
-    UNION ALL SELECT 'records', 'all', count(*) FILTER (NOT broken), 0, '' FROM ({req_sql()}) UNION ALL SELECT 'skipped', 'all', count(*) FILTER (broken) + 1, 0, '' FROM ({req_sql()})
-    UNION ALL SELECT 'damaged', 'log2', 1, 0, ''""",
+    UNION ALL SELECT 'records', 'all', count(*) FILTER (NOT broken), 0, '' FROM ({req_sql()}) UNION ALL SELECT 'skipped', 'all', count(*) FILTER (broken) + (SELECT count(*) FROM {_CUT}), 0, '' FROM ({req_sql()})
+    UNION ALL SELECT 'damaged', file, 1, 0, '' FROM {_CUT}""",
 )
 def read_report(spark, sf_dir):
     """The report over files of all formats, from the one pass that reads them."""
     from botledger.plans.engine import Engine
 
-    rep = Engine(spark).report(_files(spark, sf_dir))
+    parsed = lines.parse_source(Engine(spark).lines(_files(spark, sf_dir), split=True))
+    return _report_rows(report.report_of(_written(report.whole_tally(parsed))))
+
+
+def _report_rows(rep: report.Report) -> DataFrame:
     row = lambda df, kind, key, n, pages=F.lit(0), seen=F.lit(""): df.select(
         F.lit(kind).alias("kind"), key.alias("id"), n.cast("long").alias("n"), pages.cast("long").alias("unique_pages"), seen.alias("last_seen")
     )
@@ -569,6 +591,37 @@ def read_report(spark, sf_dir):
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def _written(t: DataFrame) -> DataFrame:
+    """A tally as a table in the shared folder, for queries that read it more than once."""
+    path = f"{shared_folder(t.sparkSession)}/tally"
+    t.write.parquet(path)
+    return t.sparkSession.read.schema(t.schema).parquet(path)
+
+
+@query(
+    "stream_report",
+    f"""SELECT 'crawler' AS kind, crawler AS id, count(*) AS n, count(DISTINCT path) AS unique_pages, {_ISO.format('max(sec)')} AS last_seen FROM {_GOOD} WHERE crawler IS NOT NULL GROUP BY crawler
+    UNION ALL SELECT 'referral', product, count(*), count(DISTINCT path), {_ISO.format('max(sec)')} FROM {_GOOD} WHERE product IS NOT NULL GROUP BY product
+    UNION ALL SELECT 'records', 'all', count(*) FILTER (NOT broken), 0, '' FROM ({req_sql()}) UNION ALL SELECT 'skipped', 'all', count(*) FILTER (broken), 0, '' FROM ({req_sql()})""",
+)
+def stream_report(spark, sf_dir):
+    """The running report over log files that a stream takes from a folder, plain and gzip, a few a batch, until there are no more."""
+    from botledger.streaming import live
+
+    folder = shared_folder(spark)
+    req = combined_lines(requests(spark, sf_dir))
+    for k in range(4):  # a writer for each log; their files mix in one folder
+        own = req.where(F.col("file") == f"log{k}").select("line")
+        own.write.mode("append").option("compression", "gzip" if k % 2 else "none").text(f"{folder}/in")
+    parsed = live.log_stream(spark, f"{folder}/in", ledger=f"{folder}/arrivals", max_files=32)
+    q = live.start_report(parsed, lambda _: None, checkpoint=f"{folder}/state")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return _report_rows(report.report_of(live.latest_tally(spark, f"{folder}/state/tally")))
+
+
 _PASTED = [
     '198.51.100.1 - - [03/Mar/2026:10:00:00 +0000] "GET /p1?x HTTP/1.1" 200 5 "-" "GPTBot/1.1"', "", "broken",
     '198.51.100.1 - - [03/Mar/2026:10:00:01 +0000] "GET /p2 HTTP/1.1" 404 5 "https://claude.ai/" "Mozilla"',
@@ -613,7 +666,7 @@ def mixed_formats(spark, sf_dir):
 )
 def report_json(spark, sf_dir):
     """Crawler rows of the JSON report (its few rows pass through the driver, as the report does)."""
-    data = report.build_report(_parsed(spark, sf_dir), top=2).to_dict()
+    data = report.report_of(_written(report.whole_tally(_parsed(spark, sf_dir))), top=2).to_dict()
     rows = [(r["id"], r["requests"], ",".join(f"{p['path']} {p['count']}" for p in r["top_pages"])) for r in data["crawlers"]]
     return spark.createDataFrame(rows, "id string, requests long, top_pages string")
 
@@ -627,7 +680,7 @@ def report_json(spark, sf_dir):
 def page_view(spark, sf_dir):
     from botledger.plans.engine import page_view as view
 
-    return view(report.build_report(_parsed(spark, sf_dir)))["crawlers"].select("id", "requests", "seen", "pages")
+    return view(report.report_of(_written(report.whole_tally(_parsed(spark, sf_dir)))))["crawlers"].select("id", "requests", "seen", "pages")
 
 
 @query(

@@ -14,8 +14,9 @@ joined or windowed to parse the rows, in batch or as a stream.
 Plain files are split at line starts into ranges when ``split`` is true; line numbers then count
 from each range's byte offset upward (ordered, not dense). CloudFront files, whose headers hold
 for the lines below them, and files that end lines at CR alone stay whole. ``head`` reads each
-file's first non-blank line alone. As a stream (``spark.readStream``) the source reads each file
-once, in order of modification time and path; files must come in whole (moved, not grown).
+file's first non-blank line alone. Small files share tasks by size; planning reads listings, not
+files. As a stream (``spark.readStream``) the source reads each file once, whatever order and times
+files come in (see arrivals); files must come in whole (moved, not grown).
 
 Files are opened where tasks run, so plain paths must be ones that every executor sees. Addresses
 with a scheme go through pyarrow's file systems where these know it (ranges and any size), else
@@ -24,13 +25,12 @@ through Spark's binary file source, a file (up to 2 GB, Spark's limit of a value
 
 from __future__ import annotations
 
-import glob
 import gzip
 import io
 import json
-import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from botledger.operators import lines as grammar
+from botledger.sources import stores
+from botledger.sources.arrivals import Ledger
 
 SCHEMA = "file string, line_no bigint, line string, truncated boolean, fmt string, spots array<int>"
 _ARROW = pa.schema(
@@ -50,6 +52,12 @@ CHUNK = 1 << 20
 HEAD = 1 << 16
 #: Ranges are as long as gives every core a few, within these bounds.
 LEAST_RANGE, MOST_RANGE = 4 << 20, 128 << 20
+#: Bytes that opening a file counts as where small files share a task.
+OPEN_COST = 1 << 18
+#: Long files that the driver itself looks at to plan; more are looked at by a job.
+FEW_FILES = 16
+#: Files of a stream's batch, unless told otherwise.
+MOST_FILES = 10_000
 
 
 class UnknownFormatError(ValueError):
@@ -152,7 +160,7 @@ def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool) -> It
 
 def _range(file: str, f: io.BufferedReader, start: int, stop: int, fmt: str | None) -> Iterator[pa.RecordBatch]:
     """Lines that start in the range, numbered by byte offset; a range's first line may have begun before it."""
-    with _open(file) as own:
+    with stores.open_file(file) as own:
         first = _first_line(lines_of(own, []))
     sheet = _Sheet(file, fmt or (grammar.format_of(first) if first is not None else None), first)
     f.seek(max(0, start - 1))
@@ -177,73 +185,110 @@ def _range(file: str, f: io.BufferedReader, start: int, stop: int, fmt: str | No
         yield sheet.status(False)
 
 
+class Piece(NamedTuple):
+    """A file, or the range of it from start to stop; spots are where columns stand for the range's first lines (CloudFront)."""
+
+    path: str
+    start: int = 0
+    stop: int | None = None
+    spots: list[int] | None = None
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, start: int = 0, stop: int | None = None):
-        self.path, self.start, self.stop = path, start, stop
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
+def how_to_split(path: str, fmt: str | None) -> str:
+    """``lines`` if a file's lines can be read from anywhere in it, else ``whole``."""
+    with stores.open_file(path) as f:
+        head = f.read(HEAD)
+    if head[:2] == b"\x1f\x8b" or (b"\r" in head and b"\n" not in head):
+        return "whole"
+    fmt = fmt or grammar.format_of(_first_line(io.StringIO(head.decode("utf-8", "replace"), newline=None)) or "")
+    return "lines" if fmt in ("combined", "alb") else "whole"
+
+
+def pieces_of(found: list[stores.Found], split_bytes: int, ways: dict[str, str]) -> Iterator[tuple[Piece, int]]:
+    """Pieces with their sizes: files, or ranges of those that ``ways`` lets split."""
+    for f in found:
+        if ways.get(f.path) == "lines":
+            for a in range(0, f.size, split_bytes):
+                yield Piece(f.path, a, min(f.size, a + split_bytes)), min(split_bytes, f.size - a)
+        else:
+            yield Piece(f.path), f.size
+
+
+def packed(pieces: Iterable[tuple[Piece, int]], most: int) -> list[list[Piece]]:
+    """Pieces in order, in tasks of so many bytes; opening a file counts as OPEN_COST of them."""
+    out: list[list[Piece]] = []
+    left = 0
+    for piece, size in pieces:
+        cost = size + OPEN_COST
+        if not out or cost > left:
+            out.append([])
+            left = most + OPEN_COST
+        out[-1].append(piece)
+        left -= cost
+    return out
 
 
 class _Reader(DataSourceReader):
+    """Reads what a plan in the options says; with bare ``paths`` it lists these and plans by itself."""
+
     def __init__(self, options: dict):
         flag = lambda name: str(options.get(name, "false")).lower() == "true"
         self.split, self.head = flag("split"), flag("head")
-        self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
+        self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", MOST_RANGE)))
         self.fmt = options.get("fmt") or None
-        self.paths = [p for p in options["paths"].split("\n") if p]
+        self.plan = json.loads(options["plan"]) if options.get("plan") else None
+        self.paths = [p for p in options.get("paths", "").split("\n") if p]
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for p in self.paths:
-            size = _size(p) if self.split and not self.head else 0
-            if size > self.split_bytes and self._by_lines(p):
-                out += [_Part(p, a, min(size, a + self.split_bytes)) for a in range(0, size, self.split_bytes)]
-            else:
-                out.append(_Part(p))
-        return out or [_Part("")]
-
-    def _by_lines(self, path: str) -> bool:
-        """Whether a line can be read without those before it."""
-        with _open(path) as f:
-            head = f.read(HEAD)
-        if head[:2] == b"\x1f\x8b" or (b"\r" in head and b"\n" not in head):
-            return False
-        fmt = self.fmt or grammar.format_of(_first_line(io.StringIO(head.decode("utf-8", "replace"), newline=None)) or "")
-        return fmt in ("combined", "alb")
+        if self.plan is None:
+            found = [f for p in self.paths for f in stores.listing(p)]
+            long = [f.path for f in found if f.size > self.split_bytes] if self.split and not self.head else []
+            ways = {p: how_to_split(p, self.fmt) for p in long}
+            return [_Part(p) for p in packed(pieces_of(found, self.split_bytes, ways), self.split_bytes)] or [_Part([])]
+        return [_Part([Piece(*x) for x in part]) for part in self.plan] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
-        with _open(part.path) as f:
-            yield from _whole(part.path, f, self.fmt, self.head) if part.stop is None else _range(part.path, f, part.start, part.stop, self.fmt)
+        for piece in part.pieces:
+            with stores.open_file(piece.path) as f:
+                yield from _whole(piece.path, f, self.fmt, self.head) if piece.stop is None else _range(piece.path, f, piece.start, piece.stop, self.fmt)
 
 
 class _Stream(DataSourceStreamReader):
-    """Files of a folder, each once; the offset is the last one's modification time and path."""
+    """Files of a folder, each once: an offset is the number of a ledger's entry."""
 
     def __init__(self, options: dict):
         self.specs, self.fmt = [p for p in options["paths"].split("\n") if p], options.get("fmt") or None
+        self.ledger, self.most = options["ledger"], int(options.get("maxFilesPerTrigger", options.get("maxfilespertrigger", MOST_FILES)))
+        self._open: Ledger | None = None
 
-    def _files(self) -> list[tuple[int, str]]:
-        found = {p for s in self.specs for p in expand(s, missing=True)}
-        return sorted((os.stat(p).st_mtime_ns, p) for p in found)
+    def _ledger(self) -> Ledger:
+        """Opened where offsets are planned; tasks don't need it."""
+        if self._open is None:
+            self._open = Ledger(self.ledger, self.specs, self.most)
+        return self._open
 
     def initialOffset(self) -> dict:
-        return {"time": 0, "path": ""}
+        return {"entry": 0}
 
     def latestOffset(self) -> dict:
-        files = self._files()
-        return dict(zip(("time", "path"), files[-1])) if files else self.initialOffset()
+        return {"entry": self._ledger().look()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return [_Part(p) for t, p in self._files() if low < (t, p) <= high] or [_Part("")]
+        found = self._ledger().between(start["entry"], end["entry"])
+        return [_Part(p) for p in packed(pieces_of(found, MOST_RANGE, {}), MOST_RANGE)] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        if part.path:
-            with _open(part.path) as f:
-                yield from _whole(part.path, f, self.fmt, False)
+        for piece in part.pieces:
+            with stores.open_file(piece.path) as f:
+                yield from _whole(piece.path, f, self.fmt, False)
 
     def commit(self, end: dict) -> None:
-        pass
+        self._ledger().done(end["entry"])
 
 
 class AccessLogSource(DataSource):
@@ -261,62 +306,6 @@ class AccessLogSource(DataSource):
         return _Stream(self.options)
 
 
-def _remote(path: str):
-    """(file system, path in it) of an address that pyarrow reads, else null."""
-    from pyarrow import fs
-
-    try:
-        return fs.FileSystem.from_uri(path)
-    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ImportError):
-        return None
-
-
-def _open(path: str) -> io.BufferedReader:
-    if "://" not in path:
-        return open(path, "rb")
-    store, name = _remote(path)
-    return io.BufferedReader(store.open_input_file(name))
-
-
-def create(path: str):
-    """A new file to write bytes to, where _open() reads."""
-    if "://" not in path:
-        return open(path, "wb")
-    store, name = _remote(path)
-    return store.open_output_stream(name)
-
-
-def _size(path: str) -> int:
-    if "://" not in path:
-        return os.path.getsize(path)
-    store, name = _remote(path)
-    return store.get_file_info(name).size
-
-
-def expand(spec: str, missing: bool = False) -> list[str]:
-    """Files that a path, a folder or a pattern names, in order; an unreadable path is an error unless it may be missing."""
-    path = spec.removeprefix("file://")
-    if "://" in path:
-        from pyarrow import fs
-
-        store, name = _remote(path)
-        info, scheme = store.get_file_info(name), path[: path.index("://") + 3]
-        if info.type == fs.FileType.Directory:
-            return sorted(scheme + f.path for f in store.get_file_info(fs.FileSelector(name)) if f.type == fs.FileType.File)
-        if info.type == fs.FileType.NotFound and not missing:
-            raise FileNotFoundError(f"not a file: {spec}")
-        return [path]
-    if os.path.isdir(path):
-        return sorted(p for p in glob.glob(os.path.join(path, "*")) if os.path.isfile(p))
-    found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
-    absent = [p for p in found if not os.path.isfile(p)]
-    if missing:
-        return [p for p in found if p not in absent]
-    if absent or not found:
-        raise FileNotFoundError(f"not a file: {(absent or [spec])[0]}")
-    return found
-
-
 def _from_store(head: bool, fmt: str | None):
     """The source's rows from whole files as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,29 +316,59 @@ def _from_store(head: bool, fmt: str | None):
     return run
 
 
+def _ways(spark: SparkSession, long: list[str], fmt: str | None) -> dict[str, str]:
+    """how_to_split() of long files: a few are looked at here, more by a job."""
+    if len(long) <= FEW_FILES:
+        return {p: how_to_split(p, fmt) for p in long}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b.column("path")
+            yield pa.RecordBatch.from_arrays([paths, pa.array([how_to_split(p, fmt) for p in paths.to_pylist()])], ["path", "way"])
+
+    tasks = min(len(long), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(p,) for p in long], "path string").repartition(tasks, "path")
+    return {r["path"]: r["way"] for r in rows.mapInArrow(look, "path string, way string").collect()}  # a row for each long file, as the plan has several
+
+
+def plan(spark: SparkSession, specs: list[str], fmt: str | None, split: bool, head: bool, split_bytes: int | None) -> list[list[Piece]]:
+    """What each task reads: the listing gives names and sizes, small files share tasks, long ones are split; but for a few long ones, no file is opened here."""
+    found = [f for s in specs for f in stores.listing(s)]
+    total = sum((0 if head else f.size) + OPEN_COST for f in found)
+    most = split_bytes or max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
+    ways = _ways(spark, [f.path for f in found if f.size > most], fmt) if split and not head else {}
+    pieces = ((Piece(f.path), 0) for f in found) if head else pieces_of(found, most, ways)
+    return packed(pieces, most)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:
     """The source's rows for one path or several (files, folders, patterns; local or in any store Spark reads)."""
     if fmt is not None and fmt not in grammar.FORMATS:
         raise ValueError(f"format must be one of {', '.join(grammar.FORMATS)}")
     specs = [paths] if isinstance(paths, str) else list(paths)
-    if any("://" in s and not s.startswith("file://") and (_remote(s) is None or glob.has_magic(s)) for s in specs):
-        head = str(options.get("head", "false")).lower() == "true"
-        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(head, fmt), SCHEMA)
-    files = [p for s in specs for p in expand(s)]
+    flag = lambda name: str(options.get(name, "false")).lower() == "true"
+    if not all(map(stores.known, specs)):
+        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(flag("head"), fmt), SCHEMA)
+    split_bytes = options.get("splitBytes", options.get("splitbytes"))
+    parts = plan(spark, specs, fmt, flag("split"), flag("head"), int(split_bytes) if split_bytes else None)
     spark.dataSource.register(AccessLogSource)
-    if str(options.get("split", "false")).lower() == "true" and not {"splitBytes", "splitbytes"} & set(options):
-        total = sum(_size(p) for p in files)
-        options["splitBytes"] = max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
-    reader = spark.read.format("accesslog").option("paths", "\n".join(files)).option("fmt", fmt or "")
-    for k, v in options.items():
-        reader = reader.option(k, str(v))
+    reader = spark.read.format("accesslog").option("plan", json.dumps(parts)).option("fmt", fmt or "").option("head", str(flag("head")))
     return reader.load()
 
 
-def stream_lines(spark: SparkSession, folder: str, fmt: str | None = None) -> DataFrame:
-    """The source's rows of the files that come into a folder (or match a pattern), as a stream."""
+def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None = None, max_files: int = MOST_FILES) -> DataFrame:
+    """The source's rows of the files that come into a folder (or match a pattern), as a stream: each file once, at most max_files a batch (0: all).
+
+    ``ledger`` is the folder of the query's list of files seen (see arrivals), best beside its checkpoint. For stores that only Spark
+    opens, Spark's own file source keeps that list in the checkpoint; a path counts once there, whatever becomes of its file.
+    """
+    if not stores.known(folder):
+        raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFileAge", "36500d")
+        rows = (raw.option("maxFilesPerTrigger", max_files) if max_files else raw).load(folder)
+        return rows.select("path", "content").mapInArrow(_from_store(False, fmt), SCHEMA)
     spark.dataSource.register(AccessLogSource)
-    return spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").load()
+    reader = spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").option("ledger", ledger)
+    return reader.option("maxFilesPerTrigger", str(max_files)).load()
 
 
 def lines_from_text(spark: SparkSession, text: str, file: str = "pasted") -> DataFrame:

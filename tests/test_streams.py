@@ -40,7 +40,7 @@ def test_stream_of_log_files(spark, tmp_path):
     cloudfront = fields + "2026-03-03\t09:00:00\t/caf%C3%A9\t200\thttps://claude.ai/\tMozilla%20x\n#Fields: sc-status date time cs-uri-stem cs(User-Agent) cs(Referer)\n404\t2026-03-03\t09:00:01\t/b\tGPTBot\t-\n"
     alb = 'h2 2026-03-03T09:30:00.999999Z app/x 1.2.3.4:5 10.0.0.1:80 0 0 0 200 200 1 2 "GET https://h.example:443/a HTTP/2.0" "gptbot" x y\n'
     seen = []
-    q = live.start_report(live.log_stream(spark, str(folder)), lambda rep: seen.append(rep.to_dict()), str(tmp_path / "cp"))
+    q = live.start_report(live.log_stream(spark, str(folder), str(tmp_path / "ledger")), lambda rep: seen.append(rep.to_dict()), str(tmp_path / "cp"))
     for name, data in (("c", gzip.compress(cloudfront.encode())), ("a", alb.encode()), ("n", (LINE.format(n=1, ref="-", ua="ClaudeBot") + "\nbroken\n").encode())):
         (folder / name).write_bytes(data)
         q.processAllAvailable()
