@@ -1,26 +1,22 @@
 """robots.txt as relations: groups, decisions, and a verdict with its evidence for every known crawler.
 
 Files are rows (doc, text). Lines become rows; a group number is a running count. A verdict is
-worked out once for each (doc, group set) that some crawler falls under, inside the row: its
-rules are an array bounded by the characters a file may have.
+worked out once for each distinct list of rules that some crawler falls under anywhere (see
+rulesets): its rules are an array bounded by the characters a file may have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from botledger.functions.text import web_trim
+from botledger.operators.rulesets import MAX_EVIDENCE, evaluate, longest_matches
 from botledger.sources import catalogue
 
 #: Characters of a file that are read; the rest is ignored.
 MAX_CHARS = 512_000
-#: Agent lines and rules that a verdict shows at most.
-MAX_EVIDENCE = 10
-#: A path below a rule's own that no Allow names.
-PROBE = "~botledger-probe"
-
 
 def _lines(docs: DataFrame) -> DataFrame:
     text = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), "^﻿", ""), 1, MAX_CHARS)
@@ -45,73 +41,40 @@ def parse(docs: DataFrame) -> DataFrame:
     return grouped.where("grp > 0").select("doc", "grp", "line", "text", "key", "value", F.when(F.col("key") == "user-agent", product).alias("product"))
 
 
-def _matches(pattern: str, path: str) -> str:
-    """SQL: whether a rule's pattern covers a path. Each piece between wildcards is taken at its leftmost place, so the cost is linear."""
-    return f"""transform(array(struct({pattern} as pat, {path} as path)), z ->
-      transform(array(split(if(endswith(z.pat, '$'), left(z.pat, length(z.pat) - 1), z.pat), '[*]', -1)), q ->
-        case when not startswith(z.path, q[0]) then false
-             when size(q) = 1 then not endswith(z.pat, '$') or length(z.path) = length(q[0])
-             else transform(array(aggregate(slice(q, 2, size(q) - 2), length(q[0]), (at, p) ->
-                    case when at < 0 then -1 when p = '' then at when locate(p, z.path, at + 1) = 0 then -1 else locate(p, z.path, at + 1) - 1 + length(p) end)),
-                  at -> at >= 0 and if(endswith(z.pat, '$'), length(z.path) - length(q[size(q) - 1]) >= at and endswith(z.path, q[size(q) - 1]),
-                                       q[size(q) - 1] = '' or locate(q[size(q) - 1], z.path, at + 1) > 0))[0]
-        end)[0])[0]"""
-
-
-def pattern_matches(pattern: Column, path: Column) -> Column:
-    """The same test as a column."""
-    anchored = F.endswith(pattern, F.lit("$"))
-    pieces = F.split(F.when(anchored, F.left(pattern, F.length(pattern) - 1)).otherwise(pattern), "[*]", -1)
-    last, n = F.element_at(pieces, -1), F.size(pieces)
-    find = lambda p, at: F.call_function("locate", p, path, at + 1)
-    at = F.aggregate(
-        F.slice(pieces, 2, F.greatest(n - 2, F.lit(0))), F.length(pieces[0]),
-        lambda a, p: F.when(a < 0, -1).when(p == "", a).when(find(p, a) == 0, -1).otherwise(find(p, a) - 1 + F.length(p)),
-    )
-    tail = F.when(anchored, (F.length(path) - F.length(last) >= at) & F.endswith(path, last)).otherwise((last == "") | (find(last, at) > 0))
-    return (
-        F.when(~F.startswith(path, pieces[0]), F.lit(False))
-        .when(n == 1, ~anchored | (F.length(path) == F.length(pieces[0])))
-        .otherwise((at >= 0) & tail)
-    )
-
+def decide(rules: DataFrame, paths: DataFrame) -> DataFrame:
+    """(case, path, allowed, line): what the rules(case, line, allow, pattern) of its case say on each of the paths(case, path).
 
-def decide(rules: DataFrame) -> DataFrame:
-    """(case, path, allowed, line): for each case of rules(case, line, allow, pattern, path), the longest matching rule's say.
-
-    On equal lengths Allow wins, then the earlier line; without a match a path is allowed (line null).
+    The longest matching rule decides; on equal lengths Allow wins, then the earlier line; without a match a path is allowed (line null).
     """
-    hit = (F.col("pattern") != "") & pattern_matches(F.col("pattern"), F.col("path"))
-    key = F.struct(F.length("pattern").alias("n"), "allow", (-F.col("line")).alias("l"))
-    best = rules.groupBy("case", "path").agg(F.max(F.when(hit, key)).alias("b"))
-    return best.select("case", "path", F.coalesce("b.allow", F.lit(True)).alias("allowed"), (-F.col("b.l")).alias("line"))
-
-
-_ROOT = f"""array_max(transform(filter(rules, r -> r.pattern <> '' and {_matches('r.pattern', "'/'")}),
-  r -> struct(length(r.pattern) as n, r.allow as allow, -r.line as l, r.text as text)))"""
+    return longest_matches(rules, paths.select("case", "path").distinct(), ["case"])
 
-_PATHS = f"""transform(array(transform(array(regexp_replace(replace(r.pattern, '*', ''), '[$]$', '')), p -> if(startswith(p, '/'), p, '/' || p))[0]),
-  p -> if(endswith(r.pattern, '$'), array(p), array(p, p || if(endswith(p, '/'), '', '/') || '{PROBE}')))[0]"""
 
-_STILL = f"""exists({_PATHS}, p -> {_matches('r.pattern', 'p')} and transform(array(coalesce(array_max(transform(
-    filter(rules, a -> a.allow and a.pattern <> '' and length(a.pattern) >= length(r.pattern) and {_matches('a.pattern', 'p')}), a -> length(a.pattern))), -1)),
-  best -> best < 0 or exists(rules, d -> not d.allow and length(d.pattern) > best and {_matches('d.pattern', 'p')}))[0])"""
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parsed lines, the agent lines that some crawler goes by, and (doc, product, grp): the groups that hold for each."""
+    parsed = parse(docs.where("text is not null"))
+    agents = parsed.where("product is not null").select("doc", "grp", "line", "text", "product")
+    wanted = agents.where(F.col("product").isin("*", *[c[4].lower() for c in catalogue.CRAWLERS]))
+    return parsed, wanted, wanted.select("doc", "product", "grp").distinct()
 
 
-def evaluate(rules: DataFrame) -> DataFrame:
-    """verdict and deciding (the rules behind it) of each row of rules(rules array<struct<line, text, allow, pattern>>).
+def page_access(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc, path, id, source, allowed, line): whether each crawler may fetch each distinct path of pages(doc, path), and the line that says so.
 
-    Blocked if ``/`` is disallowed; partial if some Disallow still holds on a path of its own once
-    every rule is weighed; else allowed. No work limit: the array is bounded, each test linear.
+    A site without a file, or whose file has no group for a crawler, allows all (source ``none``); a null doc or path has no row.
     """
-    root = rules.withColumn("_root", F.expr(_ROOT))
-    cut = root.withColumn("_still", F.expr(f"if(coalesce(not _root.allow, false), null, filter(rules, r -> not r.allow and r.pattern <> '' and {_STILL}))"))
-    own = "if(_root is null, cast(array() as array<struct<line: int, text: string>>), array(struct(cast(-_root.l as int) as line, _root.text as text)))"
-    return cut.select(
-        *rules.columns,
-        F.expr("case when not _root.allow then 'blocked' when size(_still) > 0 then 'partial' else 'allowed' end").alias("verdict"),
-        F.expr(f"case when size(_still) > 0 then transform(_still, r -> struct(r.line as line, r.text as text)) else {own} end").alias("deciding"),
-    )
+    parsed, _, sets = _sets(docs)
+    grouped = sets.join(parsed.where("key <> 'user-agent'").drop("product", "text"), ["doc", "grp"])
+    rules = grouped.select("doc", "product", "line", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
+    paths = pages.select("doc", "path").where("doc is not null and path is not null").distinct()
+    said = paths.join(sets.select("doc", "product").distinct(), "doc", "left")
+    told = longest_matches(rules, said.where("product is not null"), ["doc", "product"])
+    by_path = told.groupBy("doc", "path").agg(F.map_from_entries(F.collect_list(F.struct("product", F.struct("allowed", "line")))).alias("told"))
+    crawlers = F.array(*[F.struct(F.lit(c[1]).alias("id"), F.lit(c[4].lower()).alias("product")) for c in catalogue.CRAWLERS])
+    rows = paths.join(by_path, ["doc", "path"], "left").select("doc", "path", "told", F.explode(crawlers).alias("c"))
+    use = F.when(F.map_contains_key("told", F.col("c.product")), F.col("c.product")).when(F.map_contains_key("told", "*"), "*")
+    rows = rows.select("doc", "path", "c.id", use.alias("use"), F.when(use.isNotNull(), F.try_element_at("told", use)).alias("said"))
+    source = F.when(F.col("use") == "*", "star").when(F.col("use").isNotNull(), "token").otherwise("none")
+    return rows.select("doc", "path", "id", source.alias("source"), F.coalesce("said.allowed", F.lit(True)).alias("allowed"), "said.line")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -121,14 +84,11 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     crawlers = catalogue.crawlers(spark).withColumn("product", F.lower("token"))
-    parsed = parse(docs.where("text is not null"))
-    agents = parsed.where("product is not null").select("doc", "grp", "line", "text", "product")
-    wanted = agents.where(F.col("product").isin("*", *[c[4].lower() for c in catalogue.CRAWLERS]))
-    sets = wanted.select("doc", "product", "grp").distinct()
+    parsed, wanted, sets = _sets(docs)
     own = F.when(F.col("key") != "user-agent", F.struct(F.col("line"), F.col("text"), (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern")))
     by_set = sets.join(parsed.drop("product"), ["doc", "grp"]).groupBy("doc", "product").agg(F.sort_array(F.collect_list(own)).alias("rules"))
     shown = wanted.groupBy("doc", "product").agg(F.slice(F.sort_array(F.collect_list(F.struct("line", "text"))), 1, MAX_EVIDENCE).alias("agent_lines"))
-    judged = evaluate(by_set).join(shown, ["doc", "product"]).select("doc", "product", "verdict", "agent_lines", F.slice("deciding", 1, MAX_EVIDENCE).alias("deciding"))
+    judged = evaluate(by_set).join(shown, ["doc", "product"]).select("doc", "product", "verdict", "agent_lines", "deciding")
     pairs = docs.select("doc").crossJoin(F.broadcast(crawlers))  # the catalogue's few rows for each file
     named = judged.select("doc", "product", F.struct("verdict", "agent_lines", "deciding").alias("named"))
     star = judged.where(F.col("product") == "*").select("doc", F.struct("verdict", "agent_lines", "deciding").alias("star"))

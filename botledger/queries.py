@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from botledger.functions import text as t
 from botledger.functions import urls as u
-from botledger.operators import classify, lines, report, robots, sessions, sitefiles
+from botledger.operators import classify, lines, report, robots, rulesets, sessions, sitefiles
 from botledger.sources import catalogue, logfiles, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -723,21 +723,21 @@ def log_totals(spark, sf_dir):
 
 # ------------------------------------------------------------------ robots
 
-_ROBOTS = [
-    ("empty", ""),
-    ("absent", None),
-    ("star_block", "User-agent: *\nDisallow: /"),
-    ("star_open", "# hi\r\nUser-agent: *\r\nDisallow:\r\n"),
-    ("home_only", "User-agent: *\nDisallow: /\nAllow: /$"),
-    ("named", "User-agent: GPTBot\nUser-agent: CCBot/2.0\nDisallow: /\n\nUser-agent: *\nDisallow: /private/ # secret\nAllow: /private/open\nSitemap: https://x/s.xml\n"),
-    ("two_groups", "Disallow: /lost\nuser-agent: claudebot\nDisallow: /a\nUser-agent: bingbot\nAllow: /\nUSER-AGENT: ClaudeBot\nDisallow: /b*\nAllow: /b\n"),
-    ("wild", "User-agent: *\nDisallow: /*.pdf$\nDisallow: /x*y\nAllow: /x*yes\nDisallow: *\nAllow: /"),
-    ("rescued", "User-agent: *\nDisallow: /docs\nAllow: /docs\nDisallow: /tmp$\nAllow: /tmp$\n"),
-    ("crowded", "".join(f"User-agent: GPTBot\nDisallow: /part{i}\n\n" for i in range(14)) + "User-agent: *\nDisallow: /one\n"),
-]
-_ROBOTS_SQL = values(_ROBOTS, "doc, text").replace("AS v(", "AS d(")
+#: Pages with their site (a host's 500 pages next to each other), path, and a line of the site's robots.txt that it brings in, in SQL that both engines read.
+_SITE_PAGES = """
+SELECT *, CASE page_id % 9 WHEN 0 THEN 'Disallow: ' || path WHEN 1 THEN 'Allow: ' || path WHEN 2 THEN 'disallow : /' || seg || '/' WHEN 3 THEN 'Disallow: /*' || right(path, 2) || '$ # by sign'
+    WHEN 4 THEN 'Allow: /' || seg || '/*/' WHEN 5 THEN 'User-agent: ' || CASE page_id % 7 WHEN 0 THEN 'GPTBot' WHEN 1 THEN 'ClaudeBot' WHEN 2 THEN '*' WHEN 3 THEN 'bingbot/2.0' WHEN 4 THEN 'CCBot' WHEN 5 THEN 'NoSuchBot' ELSE 'perplexitybot' END
+    WHEN 6 THEN 'Disallow: ' || path || '$' WHEN 7 THEN 'Disallow:' ELSE CASE WHEN page_id % 5 = 0 THEN 'Disallow: /' ELSE 'Allow: /' || seg END END AS line
+FROM (SELECT page_id, host || ':' || CAST(CAST(floor(page_id / 500) AS BIGINT) AS STRING) AS doc, path, regexp_extract(path, '^/([^/]*)', 1) AS seg
+  FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, CASE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) END AS path FROM pages_))
+"""
+_SITE_HEAD = "CASE WHEN min(page_id) % 4 = 0 THEN 'User-agent: GPTBot' ELSE 'User-agent: *' END"
+_SITE_PAGES_SQL = f"({_SITE_PAGES.replace('pages_', 'pages')})"
+#: One site in eleven has no file.
+_ROBOTS_CTE = f"""rf AS MATERIALIZED (SELECT doc, CASE WHEN min(page_id) % 11 <> 3 THEN {_SITE_HEAD} || chr(10) || string_agg(line, chr(10) ORDER BY page_id, line) END AS text FROM {_SITE_PAGES_SQL} GROUP BY doc)"""
+_ROBOTS_SQL = "rf AS d"
 #: Lines, groups and rules in DuckDB. Texts have no odd white space, so trim() will do.
-_GROUPS_SQL = rf"""
+_GROUPS_SQL = rf"""{_ROBOTS_CTE},
 raw AS (SELECT doc, regexp_split_to_array(text, '\r\n|\r|\n') AS parts FROM {_ROBOTS_SQL} WHERE text IS NOT NULL),
 ln AS (SELECT doc, generate_subscripts(parts, 1) AS line, unnest(parts) AS raw FROM raw),
 kv AS (SELECT doc, line, trim(raw) AS text, lower(trim(split_part(split_part(raw, '#', 1), ':', 1))) AS key, trim(substr(split_part(raw, '#', 1), strpos(split_part(raw, '#', 1), ':') + 1)) AS value
@@ -755,61 +755,83 @@ keyed AS (SELECT *, CASE source WHEN 'token' THEN lower(token) WHEN 'star' THEN
 sets AS (SELECT DISTINCT doc, product, grp FROM g WHERE product IS NOT NULL),
 rules AS (SELECT s.doc, s.product, g.line, g.text, g.key = 'allow' AS allow, g.value AS pat FROM sets s JOIN g ON g.doc = s.doc AND g.grp = s.grp WHERE g.key <> 'user-agent' AND g.value <> ''),
 root AS (SELECT doc, product, arg_max(struct_pack(allow := allow, line := line, text := text), struct_pack(a := length(pat), b := allow, c := -line)) AS r FROM rules WHERE {_LIKE.format('pat', "'/'")} GROUP BY doc, product),
-pr AS (SELECT doc, product, line, text, pat, unnest(CASE WHEN pat LIKE '%$' THEN [p] ELSE [p, p || CASE WHEN p LIKE '%/' THEN '' ELSE '/' END || '{robots.PROBE}'] END) AS path FROM
+pr AS (SELECT doc, product, line, text, pat, unnest(CASE WHEN pat LIKE '%$' THEN [p] ELSE [p, p || CASE WHEN p LIKE '%/' THEN '' ELSE '/' END || '{rulesets.PROBE}'] END) AS path FROM
   (SELECT *, CASE WHEN q LIKE '/%' THEN q ELSE '/' || q END AS p FROM (SELECT *, regexp_replace(replace(pat, '*', ''), '\\$$', '') AS q FROM rules WHERE NOT allow))),
 best AS (SELECT pr.*, (SELECT max(length(a.pat)) FROM rules a WHERE a.doc = pr.doc AND a.product = pr.product AND a.allow AND length(a.pat) >= length(pr.pat) AND {_LIKE.format('a.pat', 'pr.path')}) AS b FROM pr WHERE {_LIKE.format('pr.pat', 'pr.path')}),
 still AS (SELECT DISTINCT doc, product, line, text FROM best WHERE b IS NULL OR EXISTS (SELECT 1 FROM rules o WHERE o.doc = best.doc AND o.product = best.product AND NOT o.allow AND length(o.pat) > best.b AND {_LIKE.format('o.pat', 'best.path')})),
 judged AS (SELECT k.doc, k.ord, k.id, k.vendor, k.vendor_name, k.token, k.purpose, k.source, k.product, CASE WHEN NOT coalesce(r.r.allow, TRUE) THEN 'blocked' WHEN EXISTS (SELECT 1 FROM still s WHERE s.doc = k.doc AND s.product = k.product) THEN 'partial' ELSE 'allowed' END AS verdict, r.r AS root
   FROM keyed k LEFT JOIN root r ON r.doc = k.doc AND r.product = k.product),
 ev AS (SELECT DISTINCT j.doc, j.ord, x.line, x.text FROM judged j, LATERAL (
-  SELECT g.line, g.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM g) g WHERE g.doc = j.doc AND g.product = j.product AND k <= {robots.MAX_EVIDENCE}
-  UNION ALL SELECT s.line, s.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM still) s WHERE s.doc = j.doc AND s.product = j.product AND j.verdict = 'partial' AND k <= {robots.MAX_EVIDENCE}
+  SELECT g.line, g.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM g) g WHERE g.doc = j.doc AND g.product = j.product AND k <= {rulesets.MAX_EVIDENCE}
+  UNION ALL SELECT s.line, s.text FROM (SELECT *, row_number() OVER (PARTITION BY doc, product ORDER BY line) AS k FROM still) s WHERE s.doc = j.doc AND s.product = j.product AND j.verdict = 'partial' AND k <= {rulesets.MAX_EVIDENCE}
   UNION ALL SELECT j.root.line, j.root.text WHERE j.verdict <> 'partial' AND j.root IS NOT NULL) x)"""
 _ROBOTS_WITH = f"WITH {_GROUPS_SQL}, {_VERDICT_SQL}"
 
 
-def _robots(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ROBOTS, "doc string, text string")
+def _site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SITE_PAGES.replace("pages_", "{pages}"), pages=table(spark, sf_dir, "pages"))
 
 
-@query("robots_groups", f"WITH {_GROUPS_SQL} SELECT doc, grp, CAST(line AS INTEGER) AS line, text, key, value, product FROM g")
-def robots_groups(spark, sf_dir):
-    return robots.parse(_robots(spark).where("text is not null"))
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, text): the sites' robots.txt files, made of their pages."""
+    by_page = F.transform(F.array_sort(F.collect_list(F.struct("page_id", "line"))), lambda x: x["line"])  # 500 pages at most
+    made = _site_pages(spark, sf_dir).groupBy("doc").agg(F.expr(_SITE_HEAD).alias("head"), by_page.alias("lines"), F.min("page_id").alias("first"))
+    text = F.concat("head", F.lit("\n"), F.array_join("lines", "\n"))
+    return made.select("doc", F.when(F.col("first") % 11 != 3, text).alias("text"))
 
 
-_PATTERNS = ["/", "/fish", "/fish*", "/fish/", "/*.php", "/*.php$", "/fish*.php", "*", "$", "/$", "/a*b*c$", "/a%b_c", "*x", "/**y", ""]
-_TRIED = ["/", "/fish", "/fish.html", "/fish/salmon.html", "/Fish", "/index.php", "/folder/x.php?a", "/fishheads/c.php", "/abc", "/aXbYc", "/aXbYcZ", "/a%b_c", "/zzx", "/y", "", "fish"]
+@query("robots_groups", f"WITH {_GROUPS_SQL} SELECT doc, grp, CAST(line AS INTEGER) AS line, text, key, value, product FROM g")
+def robots_groups(spark, sf_dir):
+    return robots.parse(_robots(spark, sf_dir).where("text is not null"))
 
 
 @query(
     "robots_pattern_match",
-    f"SELECT p AS pattern, s AS path, {_LIKE.format('p', 's')} AS matches FROM (SELECT unnest([{', '.join(map(literal, _PATTERNS))}]) AS p), (SELECT unnest([{', '.join(map(literal, _TRIED))}]) AS s)",
+    f"""WITH {_GROUPS_SQL} SELECT DISTINCT p.doc, g.value AS pattern, p.path, {_LIKE.format('g.value', 'p.path')} AS matches
+    FROM {_SITE_PAGES_SQL} p JOIN g ON g.doc = p.doc AND g.key <> 'user-agent'""",
 )
 def robots_pattern_match(spark, sf_dir):
-    pairs = spark.createDataFrame([(p, s) for p in _PATTERNS for s in _TRIED], "pattern string, path string")
-    return pairs.select("pattern", "path", robots.pattern_matches(F.col("pattern"), F.col("path")).alias("matches"))
+    """Each rule of a site's file on each of the site's own pages."""
+    rules = robots.parse(_robots(spark, sf_dir).where("text is not null")).where("key <> 'user-agent'").select("doc", F.col("value").alias("pattern")).distinct()
+    return rules.join(_site_pages(spark, sf_dir).select("doc", "path").distinct(), "doc").select(
+        "doc", "pattern", "path", rulesets.pattern_matches(F.col("pattern"), F.col("path")).alias("matches")
+    )
 
 
 @query(
     "robots_decide",
-    f"""WITH {_GROUPS_SQL}, r AS (SELECT doc AS "case", line, key = 'allow' AS allow, value AS pat, path FROM g, (VALUES ('/'), ('/private/x'), ('/private/open/x'), ('/b'), ('/a.pdf'), ('/xyes')) AS t(path) WHERE key <> 'user-agent')
-    SELECT "case", path, coalesce(b.a, TRUE) AS allowed, CAST(b.l AS INTEGER) AS line FROM (SELECT "case", path, arg_max(struct_pack(a := allow, l := line), struct_pack(x := length(pat), y := allow, z := -line))
-      FILTER (pat <> '' AND {_LIKE.format('pat', 'path')}) AS b FROM r GROUP BY "case", path)""",
+    f"""WITH {_GROUPS_SQL}, p AS (SELECT DISTINCT doc, path FROM {_SITE_PAGES_SQL}),
+    hit AS (SELECT p.doc, p.path, arg_max(struct_pack(a := g.key = 'allow', l := line), struct_pack(x := length(value), y := g.key = 'allow', z := -line)) AS b
+      FROM p JOIN g ON g.doc = p.doc AND g.key <> 'user-agent' AND value <> '' AND {_LIKE.format('value', 'p.path')} GROUP BY p.doc, p.path)
+    SELECT p.doc AS "case", p.path, coalesce(b.a, TRUE) AS allowed, CAST(b.l AS INTEGER) AS line FROM p LEFT JOIN hit ON hit.doc = p.doc AND hit.path = p.path""",
 )
 def robots_decide(spark, sf_dir):
-    rules = robots.parse(_robots(spark).where("text is not null")).where("key <> 'user-agent'")
-    paths = F.explode(F.array(*[F.lit(p) for p in ("/", "/private/x", "/private/open/x", "/b", "/a.pdf", "/xyes")]))
-    return robots.decide(rules.select(F.col("doc").alias("case"), "line", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"), paths.alias("path")))
+    rules = robots.parse(_robots(spark, sf_dir).where("text is not null")).where("key <> 'user-agent'")
+    own = rules.select(F.col("doc").alias("case"), "line", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
+    return robots.decide(own, _site_pages(spark, sf_dir).select(F.col("doc").alias("case"), "path"))
+
+
+@query(
+    "robots_page_access",
+    f"""{_ROBOTS_WITH}, p AS (SELECT DISTINCT doc, path FROM {_SITE_PAGES_SQL}),
+    hit AS (SELECT p.doc, p.path, r.product, arg_max(struct_pack(a := allow, l := line), struct_pack(x := length(pat), y := allow, z := -line)) AS b
+      FROM p JOIN rules r ON r.doc = p.doc AND {_LIKE.format('pat', 'p.path')} GROUP BY p.doc, p.path, r.product)
+    SELECT p.doc, p.path, k.id, k.source, coalesce(b.a, TRUE) AS allowed, CAST(b.l AS INTEGER) AS line
+    FROM p JOIN keyed k ON k.doc = p.doc LEFT JOIN hit ON hit.doc = p.doc AND hit.path = p.path AND hit.product = k.product""",
+)
+def robots_page_access(spark, sf_dir):
+    """Rules by pages as a join: each crawler on each page of each site."""
+    return robots.page_access(_robots(spark, sf_dir), _site_pages(spark, sf_dir))
 
 
 @query("robots_verdicts", f"{_ROBOTS_WITH} SELECT doc, CAST(ord AS INTEGER) AS ord, id, token, source, verdict FROM judged")
 def robots_verdicts(spark, sf_dir):
-    return robots.verdicts(_robots(spark)).select("doc", "ord", "id", "token", "source", "verdict")
+    return robots.verdicts(_robots(spark, sf_dir)).select("doc", "ord", "id", "token", "source", "verdict")
 
 
 @query("robots_evidence", f"{_ROBOTS_WITH} SELECT doc, CAST(ord AS INTEGER) AS ord, CAST(line AS INTEGER) AS line, text FROM ev")
 def robots_evidence(spark, sf_dir):
-    return robots.verdicts(_robots(spark)).select("doc", "ord", F.explode("lines").alias("e")).select("doc", "ord", "e.line", "e.text")
+    return robots.verdicts(_robots(spark, sf_dir)).select("doc", "ord", F.explode("lines").alias("e")).select("doc", "ord", "e.line", "e.text")
 
 
 @query(
@@ -818,7 +840,7 @@ def robots_evidence(spark, sf_dir):
     count(*) FILTER (verdict = 'partial') AS partial, count(*) FILTER (source = 'token') AS named FROM judged GROUP BY doc""",
 )
 def robots_counts(spark, sf_dir):
-    return robots.verdict_counts(robots.verdicts(_robots(spark)))
+    return robots.verdict_counts(robots.verdicts(_robots(spark, sf_dir)))
 
 
 _SUMMARY_SQL = "SELECT doc, vendor, vendor_name, purpose, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) ELSE 'mixed' END AS verdict, min(ord) AS ord FROM judged GROUP BY ALL"
@@ -826,7 +848,7 @@ _SUMMARY_SQL = "SELECT doc, vendor, vendor_name, purpose, CASE WHEN min(verdict)
 
 @query("robots_vendor_summary", f"{_ROBOTS_WITH} SELECT doc, vendor, vendor_name, purpose, verdict FROM ({_SUMMARY_SQL})")
 def robots_vendor_summary(spark, sf_dir):
-    return robots.vendor_summary(robots.verdicts(_robots(spark))).select("doc", "vendor", "vendor_name", F.explode("purposes").alias("purpose", "verdict"))
+    return robots.vendor_summary(robots.verdicts(_robots(spark, sf_dir))).select("doc", "vendor", "vendor_name", F.explode("purposes").alias("purpose", "verdict"))
 
 
 @query(
@@ -835,7 +857,7 @@ def robots_vendor_summary(spark, sf_dir):
     j.token, j.verdict, (SELECT string_agg(text, '  ' ORDER BY line) FROM ev WHERE ev.doc = j.doc AND ev.ord = j.ord) AS evidence FROM judged j""",
 )
 def robots_purpose_groups(spark, sf_dir):
-    g = robots.purpose_groups(robots.verdicts(_robots(spark)))
+    g = robots.purpose_groups(robots.verdicts(_robots(spark, sf_dir)))
     return g.select("doc", "purpose", F.posexplode("rows").alias("at", "r")).select("doc", "purpose", (F.col("at") + 1).alias("rank"), "r.token", "r.verdict", "r.evidence")
 
 
@@ -849,7 +871,7 @@ _NAMES = "coalesce(string_agg(vendor_name, ',' ORDER BY ord) FILTER (verdict IN
     FROM (SELECT doc, vendor, vendor_name, purpose, verdict, min(ord) OVER (PARTITION BY doc, vendor) AS ord FROM ({_SUMMARY_SQL})) GROUP BY doc, purpose)""",
 )
 def robots_vendor_buckets(spark, sf_dir):
-    b = robots.vendor_buckets(robots.verdicts(_robots(spark)))
+    b = robots.vendor_buckets(robots.verdicts(_robots(spark, sf_dir)))
     return b.select("doc", "purpose", *[F.array_join(c, ",").alias(c) for c in ("blocked", "some", "allowed")], "kind")
 
 
@@ -859,7 +881,7 @@ def robots_vendor_buckets(spark, sf_dir):
     WHEN coalesce((SELECT arg_min(verdict, ord) FROM judged j WHERE j.doc = d.doc AND j.source = 'star'), 'blocked') = 'blocked' THEN 'closed' ELSE 'open' END AS outlook FROM {_ROBOTS_SQL}""",
 )
 def robots_next_crawler(spark, sf_dir):
-    docs = _robots(spark)
+    docs = _robots(spark, sf_dir)
     return robots.next_crawler(docs, robots.verdicts(docs))
 
 
