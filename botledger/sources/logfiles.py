@@ -11,9 +11,10 @@ the line fits none; the status row of such a file holds its first line), and it
 headers in order, so it says where the needed columns are (``spots``): nothing has to be
 joined or windowed to parse the rows, in batch or as a stream.
 
-Plain files are split at line starts into ranges when ``split`` is true; line numbers then count
-from each range's byte offset upward (ordered, not dense). CloudFront files, whose headers hold
-for the lines below them, and files that end lines at CR alone stay whole. ``head`` reads each
+Long files are split when ``split`` is true: plain ones at line starts, CloudFront's with the header
+that holds where a range begins, gzip files at their members (see splits); line numbers then count
+from the plain byte offset upward (ordered, not dense). Files that end lines at CR alone, gzip
+files of one member and gzipped CloudFront files stay whole. ``head`` reads each
 file's first non-blank line alone. Small files share tasks by size; planning reads listings, not
 files. As a stream (``spark.readStream``) the source reads each file once, whatever order and times
 files come in (see arrivals); files must come in whole (moved, not grown).
@@ -30,7 +31,6 @@ import io
 import json
 import zlib
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from botledger.operators import lines as grammar
-from botledger.sources import stores
+from botledger.sources import splits, stores
 from botledger.sources.arrivals import Ledger
+from botledger.sources.splits import Piece
 
 SCHEMA = "file string, line_no bigint, line string, truncated boolean, fmt string, spots array<int>"
 _ARROW = pa.schema(
     [("file", pa.string()), ("line_no", pa.int64()), ("line", pa.string()), ("truncated", pa.bool_()), ("fmt", pa.string()), ("spots", pa.list_(pa.int32()))]
 )
 BATCH_LINES = 20_000
-#: Bytes of a range read at once, and those of a file looked at to plan its ranges.
-CHUNK = 1 << 20
-HEAD = 1 << 16
 #: Ranges are as long as gives every core a few, within these bounds.
 LEAST_RANGE, MOST_RANGE = 4 << 20, 128 << 20
 #: Bytes that opening a file counts as where small files share a task.
 OPEN_COST = 1 << 18
-#: Long files that the driver itself looks at to plan; more are looked at by a job.
-FEW_FILES = 16
 #: Files of a stream's batch, unless told otherwise.
 MOST_FILES = 10_000
 
@@ -83,10 +79,6 @@ def lines_of(raw: io.BufferedIOBase, damaged: list[bool]) -> Iterator[str]:
             yield held
 
 
-def _first_line(lines: Iterator[str]) -> str | None:
-    return next((line.rstrip("\n") for line in lines if line and not line.isspace()), None)
-
-
 class _Sheet:
     """Rows of one file on their way to Arrow: says the format once a line shows it, and keeps the spots of the last good header."""
 
@@ -126,6 +118,25 @@ class _Sheet:
 
     _old: list[int] | None = None
 
+    def start_at(self, spots: list[int] | None) -> None:
+        """Columns that hold until a header says otherwise."""
+        self.spots = self._old = spots
+
+    def fill(self, data: bytes) -> bool:
+        """Take the lines of a block of bytes; whether there are any."""
+        text = data.decode("utf-8", "replace")
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
+        self.lines = text.split("\n")
+        if not self.lines[-1]:
+            self.lines.pop()
+        if self.fmt == "cloudfront" and "#Fields:" in text:
+            for k, line in enumerate(self.lines):
+                if line.startswith("#Fields:") and (spots := grammar.header_spots(line)):
+                    self.spots = spots
+                    self.runs.append((k, spots))
+        return bool(self.lines)
+
     def status(self, damaged: bool) -> pa.RecordBatch:
         unknown = self.first if self.fmt is None else None
         return pa.RecordBatch.from_pylist([{"file": self.file, "line": unknown, "truncated": damaged, "fmt": self.fmt}], schema=_ARROW)
@@ -158,40 +169,39 @@ def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool) -> It
     yield sheet.status(bool(damaged))
 
 
-def _range(file: str, f: io.BufferedReader, start: int, stop: int, fmt: str | None) -> Iterator[pa.RecordBatch]:
+def _rows(piece: Piece, f: io.BufferedReader, fmt: str | None, head: bool) -> Iterator[pa.RecordBatch]:
+    if piece.kind == "whole":
+        yield from _whole(piece.path, f, fmt, head)
+        return
+    with stores.open_file(piece.path) as own:
+        first = splits.first_line(lines_of(own, []))
+    sheet = _Sheet(piece.path, fmt or (grammar.format_of(first) if first is not None else None), first)
+    if piece.kind == "lines":
+        yield from _range(sheet, piece, f)
+    else:
+        yield from _from_members(sheet, piece, f)
+
+
+def _range(sheet: _Sheet, piece: Piece, f: io.BufferedReader) -> Iterator[pa.RecordBatch]:
     """Lines that start in the range, numbered by byte offset; a range's first line may have begun before it."""
-    with stores.open_file(file) as own:
-        first = _first_line(lines_of(own, []))
-    sheet = _Sheet(file, fmt or (grammar.format_of(first) if first is not None else None), first)
-    f.seek(max(0, start - 1))
-    at = start
-    if start:
-        at = start - 1 + len(f.readline())  # the rest of a line that an earlier range has, or the break before this one
-    while at < stop:
-        data = f.read(min(CHUNK, stop - at))
-        data += f.readline() if not data.endswith(b"\n") else b""
-        if not data:
-            break
-        text = data.decode("utf-8", "replace")
-        if "\r" in text:
-            text = text.replace("\r\n", "\n").replace("\r", "\n")
-        sheet.lines = text.split("\n")
-        if not sheet.lines[-1]:
-            sheet.lines.pop()
-        if sheet.lines:
+    sheet.start_at(piece.spots)
+    for at, data in splits.blocks(f, piece.start, piece.stop):
+        if sheet.fill(data):
             yield sheet.batch(at + 1 + np.arange(len(sheet.lines)))
-        at += len(data)
-    if start == 0:
+    if piece.start == 0:
         yield sheet.status(False)
 
 
-class Piece(NamedTuple):
-    """A file, or the range of it from start to stop; spots are where columns stand for the range's first lines (CloudFront)."""
-
-    path: str
-    start: int = 0
-    stop: int | None = None
-    spots: list[int] | None = None
+def _from_members(sheet: _Sheet, piece: Piece, f: io.BufferedReader) -> Iterator[pa.RecordBatch]:
+    """Lines that start in the piece's members, numbered by the plain text's bytes before them."""
+    damaged: list[bool] = []
+    at = piece.number
+    for data in splits.lines_of_members(f, piece, damaged):
+        if sheet.fill(data):
+            yield sheet.batch(at + 1 + np.arange(len(sheet.lines)))
+        at += len(data)
+    if piece.last:
+        yield sheet.status(bool(damaged))
 
 
 class _Part(InputPartition):
@@ -199,26 +209,6 @@ class _Part(InputPartition):
         self.pieces = pieces
 
 
-def how_to_split(path: str, fmt: str | None) -> str:
-    """``lines`` if a file's lines can be read from anywhere in it, else ``whole``."""
-    with stores.open_file(path) as f:
-        head = f.read(HEAD)
-    if head[:2] == b"\x1f\x8b" or (b"\r" in head and b"\n" not in head):
-        return "whole"
-    fmt = fmt or grammar.format_of(_first_line(io.StringIO(head.decode("utf-8", "replace"), newline=None)) or "")
-    return "lines" if fmt in ("combined", "alb") else "whole"
-
-
-def pieces_of(found: list[stores.Found], split_bytes: int, ways: dict[str, str]) -> Iterator[tuple[Piece, int]]:
-    """Pieces with their sizes: files, or ranges of those that ``ways`` lets split."""
-    for f in found:
-        if ways.get(f.path) == "lines":
-            for a in range(0, f.size, split_bytes):
-                yield Piece(f.path, a, min(f.size, a + split_bytes)), min(split_bytes, f.size - a)
-        else:
-            yield Piece(f.path), f.size
-
-
 def packed(pieces: Iterable[tuple[Piece, int]], most: int) -> list[list[Piece]]:
     """Pieces in order, in tasks of so many bytes; opening a file counts as OPEN_COST of them."""
     out: list[list[Piece]] = []
@@ -234,12 +224,10 @@ def packed(pieces: Iterable[tuple[Piece, int]], most: int) -> list[list[Piece]]:
 
 
 class _Reader(DataSourceReader):
-    """Reads what a plan in the options says; with bare ``paths`` it lists these and plans by itself."""
+    """Reads what a plan in the options says; bare ``paths`` are listed and read whole."""
 
     def __init__(self, options: dict):
-        flag = lambda name: str(options.get(name, "false")).lower() == "true"
-        self.split, self.head = flag("split"), flag("head")
-        self.split_bytes = int(options.get("splitbytes", options.get("splitBytes", MOST_RANGE)))
+        self.head = str(options.get("head", "false")).lower() == "true"
         self.fmt = options.get("fmt") or None
         self.plan = json.loads(options["plan"]) if options.get("plan") else None
         self.paths = [p for p in options.get("paths", "").split("\n") if p]
@@ -247,15 +235,13 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.plan is None:
             found = [f for p in self.paths for f in stores.listing(p)]
-            long = [f.path for f in found if f.size > self.split_bytes] if self.split and not self.head else []
-            ways = {p: how_to_split(p, self.fmt) for p in long}
-            return [_Part(p) for p in packed(pieces_of(found, self.split_bytes, ways), self.split_bytes)] or [_Part([])]
+            return [_Part(p) for p in packed(((Piece(f.path), f.size) for f in found), MOST_RANGE)] or [_Part([])]
         return [_Part([Piece(*x) for x in part]) for part in self.plan] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
             with stores.open_file(piece.path) as f:
-                yield from _whole(piece.path, f, self.fmt, self.head) if piece.stop is None else _range(piece.path, f, piece.start, piece.stop, self.fmt)
+                yield from _rows(piece, f, self.fmt, self.head)
 
 
 class _Stream(DataSourceStreamReader):
@@ -280,7 +266,7 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         found = self._ledger().between(start["entry"], end["entry"])
-        return [_Part(p) for p in packed(pieces_of(found, MOST_RANGE, {}), MOST_RANGE)] or [_Part([])]
+        return [_Part(p) for p in packed(((Piece(f.path), f.size) for f in found), MOST_RANGE)] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
@@ -316,29 +302,15 @@ def _from_store(head: bool, fmt: str | None):
     return run
 
 
-def _ways(spark: SparkSession, long: list[str], fmt: str | None) -> dict[str, str]:
-    """how_to_split() of long files: a few are looked at here, more by a job."""
-    if len(long) <= FEW_FILES:
-        return {p: how_to_split(p, fmt) for p in long}
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            paths = b.column("path")
-            yield pa.RecordBatch.from_arrays([paths, pa.array([how_to_split(p, fmt) for p in paths.to_pylist()])], ["path", "way"])
-
-    tasks = min(len(long), 4 * spark.sparkContext.defaultParallelism)
-    rows = spark.createDataFrame([(p,) for p in long], "path string").repartition(tasks, "path")
-    return {r["path"]: r["way"] for r in rows.mapInArrow(look, "path string, way string").collect()}  # a row for each long file, as the plan has several
-
-
 def plan(spark: SparkSession, specs: list[str], fmt: str | None, split: bool, head: bool, split_bytes: int | None) -> list[list[Piece]]:
     """What each task reads: the listing gives names and sizes, small files share tasks, long ones are split; but for a few long ones, no file is opened here."""
     found = [f for s in specs for f in stores.listing(s)]
     total = sum((0 if head else f.size) + OPEN_COST for f in found)
     most = split_bytes or max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
-    ways = _ways(spark, [f.path for f in found if f.size > most], fmt) if split and not head else {}
-    pieces = ((Piece(f.path), 0) for f in found) if head else pieces_of(found, most, ways)
-    return packed(pieces, most)
+    if head:
+        return packed(((Piece(f.path), 0) for f in found), most)
+    how = splits.ways(spark, [f.path for f in found if f.size > most], fmt) if split else {}
+    return packed(splits.pieces(spark, found, most, how), most)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:

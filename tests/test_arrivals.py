@@ -6,7 +6,7 @@ import os
 import pytest
 
 from botledger.plans.engine import Engine
-from botledger.sources import arrivals, logfiles, stores
+from botledger.sources import arrivals, logfiles, splits, stores
 from botledger.streaming import live
 
 LINE = '198.51.100.7 - - [03/Mar/2026:10:00:00 +0000] "GET /p{n} HTTP/1.1" 200 5 "-" "GPTBot"\n'
@@ -147,12 +147,12 @@ def test_many_long_files_are_looked_at_by_a_job(spark, folder, monkeypatch):
     monkeypatch.setattr(stores, "open_file", lambda path: opened.append(path))  # here, not in the job's workers
     parts = logfiles.plan(spark, [str(folder)], None, True, False, 1_000)
     monkeypatch.undo()
-    assert not opened and sum(p.stop is None for part in parts for p in part) == 1 and len(parts) > 60
+    assert not opened and sum(p.kind == "whole" for part in parts for p in part) == 1 and len(parts) > 60
     assert logfiles.read_lines(spark, str(folder / "1*.log"), split=True, splitBytes=1_000).where("line_no is not null").count() == 11 * 50
 
 
 def test_packing_is_by_size_and_in_order():
-    piece = lambda k, size: (logfiles.Piece(f"f{k}"), size)
+    piece = lambda k, size: (splits.Piece(f"f{k}"), size)
     parts = logfiles.packed([piece(k, s) for k, s in enumerate([10, 20, 2_000_000, 5, 3_000_000, 1])], 1_000_000)
     assert [[p.path for p in part] for part in parts] == [["f0", "f1"], ["f2"], ["f3"], ["f4"], ["f5"]]
     assert logfiles.packed([], 1) == []
