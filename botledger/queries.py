@@ -2,7 +2,7 @@
 
 The test tables hold no access logs, so both sides derive the same requests from ``events``:
 the query renders log lines from them and parses these back; the oracle works from the fields
-the lines were rendered from. Cases of scalar functions are rows with the result they must have.
+the lines were rendered from. Scalar functions run over texts made of a table's rows.
 """
 
 from __future__ import annotations
@@ -227,87 +227,98 @@ def detect_format(spark, sf_dir):
 # ------------------------------------------------------------------ scalar functions
 
 
-def cases(name: str, rows: list[tuple], f: Callable) -> None:
-    """A query over (input, expected) rows: case_id and the function's result as text."""
-    def run(spark: SparkSession, _: str) -> DataFrame:
-        df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "case_id long, input string")
-        return df.select("case_id", f(F.col("input")).cast("string").alias("result"))
+def _told(spark: SparkSession, sf_dir: str, name: str, sql: str, f: Callable) -> DataFrame:
+    """id and the function's result, as text, for each row of a table; sql has the columns id and input."""
+    rows = spark.sql(sql.replace(f"{name}_", "{" + name + "}"), **{name: table(spark, sf_dir, name)})
+    return rows.select("id", f(F.col("input")).cast("string").alias("result"))
 
-    QUERIES[name] = run
-    ORACLE[name] = f"SELECT CAST(case_id AS BIGINT) AS case_id, CAST(result AS VARCHAR) AS result FROM {values([(i, r[1]) for i, r in enumerate(rows)], 'case_id, result')}"
 
+def over(query_name: str, name: str, made: str, f: Callable, truth: str) -> None:
+    """A query that applies a scalar function to texts made of a table's rows; ``made`` gives id and input, in SQL that both engines read, and ``truth`` the result, in DuckDB's, from the same rows."""
+    QUERIES[query_name] = lambda spark, sf_dir: _told(spark, sf_dir, name, made, f)
+    ORACLE[query_name] = truth
 
-cases(
-    "clf_time_utc",
-    [
-        ("28/Sep/2026:12:00:00 +0000", "2026-09-28T12:00:00+00:00"), ("28/Sep/2026:12:00:00 +0530", "2026-09-28T06:30:00+00:00"),
-        ("01/Jan/2027:00:30:00 +0100", "2026-12-31T23:30:00+00:00"), ("31/Feb/2026:12:00:00 +0000", None), ("29/Feb/2024:23:59:59 -0500", "2024-03-01T04:59:59+00:00"),
-        ("29/Feb/2023:00:00:00 +0000", None), ("28/Sep/2026:24:00:00 +0000", None), ("28/Sep/2026:12:00:60 +0000", None), ("28/Sep/2026:12:00:00 +2400", None),
-        ("28/Sep/2026:12:00:00 -2359", "2026-09-29T11:59:00+00:00"), ("28/sep/2026:12:00:00 +0000", None), ("28/Okt/2026:12:00:00 +0000", None), ("", None), ("28/Sep/2026:12:00:00", None),
-    ],
+
+#: Times of events as logs have them: five offsets, one of which doesn't exist; days and hours that don't exist.
+over(
+    "clf_time_utc", "events",
+    """SELECT event_id AS id, CASE event_id % 11 WHEN 4 THEN '31/Feb/2024:' || date_format(ts, 'HH:mm:ss') || ' +0000' WHEN 5 THEN date_format(ts, 'dd/MMM/yyyy') || ':24:00:00 +0000' WHEN 6 THEN date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')
+      ELSE CASE event_id % 5 WHEN 0 THEN date_format(ts, 'dd/MMM/yyyy:HH:mm:ss') || ' +0000' WHEN 1 THEN date_format(ts + INTERVAL '330' MINUTE, 'dd/MMM/yyyy:HH:mm:ss') || ' +0530'
+      WHEN 2 THEN date_format(ts - INTERVAL '300' MINUTE, 'dd/MMM/yyyy:HH:mm:ss') || ' -0500' WHEN 3 THEN date_format(ts + INTERVAL '1439' MINUTE, 'dd/MMM/yyyy:HH:mm:ss') || ' +2359'
+      ELSE date_format(ts, 'dd/MMM/yyyy:HH:mm:ss') || ' +2400' END END AS input FROM events_""",
     lambda c: t.utc_text(t.clf_time(c)),
+    "SELECT event_id AS id, CASE WHEN event_id % 11 NOT IN (4, 5, 6) AND event_id % 5 <> 4 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS result FROM events",
 )
-cases(
-    "iso_time_utc",
-    [
-        ("2026-09-28T08:15:30.999999Z", "2026-09-28T08:15:30+00:00"), ("2026-09-28T08:15:30Z", "2026-09-28T08:15:30+00:00"), ("2026-09-28T08:15:30.1Z", "2026-09-28T08:15:30+00:00"),
-        ("2026-02-30T08:15:30Z", None), ("2026-09-28T08:15:60Z", None), ("2026-09-28 08:15:30Z", None), ("2026-09-28T08:15:30", None), ("0000-01-01T00:00:00Z", None), ("x", None),
-    ],
+over(
+    "iso_time_utc", "events",
+    """SELECT event_id AS id, CASE event_id % 13 WHEN 4 THEN '2023-02-29T' || date_format(ts, 'HH:mm:ss') || 'Z' WHEN 5 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') || 'Z' WHEN 6 THEN replace(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', 'T')
+      WHEN 7 THEN date_format(ts, 'yyyy-MM-dd') || 'T08:15:60Z'
+      ELSE replace(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', 'T') || CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN '.9' WHEN 2 THEN '.' || date_format(ts, 'SSSSSS') ELSE '.999999999' END || CASE event_id % 3 WHEN 0 THEN '+00:00' ELSE 'Z' END END AS input FROM events_""",
     lambda c: t.utc_text(t.iso_time(c)),
+    "SELECT event_id AS id, CASE WHEN event_id % 13 NOT IN (4, 5, 6, 7) THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS result FROM events",
+)
+
+
+def _escaped(c):
+    """Quotes and backslashes as logs escape them, signs of Latin-1 by their codes."""
+    out = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for sign in "äöüßéèêçáíóúñ":
+        out = F.replace(out, F.lit(sign), F.lit(f"\\x{ord(sign):02x}"))
+    return out
+
+
+over("unescape", "documents", "SELECT doc_id AS id, text AS input FROM documents_", lambda c: F.md5(t.unescape(_escaped(c)).cast("binary")), "SELECT doc_id AS id, md5(text) AS result FROM documents")
+over(
+    "percent_decode", "documents",
+    "SELECT doc_id AS id, replace(url_encode(text), '+', '%20') || CASE doc_id % 3 WHEN 0 THEN '%zz%4+' WHEN 1 THEN '%ff%C3x' ELSE '' END AS input FROM documents_",
+    lambda c: F.md5(t.percent_decode(c).cast("binary")),
+    "SELECT doc_id AS id, md5(text || CASE doc_id % 3 WHEN 0 THEN '%zz%4+' WHEN 1 THEN chr(65533) || chr(65533) || 'x' ELSE '' END) AS result FROM documents",
 )
-cases(
-    "unescape",
-    [
-        ("plain", "plain"), ('Mozilla \\"quoted\\" x', 'Mozilla "quoted" x'), ("Mozilla \\x22hex\\x22", 'Mozilla "hex"'), ("caf\\xe9", "café"), ("\\x2", "x2"), ("a\\\\b", "a\\b"), ("end\\", "end\\"), ("\\xZZ", "xZZ"), ("", ""),
-    ],
-    t.unescape,
-)
-cases(
-    "percent_decode",
-    [
-        ("/caf%C3%A9", "/café"), ("a%20b+c", "a b+c"), ("%zz%4", "%zz%4"), ("%ff", "�"), ("%C3x", "�x"), ("100%", "100%"), ("%E2%82%AC", "€"), ("%e2%82", "�"), ("é%41", "éA"), ("", ""), ("%25%32%30", "%20"),
-    ],
-    t.percent_decode,
-)
-cases(
-    "url_host",
-    [
-        ("https://Example.com/a", "example.com"), ("https://u:p@h.example:8/x", "h.example"), ("https://a@b@c.example/", "c.example"), ("https:chatgpt.com", None), ("//h/x", None), ("h.example", None),
-        ("https://[::1]:80/x", "::1"), ("https://[::1/x", None), ("https:///x", None), ("https://h.ex\tample/", "h.example"), ("https://h.example?x", "h.example"), ("https://h\\@e.example/", "e.example"), ("1http://h/", None),
-    ],
-    u.url_host,
-)
-cases(
-    "normalize_host",
-    [("WWW.Example.COM.", "example.com"), ("www.www.x", "www.x"), (" x.example.. ", "x.example"), ("www", "www"), ("a" * 300 + "." * 3000, "a" * 300), ("", "")],
-    u.normalize_host,
-)
-cases(
-    "domain_input",
-    [
-        ("example.com", "https://example.com"), (" HTTP://Example.com:80/x ", "https://example.com"), ("https://example.com:8443/x?y", "https://example.com:8443"), ("example.com.", "https://example.com"),
-        ("", "empty"), ("  ", "empty"), ("ftp://example.com", "invalid"), ("127.0.0.1", "ip"), ("https://[::1]/", "ip"), ("localhost", "local"), ("intranet", "local"), ("a.local", "local"),
-        ("x.home.arpa", "local"), ("https://exa mple.com", "invalid"), ("https://example.com:99999", "invalid"), ("https://", "invalid"), ("user@example.com/path", "https://example.com"),
-        ("münchen.example", "https://xn--mnchen-3ya.example"), (" https://user@STRAßE.example:8443/xü ", "https://xn--strae-oqa.example:8443"), ("日本。example", "https://xn--wgv71a.example"),
-        ("ｅxample.com", "https://example.com"), ("abü.example", "invalid"), ("example.com/ü", "https://example.com"), ("%65xample.com", "https://example.com"),
-        ("127.1", "ip"), ("0x7f.0.0.1", "ip"), ("2130706433", "ip"), ("0300.0250.1", "ip"), ("10.0.0.1.", "ip"), ("256.1.1.1", "invalid"), ("1.2.3.4.5", "invalid"), ("1.2.3.09", "invalid"), ("example.7", "invalid"),
-        ("1.2.3.4.example", "https://1.2.3.4.example"),
-    ],
+
+#: Pages with the parts of their addresses.
+_PARTS = "(SELECT page_id AS id, url, host, substr(url, length(regexp_extract(url, '^(https?://[^/?#]*)', 1)) + 1) AS rest FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host FROM pages_))"
+_PARTS_SQL = _PARTS.replace("pages_", "pages")
+over(
+    "url_host", "pages",
+    f"""SELECT id, CASE id % 7 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN 'https://u:p@x@' || host || ':99999' || rest WHEN 3 THEN '//' || host || rest WHEN 4 THEN 'https:' || host WHEN 5 THEN 'ftp://[' || host || ']:8' || rest
+    ELSE 'https://[' || host || rest END AS input FROM {_PARTS}""",
+    u.url_host, f"SELECT id, CASE WHEN id % 7 IN (0, 1, 2, 5) AND host <> '' THEN lower(host) END AS result FROM {_PARTS_SQL}",
+)
+over(
+    "normalize_host", "pages", f"SELECT id, CASE id % 3 WHEN 0 THEN host WHEN 1 THEN '  WWW.' || upper(host) || '...' ELSE 'www.' || host || '. ' END AS input FROM {_PARTS}",
+    u.normalize_host, f"SELECT id, CASE WHEN id % 3 = 0 AND host LIKE 'www.%' THEN substr(host, 5) ELSE host END AS result FROM {_PARTS_SQL}",
+)
+over(
+    "domain_input", "pages",
+    f"""SELECT id, CASE id % 10 WHEN 0 THEN url WHEN 1 THEN host WHEN 2 THEN ' HTTP://' || upper(host) || ':80/x ' WHEN 3 THEN 'ftp://' || host WHEN 4 THEN host || ':99999' WHEN 5 THEN '10.0.' || CAST(id % 256 AS STRING) || '.1'
+    WHEN 6 THEN 'intranet.' || CAST(id AS STRING) || '.local' WHEN 7 THEN 'user@bücher.' || host || ':8443' || rest WHEN 8 THEN '  ' ELSE CAST(id AS STRING) || '.0.0.300' END AS input FROM {_PARTS}""",
     lambda c: F.transform(F.array(u.site_input(c)), lambda s: F.coalesce(s["origin"], s["reason"]))[0],
+    f"""SELECT id, CASE WHEN id % 10 IN (0, 1, 2) THEN 'https://' || host WHEN id % 10 IN (3, 4, 9) THEN 'invalid' WHEN id % 10 = 5 THEN 'ip' WHEN id % 10 = 6 THEN 'local' WHEN id % 10 = 8 THEN 'empty'
+    ELSE 'https://xn--bcher-kva.' || host || ':8443' END AS result FROM {_PARTS_SQL}""",
 )
-cases("check_link", [("localhost", "/en/?check=localhost"), ("https://a.example:8/x?y=1&z", "/en/?check=https%3A%2F%2Fa.example%3A8%2Fx%3Fy%3D1%26z"), ("bü.example", "/en/?check=b%C3%BC.example")], lambda c: u.check_link(F.lit("/en/"), c))
-cases("check_value", [("https://chatgpt.com/", "url"), ("GPTBot/1.0", "ua"), ("see https://x.example/", "ua"), (" https://x.example/a ", "url"), ("https://", "ua")], lambda c: F.when(u.is_url(c), "url").otherwise("ua"))
-cases(
-    "bare_host_hint",
-    [("chatgpt.com", "https://chatgpt.com/"), ("chatgpt.com/", "https://chatgpt.com/"), ("h.example:8080", "https://h.example:8080/"), ("-a.example", None), ("localhost", None), ("a b.example", None), ("a..b", None)],
-    u.bare_host_hint,
+over("check_link", "pages", "SELECT page_id AS id, url AS input FROM pages_", lambda c: u.check_link(F.lit("/en/"), c), "SELECT page_id AS id, '/en/?check=' || url_encode(url) AS result FROM pages")
+over(
+    "check_value", "pages", f"SELECT id, CASE id % 5 WHEN 0 THEN url WHEN 1 THEN '  ' || url || ' ' WHEN 2 THEN 'see ' || url WHEN 3 THEN host ELSE url || ' x' END AS input FROM {_PARTS}",
+    lambda c: F.when(u.is_url(c), "url").otherwise("ua"), f"SELECT id, CASE WHEN id % 5 < 2 THEN 'url' ELSE 'ua' END AS result FROM {_PARTS_SQL}",
 )
-cases(
-    "check_param",
-    [("/en/?check=dev.to", "dev.to"), ("/?a=1&check=https%3A%2F%2FExample.com%3A8443%2Fx", "example.com:8443"), ("/?check=", None), ("/?x=check", None), ("/?check=localhost", None)],
-    u.check_param,
+over(
+    "bare_host_hint", "pages",
+    f"SELECT id, CASE id % 6 WHEN 0 THEN host WHEN 1 THEN host || '/' WHEN 2 THEN host || ':8080' WHEN 3 THEN '-' || host WHEN 4 THEN substring_index(host, '.', 1) ELSE url END AS input FROM {_PARTS}",
+    u.bare_host_hint, f"SELECT id, CASE id % 6 WHEN 0 THEN 'https://' || host || '/' WHEN 1 THEN 'https://' || host || '/' WHEN 2 THEN 'https://' || host || ':8080/' END AS result FROM {_PARTS_SQL}",
+)
+over(
+    "check_param", "pages",
+    f"""SELECT id, CASE id % 6 WHEN 0 THEN '/en/?check=' || host WHEN 1 THEN '/?a=1&check=https%3A%2F%2F' || upper(host) || '%3A8443%2Fx#y' WHEN 2 THEN '/?check=' WHEN 3 THEN '/?x=check&uncheck=' || host WHEN 4 THEN '/?check=local' || CAST(id AS STRING)
+    ELSE '/?check=' || url_encode(url) || '&b' END AS input FROM {_PARTS}""",
+    u.check_param, f"SELECT id, CASE id % 6 WHEN 0 THEN host WHEN 1 THEN host || ':8443' WHEN 5 THEN host END AS result FROM {_PARTS_SQL}",
+)
+over(
+    "count_lines", "conversations",
+    "SELECT conv_id * 1000 + turn AS id, replace(replace(text, chr(10), ''), ' ', CASE turn % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) ELSE chr(13) || chr(10) END) AS input FROM conversations_",
+    sitefiles.count_lines,
+    """SELECT conv_id * 1000 + turn AS id, CAST(CASE WHEN x = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + CASE WHEN x LIKE '% ' THEN 0 ELSE 1 END END AS VARCHAR) AS result
+    FROM (SELECT *, replace(text, chr(10), '') AS x FROM conversations)""",
 )
-cases("count_lines", [("", 0), ("a", 1), ("a\n", 1), ("a\r\nb", 2), ("a\r\rb\n", 3), ("\n", 1), ("\n\n", 2)], sitefiles.count_lines)
 
 
 @query(
@@ -622,21 +633,22 @@ def stream_report(spark, sf_dir):
     return _report_rows(report.report_of(live.latest_tally(spark, f"{folder}/state/tally")))
 
 
-_PASTED = [
-    '198.51.100.1 - - [03/Mar/2026:10:00:00 +0000] "GET /p1?x HTTP/1.1" 200 5 "-" "GPTBot/1.1"', "", "broken",
-    '198.51.100.1 - - [03/Mar/2026:10:00:01 +0000] "GET /p2 HTTP/1.1" 404 5 "https://claude.ai/" "Mozilla"',
-]
+#: Events whose lines are pasted as one text.
+_PASTED = 500
 
 
 @query(
     "pasted_text",
-    "SELECT CAST(a AS BIGINT) AS line_no, b AS outcome, c AS path, CAST(d AS INTEGER) AS status FROM "
-    + values([(1, "record", "/p1", 200), (2, "blank", None, None), (3, "malformed", None, None), (4, "record", "/p2", 404)], "a, b, c, d"),
+    f"""SELECT file, nth AS line_no, CASE WHEN blank THEN 'blank' WHEN broken THEN 'malformed' ELSE 'record' END AS outcome, CASE WHEN NOT blank AND NOT broken THEN path END AS path, CASE WHEN NOT blank AND NOT broken THEN CAST(status AS INTEGER) END AS status
+    FROM (SELECT *, event_id % 19 = 7 AS blank, row_number() OVER (PARTITION BY file ORDER BY event_id) AS nth FROM (SELECT * REPLACE (CAST(event_id // {_PASTED} AS VARCHAR) AS file) FROM ({req_sql()})))""",
 )
 def pasted_text(spark, sf_dir):
-    from botledger.plans.engine import Engine
-
-    return Engine(spark).parse_text("\r".join(_PASTED[:2]) + "\r\n" + "\n".join(_PASTED[2:])).select("line_no", "outcome", "path", "status")
+    """Texts of some hundred log lines each, blank ones among them, with breaks of all kinds."""
+    req = combined_lines(requests(spark, sf_dir)).withColumn("file", F.floor(F.col("line_no") / _PASTED).cast("string"))
+    line = F.when(F.col("line_no") % 19 == 7, F.lit("  ")).otherwise(F.col("line"))
+    ends = F.element_at(F.array(F.lit("\r"), F.lit("\r\n"), F.lit("\n")), (F.col("line_no") % 3 + 1).cast("int"))
+    texts = req.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat(line, ends).alias("l")))), lambda x: x["l"]), "").alias("text"))
+    return lines.parse_lines(logfiles.with_format(logfiles.lines_of_texts(texts))).select("file", "line_no", "outcome", "path", "status")
 
 
 @query("file_stats", f"SELECT file, count(*) AS lines, count(*) FILTER (NOT broken) AS records, count(*) FILTER (broken) AS skipped FROM ({req_sql()}) GROUP BY file")
@@ -685,29 +697,42 @@ def page_view(spark, sf_dir):
 
 @query(
     "vendor_catalogue",
-    f"SELECT vendor, vendor_name, count(*) AS crawlers, string_agg(token, ',' ORDER BY o) AS tokens, count(*) FILTER (d) AS documented FROM "
-    f"{values([(c[0], c[2], c[3], c[4], c[8]) for c in catalogue.CRAWLERS], 'o, vendor, vendor_name, token, d')} GROUP BY vendor, vendor_name",
+    f"""SELECT vendor, vendor_name, count(*) AS crawlers, string_agg(token, ',' ORDER BY o) AS tokens, count(*) FILTER (d) AS documented, CAST(coalesce(sum(n), 0) AS BIGINT) AS requests
+    FROM {values([(c[0], c[1], c[2], c[3], c[4], c[8]) for c in catalogue.CRAWLERS], 'o, id, vendor, vendor_name, token, d')} LEFT JOIN (SELECT crawler, count(*) AS n FROM {_GOOD} GROUP BY crawler) ON crawler = id GROUP BY vendor, vendor_name""",
 )
 def vendor_catalogue(spark, sf_dir):
-    return catalogue.crawlers(spark).groupBy("vendor", "vendor_name").agg(
+    """Each vendor's crawlers, and what they asked for, if anything."""
+    asked = report.crawler_rows(_tally(spark, sf_dir)).select("id", "requests")
+    return catalogue.crawlers(spark).join(asked, "id", "left").groupBy("vendor", "vendor_name").agg(
         F.count(F.lit(1)).alias("crawlers"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), ",").alias("tokens"),
-        F.count_if(F.col("vendor_documented")).alias("documented"),
+        F.count_if(F.col("vendor_documented")).alias("documented"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"),
     )
 
 
-@query("catalogue_counts", "SELECT CAST(28 AS BIGINT) AS crawlers, CAST(13 AS BIGINT) AS vendors, CAST(27 AS BIGINT) AS documented, CAST(12 AS BIGINT) AS chats")
+@query(
+    "catalogue_counts",
+    f"""SELECT CAST(28 AS BIGINT) AS crawlers, CAST(13 AS BIGINT) AS vendors, CAST(27 AS BIGINT) AS documented, CAST(12 AS BIGINT) AS chats,
+    count(DISTINCT crawler) AS crawlers_seen, count(DISTINCT product) AS chats_seen FROM {_GOOD}""",
+)
 def catalogue_counts(spark, sf_dir):
-    return catalogue.counts(spark)
+    """The catalogue's headline numbers, and how much of it the log shows."""
+    seen = _tally(spark, sf_dir).select("kind", "id").distinct().agg(F.count_if(F.col("kind") == "crawler").alias("crawlers_seen"), F.count_if(F.col("kind") == "referral").alias("chats_seen"))
+    return catalogue.counts(spark).crossJoin(seen)  # one row each
 
 
 _LISTED = [(r[1], h) for r in catalogue.REFERRERS for h in r[5]]
 
 
-@query("catalogue_hosts", f"SELECT a AS id, b AS host, CAST(length(b) - length(replace(b, '.', '')) + 1 AS INTEGER) AS labels FROM {values(_LISTED, 'a, b')}")
+@query(
+    "catalogue_hosts",
+    f"""SELECT a AS id, b AS host, CAST(length(b) - length(replace(b, '.', '')) + 1 AS INTEGER) AS labels, coalesce(n, 0) AS visits
+    FROM {values(_LISTED, 'a, b')} LEFT JOIN (SELECT product, count(*) AS n FROM {_GOOD} GROUP BY product) ON product = a""",
+)
 def catalogue_hosts(spark, sf_dir):
-    rows = catalogue.referrers(spark).select("id", F.explode("hosts").alias("host"))
-    return rows.select("id", "host", F.size(F.split("host", "[.]")).alias("labels"))
+    """Each product's hosts, with the visits that it brought."""
+    rows = catalogue.referrers(spark).select("id", F.explode("hosts").alias("host")).join(report.referral_rows(_tally(spark, sf_dir)).select("id", "visits"), "id", "left")
+    return rows.select("id", "host", F.size(F.split("host", "[.]")).alias("labels"), F.coalesce("visits", F.lit(0)).alias("visits"))
 
 
 @query(
@@ -918,25 +943,36 @@ def html_sniff(spark, sf_dir):
     return rows.select("kind", "id", sitefiles.looks_like_html(F.col("text")).alias("html"))
 
 
-_FETCHED = [
-    (1, 200, "User-agent: *", "found", "ok", "found"), (2, 200, "<html>", "html", "none", "html"), (3, 404, "x", "missing", "none", "missing"), (4, 410, None, "missing", "none", "missing"),
-    (5, 403, "x", "missing", "none", "unavailable"), (6, 500, "x", "server-error", "warn", None), (7, None, None, "unreachable", "warn", None), (8, 302, "x", "unreachable", "warn", None), (9, 204, "", "found", "ok", "found"),
-]
+#: What fetching a site's file gave, by page: a status or none, and a text: the page, its address, or none.
+_FETCHED = """SELECT page_id AS id, CAST(CASE page_id % 10 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 403 WHEN 3 THEN 500 WHEN 4 THEN NULL WHEN 5 THEN 302 WHEN 6 THEN 204 ELSE 200 END AS INT) AS status,
+    CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN url END AS text FROM pages_"""
 
 
-@query("status_outcome", f"SELECT CAST(a AS BIGINT) AS id, b AS outcome, c AS mark, d AS robots_line FROM {values([(r[0], *r[3:]) for r in _FETCHED], 'a, b, c, d')}")
+@query(
+    "status_outcome",
+    f"""SELECT id, outcome, CASE outcome WHEN 'found' THEN 'ok' WHEN 'missing' THEN 'none' WHEN 'html' THEN 'none' ELSE 'warn' END AS mark,
+    CASE WHEN outcome IN ('found', 'html') THEN outcome WHEN outcome = 'missing' THEN CASE WHEN status = 403 THEN 'unavailable' ELSE 'missing' END END AS robots_line
+    FROM (SELECT *, CASE WHEN status IS NULL OR status = 302 THEN 'unreachable' WHEN status = 500 THEN 'server-error' WHEN status >= 400 THEN 'missing' WHEN text IS NULL THEN 'unreachable'
+      WHEN regexp_matches(lower(left(text, 256)), '^\\s*(<!doctype html|<html|<head|<body)') THEN 'html' ELSE 'found' END AS outcome FROM ({_FETCHED.replace('pages_', 'pages')}))""",
+)
 def status_outcome(spark, sf_dir):
-    df = spark.createDataFrame([r[:3] for r in _FETCHED], "id long, status int, text string").withColumn("outcome", sitefiles.file_outcome(F.col("status"), F.col("text")))
+    df = spark.sql(_FETCHED.replace("pages_", "{pages}"), pages=table(spark, sf_dir, "pages")).withColumn("outcome", sitefiles.file_outcome(F.col("status"), F.col("text")))
     return df.select("id", "outcome", sitefiles.file_mark(F.col("outcome")).alias("mark"), sitefiles.robots_line_kind(F.col("outcome"), F.col("status")).alias("robots_line"))
 
 
-_LLMS_LINES = [("found", "T", "found"), ("found", None, "found_untitled"), ("pasted", None, "pasted"), ("missing", None, "missing"), ("html", None, "missing"), ("server-error", None, "missing"), ("unreachable", None, "unreachable")]
+#: llms.txt files by document: half of them with a title, one in five of these an empty one.
+_LLMS_FILES = """SELECT doc_id AS id, CASE doc_id % 7 WHEN 0 THEN 'pasted' WHEN 1 THEN 'missing' WHEN 2 THEN 'html' WHEN 3 THEN 'unreachable' WHEN 4 THEN 'server-error' ELSE 'found' END AS outcome,
+    CASE WHEN doc_id % 2 = 0 THEN concat('# ', CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE CAST(doc_id AS STRING) END, chr(10)) ELSE '' END || text AS text FROM documents_"""
 
 
-@query("llms_line", f"SELECT CAST(a AS BIGINT) AS id, b AS kind FROM {values([(i, r[2]) for i, r in enumerate(_LLMS_LINES)], 'a, b')}")
+@query(
+    "llms_line",
+    f"""SELECT id, title, CASE WHEN outcome IN ('unreachable', 'pasted') THEN outcome WHEN outcome = 'found' THEN CASE WHEN title IS NULL THEN 'found_untitled' ELSE 'found' END ELSE 'missing' END AS kind
+    FROM (SELECT *, nullif(trim(substr(list_filter(string_split(left(text, 512000), chr(10)), lambda x: x LIKE '# %')[1], 3)), '') AS title FROM ({_LLMS_FILES.replace('documents_', 'documents')}))""",
+)
 def llms_line(spark, sf_dir):
-    df = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(_LLMS_LINES)], "id long, outcome string, title string")
-    return df.select("id", sitefiles.llms_line_kind(F.col("outcome"), F.col("title")).alias("kind"))
+    df = spark.sql(_LLMS_FILES.replace("documents_", "{documents}"), documents=table(spark, sf_dir, "documents")).withColumn("title", sitefiles.llms_title(F.col("text")))
+    return df.select("id", "title", sitefiles.llms_line_kind(F.col("outcome"), F.col("title")).alias("kind"))
 
 
 # ------------------------------------------------------------------ sessions

@@ -345,10 +345,15 @@ def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None
 
 def lines_from_text(spark: SparkSession, text: str, file: str = "pasted") -> DataFrame:
     """Rows of a pasted log."""
-    df = spark.createDataFrame([(file, text)], "file string, text string")
-    rows = df.select("file", F.posexplode(F.split("text", "\r\n|\r|\n", -1)).alias("at", "line"))
-    last = F.size(F.split(F.lit(text), "\r\n|\r|\n", -1)) - 1
-    return rows.where((F.col("line") != "") | (F.col("at") < last)).select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+    return lines_of_texts(spark.createDataFrame([(file, text)], "file string, text string"))
+
+
+def lines_of_texts(texts: DataFrame) -> DataFrame:
+    """(file, line_no, line) of texts(file, text), whatever ends their lines; a break at the end starts no line."""
+    rows = texts.select("file", F.split("text", "\r\n|\r|\n", -1).alias("lines"))
+    last = F.when(F.element_at("lines", -1) == "", F.size("lines") - 1).otherwise(F.size("lines"))
+    flat = rows.select("file", F.posexplode(F.slice("lines", F.lit(1), last)).alias("at", "line"))
+    return flat.select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def check_formats(unknown: DataFrame) -> None:
