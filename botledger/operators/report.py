@@ -48,8 +48,8 @@ def tally(records: DataFrame, since: datetime | None = None, own_host: str | Non
     ).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
 
 
-def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
-    """(kind, id, path, note, n, last_seen): everything a report needs from parsed lines, in one pass and one shuffle.
+def tagged_lines(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
+    """(kind, id, path, note, ts) of each parsed line.
 
     kind is ``crawler`` or ``referral`` for what tally() counts; ``lines`` for all other lines, by outcome (id) and
     file (path); ``file`` for the status rows of the reader (line_no null), id ``whole`` or ``damaged``, with the first
@@ -61,18 +61,24 @@ def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str
     if since is not None:
         hit = hit & (F.col("ts") >= F.lit(since.astimezone(timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz"))
     hit = F.coalesce(hit, F.lit(False))
-    return tagged.groupBy(
+    return tagged.select(
         F.when(status, "file").when(~hit, "lines").when(F.col("crawler_id").isNotNull(), "crawler").otherwise("referral").alias("kind"),
         F.when(status, F.when(F.col("truncated"), "damaged").otherwise("whole")).when(~hit, F.col("outcome")).otherwise(F.coalesce("crawler_id", "referral_id")).alias("id"),
         F.when(hit, F.col("path")).otherwise(F.col("file")).alias("path"),
         "note",
-    ).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+        "ts",
+    )
+
+
+def tally_lines(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
+    """(kind, id, path, note, n, last_seen): everything a report needs from parsed lines (see tagged_lines), in one pass and one shuffle."""
+    return tagged_lines(parsed, since, own_host).groupBy("kind", "id", "path", "note").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
 
 
 def _by_id(t: DataFrame, kind: str, count: str) -> DataFrame:
-    return t.where(F.col("kind") == kind).groupBy("id").agg(
-        F.sum("n").cast("long").alias(count), F.count(F.lit(1)).alias("unique_pages"), F.max("last_seen").alias("last_seen")
-    )
+    """Requests, pages and last time of each id; rows that stand for several pages say how many in ``pages``."""
+    pages = F.sum("pages").cast("long") if "pages" in t.columns else F.count(F.lit(1))
+    return t.where(F.col("kind") == kind).groupBy("id").agg(F.sum("n").cast("long").alias(count), pages.alias("unique_pages"), F.max("last_seen").alias("last_seen"))
 
 
 def crawler_rows(t: DataFrame) -> DataFrame:
@@ -183,6 +189,13 @@ def report_of(t: DataFrame, top: int = DEFAULT_TOP) -> Report:
     return Report(t, files, summary(t), crawler_rows(t), referral_rows(t), page_rows(t, top), top_pages(t, "crawler", top), top_pages(t, "referral", top))
 
 
+def running_report(totals: DataFrame, top_rows: DataFrame, files: DataFrame, top: int = DEFAULT_TOP) -> Report:
+    """The frames of a report from totals(kind, id, n, pages, last_seen) over parts of the pages and the tally's rows of each part's top pages."""
+    return Report(
+        top_rows, files, summary(totals), crawler_rows(totals), referral_rows(totals), page_rows(top_rows, top), top_pages(top_rows, "crawler", top), top_pages(top_rows, "referral", top)
+    )
+
+
 def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DEFAULT_TOP, own_host: str | None = None) -> Report:
     """The report of parsed lines, read once however many of its frames are used; its owner releases it."""
     return report_of(whole_tally(parsed, since, own_host).persist(), top)
@@ -190,7 +203,12 @@ def build_report(parsed: DataFrame, since: datetime | None = None, top: int = DE
 
 def whole_tally(parsed: DataFrame, since: datetime | None = None, own_host: str | None = None) -> DataFrame:
     """tally_lines() of parsed lines of any source, with or without damage marks and notes."""
+    return tally_lines(with_marks(parsed), since, own_host)
+
+
+def with_marks(parsed: DataFrame) -> DataFrame:
+    """parsed lines with the columns truncated and note, null where their source has none."""
     for name, kind in (("truncated", "boolean"), ("note", "string")):
         if name not in parsed.columns:
             parsed = parsed.withColumn(name, F.lit(None).cast(kind))
-    return tally_lines(parsed, since, own_host)
+    return parsed

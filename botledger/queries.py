@@ -630,7 +630,7 @@ def stream_report(spark, sf_dir):
         q.processAllAvailable()
     finally:
         q.stop()
-    return _report_rows(report.report_of(live.latest_tally(spark, f"{folder}/state/tally")))
+    return _report_rows(live.report_of_snapshot(live.latest_snapshot(spark, f"{folder}/state/report")))
 
 
 #: Events whose lines are pasted as one text.

@@ -1,31 +1,37 @@
 """Streams: tagging requests, a running report, sessions with state, and callbacks.
 
-The running report keeps one state row per group of the batch tally - pages by crawler or product,
-other lines by outcome and file - so distinct pages, records and skipped lines stay exact without a
-distinct aggregate, which streams don't have. Each micro-batch writes the groups it changed (update
-mode) beside the checkpoint; the report is derived from the latest row of each group, and every
-COMPACT batches these are written together.
+The running report is kept by state: each path's counts by crawler and product. A micro-batch reads
+and writes the state of the paths that it has, no others, and hands on what it changed: how much
+came to each count, whether it is new, and where it stands. From that and the report's last
+snapshot - totals by id, and top pages - the next snapshot follows, since counts only grow: top
+pages are the best of the old ones and the changed ones. A snapshot has as many rows as ids times
+top pages, however long the history.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
 from botledger.operators import lines, report, sessions
 from botledger.operators.classify import classify, log_line, match_struct
-from botledger.sources import logfiles
+from botledger.sources import catalogue, logfiles
 
 _log = logging.getLogger(__name__)
-#: Batches whose changes are kept apart before they are written together.
-COMPACT = 16
+#: Snapshots of the running report that are kept: the last batch may have to run again.
+KEPT = 3
+TOP = report.DEFAULT_TOP
 
 
 def parsed_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
@@ -74,47 +80,129 @@ def _numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{kind}=") and files.exists(path(p, "_SUCCESS")))
 
 
-def latest_tally(spark: SparkSession, folder: str, upto: int | None = None) -> DataFrame:
-    """The tally as the batches up to one (all by default) left it: of each group the row of its last change."""
-    within = lambda kind: [k for k in _numbers(spark, folder, kind) if upto is None or k <= upto]
-    whole = max(within("whole"), default=-1)
-    parts = [spark.read.parquet(f"{folder}/whole={whole}").withColumn("batch", F.lit(whole))] if whole >= 0 else []
-    newer = [f"{folder}/batch={k}" for k in within("batch") if k > whole]
-    if newer:
-        parts.append(spark.read.option("basePath", folder).parquet(*newer))
-    values, group = ["n", "last_seen"], ["kind", "id", "path", "note"]
-    rows = functools.reduce(DataFrame.unionByName, [p.select("batch", *group, *values) for p in parts])
-    last = rows.groupBy(*group).agg(F.max(F.struct("batch", *values)).alias("v"))
-    return last.select(*group, *[F.col(f"v.{c}").alias(c) for c in values])
-
-
-def _fold(changed: DataFrame, number: int, folder: str, on_batch: Callable[[report.Report], None]) -> None:
-    """Keep what a batch changed and hand over the report; every COMPACT batches write the whole tally and drop the changes it holds.
-
-    All is named by the batch: one that runs again after a failure writes the same rows in the same place, and what
-    a whole tally of that number holds already is not read from there.
+_CHANGE = "kind string, id string, path string, note string, n long, fresh boolean, total long, last_seen string, counts string"
+_SNAPSHOT = "part string, kind string, id string, path string, n long, pages long, last_seen timestamp_ntz, counts string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def _counted(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a batch changed of a path's counts, which the state holds by kind and id; lines that are no hits pass on as they are."""
+    df = pd.concat(list(rows))  # a row for each kind, id and Arrow batch at most
+    if not key[0]:
+        yield df.assign(path=key[1], fresh=False, total=df["n"], counts=None)[[c.split()[0] for c in _CHANGE.split(", ")]]
+        return
+    was = json.loads(state.get[0]) if state.exists else {}
+    now, out = dict(was), {}
+    for kind, id_, n, seen in df[["kind", "id", "n", "last_seen"]].itertuples(index=False, name=None):
+        name = f"{kind} {id_}"
+        now[name] = now.get(name, 0) + n
+        own = out.setdefault((kind, id_), [0, name not in was, ""])
+        own[0] += n
+        own[2] = max(own[2], seen or "")
+    counts = json.dumps(now)
+    state.update((counts,))
+    yield pd.DataFrame([(kind, id_, key[1], None, n, fresh, now[f"{kind} {id_}"], seen or None, counts) for (kind, id_), (n, fresh, seen) in out.items()], columns=[c.split()[0] for c in _CHANGE.split(", ")])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal lines of an Arrow batch as one row, so that a hot page sends a row a batch."""
+    names = ["hit", "path", "kind", "id", "note"]
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by(names).aggregate([("n", "sum"), ("last_seen", "max")])
+        yield from t.rename_columns([*names, "n", "last_seen"]).to_batches()
+
+
+def running_changes(parsed: DataFrame, own_host: str | None = None) -> DataFrame:
+    """Of a stream of parsed lines, what each micro-batch changed of the report's counts (update mode)."""
+    tagged = report.tagged_lines(report.with_marks(parsed), own_host=own_host)
+    hit, seen = F.col("kind").isin("crawler", "referral"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    rows = tagged.select(hit.alias("hit"), "path", "kind", "id", "note", F.lit(1).cast("long").alias("n"), seen.alias("last_seen"))
+    rows = rows.mapInArrow(_combined, "hit boolean, path string, kind string, id string, note string, n long, last_seen string")
+    return rows.groupBy("hit", "path").applyInPandasWithState(_counted, _CHANGE, "counts string", "update", GroupStateTimeout.NoTimeout)
+
+
+def _next(snapshot: DataFrame, changed: DataFrame, top: int) -> DataFrame:
+    """The snapshot after a batch's changes."""
+    null = lambda *cols: [F.lit(None).cast(kind).alias(c) for c, kind in (x.rsplit(" ", 1) for x in cols)]
+    cols = [c.split()[0] for c in _SNAPSHOT.split(", ")]
+    part = lambda name: F.col("part") == name
+    totals = snapshot.where(part("total")).select("kind", "id", "n", "pages", "last_seen").unionByName(
+        changed.select("kind", "id", "n", F.col("fresh").cast("long").alias("pages"), F.to_timestamp_ntz("last_seen").alias("last_seen"))
+    )
+    totals = totals.groupBy("kind", "id").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.max("last_seen").alias("last_seen"))
+    hits = changed.where("counts is not null")
+    listed = snapshot.where(part("top")).select("kind", "id", "path", "n").unionByName(hits.select("kind", "id", "path", F.col("total").alias("n")))
+    listed = listed.groupBy("kind", "id", "path").agg(F.max("n").alias("n"))
+    listed = listed.withColumn("rank", F.row_number().over(W.partitionBy("kind", "id").orderBy(F.desc("n"), "path"))).where(F.col("rank") <= top)
+    general = F.array(*[F.lit(f"crawler {c[1]}") for c in catalogue.CRAWLERS if not c[6]])
+    weight = F.aggregate(F.map_values(F.map_filter(F.from_json("counts", "map<string, long>"), lambda k, n: ~F.array_contains(general, k))), F.lit(0).cast("long"), lambda a, n: a + n)
+    pages = snapshot.where(part("page")).select("path", "n", "counts").unionByName(hits.select("path", weight.alias("n"), "counts")).where("n > 0")
+    pages = pages.groupBy("path").agg(F.max(F.struct("n", "counts")).alias("p")).select("path", "p.n", "p.counts").orderBy(F.desc("n"), "path").limit(top)
+    bad = changed.where("kind = 'file' and (id = 'damaged' or note is not null)").select("id", "path", F.col("note").alias("counts"))
+    parts = [
+        totals.select(F.lit("total").alias("part"), "kind", "id", *null("path string"), "n", "pages", "last_seen", *null("counts string")),
+        listed.select(F.lit("top").alias("part"), "kind", "id", "path", "n", *null("pages long", "last_seen timestamp_ntz", "counts string")),
+        pages.select(F.lit("page").alias("part"), *null("kind string", "id string"), "path", "n", *null("pages long", "last_seen timestamp_ntz"), "counts"),
+        bad.select(F.lit("file").alias("part"), F.lit("file").alias("kind"), "id", "path", *null("n long", "pages long", "last_seen timestamp_ntz"), "counts"),
+        snapshot.where(part("file")),
+    ]
+    return functools.reduce(DataFrame.unionByName, [p.select(*cols) for p in parts])
+
+
+def latest_snapshot(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The running report's last snapshot (of the batches before one)."""
+    numbers = [k for k in _numbers(spark, folder, "snapshot") if before is None or k < before]
+    return spark.read.schema(_SNAPSHOT).parquet(f"{folder}/snapshot={numbers[-1]}") if numbers else spark.createDataFrame([], _SNAPSHOT)
+
+
+def report_of_snapshot(rows: DataFrame, top: int = TOP) -> report.Report:
+    """The report from a snapshot; its files are the damaged ones and those of unknown format."""
+    totals = rows.where("part = 'total'").select("kind", "id", "n", "pages", "last_seen")
+    by_id = rows.where("part = 'top'").select("kind", "id", "path", "n")
+    by_page = rows.where("part = 'page'").select("path", F.explode(F.from_json("counts", "map<string, long>")).alias("k", "n"))
+    by_page = by_page.select(F.substring_index("k", " ", 1).alias("kind"), F.substring_index("k", " ", -1).alias("id"), "path", "n")
+    files = rows.where("part = 'file'").select(F.col("path").alias("file"), (F.col("id") == "damaged").alias("damaged"), F.col("counts").alias("first"))
+    return report.running_report(totals, by_id.unionByName(by_page).groupBy("kind", "id", "path").agg(F.max("n").alias("n")), files, top)
+
+
+def _fold(changed: DataFrame, number: int, folder: str, on_batch: Callable[[report.Report], None], top: int = TOP) -> None:
+    """Write the snapshot after a batch and hand over its report.
+
+    All is named by the batch: one that runs again after a failure starts from the same snapshot and writes in the same place.
     """
     spark = changed.sparkSession
-    changed.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-    t = latest_tally(spark, folder, number).persist()
+    changed = changed.persist()  # several parts of the snapshot read it
+    try:
+        _next(latest_snapshot(spark, folder, number), changed, top).coalesce(1).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")  # as many rows as ids times top pages
+    finally:
+        changed.unpersist()
+    rows = latest_snapshot(spark, folder, number + 1).persist()
     try:
-        on_batch(report.report_of(t))
-        if number % COMPACT == COMPACT - 1 and number not in _numbers(spark, folder, "whole"):
-            t.write.mode("overwrite").parquet(f"{folder}/whole={number}")
+        on_batch(report_of_snapshot(rows, top))
     finally:
-        t.unpersist()
-    kept = max((k for k in _numbers(spark, folder, "whole") if k < number), default=-1)  # not this batch's own: it may have to run again
+        rows.unpersist()
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in [f"batch={k}" for k in _numbers(spark, folder, "batch") if k <= kept] + [f"whole={k}" for k in _numbers(spark, folder, "whole") if k < kept]:
-        files.delete(path(f"{folder}/{name}"), True)
+    for k in _numbers(spark, folder, "snapshot")[:-KEPT]:
+        files.delete(path(f"{folder}/snapshot={k}"), True)
+
+
+def with_state(spark: SparkSession, start: Callable):
+    """start() with the state store that keyed state needs; the query takes it with it, the session's own setting stays."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None):
-    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far."""
-    folder = f"{checkpoint.rstrip('/')}/tally"
-    tally = report.tally_lines(parsed, own_host=own_host)
-    return tally.writeStream.outputMode("update").foreachBatch(lambda changed, number: _fold(changed, number, folder, on_batch)).option("checkpointLocation", checkpoint).start()
+def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None, top: int = TOP):
+    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far, with so many top pages."""
+    folder = f"{checkpoint.rstrip('/')}/report"
+    writer = running_changes(parsed, own_host).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    return with_state(parsed.sparkSession, writer.foreachBatch(lambda changed, number: _fold(changed, number, folder, on_batch, top)).start)
 
 
 def on_match(requests: DataFrame, callback: Callable[[dict], None], checkpoint: str, own_host: str | None = None):

@@ -89,7 +89,7 @@ def test_stream_reads_late_files_once_and_survives_failures(spark, folder, tmp_p
             if fail[0] and len(seen) == 1:
                 fail[0] = False
                 raise RuntimeError("a batch that fails once")
-            seen.append({r["path"]: r["n"] for r in rep.tally.where("kind = 'crawler'").collect()})
+            seen.append({r["path"]: r["n"] for r in rep.crawler_pages.collect()})
 
         rows = live.log_stream(spark, str(folder), str(tmp_path / "book"), max_files=2)
         return live.start_report(rows, on_batch, str(tmp_path / "state"))
@@ -110,7 +110,7 @@ def test_stream_reads_late_files_once_and_survives_failures(spark, folder, tmp_p
     assert seen[-1] == {"/p1": 2, "/p2": 2, "/p3": 1, "/p4": 1}
     assert len(seen) >= 3  # two files a batch
     want = Engine(spark).report(str(folder))
-    assert {r["path"]: r["n"] for r in want.tally.where("kind = 'crawler'").collect()} == seen[-1]
+    assert {r["path"]: r["n"] for r in want.crawler_pages.collect()} == seen[-1]
     want.release()
 
 

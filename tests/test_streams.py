@@ -1,5 +1,8 @@
 """Streaming queries give what the batch gives."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from botledger.operators import sessions
@@ -8,8 +11,7 @@ from botledger.streaming import live
 LINE = '198.51.100.7 - - [03/Mar/2026:10:00:0{n} +0000] "GET /p{n} HTTP/1.1" 200 5 "{ref}" "{ua}"'
 
 
-def test_running_report(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(live, "COMPACT", 2)
+def test_running_report(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     (folder / "1.log").write_text("\n".join(LINE.format(n=n % 3, ref="-", ua="GPTBot") for n in range(6)) + "\nbroken\n")
@@ -49,19 +51,51 @@ def test_stream_of_log_files(spark, tmp_path):
     assert seen[-1]["summary"] == {"records": 4, "skipped": 1, "ai_crawler_requests": 3, "ai_referral_visits": 1}
 
 
-def test_running_report_survives_batches_that_run_again(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(live, "COMPACT", 2)
-    batches = [[("a", 1), ("b", 1)], [("a", 3)], [("c", 1)], [("b", 2), ("d", 1)], [("a", 4)]]
-    frame = lambda rows: spark.createDataFrame([("crawler", "openai-gptbot", p, None, n, None) for p, n in rows], "kind string, id string, path string, note string, n long, last_seen timestamp_ntz")
-    folder, seen = str(tmp_path / "tally"), []
+def test_running_report_survives_batches_that_run_again(spark, tmp_path):
+    gptbot = ("crawler", "openai-gptbot")
+    batches = [[("/a", 1), ("/b", 1)], [("/a", 3)], [("/c", 1)], [("/b", 2), ("/d", 1)], [("/a", 4)]]
+    was: dict = {}
+    folder, seen = str(tmp_path / "report"), []
     for number, rows in enumerate(batches):
+        changed = [(*gptbot, p, None, n - was.get(p, 0), p not in was, n, "2026-01-01 00:00:00", json.dumps({"crawler openai-gptbot": n})) for p, n in rows]
         for _ in range(2):  # as after a failure before the batch was committed
-            live._fold(frame(rows), number, folder, lambda rep: seen.append({r["path"]: r["n"] for r in rep.tally.collect()}))
-    want = {}
-    for k, rows in enumerate(batches):
-        want |= dict(rows)
-        assert seen[2 * k] == seen[2 * k + 1] == want
-    assert live._numbers(spark, folder, "whole") == [3] and live._numbers(spark, folder, "batch") == [4]
+            live._fold(spark.createDataFrame(changed, live._CHANGE), number, folder, lambda rep: seen.append((rep.crawlers.first()[6:8], {r["path"]: r["n"] for r in rep.crawler_pages.collect()}, rep.pages.first()[0])))
+        was |= dict(rows)
+        assert seen[-1] == seen[-2] == ((sum(was.values()), len(was)), was, min(was, key=lambda p: (-was[p], p)))
+    assert live._numbers(spark, folder, "snapshot") == [2, 3, 4]
+
+
+def test_running_report_does_not_grow_with_its_history(spark, tmp_path):
+    """Over fifty batches: each reads and writes the states of its own paths, and a snapshot that stays as small; at the end the report is the batch's."""
+    from botledger.plans.engine import Engine
+
+    folder, sizes, rng = tmp_path / "in", [], random.Random(3)
+    folder.mkdir()
+    agents = ["GPTBot", "ClaudeBot", "Googlebot", "x"]
+    line = '198.51.100.7 - - [03/Mar/2026:10:{m:02d}:00 +0000] "GET /p{n} HTTP/1.1" 200 5 "{ref}" "{ua}"\n'
+    for k in range(50):
+        text = "".join(line.format(m=k, n=int(rng.paretovariate(0.4)) % 400 + 400 * (k % 2) * (rng.random() < 0.5), ref=rng.choice(["-", "https://claude.ai/", "https://chatgpt.com/"]), ua=rng.choice(agents)) for _ in range(60))
+        (folder / f"{k:02d}.log").write_text(text + "broken\n")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        reports = []
+        rows = live.log_stream(spark, str(folder), str(tmp_path / "book"), max_files=1)
+        def on_batch(rep):
+            sizes.append(sum(f.stat().st_size for f in (tmp_path / "state" / "report").rglob("*.parquet")))
+            if len(sizes) in (25, 50):
+                reports.append(rep.to_dict())
+        q = live.start_report(rows, on_batch, str(tmp_path / "state"))
+        q.processAllAvailable()
+        updated = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(sizes) == 50 == len(updated) and max(updated) <= 60
+    assert max(sizes[40:]) < 1.3 * max(sizes[10:20])
+    for n, got in zip((25, 50), reports):
+        want = Engine(spark).report([str(folder / f"{k:02d}.log") for k in range(n)])
+        assert got == want.to_dict()
+        want.release()
 
 
 def test_tags_and_callbacks(spark, tmp_path):
