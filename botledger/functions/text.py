@@ -64,13 +64,13 @@ def percent_decode(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("%")), F.make_valid_utf8(joined.cast("string"))).otherwise(c)
 
 
-def _moment(text: Column) -> Column:
-    """``2026-09-28T12:00:00`` with or without a fraction as a time without zone (UTC by convention), or null unless date and time exist."""
-    return F.when(~F.startswith(text, F.lit("0000")), text.try_cast("timestamp_ntz"))
+def _number(c: Column, start: int, size: int) -> Column:
+    return F.substring(c, start, size).try_cast("int")
 
 
-#: Month names, each followed by its number.
-_MONTH_NUMBERS = "".join(f"{_MONTHS[3 * i : 3 * i + 3]}{i + 1:02d}" for i in range(12))
+def _moment(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """A time without zone (UTC by convention), or null unless date and time exist; second 60 does not. Made of numbers: a cast from text costs several times as much."""
+    return F.when((year >= 1) & (second < 60), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
 
 
 def clf_time(c: Column) -> Column:
@@ -78,19 +78,18 @@ def clf_time(c: Column) -> Column:
 
     One pattern fixes the shape; the parts are then read by their places.
     """
-    part = lambda start, size: F.substring(c, start, size)
-    month = F.substring(F.lit(_MONTH_NUMBERS), F.instr(F.lit(_MONTH_NUMBERS), part(4, 3)) + 3, F.lit(2))
-    local = _moment(F.concat(part(8, 4), F.lit("-"), month, F.lit("-"), part(1, 2), F.lit("T"), part(13, 8)))
-    minutes = part(23, 2).try_cast("int") * 60 + part(25, 2).try_cast("int")
-    signed = F.when(part(22, 1) == "-", -minutes).otherwise(minutes)
-    in_utc = F.when(part(22, 5) == "+0000", local).when(minutes < 1440, local - F.make_dt_interval(mins=signed))
-    return F.when(c.rlike(_CLF), in_utc)
+    month = F.ceil(F.instr(F.lit(_MONTHS), F.substring(c, 4, 3)) / 3).cast("int")
+    minutes = _number(c, 23, 2) * 60 + _number(c, 25, 2)
+    local = _moment(_number(c, 8, 4), month, _number(c, 1, 2), _number(c, 13, 2), _number(c, 16, 2), _number(c, 19, 2).cast("decimal(16,6)"))
+    sign = F.when(F.substring(c, 22, 1) == "-", 1).otherwise(-1)
+    return F.when(c.rlike(_CLF) & (minutes < 1440), local + F.make_dt_interval(mins=sign * minutes))
 
 
 def iso_time(c: Column) -> Column:
     """``2026-09-28T08:15:30.999999Z`` (TIMESTAMP_NTZ in UTC), null where it isn't a real time; digits past the sixth are dropped."""
     fraction = F.rpad(F.substring(F.regexp_extract(F.substring(c, 20, 20), r"^\.([0-9]+)", 1), 1, 6), 6, "0")
-    return F.when(c.rlike(_ISO), _moment(F.concat(F.substring(c, 1, 19), F.lit("."), fraction)))
+    second = F.concat(F.substring(c, 18, 2), F.lit("."), fraction).try_cast("decimal(16,6)")
+    return F.when(c.rlike(_ISO), _moment(_number(c, 1, 4), _number(c, 6, 2), _number(c, 9, 2), _number(c, 12, 2), _number(c, 15, 2), second))
 
 
 def utc_text(c: Column) -> Column:

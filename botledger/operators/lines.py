@@ -101,38 +101,52 @@ def with_spots(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_own", F.when(_good_header(), spots)).withColumn("spots", F.last("_own", ignorenulls=True).over(above)).drop("_own")
 
 
-def _parse(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """Outcome and fields of lines with ``fmt`` and ``spots``; what several fields are read from is a column first, so nothing is worked out twice."""
-    combined, alb, cloudfront = (F.col("fmt") == f for f in FORMATS[:1] + FORMATS[2:] + FORMATS[1:2])
+def _parse(lines: DataFrame, keep: list[str], fmt: str | None = None) -> DataFrame:
+    """Outcome and fields of lines with ``fmt`` and ``spots``; what several fields are read from is a column first, so nothing is worked out twice.
+
+    A format that is known for all lines leaves the other grammars out of the plan.
+    """
+    kinds = [fmt] if fmt else list(FORMATS)
+    is_ = {k: F.lit(True) if fmt else F.col("fmt") == k for k in kinds}
+
+    def pick(**by_kind) -> Column:
+        """Each line's own of the columns by format; null for lines of none."""
+        own = [(is_[k], c) for k, c in by_kind.items() if k in is_]
+        out = own[0][1] if fmt else functools.reduce(lambda w, x: w.when(*x), own[1:], F.when(*own[0]))
+        return out
+
     header, comment = F.startswith("line", F.lit("#Fields:")), F.startswith("line", F.lit("#"))
-    standard = F.array(*[F.lit(CLOUDFRONT_FIELDS.index(n)) for n in CLOUDFRONT_NEEDED])
     f = lambda k: F.get("_f", F.lit(k))
-    df = lines.withColumns(
-        {
-            "_f": F.split(F.when(combined, _groups(COMBINED, 5)).when(alb, _groups(ALB, 4)), "\n", -1),
-            "_cols": F.when(cloudfront & ~comment, F.split("line", "\t", -1)),
-            "_at": F.when(cloudfront, F.coalesce("spots", standard)),
-        }
-    )
-    df = df.withColumn("_f", F.when(F.size("_f") == F.when(combined, 5).otherwise(4), F.col("_f")))
-    # the six needed columns, or null if any is missing
-    six = F.transform(F.array(*[F.get("_at", F.lit(k)) for k in range(6)]), lambda k: F.get("_cols", k))
-    df = df.withColumn("_f", F.when(~cloudfront, F.col("_f")).when(F.col("_cols").isNotNull(), six))
-    df = df.withColumn("_f", F.when(~cloudfront | F.forall("_f", lambda x: x.isNotNull()), F.col("_f")))
+    whole = lambda groups: (lambda parts: F.when(F.size(parts) == groups, parts))
+    df = lines
+    if "cloudfront" in kinds:
+        standard = F.array(*[F.lit(CLOUDFRONT_FIELDS.index(n)) for n in CLOUDFRONT_NEEDED])
+        df = df.withColumns({"_cols": F.when(is_["cloudfront"] & ~comment, F.split("line", "\t", -1)), "_at": F.coalesce("spots", standard)})
+        # the six needed columns, or null if any is missing
+        six = F.when(F.col("_cols").isNotNull(), F.array(*[F.get("_cols", F.get("_at", F.lit(k))) for k in range(6)]))
+        df = df.withColumn("_six", F.when(F.forall(six, lambda x: x.isNotNull()), six))
+    split = lambda pattern, groups: F.split(_groups(pattern, groups), "\n", -1)
+    df = df.withColumn("_f", pick(combined=split(COMBINED, 5), alb=split(ALB, 4), cloudfront=F.col("_six") if "cloudfront" in kinds else None))
+    if fmt != "cloudfront":
+        df = df.withColumn("_f", pick(combined=whole(5)(F.col("_f")), alb=whole(4)(F.col("_f")), cloudfront=F.col("_f")))
+    word = lambda c: F.get(F.split(c, " ", 3), F.lit(1))
     df = df.withColumns(
         {
-            "_time": F.when(cloudfront, F.concat(f(0), F.lit("T"), f(1), F.lit("+00:00"))).otherwise(f(0)),
-            "_target": F.when(cloudfront, f(2)).otherwise(F.get(F.split(F.when(combined, t.unescape(f(1))).otherwise(f(2)), " ", 3), F.lit(1))),
-            "_status": F.when(cloudfront, f(3)).when(combined, f(2)).otherwise(f(1)),
-            "_ref": F.when(cloudfront, t.percent_decode(f(4))).when(combined, t.unescape(f(3))).otherwise(""),
-            "_ua": F.when(cloudfront, t.percent_decode(f(5))).when(combined, t.unescape(f(4))).otherwise(f(3)),
+            "_time": pick(combined=f(0), alb=f(0), cloudfront=F.concat(f(0), F.lit("T"), f(1), F.lit("+00:00"))),
+            "_target": pick(combined=word(t.unescape(f(1))), alb=word(f(2)), cloudfront=f(2)),
+            "_status": pick(combined=f(2), alb=f(1), cloudfront=f(3)),
+            "_ref": pick(combined=t.unescape(f(3)), alb=F.lit(""), cloudfront=t.percent_decode(f(4))),
+            "_ua": pick(combined=t.unescape(f(4)), alb=f(3), cloudfront=t.percent_decode(f(5))),
         }
-    ).withColumns({"ts": F.when(combined, t.clf_time(F.col("_time"))).otherwise(t.iso_time(F.col("_time"))), "_path": u.normalize_path(F.col("_target"))})
-    ignored = cloudfront & comment & (~header | _good_header())
-    outcome = F.when(is_blank(F.col("line")), "blank").when(ignored, "ignored").when(F.col("ts").isNotNull(), "record").otherwise("malformed")
-    df = df.withColumn("outcome", outcome)
+    )
+    df = df.withColumns({"ts": pick(combined=t.clf_time(F.col("_time")), alb=t.iso_time(F.col("_time")), cloudfront=t.iso_time(F.col("_time"))), "_path": u.normalize_path(F.col("_target"))})
+    outcome = F.when(is_blank(F.col("line")), "blank")
+    if "cloudfront" in kinds:
+        outcome = outcome.when(is_["cloudfront"] & comment & (~header | _good_header()), "ignored")
+    df = df.withColumn("outcome", outcome.when(F.col("ts").isNotNull(), "record").otherwise("malformed"))
+    plain = F.coalesce("_path", F.lit("-"))
     fields = {
-        "path": F.when(cloudfront, t.percent_decode(F.col("_path"))).otherwise(F.coalesce("_path", F.lit("-"))),
+        "path": pick(combined=plain, alb=plain, cloudfront=t.percent_decode(F.col("_path"))),
         "status": t.status_code(F.col("_status")),
         "ua": t.dash_to_empty(F.col("_ua")),
         "referrer": t.dash_to_empty(F.col("_ref")),
@@ -151,10 +165,10 @@ def parse_lines(lines: DataFrame, fmt: str | None = None, keep: list[str] = _KEP
             raise ValueError(f"format must be one of {', '.join(FORMATS)}")
         lines = lines.withColumn("fmt", F.lit(fmt))
     if "spots" in lines.columns:
-        return _parse(lines, keep)
+        return _parse(lines, keep, fmt)
     plain = lambda df: df.withColumn("spots", F.lit(None).cast("array<int>"))
     if fmt is not None:
-        return _parse(with_spots(lines) if fmt == "cloudfront" else plain(lines), keep)
+        return _parse(with_spots(lines) if fmt == "cloudfront" else plain(lines), keep, fmt)
     cloudfront = F.coalesce(F.col("fmt") == "cloudfront", F.lit(False))
     return _parse(plain(lines.where(~cloudfront)).unionByName(with_spots(lines.where(cloudfront))), keep)
 
