@@ -30,16 +30,22 @@ def vendor_of(source):
     return out
 
 
-def attribute(views: DataFrame) -> DataFrame:
+def attribute(views: DataFrame, idle_minutes: int | None = None) -> DataFrame:
     """views(session_id, ts, seq, referrer, hostname, nav_type) plus source, vendor, landing.
 
     A view that a referral brought starts afresh; other views carry the last one over, never as
-    a landing; a reload or a step back is no landing either. Views go in order of ts, seq.
+    a landing; a reload or a step back is no landing either. Views go in order of ts, seq. With
+    idle_minutes, nothing is carried over a longer gap between views: the session has ended.
     """
     own = referral_id(F.col("referrer"), F.col("hostname"))
-    seen = views.withColumn("_own", own)
-    carried = F.last("_own", ignorenulls=True).over(W.partitionBy("session_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0))
-    out = seen.withColumn("source", carried)
+    seen, keys = views.withColumn("_own", own), ["session_id"]
+    order = W.partitionBy("session_id").orderBy("ts", "seq")
+    if idle_minutes is not None:
+        gap = F.col("ts") > F.lag("ts").over(order) + F.make_dt_interval(mins=F.lit(idle_minutes))
+        seen = seen.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_visit", F.sum("_gap").over(order.rowsBetween(W.unboundedPreceding, 0)))
+        keys.append("_visit")
+    carried = F.last("_own", ignorenulls=True).over(W.partitionBy(*keys).orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0))
+    out = seen.withColumn("source", carried).drop("_gap", "_visit")
     landing = F.col("_own").isNotNull() & ~F.coalesce(F.col("nav_type").isin(*REVISITS), F.lit(False))
     return out.withColumn("vendor", vendor_of(F.col("source"))).withColumn("landing", F.when(F.col("source").isNotNull(), landing)).drop("_own")
 

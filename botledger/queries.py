@@ -1001,6 +1001,42 @@ def session_landings(spark, sf_dir):
     return won.groupBy("source").agg(F.count(F.lit(1)).alias("landings"), F.countDistinct("session_id").alias("sessions"))
 
 
+#: Minutes without a view that end a session, in the stream and its counterparts.
+_IDLE = 120
+_VISITS = f"""(SELECT *, sum(gap) OVER (PARTITION BY session_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS visit FROM
+    (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY session_id ORDER BY ts, seq) + INTERVAL {_IDLE} MINUTE THEN 1 ELSE 0 END AS gap FROM {_VIEWS}))"""
+_ENDING = f"""SELECT session_id, seq, source, p.vendor, CASE WHEN source IS NOT NULL THEN own IS NOT NULL AND fresh END AS landing FROM
+    (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY session_id, visit ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS source FROM {_VISITS}) a LEFT JOIN {_DIMS_R} ON p.id = a.source"""
+
+
+@query("session_visits", _ENDING)
+def session_visits(spark, sf_dir):
+    """Sessions that end when idle."""
+    return sessions.attribute(views(spark, sf_dir), _IDLE).select("session_id", "seq", "source", "vendor", "landing")
+
+
+@query("stream_sessions", _ENDING)
+def stream_sessions(spark, sf_dir):
+    """The same from a stream whose files hold views out of order."""
+    from botledger.streaming import live
+
+    folder = shared_folder(spark)
+    seen = views(spark, sf_dir)
+    day = F.to_date("ts")
+    files = seen.repartitionByRange(4, day, "seq").sortWithinPartitions(day, F.xxhash64("seq"))  # within a file in any order
+    files.write.parquet(f"{folder}/in")
+    last = seen.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("session_id"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"), *[F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in seen.columns[2:]])
+    last.select(*seen.columns).write.mode("append").parquet(f"{folder}/in")  # time goes on: what waits comes out
+    came = spark.readStream.schema(seen.schema).parquet(f"{folder}/in")
+    out = live.attribute_stream(came, _IDLE, late="1000 days").where("seq is not null")
+    q = live.with_state(spark, out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out").select("session_id", "seq", "source", "vendor", "landing")
+
+
 def _payload_sql(every: bool) -> str:
     rank = "" if every else "QUALIFY row_number() OVER (PARTITION BY seq ORDER BY k) = 1"
     tools = values([(i, *x) for i, x in enumerate(sessions.TOOLS)], "k, tool, event, prop")
@@ -1023,3 +1059,16 @@ def dispatch_payloads(spark, sf_dir):
 @query("dispatch_payloads_all", _payload_sql(True))
 def dispatch_payloads_all(spark, sf_dir):
     return sessions.payloads(_landed(spark, sf_dir), every=True).select("seq", "tool", "event", "property", "value")
+
+
+@query("dispatch_outbox", _payload_sql(True))
+def dispatch_outbox(spark, sf_dir):
+    """Payloads as the sink has them, in batches that were written twice."""
+    from botledger.streaming import outbox
+
+    folder = f"{shared_folder(spark)}/outbox"
+    sent = sessions.payloads(_landed(spark, sf_dir), every=True).select("seq", "tool", "event", "property", "value")
+    for _ in range(2):
+        for half in range(2):
+            outbox.post(sent.where(F.col("seq") % 2 == half), folder, batch=f"half-{half}")
+    return outbox.read(spark, folder, "seq long, tool string, event string, property string, value string").drop("batch")

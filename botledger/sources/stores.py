@@ -54,18 +54,26 @@ def create(path: str):
     return store.open_output_stream(name)
 
 
+def make_folder(path: str) -> None:
+    if "://" not in path:
+        os.makedirs(path, exist_ok=True)
+    else:
+        store, name = remote(path)
+        store.create_dir(name, recursive=True)
+
+
 def put(path: str, data: bytes) -> None:
     """A file that is there whole or not at all; its folder is made."""
     if "://" not in path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
+        make_folder(os.path.dirname(path))
         with open(path + ".tmp", "wb") as f:
             f.write(data)
             f.flush()
             os.fsync(f.fileno())
         os.replace(path + ".tmp", path)
         return
+    make_folder(path.rsplit("/", 1)[0])
     store, name = remote(path)
-    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
     with store.open_output_stream(name + ".tmp") as f:
         f.write(data)
     store.move(name + ".tmp", name)

@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
 
 from botledger.operators import lines, report, sessions
 from botledger.operators.classify import classify, log_line, match_struct
@@ -239,34 +237,55 @@ def announce(landed: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> lis
     return failures
 
 
-class _Attribution(StatefulProcessor):
-    """Per session: the last product that brought it, kept from batch to batch."""
+_VIEW = "session_id string, at long, seq long, source string, landing boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("source", StructType([StructField("source", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        source = self._last.get()[0] if self._last.exists() else None
-        carried = seen["own"].astype(object).where(seen["own"].notna(), None).ffill()
-        if source is not None:
-            carried = carried.fillna(source)
-        landing = (seen["own"].notna() & ~seen["nav_type"].isin(sessions.REVISITS)).astype(object).where(carried.notna(), None)
-        if len(carried) and pd.notna(carried.iloc[-1]):
-            self._last.update((carried.iloc[-1],))
-        carried = carried.where(carried.notna(), None)
-        yield pd.DataFrame({"session_id": key[0], "ts": seen["ts"], "seq": seen["seq"], "source": carried, "landing": landing})
-
-    def close(self) -> None:
-        pass
+def _attributed(idle: int):
+    """Of a session, the views that the watermark has passed, in order of time; the others wait in the state with what is carried.
 
+    The state wakes when the watermark reaches its first waiting view or, if none waits, when the session has been idle so
+    long that it has ended; then it goes.
+    """
+    columns = [c.split()[0] for c in _VIEW.split(", ")]
 
-def attribute_stream(views: DataFrame) -> DataFrame:
-    """The batch attribution over a stream of views(session_id, ts, seq, referrer, hostname, nav_type)."""
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        source, last, held = state.get if state.exists else (None, None, "[]")
+        waiting = json.loads(held)
+        for df in rows:
+            waiting += [list(r) for r in zip(df["at"].tolist(), df["seq"].tolist(), df["own"].astype(object).where(df["own"].notna(), None), df["nav_type"].isin(sessions.REVISITS).tolist())]
+        mark, out = state.getCurrentWatermarkMs() * 1000, []
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        ready = [r for r in waiting if r[0] < mark]
+        for ts, seq, own, again in ready:
+            if last is not None and ts - last > idle:
+                source = None
+            source, last = own or source, ts
+            out.append((key[0], ts, seq, source, None if source is None else own is not None and not again))
+        waiting = waiting[len(ready) :]
+        wake = waiting[0][0] if waiting else (last or 0) + idle
+        if not waiting and wake < mark:
+            state.remove()
+        else:
+            state.update((source, last, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
+        if out:
+            frame = pd.DataFrame(out, columns=columns)
+            yield frame.astype({"landing": object, "source": object})
+
+    return run
+
+
+def attribute_stream(views: DataFrame, idle_minutes: int = 30, late: str = "10 minutes") -> DataFrame:
+    """The batch attribution (with the same idle_minutes) over a stream of views(session_id, ts, seq, referrer, hostname, nav_type).
+
+    Views may come as late as ``late`` says; each is given out once that time has passed it, so those that come out of
+    order are attributed by their times. Start the query through with_state(), or with a state store that fits its keys.
+    """
     from botledger.operators.classify import referral_id
 
-    own = views.select("session_id", "ts", "seq", "nav_type", referral_id(F.col("referrer"), F.col("hostname")).alias("own"))
-    out = own.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Attribution(), outputStructType="session_id string, ts timestamp, seq long, source string, landing boolean", outputMode="append", timeMode="none"
+    timed = views.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    own = timed.select("session_id", "ts", F.unix_micros("ts").alias("at"), "seq", "nav_type", referral_id(F.col("referrer"), F.col("hostname")).alias("own"))
+    out = own.groupBy("session_id").applyInPandasWithState(
+        _attributed(idle_minutes * 60_000_000), _VIEW, "source string, last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return out.withColumn("vendor", sessions.vendor_of(F.col("source")))
+    return out.select("session_id", F.timestamp_micros("at").alias("ts"), "seq", "source", sessions.vendor_of(F.col("source")).alias("vendor"), "landing")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from botledger.operators import sessions
@@ -147,18 +148,94 @@ def test_sessions(spark):
     }
 
 
+def rows_of(df):
+    return sorted((r["seq"], r["source"], r["vendor"], r["landing"]) for r in df.collect() if r["seq"] is not None)
+
+
 def test_sessions_over_a_stream(spark, tmp_path):
-    path = str(tmp_path / "views")
-    for seq in range(1, 7):
-        views(spark).where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(path)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(views(spark).schema).option("maxFilesPerTrigger", 2).parquet(path)
-        q = live.attribute_stream(stream).writeStream.format("memory").queryName("attributed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    """Views come out of order and late; sessions end when idle, and their state goes once time has passed them."""
+    made = views(spark).withColumn("ts", F.col("ts") + F.when(F.col("seq") == 4, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS")))
+    more = spark.createDataFrame(
+        [("s1", "2026-01-01 02:10:00", 7, "", "x.example", "navigate"), ("s1", "2026-01-01 06:00:00", 8, "", "x.example", "navigate"), ("s3", "2026-01-01 00:30:00", 9, "https://claude.ai/", "x.example", None)],
+        "session_id string, ts string, seq long, referrer string, hostname string, nav_type string",
+    ).withColumn("ts", F.col("ts").cast("timestamp"))
+    every, path, out = made.unionByName(more), tmp_path / "in", str(tmp_path / "out")
+    path.mkdir()
+    stream = live.attribute_stream(spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(str(path)), 60, late="3 hours")
+    q = live.with_state(spark, stream.writeStream.format("parquet").option("path", out).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start)
+    states = []
+    for seqs in ([2, 5], [1, 9], [6, 3], [7], [4], [8], [1000], [1001]):  # each later one at most three hours behind
+        for seq in seqs:
+            end = spark.createDataFrame([(f"end{seq}", f"2026-01-0{seq - 998} 00:00:00", None, "", "", None)], "session_id string, ts string, seq long, referrer string, hostname string, nav_type string") if seq >= 1000 else None
+            (every.where(F.col("seq") == seq) if end is None else end.withColumn("ts", F.col("ts").cast("timestamp"))).coalesce(1).write.mode("append").parquet(str(path))
         q.processAllAvailable()
-        q.stop()
-        got = {r["seq"]: (r["source"], r["vendor"], r["landing"]) for r in spark.table("attributed").collect()}
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    want = {r["seq"]: (r["source"], r["vendor"], r["landing"]) for r in sessions.attribute(views(spark)).collect()}
-    assert got == want
+        states.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    q.stop()
+    assert rows_of(spark.read.parquet(out)) == rows_of(sessions.attribute(every, 60))
+    got = {r[0]: r[1:] for r in rows_of(sessions.attribute(every, 60))}
+    assert got[7] == ("chatgpt", "openai", False) and got[8] == (None, None, None)
+    assert max(states) >= 3 and states[-1] <= 1  # only what came last is still there
+
+
+def test_idle_sessions_in_batch(spark):
+    assert rows_of(sessions.attribute(views(spark), 2)) == rows_of(sessions.attribute(views(spark)))
+    cut = {r[0]: r[1] for r in rows_of(sessions.attribute(views(spark).withColumn("ts", F.col("ts") + F.expr("make_dt_interval(0, 0, cast(seq * 10 as int))")), 10))}
+    assert cut[2] is None and cut[1] == "claude" and cut[4] == "chatgpt"
+
+
+EVENT = "seq long, text string"
+
+
+def test_outbox_has_each_event_once(spark, tmp_path):
+    """Batches that are written twice, fail half-way, or leave files behind; rows of empty tasks; columns of all kinds."""
+    from botledger.streaming import outbox
+
+    folder = str(tmp_path / "box")
+    rows = spark.range(100).select(F.col("id").alias("seq"), F.concat(F.lit("é\n"), F.col("id")).alias("text"), F.current_timestamp().alias("at"), F.array(F.lit(1)).alias("list")).repartition(7)
+    outbox.post(rows, folder, batch="a")
+    outbox.post(rows, folder, batch="a")
+
+    @F.udf("string")
+    def breaks(text):
+        if text.endswith("77"):
+            raise RuntimeError("half-way")
+        return text
+
+    with pytest.raises(Exception, match="half-way"):
+        outbox.post(rows.select("seq", breaks("text").alias("text")).repartition(7), folder, batch="b")
+    assert outbox.batches(folder) == ["a"]
+    outbox.post(rows.where("seq < 5"), folder, batch="b")
+    outbox.post(rows.where("false"), folder, batch="c")
+    got = outbox.read(spark, folder, EVENT)
+    assert sorted((r["batch"], r["seq"]) for r in got.collect()) == [("a", k) for k in range(100)] + [("b", k) for k in range(5)]
+    assert {r["text"] for r in got.where("seq = 3").collect()} == {"é\n3"}
+    assert outbox.batches(folder, after="a") == ["b", "c"] and outbox.read(spark, folder, EVENT, after="b").count() == 0
+    assert outbox.read(spark, str(tmp_path / "none"), EVENT).count() == 0
+
+
+def test_outbox_of_a_stream_that_fails_half_way(spark, tmp_path):
+    from botledger.streaming import outbox
+
+    folder, mark = tmp_path / "in", tmp_path / "failed"
+    spark.range(40).repartition(4).write.json(str(folder))
+
+    def once(batches):
+        for df in batches:
+            if (df["id"] == 33).any() and not mark.exists():
+                mark.write_text("x")
+                raise RuntimeError("half-way")
+            yield df
+
+    def start():
+        came = spark.readStream.schema("id long").option("maxFilesPerTrigger", 2).json(str(folder)).mapInPandas(once, "id long")
+        return outbox.post_stream(came.selectExpr("id as seq", "'x' as text"), str(tmp_path / "box"), str(tmp_path / "cp"))
+
+    q = start()
+    with pytest.raises(Exception, match="half-way"):
+        q.processAllAvailable()
+    q.stop()
+    q = start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["seq"] for r in outbox.read(spark, str(tmp_path / "box"), EVENT).collect()) == list(range(40))
+    assert len(outbox.batches(str(tmp_path / "box"))) == 2
