@@ -1072,3 +1072,27 @@ def dispatch_outbox(spark, sf_dir):
         for half in range(2):
             outbox.post(sent.where(F.col("seq") % 2 == half), folder, batch=f"half-{half}")
     return outbox.read(spark, folder, "seq long, tool string, event string, property string, value string").drop("batch")
+
+
+#: Requests whose agent may name one of thousands of bots, a customer each, beside the crawlers of the catalogue.
+_BOT_UA = "ua || CASE WHEN event_id % 3 = 0 THEN ' (Bot-' || CAST(event_id * 7 % 2003 AS VARCHAR) || '-x/2.1)' ELSE '' END"
+
+
+@query(
+    "classify_by_join",
+    f"""SELECT event_id, CASE WHEN length(crawler_token) >= length(coalesce(bot, '')) THEN q.crawler ELSE coalesce('customer-' || CAST(c_custkey AS VARCHAR), q.crawler) END AS crawler_id,
+    CASE WHEN q.crawler IS NULL AND c_custkey IS NULL THEN any_product END AS referral_id
+    FROM (SELECT r.*, k.token AS crawler_token, CASE WHEN event_id % 3 = 0 THEN 'bot-' || CAST(event_id * 7 % 2003 AS VARCHAR) || '-x' END AS bot FROM ({req_sql()}) r
+      LEFT JOIN {values([(c[1], c[4]) for c in catalogue.CRAWLERS], 'id, token').replace('AS v(', 'AS k(')} ON k.id = r.crawler) q
+    LEFT JOIN customer ON 'bot-' || CAST(c_custkey AS VARCHAR) || '-x' = bot""",
+)
+def classify_by_join(spark, sf_dir):
+    """A catalogue of a token for each customer beside the built-in ones, as joins."""
+    from botledger.operators import signals
+
+    own = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("BOT-"), F.col("c_custkey").cast("string"), F.lit("-X")).alias("token"), (F.col("c_custkey") + 1_000).alias("ord")
+    )
+    req = requests(spark, sf_dir).select("event_id", F.expr(_BOT_UA.replace("VARCHAR", "STRING")).alias("ua"), "referrer")
+    out = signals.classify_by(req, signals.token_frame(spark).unionByName(own), signals.host_frame(spark))
+    return out.select("event_id", "crawler_id", "referral_id")
