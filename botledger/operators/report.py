@@ -97,6 +97,14 @@ def referral_rows(t: DataFrame) -> DataFrame:
     return rows.select("id", "vendor", "vendor_name", "product", "visits", "unique_pages", utc_text(F.col("last_seen")).alias("last_seen")).orderBy(F.desc("visits"), "id")
 
 
+def coverage_gaps(t: DataFrame) -> DataFrame:
+    """(path, kind, id): the crawlers that user agents name and the products of the catalogue that did not come to a page of the tally."""
+    listed = [("crawler", c[1]) for c in catalogue.CRAWLERS if not c[7]] + [("referral", r[1]) for r in catalogue.REFERRERS]
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("id")) for kind, i in listed]))
+    seen = t.where(F.col("kind").isin("crawler", "referral")).select("path", "kind", "id")
+    return seen.select("path").distinct().select("path", each.alias("c")).select("path", "c.kind", "c.id").join(seen, ["path", "kind", "id"], "left_anti")
+
+
 def top_pages(t: DataFrame, kind: str, top: int = DEFAULT_TOP) -> DataFrame:
     """(id, rank, path, n): each id's most asked-for pages, ties by path."""
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "path"))

@@ -112,6 +112,13 @@ def verdict_counts(v: DataFrame) -> DataFrame:
     )
 
 
+def headline(v: DataFrame) -> DataFrame:
+    """(doc, allowed, total, blocked_everywhere, blocked_some, parts): a file's numbers for its headline, and the parts that the line below it has: none, everywhere, some or both."""
+    counts = verdict_counts(v)
+    parts = F.when((F.col("blocked") > 0) & (F.col("partial") > 0), "both").when(F.col("blocked") > 0, "everywhere").when(F.col("partial") > 0, "some").otherwise("none")
+    return counts.select("doc", "allowed", "total", F.col("blocked").alias("blocked_everywhere"), F.col("partial").alias("blocked_some"), parts.alias("parts"))
+
+
 def vendor_summary(v: DataFrame) -> DataFrame:
     """(doc, vendor, vendor_name, purposes map): one verdict per purpose, ``mixed`` where a vendor's crawlers disagree."""
     per = v.groupBy("doc", "vendor", "vendor_name", "purpose").agg(

@@ -721,6 +721,16 @@ def catalogue_counts(spark, sf_dir):
     return catalogue.counts(spark).crossJoin(seen)  # one row each
 
 
+@query(
+    "coverage_gaps",
+    f"""WITH seen AS (SELECT DISTINCT path, 'crawler' AS kind, crawler AS id FROM {_GOOD} WHERE crawler IS NOT NULL UNION ALL SELECT DISTINCT path, 'referral', product FROM {_GOOD} WHERE product IS NOT NULL)
+    SELECT path, kind, id FROM (SELECT DISTINCT path FROM seen), {values([("crawler", c[1]) for c in catalogue.CRAWLERS if not c[7]] + [("referral", r[1]) for r in catalogue.REFERRERS], 'kind, id')} EXCEPT SELECT path, kind, id FROM seen""",
+)
+def coverage_gaps(spark, sf_dir):
+    """Which of the catalogue did not come to each page."""
+    return report.coverage_gaps(_tally(spark, sf_dir))
+
+
 _LISTED = [(r[1], h) for r in catalogue.REFERRERS for h in r[5]]
 
 
@@ -868,6 +878,15 @@ def robots_counts(spark, sf_dir):
     return robots.verdict_counts(robots.verdicts(_robots(spark, sf_dir)))
 
 
+@query(
+    "robots_headline",
+    f"""{_ROBOTS_WITH} SELECT *, CASE WHEN blocked_everywhere > 0 THEN CASE WHEN blocked_some > 0 THEN 'both' ELSE 'everywhere' END WHEN blocked_some > 0 THEN 'some' ELSE 'none' END AS parts
+    FROM (SELECT doc, count(*) FILTER (verdict = 'allowed') AS allowed, count(*) AS total, count(*) FILTER (verdict = 'blocked') AS blocked_everywhere, count(*) FILTER (verdict = 'partial') AS blocked_some FROM judged GROUP BY doc)""",
+)
+def robots_headline(spark, sf_dir):
+    return robots.headline(robots.verdicts(_robots(spark, sf_dir)))
+
+
 _SUMMARY_SQL = "SELECT doc, vendor, vendor_name, purpose, CASE WHEN min(verdict) = max(verdict) THEN min(verdict) ELSE 'mixed' END AS verdict, min(ord) AS ord FROM judged GROUP BY ALL"
 
 
