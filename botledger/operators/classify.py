@@ -93,12 +93,18 @@ def match_struct(crawler: Column, referral: Column) -> Column:
 
 def check(spark: SparkSession, value: str, own_host: str | None = None) -> DataFrame:
     """One row for one value: a URL is tried as a referrer, anything else as a user agent."""
-    df = spark.createDataFrame([(value,)], "value string")
+    return check_values(spark.createDataFrame([(value,)], "value string"), own_host)
+
+
+def check_values(values: DataFrame, own_host: str | None = None) -> DataFrame:
+    """values(value, ...) plus match and did_you_mean: a URL is tried as a referrer, anything else as a user agent; a bare host that fits neither gets the URL that may be meant."""
     as_url = u.is_url(F.col("value"))
-    crawler = F.when(~as_url, crawler_id(F.col("value")))
-    referral = F.when(as_url, referral_id(F.col("value"), own_host))
-    hint = F.when(crawler.isNull() & referral.isNull(), u.bare_host_hint(F.col("value")))
-    return df.select("value", match_struct(crawler, referral).alias("match"), hint.alias("did_you_mean"))
+    made = {
+        "crawler": F.when(~as_url, crawler_id(F.col("value"))), "referral": F.when(as_url, referral_id(F.col("value"), own_host)),
+    }
+    found = settle(values, values.columns, made)
+    hint = F.when(F.col("crawler").isNull() & F.col("referral").isNull(), u.bare_host_hint(F.col("value")))
+    return found.select(*values.columns, match_struct(F.col("crawler"), F.col("referral")).alias("match"), hint.alias("did_you_mean"))
 
 
 def log_line(kind: Column, match_id: Column, path: Column) -> Column:

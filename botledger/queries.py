@@ -1115,3 +1115,61 @@ def classify_by_join(spark, sf_dir):
     req = requests(spark, sf_dir).select("event_id", F.expr(_BOT_UA.replace("VARCHAR", "STRING")).alias("ua"), "referrer")
     out = signals.classify_by(req, signals.token_frame(spark).unionByName(own), signals.host_frame(spark))
     return out.select("event_id", "crawler_id", "referral_id")
+
+
+#: Values that someone might check: agents, referrers, hosts with and without a port.
+_CHECKED = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN ua WHEN 1 THEN referrer WHEN 2 THEN regexp_extract(referrer, '^https?://(?:[^@/]*@)?([^/?#:]*)', 1) ELSE 'shop-' || CAST(user_id AS VARCHAR) || '.example:8080/' END AS value, crawler, any_product
+    FROM req_"""
+
+
+@query(
+    "check_output",
+    f"""SELECT event_id, CASE WHEN id IS NULL THEN NULL WHEN event_id % 4 = 0 THEN 'crawler' ELSE 'referral' END AS kind, id,
+    CASE WHEN id IS NULL AND event_id % 4 IN (1, 2) AND regexp_matches(value, '^[a-z0-9-]+([.][a-z0-9-]+)+$') THEN 'https://' || value || '/' WHEN event_id % 4 = 3 THEN 'https://' || value END AS did_you_mean
+    FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN crawler WHEN 1 THEN CASE WHEN regexp_matches(value, '^[A-Za-z]+://') THEN any_product END END AS id FROM ({_CHECKED.replace('req_', f'({req_sql()})')}))""",
+)
+def check_output(spark, sf_dir):
+    """What a check says of each value."""
+    values_ = spark.sql(_CHECKED.replace("req_", "{req}").replace("VARCHAR", "STRING"), req=requests(spark, sf_dir)).select("event_id", "value")
+    return classify.check_values(values_).select("event_id", "match.kind", "match.id", "did_you_mean")
+
+
+@query("report_top", _top_sql("crawler", 2))
+def report_top(spark, sf_dir):
+    """A report with two top pages of each crawler, from log files."""
+    return report.top_pages(_tally(spark, sf_dir), "crawler", 2)
+
+
+@query("read_odd_bytes", f"""SELECT event_id, replace(ua, 'Mozilla', chr(65533) || 'ozilla') AS ua, path, CAST(status AS INTEGER) AS status FROM {_GOOD}""")
+def read_odd_bytes(spark, sf_dir):
+    """Files that start with a byte-order mark, which stays with the first line, and hold bytes that are no UTF-8, which become U+FFFD."""
+    folder = shared_folder(spark)
+
+    def write(nth, part):
+        lines_ = part.sort_values("line_no")
+        text = "".join(f"{n}-{x}\n" if not x.startswith("broken") else f"{x}\n" for n, x in zip(lines_["line_no"], lines_["line"]))
+        with stores.create(f"{folder}/odd-{nth[0]}") as f:
+            f.write(b"\xef\xbb\xbf" + text.encode().replace(b"Mozilla", b"\xffozilla"))
+        return pd.DataFrame({"size": [len(text)]})
+
+    rows = combined_lines(requests(spark, sf_dir)).withColumn("nth", F.floor(F.col("line_no") / _EVENTS_A_FILE))
+    rows.groupBy("nth").applyInPandas(write, "size long").write.format("noop").mode("overwrite").save()
+    found = lines.parse_source(logfiles.read_lines(spark, folder, fmt="combined", split=True, splitBytes=100_000), keep=("line",)).where("outcome = 'record'")
+    number = F.regexp_extract("line", "^\ufeff?([0-9]+)-", 1).cast("long")
+    return found.select(number.alias("event_id"), "ua", "path", "status")
+
+
+@query("announce_landings", f"SELECT session_id, seq, source FROM ({_ATTRIBUTED}) WHERE landing")
+def announce_landings(spark, sf_dir):
+    """Landings as a sink got them that stands behind one that fails."""
+    from botledger.streaming import live, outbox
+
+    folder = f"{shared_folder(spark)}/outbox"
+
+    def fails(landed):
+        raise RuntimeError("this sink fails")
+
+    won = sessions.landings(sessions.attribute(views(spark, sf_dir))).select("session_id", "seq", "source")
+    if len(live.announce(won, [fails, lambda landed: outbox.post(landed, folder, batch="1")])) != 1:
+        raise RuntimeError("a sink too many failed")
+    return outbox.read(spark, folder, "session_id string, seq long, source string").drop("batch")
