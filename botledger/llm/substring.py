@@ -25,14 +25,13 @@ length); equality of windows and blocks is equality of two such hashes.
 
 Edge cases: null, empty and blank texts have no words and nothing is removed; a null doc_id
 counts as smaller than any other; rows that repeat doc_id and text are one document and get
-the same result; equal doc_ids with other texts are ordered by the texts' crc32; other
+the same result; equal doc_ids with other texts are ordered by a 64-bit hash of the texts; other
 columns are carried by remove_repeats() unchanged, whatever their names, and not read otherwise.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,6 +180,11 @@ def chained(owner: np.ndarray, ref: np.ndarray, start: np.ndarray, stop: np.ndar
     return order[at], start[at], reach[last] - base[last], start[at] + shift[at]
 
 
+def text_tag(text: bytes) -> int:
+    """What tells apart texts of one doc_id, or of none: their XXH64, as Spark's xxhash64() has it."""
+    return int.from_bytes(xxhash.xxh64_digest(text, 42), "big", signed=True)
+
+
 #: A block at a place (n windows > 0; n = 0 marks a hot anchor), or a match (n: minus its words; block: the reference's tag).
 _ROW = "key long, block long, doc long, tag long, start long, n long, rdoc long, rstart long"
 _NAMES = ["key", "block", "doc", "tag", "start", "n", "rdoc", "rstart"]
@@ -232,7 +236,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tags, found = np.empty(len(docs), "<i8"), []
         for low in range(0, len(docs), SLICE_ROWS):
             texts = [(t or "").encode() for t in b.column("text").slice(low, SLICE_ROWS).to_pylist()]
-            tags[low : low + len(texts)] = [zlib.crc32(t) for t in texts]
+            tags[low : low + len(texts)] = [text_tag(t) for t in texts]
             for at, part in _chunks(texts):
                 anchor, block, text, start, n = blocks(*word_hashes(part))
                 found.append((anchor, block, text + low + at, start, n))
@@ -291,7 +295,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
     for b in _sliced(batches):
         texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-        tags = pa.array([zlib.crc32(t) for t in texts], pa.int64())
+        tags = pa.array([text_tag(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc"), tags, pa.array([press.compress(t) for t in texts], pa.binary())], ["doc", "tag", "packed"])
 
 
@@ -370,7 +374,7 @@ def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """(doc, tag, factors) of each document (doc_id, or NULL_ID; crc32 of the text) that has factors.
+    """(doc, tag, factors) of each document (doc_id, or NULL_ID; text_tag() of the text) that has factors.
 
     A factor says that ``length`` words from word ``start`` on also stand from word ``ref_start`` of
     the reference document on, earlier. Words between factors are literals.
@@ -433,7 +437,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     doc, tag, d, t, f = fresh_names(docs, "doc", "tag", "d", "t", "factors")
     found = parse(docs).select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("factors").alias(f))
-    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t: F.coalesce(F.crc32(F.col("text").cast("string")), F.lit(0))})
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), t: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     cut = keyed.join(found, (F.col(d) == F.col(doc)) & (F.col(t) == F.col(tag)), "left")
     without = F.pandas_udf(_without, "string")
     return cut.withColumn("text", without(F.col("text").cast("string"), F.col(f"{f}.start"), F.col(f"{f}.length"))).select(*cols)

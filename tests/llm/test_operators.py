@@ -30,8 +30,8 @@ def split(text):
 
 
 def removed_by_brute_force(docs):
-    """Distinct documents in order of (doc_id, crc of text); a window that also starts earlier loses its words."""
-    key = lambda d: (d[0] is not None, d[0] or 0, zlib.crc32((d[1] or "").encode()))
+    """Distinct documents in order of (doc_id, hash of text); a window that also starts earlier loses its words."""
+    key = lambda d: (d[0] is not None, d[0] or 0, substring.text_tag((d[1] or "").encode()))
     seen, out = set(), {}
     for doc in sorted(set(docs), key=key):
         words = split(doc[1])
@@ -55,6 +55,21 @@ def test_substring_dedup(spark, sf_dir, edge_docs, which):
     assert got == collections.Counter((d[0], *want[d]) for d in docs)
 
 
+def test_substring_dedup_tells_texts_without_ids_apart(spark):
+    """Texts of equal crc32 are still different documents."""
+    passage, seen, pairs = " ".join(f"p{k}" for k in range(30)), {}, []
+    for i in range(400_000):
+        text = f"{passage} w{i} {passage}" if i % 2 else f"{passage} v{i}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            pairs += [other, text]
+    docs = [(None, t) for t in pairs] + [(7, t) for t in pairs]
+    assert pairs
+    want = removed_by_brute_force(docs)
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.kept_digests(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert got == collections.Counter((d[0], *want[d]) for d in docs)
+
+
 def thue_morse(order, a="a", b="b"):
     """The word of 2^order letters and its complement: every sum of letters times powers of an odd base takes the same value modulo 2^64 on both."""
     bits = [bin(i).count("1") % 2 for i in range(1 << order)]
