@@ -206,7 +206,7 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     buckets = packed.withColumn("tray", ((F.col("seq").cast("long") * (seen["last"] + 1) + F.col("part")) % trays).cast("int"))
     anchors = rows.where(is_anchor).dropDuplicates(["id", "akey"])
     free = F.array(F.struct(*[F.lit(x).cast("long").alias(c) for c, x in zip(_Q.names[1:], (-_FREE, _FREE, 0, 0, 0))]))
-    first = _best(buckets, anchors.withColumn("windows", free), trays, positives, same=True)
+    first = stage_out(_best(buckets, anchors.withColumn("windows", free), trays, positives, same=True), "negatives-positives")  # counted, then joined
     low, high = -F.expr(f"floor(cast(-score * {lower} as decimal(38,0)) / 100)"), F.expr(f"floor(cast(score * {upper} as decimal(38,0)) / 100)")
     window = F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.col("rank").cast("long").alias("nth"), F.col("id").alias("positive"), F.col("score").alias("score"))
     windows = first.select(F.col("anchor_id").alias("id"), "akey", window.alias("w")).where("w.low <= w.high").groupBy("id", "akey").agg(F.sort_array(F.collect_list("w")).alias("windows"))
