@@ -535,8 +535,10 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         return folder
     path = f"{shared.removeprefix('file://').rstrip('/')}/botledger-logs-{uuid.uuid4().hex}"
-    if "://" not in path:
-        os.makedirs(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{path}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
     return path
 
 
