@@ -6,7 +6,9 @@ the nodes that list it) are compared with each other, and what beats a list's wo
 replaces it, until few entries change. Edges at or above the threshold, in double precision,
 are kept. Lists full of such edges are saturated: what they had no room for may lie in another
 component, so components with a saturated list are compared with each other, in pairs of blocks
-whose centres and radii allow a link, and join where there is one. Their links are then counted
+whose centres meet in a bucket of hyperplane codes (one bucket up to CENTRES blocks; beyond, tables
+enough for a chance of MEET_BALLS) and whose centres and radii allow a link, and join where there is
+one; no block meets all others, so this grows with the blocks. Their links are then counted
 whole, by pairs of blocks: of pairs so close that all rows link the copies are added unseen, pairs
 too far apart are passed over, the rest is compared row by row, so no list length bounds the links
 counted. A sample of nodes is compared with all nodes, and grows until AUDIT of them have a link;
@@ -52,6 +54,10 @@ WHOLE_BLOCK = 512
 #: Code bits that part a component into blocks of near vectors, and centres of blocks compared at once.
 PART_BITS = 16
 CENTRES = 2048
+#: Chance, at least, that the centres of two blocks of mean width a link apart meet in a bucket, the angle beyond which it is not kept up, and the first of their tables of codes.
+MEET_BALLS = 0.95
+MOST_APART = math.pi / 3
+BALL_TABLE = 1024
 #: Linked nodes that an audit looks for, nodes of its first sample and of its largest, and the recall of links below which the build is repeated.
 AUDIT = 256
 AUDIT_FIRST = 2048
@@ -353,15 +359,47 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, stage_out(balls, "nn-balls")
 
 
-def _join_components(roots: DataFrame, placed: DataFrame, balls: DataFrame) -> DataFrame:
-    """roots with the components in blocks joined wherever two of them hold a linked pair."""
-    cells = -(-balls.count() // CENTRES)
-    dealt = balls.withColumn("mine", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
-    dealt = dealt.select(
-        "block", "root", "centre", "wide", F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+def ball_codes(n: int, wide: float) -> tuple[int, int]:
+    """Bits of a code that part n centres into buckets of CENTRES, and tables in which centres that far apart meet with a chance of MEET_BALLS."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / CENTRES)))
+    angle = min(MOST_APART, math.acos(THRESHOLD) + 2 * wide)
+    same = (1 - angle / math.pi) ** bits
+    return bits, 1 if bits == 0 else max(1, math.ceil(math.log(1 - MEET_BALLS) / math.log(1 - same)))
+
+
+def _deal_balls(balls: DataFrame) -> DataFrame:
+    """(cell, block, root, centre, wide, side): the blocks of each bucket of codes of their centres, in chunks of about CENTRES, a cell for each pair of chunks.
+
+    A root with more blocks than that in a bucket has chunks of its own, which don't meet each other: its blocks are joined already.
+    So what is dealt grows with the blocks, not with the pairs of components; codes have no bits, and every pair meets, up to CENTRES blocks.
+    """
+    row = balls.agg(F.count(F.lit(1)).alias("n"), F.avg("wide").alias("wide")).first()
+    bits, tables = ball_codes(row["n"], row["wide"] or 0.0)
+    centres = balls.select(F.col("block").alias("id"), F.col("centre").alias("vec"))
+    coded = centres.mapInArrow(_codes(bits, tables, BALL_TABLE), "bucket long, id long").withColumnRenamed("id", "block")
+    coded = coded.join(balls.select("block", "root"), "block")
+    of_root = coded.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"))
+    heavy = of_root.where(F.col("m") > CENTRES).select("bucket", "root", F.ceil(F.col("m") / F.lit(CENTRES)).cast("long").alias("own"))
+    light = of_root.where(F.col("m") <= CENTRES).groupBy("bucket").agg(F.ceil(F.sum("m") / F.lit(CENTRES)).cast("long").alias("shared"))
+    coded = coded.join(heavy, ["bucket", "root"], "left").join(light, "bucket", "left")
+    place = F.pmod(F.xxhash64("block"), F.coalesce("own", "shared"))
+    coded = coded.select("bucket", "block", F.when(F.col("own").isNotNull(), F.col("root")).alias("owner"), place.alias("place"))
+    coded = stage_out(coded.select("bucket", "block", "owner", F.xxhash64("owner", "place").alias("chunk")), "nn-chunks")
+    chunks = coded.select("bucket", "chunk", "owner").distinct()
+    other = chunks.select("bucket", F.col("chunk").alias("chunk2"), F.col("owner").alias("owner2"))
+    pairs = chunks.join(other, "bucket").where("chunk = chunk2 and owner is null or chunk < chunk2 and not coalesce(owner = owner2, false)")
+    cell = F.xxhash64("bucket", "chunk", "chunk2").alias("cell")
+    ends = F.when(F.col("chunk") == F.col("chunk2"), F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("chunk2").alias("chunk"), F.lit(2).alias("side")))
     )
-    close = stage_out(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_close_balls, "a long, b long"), "nn-close")
+    dealt = pairs.select("bucket", cell, F.explode(ends).alias("x")).select("bucket", "cell", "x.chunk", "x.side")
+    return coded.select("bucket", "chunk", "block").join(dealt, ["bucket", "chunk"]).join(balls, "block").select("cell", "block", "root", "centre", "wide", "side")
+
+
+def _join_components(roots: DataFrame, placed: DataFrame, balls: DataFrame) -> DataFrame:
+    """roots with the components in blocks joined where two of them hold a linked pair in blocks whose centres meet in a bucket."""
+    met = _deal_balls(balls).repartition("cell").sortWithinPartitions("cell").mapInArrow(_close_balls, "a long, b long")
+    close = stage_out(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "nn-close")
     both = close.select(F.xxhash64("a", "b").alias("cell"), F.explode(F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("x"))
     pairs = both.select("cell", "x.block", "x.side").join(placed.select("block", "root", "vec"), "block").repartition("cell").sortWithinPartitions("cell", "side")
     linked = stage_out(pairs.mapInArrow(_joined_cells, "a long, b long").distinct(), "nn-joined")
