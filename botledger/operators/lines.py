@@ -198,6 +198,13 @@ def detect_by_file(lines: DataFrame) -> DataFrame:
     return first.select("file", line_format(F.col("first")).alias("fmt"), F.col("first"))
 
 
+def first_fit_by_file(lines: DataFrame) -> DataFrame:
+    """(file, fmt): what the first line of each file shows that fits a grammar; files without such a line are not here."""
+    names = F.array(*[F.lit(k) for k in FORMATS])
+    fits = lines.select("file", "line_no", F.array_position(names, line_format(F.col("line"))).alias("at")).where("at is not null")
+    return fits.groupBy("file").agg(F.min_by("at", "line_no").alias("at")).select("file", F.element_at(names, F.col("at").cast("int")).alias("fmt"))
+
+
 def records(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("outcome") == "record").select("file", "line_no", "ts", "path", "status", "ua", "referrer")
 

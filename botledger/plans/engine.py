@@ -23,8 +23,8 @@ class Engine:
         return logfiles.read_lines(self.spark, paths, **options)
 
     def parse(self, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:
-        """Parsed lines (file, line_no, line, outcome, ts, path, status, ua, referrer) of files in any mix of formats; a file of unknown format is an error."""
-        if fmt is None:
+        """Parsed lines (file, line_no, line, outcome, ts, path, status, ua, referrer) of files in any mix of formats; a file of unknown format is an error, unless lenient (see logfiles)."""
+        if fmt is None and not options.get("lenient"):
             heads = self.lines(paths, head=True)
             logfiles.check_formats(heads.where("fmt is null").select("file", F.col("line").alias("first")))
         return lines.parse_lines(self.lines(paths, fmt=fmt, **options).where("line_no is not null"))
@@ -32,9 +32,9 @@ class Engine:
     def parse_text(self, text: str, fmt: str | None = None) -> DataFrame:
         return lines.parse_lines(logfiles.with_format(logfiles.lines_from_text(self.spark, text), fmt))
 
-    def file_stats(self, paths: str | list[str], fmt: str | None = None) -> DataFrame:
+    def file_stats(self, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:
         """(file, fmt, lines, records, skipped, truncated) of each file, in one pass."""
-        parsed = lines.parse_lines(self.lines(paths, fmt=fmt), keep=["file", "line_no", "truncated", "fmt"])
+        parsed = lines.parse_lines(self.lines(paths, fmt=fmt, **options), keep=["file", "line_no", "truncated", "fmt"])
         count = lambda cond: F.count_if(F.col("line_no").isNotNull() & cond)
         return parsed.groupBy("file").agg(
             F.max("fmt").alias("fmt"), count(F.lit(True)).alias("lines"), count(F.col("outcome") == "record").alias("records"),
@@ -45,17 +45,18 @@ class Engine:
     def report(
         self, paths: str | list[str], fmt: str | None = None, since: datetime | str | None = None, top: int = report.DEFAULT_TOP, own_host: str | None = None, **options: object
     ) -> report.Report:
-        """The report of files in any mix of formats, each read once, long plain ones in ranges; a file of unknown format is an error."""
+        """The report of files in any mix of formats, each read once, long plain ones in ranges; a file of unknown format is an error, unless lenient (see logfiles)."""
         since = _since(since)
         if top < 1:
             raise ValueError("top must be 1 or more")
         rows = self.lines(paths, fmt=fmt, **{"split": True} | options)
         rep = report.build_report(lines.parse_source(rows, fmt), since, top, own_host)
-        try:
-            logfiles.check_formats(rep.files.where("first is not null"))
-        except BaseException:
-            rep.release()
-            raise
+        if not options.get("lenient"):
+            try:
+                logfiles.check_formats(rep.files.where("first is not null"))
+            except BaseException:
+                rep.release()
+                raise
         return rep
 
     def watch(self, action, progress=None, abort=None):

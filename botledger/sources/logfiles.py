@@ -5,6 +5,10 @@ fails on padding after gzip data and has no mark for a damaged file. Here gzip i
 first two bytes and read over all members; a damaged file yields its complete lines and a
 ``truncated`` mark on its status row; invalid UTF-8 becomes U+FFFD; lines end at CRLF, CR or LF.
 
+A file's first non-blank line shows its format, and a file of unknown format is an error where files are parsed. With
+``lenient`` the first line that fits a grammar shows it, so that a broken line at its head costs a file no more than
+that line; one without any such line has malformed lines only.
+
 Rows: file, line_no (from 1; null on the status row that ends each file), line, truncated, fmt,
 spots. The reader sees a file's first line, so it says the format of each line (``fmt``, null if
 the line fits none; the status row of such a file holds its first line), and it sees CloudFront's
@@ -26,11 +30,12 @@ through Spark's binary file source, a file (up to 2 GB, Spark's limit of a value
 
 from __future__ import annotations
 
+import functools
 import gzip
 import io
 import json
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,10 +151,10 @@ def _same(value: str | None, n: int) -> pa.Array:
     return pa.nulls(n, pa.string()) if value is None else pa.repeat(value, n)
 
 
-def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool) -> Iterator[pa.RecordBatch]:
-    """All rows of a file from its first byte on, or the row of its first line."""
+def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool, first: str | None = None) -> Iterator[pa.RecordBatch]:
+    """All rows of a file from its first byte on, or the row of its first line; ``first`` is that line if the file has been looked at for its format."""
     damaged: list[bool] = []
-    sheet, at = _Sheet(file, fmt), 1
+    sheet, at = _Sheet(file, fmt, first), 1
     source = lines_of(raw, damaged)
     if head:
         for k, line in enumerate(source, 1):
@@ -169,13 +174,18 @@ def _whole(file: str, raw: io.BufferedIOBase, fmt: str | None, head: bool) -> It
     yield sheet.status(bool(damaged))
 
 
-def _rows(piece: Piece, f: io.BufferedReader, fmt: str | None, head: bool) -> Iterator[pa.RecordBatch]:
-    if piece.kind == "whole":
-        yield from _whole(piece.path, f, fmt, head)
-        return
-    with stores.open_file(piece.path) as own:
-        first = splits.first_line(lines_of(own, []))
-    sheet = _Sheet(piece.path, fmt or (grammar.format_of(first) if first is not None else None), first)
+def _rows(piece: Piece, opened: Callable[[], io.BufferedReader], fmt: str | None, head: bool, lenient: bool) -> Iterator[pa.RecordBatch]:
+    first = None
+    if piece.kind != "whole" or (lenient and not fmt):
+        with opened() as f:
+            first, own = splits.shown(lines_of(f, []), lenient and not fmt)
+        fmt = fmt or own
+    with opened() as f:
+        yield from _whole(piece.path, f, fmt, head, first) if piece.kind == "whole" else _part(piece, f, fmt, first)
+
+
+def _part(piece: Piece, f: io.BufferedReader, fmt: str | None, first: str | None) -> Iterator[pa.RecordBatch]:
+    sheet = _Sheet(piece.path, fmt, first)
     if piece.kind == "lines":
         yield from _range(sheet, piece, f)
     else:
@@ -228,7 +238,7 @@ class _Reader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.head = str(options.get("head", "false")).lower() == "true"
-        self.fmt = options.get("fmt") or None
+        self.fmt, self.lenient = options.get("fmt") or None, str(options.get("lenient", "false")).lower() == "true"
         self.plan = json.loads(options["plan"]) if options.get("plan") else None
         self.paths = [p for p in options.get("paths", "").split("\n") if p]
 
@@ -240,8 +250,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
-            with stores.open_file(piece.path) as f:
-                yield from _rows(piece, f, self.fmt, self.head)
+            yield from _rows(piece, functools.partial(stores.open_file, piece.path), self.fmt, self.head, self.lenient)
 
 
 class _Stream(DataSourceStreamReader):
@@ -249,6 +258,7 @@ class _Stream(DataSourceStreamReader):
 
     def __init__(self, options: dict):
         self.specs, self.fmt = [p for p in options["paths"].split("\n") if p], options.get("fmt") or None
+        self.lenient = str(options.get("lenient", "false")).lower() == "true"
         self.ledger, self.most = options["ledger"], int(options.get("maxFilesPerTrigger", options.get("maxfilespertrigger", MOST_FILES)))
         self._open: Ledger | None = None
 
@@ -270,8 +280,7 @@ class _Stream(DataSourceStreamReader):
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
-            with stores.open_file(piece.path) as f:
-                yield from _whole(piece.path, f, self.fmt, False)
+            yield from _rows(piece, functools.partial(stores.open_file, piece.path), self.fmt, False, self.lenient)
 
     def commit(self, end: dict) -> None:
         self._ledger().done(end["entry"])
@@ -292,24 +301,25 @@ class AccessLogSource(DataSource):
         return _Stream(self.options)
 
 
-def _from_store(head: bool, fmt: str | None):
+def _from_store(head: bool, fmt: str | None, lenient: bool):
     """The source's rows from whole files as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
-                yield from _whole(path, io.BufferedReader(io.BytesIO(content.as_py())), fmt, head)
+                data = content.as_py()
+                yield from _rows(Piece(path), lambda data=data: io.BufferedReader(io.BytesIO(data)), fmt, head, lenient)
 
     return run
 
 
-def plan(spark: SparkSession, specs: list[str], fmt: str | None, split: bool, head: bool, split_bytes: int | None) -> list[list[Piece]]:
+def plan(spark: SparkSession, specs: list[str], fmt: str | None, split: bool, head: bool, split_bytes: int | None, lenient: bool = False) -> list[list[Piece]]:
     """What each task reads: the listing gives names and sizes, small files share tasks, long ones are split; but for a few long ones, no file is opened here."""
     found = [f for s in specs for f in stores.listing(s)]
     total = sum((0 if head else f.size) + OPEN_COST for f in found)
     most = split_bytes or max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
     if head:
         return packed(((Piece(f.path), 0) for f in found), most)
-    how = splits.ways(spark, [f.path for f in found if f.size > most], fmt) if split else {}
+    how = splits.ways(spark, [f.path for f in found if f.size > most], fmt, lenient) if split else {}
     return packed(splits.pieces(spark, found, most, how), most)
 
 
@@ -320,15 +330,15 @@ def read_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = No
     specs = [paths] if isinstance(paths, str) else list(paths)
     flag = lambda name: str(options.get(name, "false")).lower() == "true"
     if not all(map(stores.known, specs)):
-        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(flag("head"), fmt), SCHEMA)
+        return spark.read.format("binaryFile").load(specs).select("path", "content").mapInArrow(_from_store(flag("head"), fmt, flag("lenient")), SCHEMA)
     split_bytes = options.get("splitBytes", options.get("splitbytes"))
-    parts = plan(spark, specs, fmt, flag("split"), flag("head"), int(split_bytes) if split_bytes else None)
+    parts = plan(spark, specs, fmt, flag("split"), flag("head"), int(split_bytes) if split_bytes else None, flag("lenient"))
     spark.dataSource.register(AccessLogSource)
-    reader = spark.read.format("accesslog").option("plan", json.dumps(parts)).option("fmt", fmt or "").option("head", str(flag("head")))
+    reader = spark.read.format("accesslog").option("plan", json.dumps(parts)).option("fmt", fmt or "").option("head", str(flag("head"))).option("lenient", str(flag("lenient")))
     return reader.load()
 
 
-def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None = None, max_files: int = MOST_FILES) -> DataFrame:
+def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None = None, max_files: int = MOST_FILES, lenient: bool = False) -> DataFrame:
     """The source's rows of the files that come into a folder (or match a pattern), as a stream: each file once, at most max_files a batch (0: all).
 
     ``ledger`` is the folder of the query's list of files seen (see arrivals), best beside its checkpoint. For stores that only Spark
@@ -337,9 +347,9 @@ def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None
     if not stores.known(folder):
         raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFileAge", "36500d")
         rows = (raw.option("maxFilesPerTrigger", max_files) if max_files else raw).load(folder)
-        return rows.select("path", "content").mapInArrow(_from_store(False, fmt), SCHEMA)
+        return rows.select("path", "content").mapInArrow(_from_store(False, fmt, lenient), SCHEMA)
     spark.dataSource.register(AccessLogSource)
-    reader = spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").option("ledger", ledger)
+    reader = spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").option("ledger", ledger).option("lenient", str(lenient))
     return reader.option("maxFilesPerTrigger", str(max_files)).load()
 
 
@@ -348,12 +358,19 @@ def lines_from_text(spark: SparkSession, text: str, file: str = "pasted") -> Dat
     return lines_of_texts(spark.createDataFrame([(file, text)], "file string, text string"))
 
 
-def lines_of_texts(texts: DataFrame) -> DataFrame:
-    """(file, line_no, line) of texts(file, text), whatever ends their lines; a break at the end starts no line."""
+def lines_of_texts(texts: DataFrame, lenient: bool = False) -> DataFrame:
+    """(file, line_no, line) of texts(file, text), whatever ends their lines; a break at the end starts no line.
+
+    If lenient, also ``fmt``: what a text's first line shows that fits a grammar; lines after that one are not looked at.
+    """
     rows = texts.select("file", F.split("text", "\r\n|\r|\n", -1).alias("lines"))
     last = F.when(F.element_at("lines", -1) == "", F.size("lines") - 1).otherwise(F.size("lines"))
-    flat = rows.select("file", F.posexplode(F.slice("lines", F.lit(1), last)).alias("at", "line"))
-    return flat.select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+    kept = ["file"]
+    if lenient:
+        rows = rows.withColumn("fmt", F.aggregate("lines", F.lit(None).cast("string"), lambda found, line: F.coalesce(found, grammar.line_format(line))))
+        kept.append("fmt")
+    flat = rows.select(*kept, F.posexplode(F.slice("lines", F.lit(1), last)).alias("at", "line"))
+    return flat.select("file", (F.col("at") + 1).cast("long").alias("line_no"), "line", *kept[1:])
 
 
 def check_formats(unknown: DataFrame) -> None:
@@ -363,12 +380,17 @@ def check_formats(unknown: DataFrame) -> None:
         raise UnknownFormatError(f"{row['file']}: no known log format; its first line is: {row['first']}")
 
 
-def with_format(lines: DataFrame, fmt: str | None = None) -> DataFrame:
-    """lines(file, line_no, line) plus ``fmt``: forced, or found per file and joined back; a file of unknown format is an error that names its first line."""
+def with_format(lines: DataFrame, fmt: str | None = None, lenient: bool = False) -> DataFrame:
+    """lines(file, line_no, line) plus ``fmt``: forced, or found per file and joined back.
+
+    A file of unknown format is an error that names its first line; if lenient, the first line that fits a grammar shows a file's format (null if none does).
+    """
     if fmt is not None:
         if fmt not in grammar.FORMATS:
             raise ValueError(f"format must be one of {', '.join(grammar.FORMATS)}")
         return lines.withColumn("fmt", F.lit(fmt))
+    if lenient:
+        return lines.join(grammar.first_fit_by_file(lines), "file", "left")
     per_file = grammar.detect_by_file(lines)
     check_formats(per_file.where("fmt is null"))
     return lines.join(per_file.select("file", "fmt"), "file", "left")

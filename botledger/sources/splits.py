@@ -53,11 +53,19 @@ class Piece(NamedTuple):
     last: bool = True
 
 
-def first_line(lines: Iterator[str]) -> str | None:
-    return next((line.rstrip("\n") for line in lines if line and not line.isspace()), None)
-
-
-def how_to_split(path: str, fmt: str | None) -> str:
+def shown(lines: Iterator[str], lenient: bool = False) -> tuple[str | None, str | None]:
+    """The first non-blank line and the format that it shows or, if lenient, that the first line shows that fits a grammar."""
+    first = None
+    for line in lines:
+        if line and not line.isspace():
+            line = line.rstrip("\n")
+            first = line if first is None else first
+            if (fmt := grammar.format_of(line)) or not lenient:
+                return first, fmt
+    return first, None
+
+
+def how_to_split(path: str, fmt: str | None, lenient: bool = False) -> str:
     """``lines``, ``cloudfront``, ``gzip`` or ``whole``, from a file's first bytes."""
     with stores.open_file(path) as f:
         head = f.read(HEAD)
@@ -69,21 +77,21 @@ def how_to_split(path: str, fmt: str | None) -> str:
             return "whole"
     if b"\r" in head and b"\n" not in head:
         return "whole"
-    fmt = fmt or grammar.format_of(first_line(io.StringIO(head.decode("utf-8", "replace"), newline=None)) or "")
+    fmt = fmt or shown(io.StringIO(head.decode("utf-8", "replace"), newline=None), lenient)[1]
     if fmt == "cloudfront":
         return "whole" if packed else "cloudfront"
     return "whole" if fmt is None else "gzip" if packed else "lines"
 
 
-def ways(spark: SparkSession, long: list[str], fmt: str | None) -> dict[str, str]:
+def ways(spark: SparkSession, long: list[str], fmt: str | None, lenient: bool = False) -> dict[str, str]:
     """how_to_split() of long files: a few are looked at here, more by a job."""
     if len(long) <= FEW_FILES:
-        return {p: how_to_split(p, fmt) for p in long}
+        return {p: how_to_split(p, fmt, lenient) for p in long}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             paths = b.column("path")
-            yield pa.RecordBatch.from_arrays([paths, pa.array([how_to_split(p, fmt) for p in paths.to_pylist()], pa.string())], ["path", "way"])
+            yield pa.RecordBatch.from_arrays([paths, pa.array([how_to_split(p, fmt, lenient) for p in paths.to_pylist()], pa.string())], ["path", "way"])
 
     tasks = min(len(long), 4 * spark.sparkContext.defaultParallelism)
     rows = spark.createDataFrame([(p,) for p in long], "path string").repartition(tasks, "path")

@@ -50,12 +50,12 @@ def parse_stream(rows: DataFrame, fmt: str | None = None) -> DataFrame:
     return lines.records(parsed_stream(rows, fmt))
 
 
-def log_stream(spark: SparkSession, folder: str, ledger: str, fmt: str | None = None, max_files: int = logfiles.MOST_FILES) -> DataFrame:
+def log_stream(spark: SparkSession, folder: str, ledger: str, fmt: str | None = None, max_files: int = logfiles.MOST_FILES, lenient: bool = False) -> DataFrame:
     """Parsed lines of the log files that come into a folder, each file once: gzip by magic bytes, kept BOM, any format, as in batch.
 
-    ``ledger`` is a folder for the query's list of files seen; keep it as long as the query's checkpoint.
+    ``ledger`` is a folder for the query's list of files seen; keep it as long as the query's checkpoint. ``lenient`` as in logfiles.
     """
-    return parsed_stream(logfiles.stream_lines(spark, folder, ledger, fmt, max_files))
+    return parsed_stream(logfiles.stream_lines(spark, folder, ledger, fmt, max_files, lenient))
 
 
 def tag(requests: DataFrame, own_host: str | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from botledger import cli
 from botledger.operators import lines, report
@@ -77,6 +78,52 @@ def test_unknown_format_names_the_line(engine, tmp_path):
         engine.parse(put(tmp_path, "bom.log", b"\xef\xbb\xbf#Version: 1.0\n"))
 
 
+def events_from(spark, sf_dir, folder, first):
+    """A folder of tables whose events begin with one, most others left out."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows.where("event_id < 400").withColumn("event_id", F.col("event_id") + first).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def query_and_oracle(spark, folder, name):
+    import duckdb
+
+    from botledger.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+    frame = QUERIES[name](spark, folder)
+    cols = ", ".join(frame.columns)
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    return order(frame.collect()), order(con.execute(f"SELECT {cols} FROM ({ORACLE[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["pasted_text", "mixed_formats"])
+def test_texts_that_begin_with_a_broken_line(spark, sf_dir, tmp_path, name):
+    """Event 521,000 is broken and the first of its text and, here, of its file."""
+    folder = events_from(spark, sf_dir, tmp_path, 521_000 if name == "pasted_text" else 13)
+    if name == "mixed_formats":  # the first of the file log0, too
+        spark.read.parquet(f"{folder}/events.parquet").withColumn("user_id", F.when(F.col("event_id") < 15, 4).otherwise(F.col("user_id"))).coalesce(1).write.parquet(f"{folder}/b/events.parquet")
+        folder += "/b"
+    got, want = query_and_oracle(spark, folder, name)
+    assert got == want
+
+
+def test_lenient_formats(engine, tmp_path):
+    """The first line that fits shows the format, in files read whole or in parts; a file without one has malformed lines only."""
+    data = b"broken\n \nbroken, too\n" + LINE * 300
+    for name, content in (("plain", data), ("packed", gzip.compress(data)), ("members", gzip.compress(data[:40]) + gzip.compress(data[40:]))):
+        path = put(tmp_path, name, content)
+        for options in ({}, {"split": True, "splitBytes": 5_000}):
+            assert engine.file_stats(path, lenient=True, **options).select("fmt", "lines", "records", "skipped").first() == ("combined", 303, 300, 2)
+        with pytest.raises(UnknownFormatError, match="broken"):
+            engine.parse(path)
+    none = put(tmp_path, "none", b"broken\nbroken\n")
+    assert engine.file_stats(none, lenient=True).select("fmt", "lines", "records", "skipped").first() == (None, 2, 0, 2)
+    assert engine.parse(none, lenient=True).select("outcome").distinct().collect() == [("malformed",)]
+    assert engine.report([none, str(tmp_path / "plain")], lenient=True).to_dict()["summary"]["records"] == 300
+
+
 def test_report_of_mixed_files(engine, tmp_path):
     alb = b'h2 2026-03-03T09:30:00.999999Z app/x 1.2.3.4:5 10.0.0.1:80 0 0 0 200 200 1 2 "GET https://h.example:443/a HTTP/2.0" "gptbot" x y\n'
     cf = (
