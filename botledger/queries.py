@@ -551,7 +551,7 @@ def read_files(spark, sf_dir):
     """Files as the reader finds them: line ends, blank lines, gzip members, padding, damage, formats."""
     from botledger.plans.engine import Engine
 
-    return Engine(spark).file_stats(_files(spark, sf_dir)).withColumn("file", F.substring_index("file", "/", -1))
+    return Engine(spark).file_stats(_files(spark, sf_dir), lenient=True).withColumn("file", F.substring_index("file", "/", -1))
 
 
 @query(
@@ -563,7 +563,7 @@ def read_records(spark, sf_dir):
     """Records of the files, long plain ones read in ranges."""
     from botledger.plans.engine import Engine
 
-    found = lines.records(Engine(spark).parse(_files(spark, sf_dir), split=True, splitBytes=100_000))
+    found = lines.records(Engine(spark).parse(_files(spark, sf_dir), split=True, splitBytes=100_000, lenient=True))
     return found.select(F.substring_index("file", "/", -1).alias("file"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"), "path", "status", "ua", "referrer")
 
 
@@ -586,7 +586,7 @@ def read_report(spark, sf_dir):
     """The report over files of all formats, from the one pass that reads them."""
     from botledger.plans.engine import Engine
 
-    parsed = lines.parse_source(Engine(spark).lines(_files(spark, sf_dir), split=True))
+    parsed = lines.parse_source(Engine(spark).lines(_files(spark, sf_dir), split=True, lenient=True))
     return _report_rows(report.report_of(_written(report.whole_tally(parsed))))
 
 
@@ -626,7 +626,7 @@ def stream_report(spark, sf_dir):
     for k in range(4):  # a writer for each log; their files mix in one folder
         own = req.where(F.col("file") == f"log{k}").select("line")
         own.write.mode("append").option("compression", "gzip" if k % 2 else "none").text(f"{folder}/in")
-    parsed = live.log_stream(spark, f"{folder}/in", ledger=f"{folder}/arrivals", max_files=32)
+    parsed = live.log_stream(spark, f"{folder}/in", ledger=f"{folder}/arrivals", max_files=32, lenient=True)
     q = live.start_report(parsed, lambda _: None, checkpoint=f"{folder}/state")
     try:
         q.processAllAvailable()

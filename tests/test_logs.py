@@ -109,6 +109,17 @@ def test_texts_that_begin_with_a_broken_line(spark, sf_dir, tmp_path, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["read_records", "read_files", "read_report"])
+def test_files_that_begin_with_a_broken_line(spark, sf_dir, tmp_path, name):
+    """Each of the files but CloudFront's begins with a broken line."""
+    folder = events_from(spark, sf_dir, tmp_path, 13)
+    turned = F.when(F.col("event_id") < 310, F.floor(F.col("event_id") / 97)).otherwise(F.col("user_id"))
+    rows = spark.read.parquet(f"{folder}/events.parquet").withColumn("user_id", turned).where("user_id % 4 <> 2 or event_id > 400")
+    rows.where("event_id % 97 = 13 or event_id > 310").coalesce(1).write.parquet(f"{folder}/b/events.parquet")
+    got, want = query_and_oracle(spark, f"{folder}/b", name)
+    assert got == want
+
+
 def test_lenient_formats(engine, tmp_path):
     """The first line that fits shows the format, in files read whole or in parts; a file without one has malformed lines only."""
     data = b"broken\n \nbroken, too\n" + LINE * 300
