@@ -220,16 +220,21 @@ class _Part(InputPartition):
 
 
 def packed(pieces: Iterable[tuple[Piece, int]], most: int) -> list[list[Piece]]:
-    """Pieces in order, in tasks of so many bytes; opening a file counts as OPEN_COST of them."""
+    """Pieces in order, in tasks of so many bytes; opening a file counts as OPEN_COST of them. Parts of a file that meet in a task are read as one."""
     out: list[list[Piece]] = []
     left = 0
     for piece, size in pieces:
-        cost = size + OPEN_COST
+        joined = splits.joined(out[-1][-1], piece) if out else None
+        cost = size if joined else size + OPEN_COST
         if not out or cost > left:
-            out.append([])
-            left = most + OPEN_COST
-        out[-1].append(piece)
-        left -= cost
+            out.append([piece])
+            left = most - size
+        elif joined:
+            out[-1][-1] = joined
+            left -= cost
+        else:
+            out[-1].append(piece)
+            left -= cost
     return out
 
 
@@ -242,6 +247,10 @@ class _Reader(DataSourceReader):
         self.plan = json.loads(options["plan"]) if options.get("plan") else None
         self.paths = [p for p in options.get("paths", "").split("\n") if p]
 
+    def __getstate__(self) -> dict:
+        """What each task gets: not the plan, which grows with the files; a task's own part comes with it."""
+        return self.__dict__ | {"plan": None, "paths": []}
+
     def partitions(self) -> list[InputPartition]:
         if self.plan is None:
             found = [f for p in self.paths for f in stores.listing(p)]
@@ -313,14 +322,19 @@ def _from_store(head: bool, fmt: str | None, lenient: bool):
 
 
 def plan(spark: SparkSession, specs: list[str], fmt: str | None, split: bool, head: bool, split_bytes: int | None, lenient: bool = False) -> list[list[Piece]]:
-    """What each task reads: the listing gives names and sizes, small files share tasks, long ones are split; but for a few long ones, no file is opened here."""
+    """What each task reads: the listing gives names and sizes, small files share tasks, long ones are split; but for a few long ones, no file is opened here.
+
+    Ranges may be as short as ``split_bytes``; a task takes as many as leave each core a few tasks, so that their number doesn't grow with the input
+    until they are MOST_RANGE long.
+    """
     found = [f for s in specs for f in stores.listing(s)]
     total = sum((0 if head else f.size) + OPEN_COST for f in found)
     most = split_bytes or max(LEAST_RANGE, min(MOST_RANGE, total // (2 * spark.sparkContext.defaultParallelism) + 1))
     if head:
         return packed(((Piece(f.path), 0) for f in found), most)
     how = splits.ways(spark, [f.path for f in found if f.size > most], fmt, lenient) if split else {}
-    return packed(splits.pieces(spark, found, most, how), most)
+    task = max(most, min(MOST_RANGE, sum(f.size for f in found) // (4 * spark.sparkContext.defaultParallelism)))
+    return packed(splits.pieces(spark, found, most, how), task)
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], fmt: str | None = None, **options: object) -> DataFrame:

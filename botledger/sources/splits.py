@@ -53,6 +53,11 @@ class Piece(NamedTuple):
     last: bool = True
 
 
+def joined(a: Piece, b: Piece) -> Piece | None:
+    """Both parts as one, if they are of one kind and the second begins where the first ends."""
+    return a._replace(stop=b.stop, last=b.last) if a.kind == b.kind in ("lines", "members") and (a.path, a.stop) == (b.path, b.start) else None
+
+
 def shown(lines: Iterator[str], lenient: bool = False) -> tuple[str | None, str | None]:
     """The first non-blank line and the format that it shows or, if lenient, that the first line shows that fits a grammar."""
     first = None
@@ -116,9 +121,9 @@ def pieces(spark: SparkSession, found: list[stores.Found], most: int, how: dict[
 
 
 def _ranges(spark: SparkSession, found: list[stores.Found], most: int) -> DataFrame:
-    """A row (path, start, stop) for each range, in as many tasks."""
+    """A row (path, start, stop) for each range, in as many tasks or, of very many, a few for each core."""
     rows = [(f.path, a, min(f.size, a + most)) for f in found for a in range(0, f.size, most)]
-    return spark.createDataFrame(rows, "path string, start long, stop long").repartition(len(rows), "path", "start")
+    return spark.createDataFrame(rows, "path string, start long, stop long").repartition(min(len(rows), 4 * spark.sparkContext.defaultParallelism), "path", "start")
 
 
 def blocks(f: io.BufferedReader, start: int, stop: int) -> Iterator[tuple[int, bytes]]:

@@ -117,6 +117,24 @@ def test_gzip_of_one_member_or_of_cr_lines_stays_whole(spark, engine, tmp_path):
         assert engine.lines(path, split=True, splitBytes=1_000).where("line_no is not null").count() == 500
 
 
+def test_short_ranges_share_tasks(spark, engine, tmp_path):
+    """Tasks and what each is sent don't grow with the number of ranges; each line is read once."""
+    plain, packed = text(6_000), b"".join(members(text(6_000, 1), 60))
+    paths = [put(tmp_path, "plain", plain), put(tmp_path, "packed", packed)]
+    plans = [logfiles.plan(spark, paths, None, True, False, most) for most in (500, 2_000)]
+    assert all(len(p) < 6 * spark.sparkContext.defaultParallelism for p in plans) and sum(map(len, plans[0])) < 2 * len(plans[0])
+    rows = engine.lines(paths, split=True, splitBytes=500).where("line_no is not null")
+    assert rows.count() == 12_000 == rows.select("line").distinct().count()
+
+
+def test_tasks_are_not_sent_the_plan():
+    import pickle
+
+    options = {"plan": logfiles.json.dumps([[splits.Piece(f"f{k}")] for k in range(5_000)])}
+    reader = logfiles._Reader(options)
+    assert len(pickle.dumps(reader)) < 1_000 and len(reader.partitions()) == 5_000
+
+
 def test_numbers_of_lines_rise_over_parts(engine, tmp_path):
     path = put(tmp_path, "n", b"".join(members(text(2_000), 20)))
     rows = engine.lines(path, split=True, splitBytes=4_000).where("line_no is not null")
