@@ -1044,13 +1044,13 @@ def stream_sessions(spark, sf_dir):
     folder = shared_folder(spark)
     seen = views(spark, sf_dir)
     day = F.to_date("ts")
-    files = seen.repartitionByRange(4, day, "seq").sortWithinPartitions(day, F.xxhash64("seq"))  # within a file in any order
+    files = seen.repartitionByRange(max(4, 2 * spark.sparkContext.defaultParallelism), day, "seq").sortWithinPartitions(day, F.xxhash64("seq"))  # within a file in any order
     files.write.parquet(f"{folder}/in")
     last = seen.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("session_id"), (F.col("ts") + F.expr("INTERVAL 4000 DAYS")).alias("ts"), *[F.lit(None).cast(seen.schema[c].dataType).alias(c) for c in seen.columns[2:]])
     last.select(*seen.columns).write.mode("append").parquet(f"{folder}/in")  # time goes on: what waits comes out
     came = spark.readStream.schema(seen.schema).parquet(f"{folder}/in")
     out = live.attribute_stream(came, _IDLE, late="1000 days").where("seq is not null")
-    q = live.with_state(spark, out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start)
+    q = live.with_state(spark, out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").start, live.state_partitions(spark))
     try:
         q.processAllAvailable()
     finally:

@@ -82,6 +82,8 @@ _CHANGE = "kind string, id string, path string, note string, n long, fresh boole
 _SNAPSHOT = "part string, kind string, id string, path string, n long, pages long, last_seen timestamp_ntz, counts string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def _counted(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -186,21 +188,33 @@ def _fold(changed: DataFrame, number: int, folder: str, on_batch: Callable[[repo
         files.delete(path(f"{folder}/snapshot={k}"), True)
 
 
-def with_state(spark: SparkSession, start: Callable):
-    """start() with the state store that keyed state needs; the query takes it with it, the session's own setting stays."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+def with_state(spark: SparkSession, start: Callable, partitions: int | None = None):
+    """start() with the state store that keyed state needs; the query takes it with it, the session's own settings stay.
+
+    A batch commits what it changed of the state, not the whole. ``partitions`` of the state stay as they are for the checkpoint's life; each
+    costs every batch a store to open and a Python worker's turn, however little it holds. Unless given, they are spark.sql.shuffle.partitions.
+    """
+    own = {_PROVIDER: _ROCKS, _CHANGES: "true"} | ({_PARTITIONS: str(partitions)} if partitions else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         return start()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """As many partitions of state as keep all cores at work; no more than shuffles have."""
+    return min(int(spark.conf.get(_PARTITIONS)), 3 * spark.sparkContext.defaultParallelism)
 
 
-def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None, top: int = TOP):
-    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far, with so many top pages."""
+def start_report(parsed: DataFrame, on_batch: Callable[[report.Report], None], checkpoint: str, own_host: str | None = None, top: int = TOP, partitions: int | None = None):
+    """A query that, after each micro-batch of parsed lines, hands over the report of everything so far, with so many top pages; ``partitions`` as in with_state()."""
     folder = f"{checkpoint.rstrip('/')}/report"
     writer = running_changes(parsed, own_host).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return with_state(parsed.sparkSession, writer.foreachBatch(lambda changed, number: _fold(changed, number, folder, on_batch, top)).start)
+    return with_state(parsed.sparkSession, writer.foreachBatch(lambda changed, number: _fold(changed, number, folder, on_batch, top)).start, partitions)
 
 
 def on_match(requests: DataFrame, callback: Callable[[dict], None], checkpoint: str, own_host: str | None = None):
@@ -252,7 +266,8 @@ def _attributed(idle: int):
         source, last, held = state.get if state.exists else (None, None, "[]")
         waiting = json.loads(held)
         for df in rows:
-            waiting += [list(r) for r in zip(df["at"].tolist(), df["seq"].tolist(), df["own"].astype(object).where(df["own"].notna(), None), df["nav_type"].isin(sessions.REVISITS).tolist())]
+            own = [x if isinstance(x, str) else None for x in df["own"].tolist()]
+            waiting += [list(r) for r in zip(df["at"].tolist(), df["seq"].tolist(), own, df["again"].tolist())]
         mark, out = state.getCurrentWatermarkMs() * 1000, []
         waiting.sort(key=lambda r: (r[0], r[1]))
         ready = [r for r in waiting if r[0] < mark]
@@ -269,8 +284,7 @@ def _attributed(idle: int):
             state.update((source, last, json.dumps(waiting)))
             state.setTimeoutTimestamp(max(wake // 1000, state.getCurrentWatermarkMs()) + 1)
         if out:
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.astype({"landing": object, "source": object})
+            yield pd.DataFrame({c: pd.Series(v, dtype=object if c in ("source", "landing") else None) for c, v in zip(columns, zip(*out))})
 
     return run
 
@@ -284,7 +298,8 @@ def attribute_stream(views: DataFrame, idle_minutes: int = 30, late: str = "10 m
     from botledger.operators.classify import referral_id
 
     timed = views.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    own = timed.select("session_id", "ts", F.unix_micros("ts").alias("at"), "seq", "nav_type", referral_id(F.col("referrer"), F.col("hostname")).alias("own"))
+    again = F.coalesce(F.col("nav_type").isin(*sessions.REVISITS), F.lit(False))
+    own = timed.select("session_id", "ts", F.unix_micros("ts").alias("at"), "seq", again.alias("again"), referral_id(F.col("referrer"), F.col("hostname")).alias("own"))
     out = own.groupBy("session_id").applyInPandasWithState(
         _attributed(idle_minutes * 60_000_000), _VIEW, "source string, last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -239,3 +239,17 @@ def test_outbox_of_a_stream_that_fails_half_way(spark, tmp_path):
     q.stop()
     assert sorted(r["seq"] for r in outbox.read(spark, str(tmp_path / "box"), EVENT).collect()) == list(range(40))
     assert len(outbox.batches(str(tmp_path / "box"))) == 2
+
+
+def test_state_has_as_many_partitions_as_keep_cores_at_work(spark):
+    names = (live._PARTITIONS, live._CHANGES, live._PROVIDER)
+    get = lambda: [spark.conf.get(n, None) for n in names]
+    before = get()
+    assert live.with_state(spark, get, 5) == ["5", "true", live._ROCKS] and live.with_state(spark, get)[0] == before[0]
+    assert get() == before
+    spark.conf.set(live._PARTITIONS, "2000")
+    try:
+        assert live.state_partitions(spark) == 3 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(live._PARTITIONS, before[0])
+    assert live.state_partitions(spark) == int(before[0]) <= 3 * spark.sparkContext.defaultParallelism
