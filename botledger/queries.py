@@ -627,7 +627,7 @@ def stream_report(spark, sf_dir):
         own = req.where(F.col("file") == f"log{k}").select("line")
         own.write.mode("append").option("compression", "gzip" if k % 2 else "none").text(f"{folder}/in")
     parsed = live.log_stream(spark, f"{folder}/in", ledger=f"{folder}/arrivals", max_files=32, lenient=True)
-    q = live.start_report(parsed, lambda _: None, checkpoint=f"{folder}/state")
+    q = live.start_report(parsed, lambda _: None, checkpoint=f"{folder}/state", partitions=live.state_partitions(spark))
     try:
         q.processAllAvailable()
     finally:

@@ -219,14 +219,14 @@ class _Part(InputPartition):
         self.pieces = pieces
 
 
-def packed(pieces: Iterable[tuple[Piece, int]], most: int) -> list[list[Piece]]:
-    """Pieces in order, in tasks of so many bytes; opening a file counts as OPEN_COST of them. Parts of a file that meet in a task are read as one."""
+def packed(pieces: Iterable[tuple[Piece, int]], most: int, count: int | None = None) -> list[list[Piece]]:
+    """Pieces in order, in tasks of so many bytes (and pieces); opening a file counts as OPEN_COST of them. Parts of a file that meet in a task are read as one."""
     out: list[list[Piece]] = []
     left = 0
     for piece, size in pieces:
         joined = splits.joined(out[-1][-1], piece) if out else None
         cost = size if joined else size + OPEN_COST
-        if not out or cost > left:
+        if not out or cost > left or (count and len(out[-1]) >= count):
             out.append([piece])
             left = most - size
         elif joined:
@@ -268,6 +268,7 @@ class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.specs, self.fmt = [p for p in options["paths"].split("\n") if p], options.get("fmt") or None
         self.lenient = str(options.get("lenient", "false")).lower() == "true"
+        self.tasks = int(options.get("tasks", 1))
         self.ledger, self.most = options["ledger"], int(options.get("maxFilesPerTrigger", options.get("maxfilespertrigger", MOST_FILES)))
         self._open: Ledger | None = None
 
@@ -285,7 +286,8 @@ class _Stream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         found = self._ledger().between(start["entry"], end["entry"])
-        return [_Part(p) for p in packed(((Piece(f.path), f.size) for f in found), MOST_RANGE)] or [_Part([])]
+        # packed files have more lines than their sizes say, so files are dealt by number, too
+        return [_Part(p) for p in packed(((Piece(f.path), f.size) for f in found), MOST_RANGE, -(-len(found) // self.tasks))] or [_Part([])]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         for piece in part.pieces:
@@ -363,7 +365,7 @@ def stream_lines(spark: SparkSession, folder: str, ledger: str, fmt: str | None
         rows = (raw.option("maxFilesPerTrigger", max_files) if max_files else raw).load(folder)
         return rows.select("path", "content").mapInArrow(_from_store(False, fmt, lenient), SCHEMA)
     spark.dataSource.register(AccessLogSource)
-    reader = spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").option("ledger", ledger).option("lenient", str(lenient))
+    reader = spark.readStream.format("accesslog").option("paths", folder).option("fmt", fmt or "").option("ledger", ledger).option("lenient", str(lenient)).option("tasks", str(4 * spark.sparkContext.defaultParallelism))
     return reader.option("maxFilesPerTrigger", str(max_files)).load()
 
 

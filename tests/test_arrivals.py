@@ -166,3 +166,16 @@ def test_queries_leave_nothing_cached(spark, sf_dir):
         before = spark.sparkContext._jsc.getPersistentRDDs().size()
         QUERIES[name](spark, sf_dir).count()
         assert spark.sparkContext._jsc.getPersistentRDDs().size() == before, name
+
+
+def test_files_of_a_batch_are_dealt_over_tasks(tmp_path):
+    """Small files share tasks, but not so that one task has all lines of packed ones."""
+    from botledger.sources import logfiles
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(100):
+        (folder / f"{n}.log").write_text(LINE.format(n=n))
+    stream = logfiles._Stream({"paths": str(folder), "ledger": str(tmp_path / "seen"), "tasks": "16"})
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert 14 <= len(parts) <= 17 and sum(len(p.pieces) for p in parts) == 100
